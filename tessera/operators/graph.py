@@ -8,7 +8,7 @@ Vectors: see `vector_knn`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,65 +23,55 @@ CELL_SIZE = 48
 MAX_CUTS = 256
 
 
-def _cuts(df: DataFrame, column: str, by: list[str], parts: Column) -> DataFrame:
-    """Per group, cut points that split `column` into about `parts` ranges (at most MAX_CUTS)."""
+def _with_cuts(df: DataFrame, column: str, by: list[str], parts: Callable[[Column], Column], name: str) -> DataFrame:
+    """Add `name`: the range of `column` inside its group, from quantile cuts (at most MAX_CUTS ranges)."""
     probs = [i / MAX_CUTS for i in range(1, MAX_CUTS)]
-    q = df.groupBy(*by).agg(F.percentile_approx(column, probs, 2000).alias("_q"), F.max("_parts").alias("_k"))
-    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_CUTS) / F.col("_k")).cast("int"))
-    picked = F.filter(F.col("_q"), lambda v, i: (i + 1) % step == 0)
-    return q.select(*by, F.array_distinct(F.when(F.col("_k") <= 1, F.array().cast("array<double>")).otherwise(picked)).alias("_cuts"))
-
-
-def _place(column: str) -> Column:
-    return F.size(F.filter("_cuts", lambda c: c < F.col(column)))
+    q = df.groupBy(*by).agg(F.percentile_approx(column, probs, 2000).alias("_q"), F.count("*").alias("_n"))
+    k = F.least(F.greatest(parts(F.col("_n")), F.lit(1)), F.lit(MAX_CUTS))
+    picked = F.transform(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))),
+                         lambda i: F.element_at("_q", F.greatest((i * MAX_CUTS / k).cast("int"), F.lit(1))))
+    cuts = q.select(*by, F.when(k > 1, F.array_distinct(picked)).otherwise(F.array().cast("array<double>")).alias("_cuts"))
+    return df.join(cuts, by).withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")
 
 
 class CellIndex:
-    """Equi-depth cells of distinct locations, with the boxes of cells and strips."""
+    """Cells of nearly equal size inside each group, with the boxes of cells and strips.
+
+    `keep` points of each location (smallest ids) go into the cells: among points at one place no others
+    can be neighbours of any query. Without it, locations are stored once with their multiplicity."""
 
     def __init__(self, points: DataFrame, by: Sequence[str], keep: int | None):
         by = list(by)
         self.by = by
         self.cell_key = [*by, "_strip", "_cell"]
-        located = points.select(*by, "spot_id", "x", "y")
+        placed = _with_cuts(points.select(*by, "spot_id", "x", "y"), "x", by,
+                            lambda n: F.ceil(F.sqrt(n / CELL_SIZE)).cast("int"), "_strip")
+        placed = _with_cuts(placed, "y", [*by, "_strip"], lambda n: F.ceil(n / CELL_SIZE).cast("int"), "_cell")
+        self.placed = cut_lineage(placed)
         if keep is not None:
-            # of the points at one location only the first `keep` ids can be among any query's neighbours;
-            # the window is limited per input partition before its shuffle, so a hot location stays small
-            w = Window.partitionBy(*by, "x", "y").orderBy("spot_id")
-            located = located.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
+            # row_number <= keep is limited per input partition before its shuffle, so a hot location stays small
+            w = Window.partitionBy(*self.cell_key, "x", "y").orderBy("spot_id")
+            located = self.placed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
             located = located.withColumn("mult", F.lit(1).cast("bigint"))
         else:
-            located = located.groupBy(*by, "x", "y").agg(F.count("*").alias("mult")).withColumn("spot_id", F.lit(None).cast("string"))
-        n = F.col("_n")
-        sizes = located.groupBy(*by).agg(F.count("*").alias("_n"))
-        strips = F.ceil(F.sqrt(n / CELL_SIZE)).cast("int")
-        counted = located.join(sizes.select(*by, strips.alias("_parts")), by)
-        x_cuts = _cuts(counted, "x", by, F.col("_parts"))
-        striped = located.join(x_cuts, by).withColumn("_strip", _place("x")).drop("_cuts")
-        strip_sizes = striped.groupBy(*by, "_strip").agg(F.ceil(F.count("*") / CELL_SIZE).cast("int").alias("_parts"))
-        counted = striped.join(strip_sizes, [*by, "_strip"])
-        y_cuts = _cuts(counted, "y", [*by, "_strip"], F.col("_parts"))
-        self.located = striped.join(y_cuts, [*by, "_strip"]).withColumn("_cell", _place("y")).drop("_cuts")
-        self.x_cuts, self.y_cuts = x_cuts, y_cuts
-        box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum("mult").alias("n")]
-        cells = self.located.groupBy(*self.cell_key).agg(
-            *box, F.collect_list(F.struct("spot_id", "x", "y", "mult")).alias("_pts"))
-        self.cells = cells
-        boxes = self.located.groupBy(*self.cell_key).agg(*box)
-        self.cell_boxes = boxes.groupBy(*by, "_strip").agg(
-            F.collect_list(F.struct("_cell", "x0", "x1", "y0", "y1", "n")).alias("_boxes"))
-        strip_boxes = boxes.groupBy(*by, "_strip").agg(
+            located = self.placed.groupBy(*self.cell_key, "x", "y").agg(F.count("*").alias("mult")).withColumn(
+                "spot_id", F.lit(None).cast("string"))
+        box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+        # one row per cell of about CELL_SIZE locations
+        self.cells = cut_lineage(located.groupBy(*self.cell_key).agg(
+            *box, F.sum("mult").alias("n"), F.collect_list(F.struct("spot_id", "x", "y", "mult")).alias("_pts")))
+        self.points = self.cells.select(*self.cell_key, "_pts")
+        # at most MAX_CUTS boxes per strip and MAX_CUTS strips per group
+        strips = self.cells.groupBy(*by, "_strip").agg(
+            F.collect_list(F.struct("_cell", "x0", "x1", "y0", "y1", "n")).alias("_boxes"),
             F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
-        self.strip_boxes = strip_boxes.groupBy(*by).agg(
+        self.cell_boxes = strips.select(*by, "_strip", "_boxes")
+        self.strip_boxes = strips.groupBy(*by).agg(
             F.collect_list(F.struct("_strip", "x0", "x1", "y0", "y1", "n")).alias("_strips"))
 
-    def locate(self, queries: DataFrame) -> DataFrame:
-        q = queries.join(self.x_cuts, self.by).withColumn("_strip", _place("x")).drop("_cuts")
-        return q.join(self.y_cuts, [*self.by, "_strip"]).withColumn("_cell", _place("y")).drop("_cuts")
-
     def cells_within(self, queries: DataFrame, bound: str) -> DataFrame:
-        """Query rows x cells whose box is within `bound` (squared distance) of the query."""
-        near = queries.join(self.strip_boxes, self.by).withColumn("_s", F.explode(
+        """Query rows (with `_strips`) x cells whose box is within `bound` (squared distance) of the query."""
+        near = queries.withColumn("_s", F.explode(
             F.filter("_strips", lambda s: _near(s) <= F.col(bound)))).drop("_strips", "_strip", "_cell")
         near = near.withColumn("_strip", F.col("_s._strip")).drop("_s")
         return near.join(self.cell_boxes, [*self.by, "_strip"]).withColumn("_b", F.explode(
@@ -109,7 +99,7 @@ def knn_join(spots: DataFrame, k: int, by: Sequence[str] = ("slice",)) -> DataFr
     edges(*by, src, dst, dist2, rank)."""
     by = list(by)
     index = CellIndex(spots, by, k + 1)
-    q = spots.select(*by, F.col("spot_id").alias("src"), "x", "y")
+    q = index.placed.withColumnRenamed("spot_id", "src")
 
     def best(points: str) -> Column:
         d = F.transform(points, lambda p: F.struct(
@@ -117,18 +107,20 @@ def knn_join(spots: DataFrame, k: int, by: Sequence[str] = ("slice",)) -> DataFr
             p["spot_id"].alias("dst")))
         return F.slice(F.array_sort(F.filter(d, lambda e: e["dst"] != F.col("src"))), 1, k)
 
-    own = index.locate(q).join(index.cells.select(*index.cell_key, "_pts"), index.cell_key, "left").withColumn("_top", best("_pts")).drop("_pts")
-    own = own.withColumn("_b0", F.when(F.size("_top") >= k, F.element_at("_top", k)["dist2"])).drop("_top")
+    own = q.join(index.points, index.cell_key).withColumn("_top", best("_pts")).drop("_pts")
+    own = own.withColumn("_b0", F.when(F.size("_top") >= k, F.get("_top", F.lit(k - 1))["dist2"])).drop("_top")
     # a cell with fewer than k others: fall back to the strips that together hold enough points
     acc = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("d"))
     reach = F.aggregate(
         F.array_sort(F.transform("_strips", lambda s: F.struct(_far(s).alias("d"), s["n"].alias("n")))), acc,
         lambda a, s: F.when(a["n"] >= k + 1, a).otherwise(F.struct((a["n"] + s["n"]).alias("n"), s["d"].alias("d"))))["d"]
-    bounded = own.join(index.strip_boxes, by).withColumn("_bound", F.coalesce("_b0", reach)).drop("_strips", "_b0")
-    hits = index.cells_within(bounded, "_bound").drop("_b").join(index.cells.select(*index.cell_key, "_pts"), index.cell_key)
+    bounded = own.join(index.strip_boxes, by).withColumn(
+        "_bound", F.when(F.col("_b0").isNotNull(), F.col("_b0")).otherwise(reach)).drop("_b0")
+    hits = index.cells_within(bounded, "_bound").drop("_b").join(index.points, index.cell_key)
     found = hits.select(*by, "src", F.explode(best("_pts")).alias("_e")).select(*by, "src", "_e.dst", "_e.dist2")
     w = Window.partitionBy(*by, "src").orderBy("dist2", "dst")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    # the graph is read many times by its users, so it is stored once
+    return cut_lineage(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
 def radius_degree(spots: DataFrame, radius: float, by: Sequence[str] = ("slice",)) -> DataFrame:
@@ -137,11 +129,11 @@ def radius_degree(spots: DataFrame, radius: float, by: Sequence[str] = ("slice",
     by = list(by)
     index = CellIndex(spots, by, None)
     r2 = radius * radius
-    q = spots.select(*by, "spot_id", "x", "y", F.lit(r2).alias("_bound"))
+    q = index.placed.select(*by, "spot_id", "x", "y", F.lit(r2).alias("_bound")).join(index.strip_boxes, by)
     near = index.cells_within(q, "_bound")
     full = _far(F.col("_b")) <= r2
     inside = near.filter(full).select(*by, "spot_id", F.col("_b.n").alias("n"))
-    edge = near.filter(~full).join(index.cells.select(*index.cell_key, "_pts"), index.cell_key)
+    edge = near.filter(~full).join(index.points, index.cell_key)
     hit = F.aggregate("_pts", F.lit(0).cast("bigint"), lambda a, p: a + F.when(
         (p["x"] - F.col("x")) * (p["x"] - F.col("x")) + (p["y"] - F.col("y")) * (p["y"] - F.col("y")) <= r2, p["mult"]).otherwise(0))
     return inside.unionByName(edge.select(*by, "spot_id", hit.alias("n"))).groupBy(*by, "spot_id").agg(
@@ -166,12 +158,10 @@ def slice_graph(spots: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def knn_distance_summary(spots: DataFrame, ranks: Sequence[int] = (1, 3, 8)) -> DataFrame:
-    edges = knn_join(spots, max(ranks)).withColumn("dist", F.sqrt("dist2"))
-    out = None
-    for r in ranks:
-        part = exact_quantiles(edges.filter(F.col("rank") == r), "dist", ["slice"], {f"nn{r}_median": 0.5})
-        out = part if out is None else out.join(part, "slice", "left")
-    return out
+    edges = knn_join(spots, max(ranks)).filter(F.col("rank").isin(list(ranks))).withColumn("dist", F.sqrt("dist2"))
+    long = exact_quantiles(edges, "dist", ["slice", "rank"], {"median": 0.5})
+    return long.groupBy("slice").pivot("rank", list(ranks)).agg(F.max("median")).select(
+        "slice", *[F.col(str(r)).alias(f"nn{r}_median") for r in ranks])
 
 
 def edge_length_summary(edges: DataFrame) -> DataFrame:
@@ -203,7 +193,8 @@ def vector_knn(candidates: DataFrame, k: int, queries: DataFrame | None = None,
     that can still matter; the query visits only the blocks of those cells. A task holds one block of
     candidates and one chunk of queries and returns k rows per query, so pairs are never rows."""
     by = list(by)
-    cand = candidates.select(*by, F.col("spot_id").alias("dst"), "emb")
+    # fresh names and ids: candidates and queries may be the same DataFrame
+    cand = candidates.select(*[F.col(c).alias(c) for c in by], F.col("spot_id").alias("dst"), F.col("emb").alias("vec"))
     query = (candidates if queries is None else queries).select(*by, F.col("spot_id").alias("src"), "emb")
     # at most `pivots` vectors reach the driver
     chosen = [r["emb"] for r in candidates.select("emb", hash_order(7, "spot_id").alias("_h")).orderBy("_h").limit(pivots).collect()]
@@ -216,14 +207,11 @@ def vector_knn(candidates: DataFrame, k: int, queries: DataFrame | None = None,
     def to_pivots(emb: pd.Series) -> pd.Series:
         return pd.Series(list(np.sqrt(_distances(np.stack(emb.to_numpy()), p))))
 
-    def nearest(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_pd", to_pivots("emb"))
-        return df.withColumn("_near", F.array_min("_pd")).withColumn(
-            "_cell", (F.array_position("_pd", F.col("_near")) - 1).cast("int"))
-
-    placed = nearest(cand)
-    stats = placed.groupBy(*by, "_cell").agg(
-        F.count("*").alias("n"), F.max("_near").alias("far"), F.min("_near").alias("near"))
+    placed = cand.withColumn("_pd", to_pivots("vec")).withColumn("_near", F.array_min("_pd")).withColumn(
+        "_cell", (F.array_position("_pd", F.col("_near")) - 1).cast("int")).drop("_pd")
+    # one row per pivot and group
+    stats = cut_lineage(placed.groupBy(*by, "_cell").agg(
+        F.count("*").alias("n"), F.max("_near").alias("far"), F.min("_near").alias("near")))
     packed = stats.groupBy(*by).agg(F.collect_list(F.struct("_cell", "n", "far", "near")).alias("_stats"))
     need = k + 1 if exclude_self else k
 
@@ -246,7 +234,7 @@ def vector_knn(candidates: DataFrame, k: int, queries: DataFrame | None = None,
         lambda b: F.struct(s["_cell"].alias("_cell"), b.alias("_block")))))
     visits = q.select(*by, "src", "emb", F.explode(blocks).alias("_v")).select(*by, "src", "emb", "_v._cell", "_v._block")
     n_blocks = F.floor((F.col("n") - 1) / block) + 1
-    target = placed.drop("_pd", "_near").join(stats.select(*by, "_cell", "n"), [*by, "_cell"]).withColumn(
+    target = placed.drop("_near").join(stats.select(*by, "_cell", "n"), [*by, "_cell"]).withColumn(
         "_block", F.pmod(F.xxhash64("dst"), n_blocks).cast("int")).drop("n")
     unit = [*by, "_cell", "_block"]
     # hot units: their queries are cut into chunks and the block is repeated for each chunk
@@ -263,7 +251,7 @@ def vector_knn(candidates: DataFrame, k: int, queries: DataFrame | None = None,
             return pd.DataFrame(columns=columns)
         cs = cs.sort_values("dst")
         ids = cs["dst"].to_numpy()
-        d = _distances(np.stack(qs["emb"].to_numpy()), np.stack(cs["emb"].to_numpy()))
+        d = _distances(np.stack(qs["emb"].to_numpy()), np.stack(cs["vec"].to_numpy()))
         if exclude_self:
             d[qs["src"].to_numpy()[:, None] == ids[None, :]] = np.inf
         top = np.argsort(d, axis=1, kind="stable")[:, :k]  # ids ascend, so equal distances keep id order
@@ -276,7 +264,7 @@ def vector_knn(candidates: DataFrame, k: int, queries: DataFrame | None = None,
 
     found = visits.groupBy(*key).cogroup(target.groupBy(*key)).applyInPandas(work, schema)
     w = Window.partitionBy(*by, "src").orderBy("dist2", "dst")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cut_lineage(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
 def metric_knn(emb: DataFrame, k: int, skip_first: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.numeric import norm_sf, ratio
 from tessera.functions.ranks import bh_adjust
@@ -100,7 +101,7 @@ def _local_quadratic(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
 def local_fit(df: DataFrame, x: str, y: str, span: float, by: str = "slice") -> DataFrame:
     """Local weighted quadratic regression of y on x over the genes of each slice; adds `fitted`.
     A group is one slice's gene table, bounded by the gene dictionary."""
-    schema = df.schema.add("fitted", "double")
+    schema = T.StructType([*df.schema.fields, T.StructField("fitted", T.DoubleType())])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([x, "gene"])

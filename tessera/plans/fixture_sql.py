@@ -129,6 +129,8 @@ def with_fixtures(sql: str) -> str:
     # slow pair tables are materialized so that they are computed once per statement
     parts = [f"{n} AS MATERIALIZED ({FIXTURES[n].strip()})" for n in FIXTURES if n in needed]
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body

@@ -24,14 +24,14 @@ def gene_name() -> "F.Column":
     return F.concat_ws("-", "p_type", F.col("p_size").cast("string"))
 
 
-def spots(spark: SparkSession, path: str) -> DataFrame:
+def spots(spark: SparkSession, path: str, with_class: bool = False) -> DataFrame:
     region = table(spark, path, "nation").join(
         table(spark, path, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     base = table(spark, path, "customer").join(region, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("spot_id"), F.col("c_mktsegment").alias("slice"),
         (F.col("c_custkey") % 40).cast("double").alias("x"),
         F.floor(F.col("c_custkey") / 40).cast("double").alias("y"), F.col("r_name").alias("label"))
-    return annotate_slice_class(base, {"A": 3, "B": 2}, strict=False)
+    return annotate_slice_class(base, {"A": 3, "B": 2}, strict=False) if with_class else base
 
 
 def genes(spark: SparkSession, path: str) -> DataFrame:

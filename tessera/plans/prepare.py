@@ -154,7 +154,7 @@ def _(spark, path):
 
 @query("slice_class", "SELECT slice, slice_class, count(*) AS n FROM spots GROUP BY ALL")
 def _(spark, path):
-    return fx.spots(spark, path).groupBy("slice", "slice_class").agg(F.count("*").alias("n"))
+    return fx.spots(spark, path, True).groupBy("slice", "slice_class").agg(F.count("*").alias("n"))
 
 
 @query("sample_spots", "SELECT spot_id, slice FROM spots ORDER BY md5('11|' || spot_id), spot_id LIMIT 100")

@@ -1 +1,546 @@
-"""placeholder"""
+"""Queries over gene rankings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera.functions.numeric import r6
+from tessera.operators import ranking as R
+from tessera.operators import spatial as S
+from tessera.operators import variable as V
+from tessera.operators.graph import knn_join, undirected
+from tessera.plans import fixtures as fx
+from tessera.plans.graphs import location
+from tessera.plans.registry import query
+
+ERFC_SQL = """t * exp(-a * a - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807
+    + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))"""
+
+
+def norm_sf_sql(z: str) -> str:
+    """SQL text of the normal upper tail of an expression."""
+    a = f"(abs({z}) / sqrt(2))"
+    t = f"(1.0::DOUBLE / (1 + 0.5::DOUBLE * {a}))"
+    body = "(" + ERFC_SQL.replace("t *", "_T_ *").replace("a * a", f"{a} * {a}").replace("_T_", t) + ")"
+    return f"(CASE WHEN {z} >= 0 THEN 0.5::DOUBLE * {body} ELSE 1 - 0.5::DOUBLE * {body} END)"
+
+
+def scores_sql(select: str, tail: str = "") -> str:
+    """All genes with their score; genes without one get 0."""
+    return f"""{tail} SELECT g.gene, g.gene_index, round(coalesce(s.score, 0), 6) + 0 AS score
+        FROM genes g LEFT JOIN ({select}) s ON s.gene = g.gene"""
+
+
+def shown(df):
+    return df.select("gene", "gene_index", r6("score").alias("score"))
+
+
+@query("top_features", """
+    WITH s AS (SELECT slice, gene, gene_index, round(sum(value) / any_value(n_spots), 9) AS score
+               FROM expr JOIN genes USING (gene) JOIN slice_sizes USING (slice) GROUP BY ALL)
+    SELECT slice, gene, rank FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY score DESC, gene_index DESC) AS rank FROM s) WHERE rank <= 40""")
+def _(spark, path):
+    ds = fx.dataset(spark, path)
+    s = R.slice_moments(ds).join(ds.genes, "gene").withColumn("score", F.col("mean"))
+    return R.top_features(s, 40, ["slice"]).select("slice", "gene", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("selection_summary", """
+    SELECT dataset, method, count(*) AS effective_n_features, md5(string_agg(gene, chr(10) ORDER BY rank)) AS feature_hash, 100::BIGINT AS requested_n_features
+    FROM rankings WHERE rank <= 100 GROUP BY 1, 2""")
+def _(spark, path):
+    return R.selection_summary(fx.rankings(spark, path).filter("rank <= 100"), ["dataset", "method"], 100)
+
+
+LISTED = """
+    WITH l AS (SELECT r.gene, r.rank + 7 * (r.gene_index % 3) AS position, dataset FROM rankings r WHERE method IN ('Brand#1', 'Brand#2')
+               UNION ALL SELECT 'unknown-' || gene_index, gene_index, 'BUILDING' FROM genes),
+    f AS (SELECT dataset, gene, min(position) * 1000 + any_value(gene_index) AS position FROM l JOIN genes USING (gene) GROUP BY 1, 2)"""
+
+
+@query("ranked_result", LISTED + """
+    SELECT dataset, gene, rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY position) AS rank FROM f) WHERE rank <= 60""")
+def _(spark, path):
+    genes = fx.genes(spark, path)
+    known = fx.rankings(spark, path).filter(F.col("method").isin("Brand#1", "Brand#2")).select(
+        "dataset", "gene", ((F.col("rank") + 7 * (F.col("gene_index") % 3)) * 1000 + F.col("gene_index")).alias("position"))
+    unknown = genes.select(F.lit("BUILDING").alias("dataset"), F.concat(F.lit("unknown-"), "gene_index").alias("gene"),
+                           F.col("gene_index").alias("position"))
+    return R.ranked_result(known.unionByName(unknown), genes, 60, ["dataset"]).select(
+        "dataset", "gene", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("all_features", "SELECT gene, gene_index, ((SELECT count(*) FROM genes) - gene_index)::DOUBLE AS score FROM genes")
+def _(spark, path):
+    return shown(R.all_features(fx.dataset(spark, path)))
+
+
+@query("random_features", "SELECT gene, gene_index, round(('0x' || substr(md5('4|' || gene), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE, 6) + 0 AS score FROM genes")
+def _(spark, path):
+    return shown(R.random(fx.dataset(spark, path), 4))
+
+
+@query("highly_expressed", scores_sql("SELECT gene, sum(count) / (SELECT count(*) FROM spots) AS score FROM expr GROUP BY 1"))
+def _(spark, path):
+    return shown(R.highly_expressed(fx.dataset(spark, path), "count"))
+
+
+@query("statistic_mean", scores_sql("SELECT gene, sum(value) / (SELECT count(*) FROM spots) AS score FROM expr GROUP BY 1"))
+def _(spark, path):
+    return shown(R.statistic(fx.dataset(spark, path), "mean"))
+
+
+@query("statistic_variance", scores_sql("""
+    SELECT gene, sum(value * value) / n - pow(sum(value) / n, 2) AS score FROM expr, (SELECT count(*) AS n FROM spots) GROUP BY gene, n"""))
+def _(spark, path):
+    return shown(R.statistic(fx.dataset(spark, path), "variance"))
+
+
+@query("conserved", scores_sql("""
+    SELECT gene, m / (1 + coalesce(sqrt(greatest(v, 0)), 0) / (m + 1e-8)) AS score FROM (
+      SELECT gene, sum(mean) / k AS m, (sum(mean * mean) - k * pow(sum(mean) / k, 2)) / nullif(k - 1, 0) AS v
+      FROM slice_moments, (SELECT count(DISTINCT slice) AS k FROM spots) GROUP BY gene, k)"""))
+def _(spark, path):
+    return shown(R.conserved(fx.dataset(spark, path)))
+
+
+@query("tf_list", """
+    WITH f AS (SELECT upper(p_type || '-' || p_size) AS k, min(p_partkey) AS position FROM part WHERE p_brand = 'Brand#3' GROUP BY 1)
+    SELECT gene, gene_index, row_number() OVER (ORDER BY position) AS rank FROM genes JOIN f ON upper(gene) = k""")
+def _(spark, path):
+    part = fx.table(spark, path, "part").select(
+        F.when(F.col("p_brand") == "Brand#3", "Human").otherwise("Mouse").alias("Species"), F.lower(fx.gene_name()).alias("Gene"),
+        F.lit("").alias("ENSEMBL"), F.col("p_partkey").alias("position"))
+    return R.tf_list(fx.dataset(spark, path), part, "human").select("gene", "gene_index", F.col("rank").cast("bigint").alias("rank"))
+
+
+def seurat_sql(group: str) -> str:
+    sizes = "slice_sizes" if group == "slice" else "(SELECT 'all' AS slice, count(*) AS n_spots FROM spots)"
+    key = "slice" if group == "slice" else "'all'"
+    k = "(SELECT count(DISTINCT slice) FROM spots)" if group == "slice" else "1"
+    return scores_sql(f"SELECT gene, coalesce(sum(z) / nullif({k} - count(*) FILTER (z IS NULL), 0), 0) AS score FROM zs GROUP BY 1", f"""
+    WITH nv AS (SELECT {key} AS slice, gene, 10000.0::DOUBLE * count / sum(count) OVER (PARTITION BY spot_id) AS v FROM counts),
+    mo AS (SELECT slice, gene, sum(v) / n_spots AS mean, greatest(sum(v * v) / n_spots - pow(sum(v) / n_spots, 2), 0) * n_spots / (n_spots - 1) AS var
+           FROM nv JOIN {sizes} USING (slice) GROUP BY slice, gene, n_spots),
+    di AS (SELECT *, round(ln(1 + mean), 12) AS lm, CASE WHEN var > 0 THEN ln(var / mean) END AS disp FROM mo),
+    bi AS (SELECT *, greatest(1, ceil(coalesce((lm - min(lm) OVER (PARTITION BY slice)) * 20
+                / nullif(max(lm) OVER (PARTITION BY slice) - min(lm) OVER (PARTITION BY slice), 0), 1))) AS bin FROM di),
+    st AS (SELECT *, avg(disp) OVER w AS mu, stddev_samp(disp) OVER w AS sd, count(disp) OVER w AS nb FROM bi WINDOW w AS (PARTITION BY slice, bin)),
+    zs AS (SELECT slice, gene, CASE WHEN nb = 1 THEN disp / nullif(mu, 0) ELSE (disp - mu) / nullif(sd, 0) END AS z FROM st)""")
+
+
+@query("hvg_seurat", seurat_sql("all"))
+def _(spark, path):
+    return shown(V.hvg_seurat(fx.dataset(spark, path)))
+
+
+@query("hvg_seurat_batch", seurat_sql("slice"))
+def _(spark, path):
+    return shown(V.hvg_seurat(fx.dataset(spark, path), True))
+
+
+def cell_ranger_sql(group: str) -> str:
+    sizes = "slice_sizes" if group == "slice" else "(SELECT 'all' AS slice, count(*) AS n_spots FROM spots)"
+    key = "slice" if group == "slice" else "'all'"
+    k = "(SELECT count(DISTINCT slice) FROM spots)" if group == "slice" else "1"
+    ps = ", ".join(f"{p / 100}" for p in range(10, 101, 5))
+    return scores_sql(f"SELECT gene, coalesce(sum(z) / nullif({k} - count(*) FILTER (z IS NULL), 0), 0) AS score FROM zs GROUP BY 1", f"""
+    WITH seen AS (SELECT gene, sum(count) > 0 AND count(*) FILTER (count > 0) > 10 AS ok FROM counts GROUP BY 1),
+    kept AS (SELECT gene FROM seen WHERE ok OR (SELECT count(*) FILTER (ok) FROM seen) < least(1000, (SELECT count(*) FROM genes))),
+    nv AS (SELECT {key} AS slice, gene, ln(1 + 10000.0::DOUBLE * count / sum(count) OVER (PARTITION BY spot_id)) AS v
+           FROM counts WHERE gene IN (SELECT gene FROM kept)),
+    mo AS (SELECT slice, gene, round(sum(v) / n_spots, 12) AS mean, greatest(sum(v * v) / n_spots - pow(sum(v) / n_spots, 2), 0) * n_spots / (n_spots - 1) AS var
+           FROM nv JOIN {sizes} USING (slice) GROUP BY slice, gene, n_spots),
+    di AS (SELECT *, CASE WHEN var > 0 THEN var / mean END AS disp FROM mo),
+    ed AS (SELECT slice, quantile_cont(mean, [{ps}]::DOUBLE[]) AS e FROM di GROUP BY 1),
+    bi AS (SELECT di.*, len(list_filter(e, lambda q: round(q, 12) < mean)) AS bin FROM di JOIN ed USING (slice)),
+    me AS (SELECT slice, bin, quantile_cont(disp, 0.5) AS med FROM bi GROUP BY ALL),
+    ma AS (SELECT slice, bin, quantile_cont(abs(disp - med), 0.5) / 0.6744897501960817 AS mad FROM bi JOIN me USING (slice, bin) GROUP BY ALL),
+    zs AS (SELECT slice, gene, (disp - med) / nullif(mad, 0) AS z FROM bi JOIN me USING (slice, bin) JOIN ma USING (slice, bin))""")
+
+
+@query("hvg_cell_ranger", cell_ranger_sql("all"))
+def _(spark, path):
+    return shown(V.hvg_cell_ranger(fx.dataset(spark, path)))
+
+
+@query("hvg_cell_ranger_batch", cell_ranger_sql("slice"))
+def _(spark, path):
+    return shown(V.hvg_cell_ranger(fx.dataset(spark, path), True))
+
+
+def local_fit_ctes(x: str, span: float, source: str) -> str:
+    """CTEs `lf` (slice, gene, ..., fitted) from `source`(slice, gene, lx, ly, ...)."""
+    return f"""
+    src AS ({source}),
+    q AS (SELECT slice, least(count(*), greatest(3, floor({span} * count(*) + 1e-5)))::BIGINT AS q FROM src GROUP BY 1),
+    nb AS (SELECT a.slice, a.gene, b.lx - a.lx AS d, b.ly AS y, row_number() OVER (PARTITION BY a.slice, a.gene ORDER BY abs(b.lx - a.lx), b.lx) AS r
+           FROM src a JOIN src b ON a.slice = b.slice),
+    nq AS (SELECT nb.*, max(abs(d)) OVER (PARTITION BY slice, gene) AS h FROM nb JOIN q USING (slice) WHERE r <= q.q),
+    ws AS (SELECT slice, gene, d, y, CASE WHEN h > 0 THEN pow(1 - pow(least(abs(d) / h, 1), 3), 3) ELSE 1 END AS w FROM nq),
+    sm AS (SELECT slice, gene, sum(w) p0, sum(w*d) p1, sum(w*d*d) p2, sum(w*d*d*d) p3, sum(w*d*d*d*d) p4, sum(w*y) r0, sum(w*d*y) r1, sum(w*d*d*y) r2
+           FROM ws GROUP BY 1, 2),
+    lf AS (SELECT src.*, (r0*(p2*p4-p3*p3) - p1*(r1*p4-p3*r2) + p2*(r1*p3-p2*r2)) / (p0*(p2*p4-p3*p3) - p1*(p1*p4-p3*p2) + p2*(p1*p3-p2*p2)) AS fitted
+           FROM sm JOIN src USING (slice, gene))"""
+
+
+def v3_ctes(group: str) -> str:
+    key = "slice" if group == "slice" else "'all'"
+    sizes = "slice_sizes" if group == "slice" else "(SELECT 'all' AS slice, count(*) AS n_spots FROM spots)"
+    return f"""
+    WITH ct AS (SELECT {key} AS slice, gene, count AS c FROM counts),
+    mo AS (SELECT slice, gene, n_spots, sum(c) / n_spots AS mean, greatest(sum(c * c) / n_spots - pow(sum(c) / n_spots, 2), 0) * n_spots / (n_spots - 1) AS var
+           FROM ct JOIN {sizes} USING (slice) GROUP BY slice, gene, n_spots),
+    {local_fit_ctes('lm', 0.3, "SELECT *, round(log10(mean), 12) AS lx, log10(var) AS ly FROM mo WHERE var > 0")},
+    sd AS (SELECT *, sqrt(pow(10, fitted)) AS sd FROM lf),
+    nvar AS (SELECT slice, gene, round((n_spots * mean * mean + sum(pow(least(c, mean + sd * sqrt(n_spots)), 2)) - 2 * mean * sum(least(c, mean + sd * sqrt(n_spots))))
+              / ((n_spots - 1) * sd * sd), 9) AS norm_var FROM ct JOIN sd USING (slice, gene) GROUP BY slice, gene, n_spots, mean, sd)"""
+
+
+@query("hvg_seurat_v3_variances", v3_ctes("slice") + " SELECT slice, gene, round(norm_var, 5) + 0 AS norm_var FROM nvar")
+def _(spark, path):
+    v = V.seurat_v3_variances(fx.dataset(spark, path), True)
+    return v.select("slice", "gene", (F.round("norm_var", 5) + F.lit(0.0)).alias("norm_var"))
+
+
+@query("hvg_seurat_vst", scores_sql("SELECT gene, round(norm_var, 5) AS score FROM nvar", v3_ctes("all")))
+def _(spark, path):
+    s = V.hvg_seurat_vst(fx.dataset(spark, path))
+    return shown(s.withColumn("score", F.round("score", 5)))
+
+
+RANKED = """,
+    rk AS (SELECT slice, gene, row_number() OVER (PARTITION BY slice ORDER BY norm_var DESC, gene) - 1 AS r FROM nvar),
+    md AS (SELECT gene, quantile_cont(r, 0.5) AS m FROM rk WHERE r < 100 GROUP BY 1)"""
+
+
+@query("hvg_seurat_v3", scores_sql("SELECT gene, (SELECT max(m) FROM md) - m AS score FROM md", v3_ctes("all") + RANKED))
+def _(spark, path):
+    return shown(V.hvg_seurat_v3(fx.dataset(spark, path), 100))
+
+
+@query("hvg_seurat_v3_batch", scores_sql("SELECT gene, (SELECT max(m) FROM md) - m AS score FROM md", v3_ctes("slice") + RANKED))
+def _(spark, path):
+    return shown(V.hvg_seurat_v3(fx.dataset(spark, path), 100, True))
+
+
+@query("hvg_with_fallback", scores_sql("SELECT gene, (SELECT max(m) FROM md) - m AS score FROM md", v3_ctes("slice") + RANKED))
+def _(spark, path):
+    return shown(V.with_fallback(fx.dataset(spark, path), 100)[0])
+
+
+@query("local_fit", "WITH " + local_fit_ctes("x", 0.5, "SELECT slice, gene, round(mean, 12) AS lx, var AS ly FROM slice_moments WHERE var > 0")
+       + " SELECT slice, gene, round(fitted, 5) + 0 AS fitted FROM lf")
+def _(spark, path):
+    m = R.slice_moments(fx.dataset(spark, path)).filter("var > 0").select("slice", "gene", F.round("mean", 12).alias("lx"), F.col("var").alias("ly"))
+    return V.local_fit(m, "lx", "ly", 0.5).select("slice", "gene", (F.round("fitted", 5) + F.lit(0.0)).alias("fitted"))
+
+
+def pearson_ctes(group: str) -> str:
+    key = "slice" if group == "slice" else "'all'"
+    sizes = "slice_sizes" if group == "slice" else "(SELECT 'all' AS slice, count(*) AS n_spots FROM spots)"
+    return f"""
+    WITH ct AS (SELECT {key} AS slice, spot_id, gene, count AS c FROM counts),
+    lib AS (SELECT slice, spot_id, sum(c) AS l FROM ct GROUP BY 1, 2), tot AS (SELECT slice, sum(l) AS t FROM lib GROUP BY 1),
+    gp AS (SELECT slice, gene, sum(c) / t AS p, n_spots FROM ct JOIN tot USING (slice) JOIN {sizes} USING (slice) GROUP BY slice, gene, t, n_spots),
+    re AS (SELECT gp.slice, gp.gene, n_spots, greatest(least((coalesce(c, 0) - p * l) / sqrt(p * l + p * l * p * l / 100), sqrt(n_spots)), -sqrt(n_spots)) AS r
+           FROM gp JOIN lib ON lib.slice = gp.slice LEFT JOIN ct ON ct.slice = gp.slice AND ct.gene = gp.gene AND ct.spot_id = lib.spot_id),
+    nvar AS (SELECT slice, gene, round(sum(r * r) / n_spots - pow(sum(r) / n_spots, 2), 9) AS norm_var FROM re GROUP BY slice, gene, n_spots)"""
+
+
+@query("hvg_pearson", scores_sql("SELECT gene, norm_var AS score FROM nvar", pearson_ctes("all")))
+def _(spark, path):
+    return shown(V.hvg_pearson(fx.dataset(spark, path)))
+
+
+@query("hvg_pearson_batch", scores_sql("SELECT gene, (SELECT max(m) FROM md) - m AS score FROM md", pearson_ctes("slice") + RANKED))
+def _(spark, path):
+    return shown(V.hvg_pearson(fx.dataset(spark, path), batch=True, n=100))
+
+
+@query("expand_scores", scores_sql("SELECT gene, sum(count) AS score FROM counts WHERE gene LIKE 'LARGE-%' GROUP BY 1"))
+def _(spark, path):
+    part = fx.counts(spark, path).filter(F.col("gene").startswith("LARGE-")).groupBy("gene").agg(F.sum("count").alias("score"))
+    return shown(R.expand_scores(part, fx.genes(spark, path)))
+
+
+@query("hvg_seurat_mvp", seurat_sql("all").replace("WITH nv AS", "WITH nv AS", 1).replace(
+    "SELECT g.gene, g.gene_index, round(coalesce(s.score, 0), 6) + 0 AS score",
+    "SELECT g.gene, g.gene_index, round(s.score, 6) + 0 AS score") + " JOIN di ON di.gene = g.gene WHERE ln(1 + di.mean) BETWEEN 0.1 AND 8 AND s.score > 1")
+def _(spark, path):
+    return shown(V.hvg_seurat_mvp(fx.dataset(spark, path)))
+
+
+@query("hvg_seurat_disp", seurat_sql("all"))
+def _(spark, path):
+    return shown(V.hvg_seurat_disp(fx.dataset(spark, path)))
+
+
+@query("brennecke", scores_sql("SELECT gene, cv2 / greatest(a0 + a1 / mean, 1e-8) AS score FROM cv, co", """
+    WITH seen AS (SELECT gene, count(*) FILTER (count > 0) > 1 AS ok FROM counts GROUP BY 1),
+    kept AS (SELECT * FROM counts WHERE gene IN (SELECT gene FROM seen WHERE ok OR (SELECT count(*) FILTER (ok) FROM seen) < 100)),
+    nv AS (SELECT gene, count / sum(count) OVER (PARTITION BY spot_id) * (SELECT sum(count) FROM kept) / n AS v, n FROM kept, (SELECT count(*) AS n FROM spots)),
+    mo AS (SELECT gene, sum(v) / n AS mean, greatest(sum(v * v) / n - pow(sum(v) / n, 2), 0) * n / (n - 1) AS var FROM nv GROUP BY gene, n),
+    cv AS (SELECT gene, mean, var / (mean * mean) AS cv2 FROM mo WHERE mean > 0 AND var > 0),
+    co AS (SELECT regr_slope(cv2 * mean, mean) AS a0, regr_intercept(cv2 * mean, mean) AS a1 FROM cv)"""))
+def _(spark, path):
+    return shown(V.brennecke(fx.dataset(spark, path)))
+
+
+@query("deviance", scores_sql("""
+    SELECT gene, 2 * (sum(c * ln(c / (l * p)) + CASE WHEN l > c THEN (l - c) * ln((l - c) / (l * (1 - p))) ELSE 0 END)
+           - ((SELECT sum(count) FROM counts) - sum(l)) * ln(1 - p)) AS score FROM x WHERE p < 1 GROUP BY gene, p""", """
+    WITH lib AS (SELECT spot_id, sum(count) AS l FROM counts GROUP BY 1),
+    pg AS (SELECT gene, sum(count) / (SELECT sum(count) FROM counts) AS p FROM counts GROUP BY 1),
+    x AS (SELECT gene, count AS c, l, p FROM counts JOIN lib USING (spot_id) JOIN pg USING (gene))"""))
+def _(spark, path):
+    return shown(V.deviance(fx.dataset(spark, path)))
+
+
+@query("bio_variance", """
+    WITH cov AS (SELECT min(c) AS c FROM (SELECT sum(count) / any_value(n_spots) AS c FROM counts JOIN slice_sizes USING (slice) GROUP BY slice)),
+    nv AS (SELECT slice, gene, log2(count / sum(count) OVER (PARTITION BY spot_id) * (SELECT c FROM cov) + 1) AS v FROM counts),
+    mo AS (SELECT slice, gene, sum(v) / n_spots AS mean, greatest(sum(v * v) / n_spots - pow(sum(v) / n_spots, 2), 0) * n_spots / (n_spots - 1) AS var
+           FROM nv JOIN slice_sizes USING (slice) GROUP BY slice, gene, n_spots),"""
+       + local_fit_ctes("mean", 0.3, "SELECT slice, gene, round(mean, 12) AS lx, var AS ly FROM mo WHERE var > 0") + """
+    SELECT g.gene, g.gene_index, round(coalesce(s.score, 0), 5) + 0 AS score FROM genes g
+    LEFT JOIN (SELECT gene, sum(coalesce(ly - fitted, 0)) / (SELECT count(DISTINCT slice) FROM spots) AS score FROM lf GROUP BY 1) s ON s.gene = g.gene""")
+def _(spark, path):
+    return V.bio_variance(fx.dataset(spark, path)).select("gene", "gene_index", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+
+
+@query("dropout_excess", """
+    WITH lib AS (SELECT spot_id, sum(count) AS l FROM counts GROUP BY 1), k AS (SELECT sum(l) AS t, sum(l * l) AS l2, (SELECT count(*) FROM spots) AS n, count(*) AS nl FROM lib),
+    g AS (SELECT gene, sum(count) AS s, sum(count * count) AS q, sum(count * l) AS x, count(*) AS nnz FROM counts JOIN lib USING (spot_id) GROUP BY 1),
+    v AS (SELECT *, s / t AS p, s * s * l2 / (t * t) / nullif(q - 2 * (s / t) * x + (s / t) * (s / t) * l2 - s, 0) AS raw FROM g, k),
+    z AS (SELECT *, greatest(CASE WHEN raw > 0 THEN raw ELSE 10 * max(raw) OVER () END, 1e-10) AS size FROM v),
+    co AS (SELECT regr_slope(ln(size), ln(s / n)) AS b, regr_intercept(ln(size), ln(s / n)) AS a FROM z WHERE raw > 0),
+    r AS (SELECT z.*, exp(a + b * ln(s / n)) AS r FROM z, co),
+    e AS (SELECT gene, sum(exp(-r * ln(1 + p * l / r))) AS e0, sum(exp(-r * ln(1 + p * l / r)) * (1 - exp(-r * ln(1 + p * l / r)))) AS v0 FROM r, lib GROUP BY 1),
+    zz AS (SELECT gene, coalesce(((n - nnz) - (e0 + n - nl)) / nullif(sqrt(v0), 0), 0) AS z FROM r JOIN e USING (gene)),
+    pv AS (SELECT gene, """ + norm_sf_sql("z") + """ AS p FROM zz),
+    bh AS (SELECT gene, p, p * count(*) OVER () / (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1) AS h FROM pv),
+    qv AS (SELECT gene, least(min(h) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS q FROM bh)
+    SELECT g.gene, g.gene_index, round(coalesce(-log10(greatest(q, 1e-300)), 0), 5) + 0 AS score FROM genes g LEFT JOIN qv ON qv.gene = g.gene""")
+def _(spark, path):
+    return V.dropout_excess(fx.dataset(spark, path)).select("gene", "gene_index", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+
+
+@query("wilcoxon", """
+    WITH lab AS (SELECT label, count(*)::DOUBLE AS n1 FROM spots GROUP BY 1), k AS (SELECT count(*)::DOUBLE AS n, (SELECT count(*) FROM lab) AS nl FROM spots),
+    dense AS (SELECT g.gene, s.label, round(coalesce(e.value, 0), 9) AS v FROM genes g CROSS JOIN spots s LEFT JOIN expr e ON e.gene = g.gene AND e.spot_id = s.spot_id),
+    rk AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0::DOUBLE AS r FROM dense),
+    tie AS (SELECT gene, sum(c * c * c - c) AS t FROM (SELECT gene, v, count(*)::DOUBLE AS c FROM dense GROUP BY 1, 2) GROUP BY 1),
+    al AS (SELECT gene, sum(v) AS s FROM dense GROUP BY 1),
+    g AS (SELECT gene, label, sum(r) AS rs, sum(v) AS s1 FROM rk GROUP BY 1, 2),
+    z AS (SELECT g.gene, g.label, nl, coalesce((rs - n1 * (n + 1) / 2) / nullif(sqrt(greatest(1 - t / (n*n*n - n), 0) * n1 * (n - n1) * (n + 1) / 12), 0), 0) AS z,
+                 log2((exp(s1 / n1) - 1 + 1e-9) / (exp((s - s1) / (n - n1)) - 1 + 1e-9)) AS lfc
+          FROM g JOIN lab USING (label) JOIN tie USING (gene) JOIN al USING (gene), k),
+    pv AS (SELECT *, 2 * """ + norm_sf_sql("abs(z)") + """ AS p FROM z),
+    bh AS (SELECT *, p * count(*) OVER (PARTITION BY label) / (rank() OVER (PARTITION BY label ORDER BY p) + count(*) OVER (PARTITION BY label, p) - 1) AS h FROM pv),
+    qv AS (SELECT *, least(min(h) OVER (PARTITION BY label ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS q FROM bh),
+    kp AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(lfc, 9) DESC, gene) AS rn, greatest(ceil(300 / nl), 1) AS share FROM qv WHERE q <= 0.9 AND lfc > 0),
+    sc AS (SELECT gene, share - CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN (share - 1) * (rn - 1) / (count(*) OVER (PARTITION BY label) - 1) ELSE 0 END AS s
+           FROM kp WHERE rn <= share)
+    SELECT g.gene, g.gene_index, round(coalesce(max(s), 0), 6) + 0 AS score FROM genes g LEFT JOIN sc ON sc.gene = g.gene GROUP BY 1, 2""")
+def _(spark, path):
+    return shown(R.wilcoxon(fx.dataset(spark, path), 300, max_q=0.9))
+
+
+MORAN = """
+    WITH deg AS (SELECT slice, spot_id, count(*) AS d FROM (SELECT slice, src AS spot_id FROM pairs8 UNION ALL SELECT slice, dst FROM pairs8) GROUP BY 1, 2),
+    sz AS (SELECT slice, n_spots AS n, w FROM slice_sizes JOIN (SELECT slice, sum(d) AS w FROM deg GROUP BY 1) USING (slice)),
+    sg AS (SELECT slice, gene, sum(value) AS s, sum(value * value) AS q, sum(value * coalesce(d, 0)) AS dx FROM expr LEFT JOIN deg USING (slice, spot_id) GROUP BY 1, 2),
+    cr AS (SELECT p.slice, a.gene, sum(a.value * b.value) AS c FROM pairs8 p JOIN expr a ON a.spot_id = p.src JOIN expr b ON b.spot_id = p.dst AND a.gene = b.gene GROUP BY 1, 2),
+    mi AS (SELECT slice, gene, CASE WHEN n >= 3 AND w > 0 AND q - n * pow(s / n, 2) > 1e-12
+             THEN (n / w) * (2 * coalesce(c, 0) - 2 * (s / n) * dx + pow(s / n, 2) * w) / (q - n * pow(s / n, 2)) END AS score
+           FROM sg LEFT JOIN cr USING (slice, gene) JOIN sz USING (slice))"""
+
+
+@query("morans_i_scores", MORAN + " SELECT slice, gene, round(score, 6) + 0 AS score FROM mi")
+def _(spark, path):
+    return S.morans_i_scores(fx.dataset(spark, path)).select("slice", "gene", r6("score").alias("score"))
+
+
+MORAN_RANK = MORAN + """,
+    pc AS (SELECT slice, gene, (rank() OVER (PARTITION BY slice ORDER BY round(score, 12)) + (count(*) OVER (PARTITION BY slice, round(score, 12)) - 1) / 2.0::DOUBLE)
+             / count(*) OVER (PARTITION BY slice) AS p FROM mi WHERE score IS NOT NULL)"""
+
+
+@query("morans_i", scores_sql("SELECT gene, sum(p) / (SELECT count(*) FROM slice_sizes WHERE n_spots >= 3) AS score FROM pc GROUP BY 1", MORAN_RANK))
+def _(spark, path):
+    return shown(S.morans_i(fx.dataset(spark, path)))
+
+
+@query("slice_percentile_exclude", scores_sql("SELECT gene, avg(p) AS score FROM pc GROUP BY 1", MORAN_RANK))
+def _(spark, path):
+    return shown(S.morans_i(fx.dataset(spark, path), missing="exclude"))
+
+
+@query("pvalue_percentile", """
+    WITH p AS (SELECT slice, gene, CASE WHEN gene_index % 11 = 0 THEN NULL ELSE n_detected / 40.0::DOUBLE - 0.2 END AS p FROM slice_moments JOIN genes USING (gene)),
+    c AS (SELECT slice, gene, CASE WHEN p IS NULL THEN 1 ELSE least(greatest(p, 0), 1) END AS p_clean FROM p),
+    l AS (SELECT *, -log10(greatest(p_clean, 1e-300)) + 0 AS v FROM c)
+    SELECT slice, gene, round(p_clean, 6) + 0 AS p_clean, round(v, 6) + 0 AS neg_log10_p,
+           round((rank() OVER (PARTITION BY slice ORDER BY v) + (count(*) OVER (PARTITION BY slice, v) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY slice), 6) + 0 AS percentile
+    FROM l""")
+def _(spark, path):
+    ds = fx.dataset(spark, path)
+    p = R.slice_moments(ds).join(ds.genes, "gene").select("slice", "gene", F.when(
+        F.col("gene_index") % 11 == 0, float("nan")).otherwise(F.col("n_detected") / 40 - 0.2).alias("p"))
+    out = R.pvalue_percentile(p, "p", ["slice"])
+    return out.select("slice", "gene", *[r6(c).alias(c) for c in ("p_clean", "neg_log10_p", "percentile")])
+
+
+def _kernel_sql() -> str:
+    axes = ", ".join(f"quantile_cont(abs(x), {i / 5}) AS lx{i}, quantile_cont(abs(y), {i / 5}) AS ly{i}" for i in range(1, 6))
+    cols, names = ["x AS k0x", "y AS k0y"], [("k0x", "k0y")]
+    for i in range(1, 6):
+        cols += [f"exp(-x * x / (2 * lx{i} * lx{i})) AS g{i}x", f"exp(-y * y / (2 * ly{i} * ly{i})) AS g{i}y",
+                 f"cos(2 * pi() * x / lx{i}) AS c{i}x", f"cos(2 * pi() * y / ly{i}) AS c{i}y"]
+        names += [(f"g{i}x", f"g{i}y"), (f"c{i}x", f"c{i}y")]
+    flat = [c for p in names for c in p]
+    sums = ", ".join(f"sum({c}) AS s_{c}, sum({c} * {c}) AS q_{c}" for c in flat) + ", " + ", ".join(f"sum({a} * {b}) AS m_{a}" for a, b in names)
+    dots = ", ".join(f"sum(count * {c}) AS d_{c}" for c in flat)
+    rows = " UNION ALL ".join(f"""SELECT slice, gene, '{a}' AS kernel, n, zz, q_{a} - s_{a} * s_{a} / n AS aa, q_{b} - s_{b} * s_{b} / n AS bb, m_{a} - s_{a} * s_{b} / n AS ab,
+        d_{a} - sy * s_{a} / n AS da, d_{b} - sy * s_{b} / n AS db FROM dd""" for a, b in names)
+    return f"""
+    WITH ce AS (SELECT slice, spot_id, x - avg(x) OVER (PARTITION BY slice) AS x, y - avg(y) OVER (PARTITION BY slice) AS y FROM spots),
+    ql AS (SELECT slice, {axes} FROM ce GROUP BY 1), ke AS (SELECT slice, spot_id, {', '.join(cols)} FROM ce JOIN ql USING (slice)),
+    ks AS (SELECT slice, count(*)::DOUBLE AS n, {sums} FROM ke GROUP BY 1 HAVING count(*) >= 10),
+    d0 AS (SELECT slice, gene, sum(count) AS sy, sum(count * count) AS qy, {dots} FROM counts JOIN ke USING (slice, spot_id) GROUP BY 1, 2),
+    dd AS (SELECT *, qy - sy * sy / n AS zz FROM d0 JOIN ks USING (slice)), un AS ({rows}),
+    pk AS (SELECT slice, gene, greatest(least(exp(-coalesce(CASE WHEN aa * bb - ab * ab > 1e-9 AND zz > 1e-12
+             THEN n * (bb * da * da - 2 * ab * da * db + aa * db * db) / ((aa * bb - ab * ab) * zz) END, 0) / 2), 1 - 1e-9), 1e-300) AS p FROM un),
+    ca AS (SELECT slice, gene, avg(CASE WHEN p < 1e-8 THEN 1 / (p * pi()) ELSE tan((0.5 - p) * pi()) END) AS t FROM pk GROUP BY 1, 2),
+    pv AS (SELECT slice, gene, CASE WHEN t > 1e8 THEN 1 / (t * pi()) ELSE 0.5 - atan(t) / pi() END AS p FROM ca)"""
+
+
+@query("kernel_projection_test", _kernel_sql() + " SELECT slice, gene, round(p, 6) + 0 AS p_value FROM pv")
+def _(spark, path):
+    return S.kernel_projection_test(fx.dataset(spark, path)).select("slice", "gene", r6("p_value").alias("p_value"))
+
+
+@query("kernel_ranking", scores_sql("SELECT gene, sum(pc) / (SELECT count(*) FROM slice_sizes WHERE n_spots >= 10) AS score FROM pr GROUP BY 1", _kernel_sql() + """,
+    lp AS (SELECT slice, gene, round(-log10(greatest(p, 2.2250738585072014e-308)), 12) AS v FROM pv),
+    pr AS (SELECT gene, (rank() OVER (PARTITION BY slice ORDER BY v) + (count(*) OVER (PARTITION BY slice, v) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY slice) AS pc FROM lp)"""))
+def _(spark, path):
+    return shown(S.kernel_ranking(fx.dataset(spark, path)))
+
+
+@query("local_autocorrelation", """
+    WITH lib AS (SELECT spot_id, sum(count) AS l FROM counts GROUP BY 1),
+    pr AS (SELECT src, dst, sqrt(a.l) AS ra, sqrt(b.l) AS rb FROM pairs8 JOIN lib a ON a.spot_id = src JOIN lib b ON b.spot_id = dst),
+    wt AS (SELECT spot_id, sum(v) AS d FROM (SELECT src AS spot_id, rb AS v FROM pr UNION ALL SELECT dst, ra FROM pr) GROUP BY 1),
+    sc AS (SELECT spot_id, gene, count, count / sqrt(l) AS s FROM counts JOIN lib USING (spot_id)),
+    sg AS (SELECT gene, sum(count) AS s, sum(s * s) AS q, sum(s * coalesce(d, 0)) AS dx FROM sc LEFT JOIN wt USING (spot_id) GROUP BY 1),
+    cr AS (SELECT a.gene, sum(a.s * b.s) AS c FROM pr JOIN sc a ON a.spot_id = src JOIN sc b ON b.spot_id = dst AND b.gene = a.gene GROUP BY 1),
+    k AS (SELECT (SELECT sum(l) FROM lib) AS t, (SELECT count(*) FROM spots) AS n, count(*) AS e, sum(ra * rb) AS cc FROM pr),
+    z AS (SELECT gene, coalesce((coalesce(c, 0) / (s / t) - dx + (s / t) * cc) / nullif(CASE WHEN (q / (s / t) - s) / n > 1e-12 THEN (q / (s / t) - s) / n END * sqrt(e), 0), 0) AS z
+          FROM sg LEFT JOIN cr USING (gene), k),
+    pv AS (SELECT gene, z, """ + norm_sf_sql("z") + """ AS p FROM z),
+    bh AS (SELECT *, p * count(*) OVER () / (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1) AS h FROM pv),
+    qv AS (SELECT *, least(min(h) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS q FROM bh)
+    SELECT g.gene, g.gene_index, round(coalesce(CASE WHEN q < 0.5 THEN z ELSE 0 END, 0), 6) + 0 AS score FROM genes g LEFT JOIN qv ON qv.gene = g.gene""")
+def _(spark, path):
+    ds = fx.dataset(spark, path)
+    return shown(S.local_autocorrelation(ds, knn_join(ds.spots, 8), 0.5))
+
+
+def _u(seed: str, key: str) -> str:
+    return f"('0x' || substr(md5('{seed}|' || {key}), 1, 13))::BIGINT"
+
+
+@query("knn_localization", f"""
+    WITH pm AS (SELECT a.spot_id AS f, b.spot_id AS t FROM (SELECT spot_id, row_number() OVER (ORDER BY {_u('id', 'spot_id')}) AS r FROM spots) a
+                JOIN (SELECT spot_id, row_number() OVER (ORDER BY {_u('0', 'spot_id')}) AS r FROM spots) b USING (r)),
+    e AS (SELECT 1 AS sign, src, dst FROM knn8 UNION ALL SELECT -1, src, t FROM knn8 JOIN pm ON f = dst),
+    sm AS (SELECT sign, src, gene, sum(count) AS s FROM e JOIN counts ON spot_id = dst GROUP BY 1, 2, 3),
+    st AS (SELECT gene, s, sum(sign) AS c FROM sm GROUP BY 1, 2 UNION ALL SELECT gene, 0, -sum(sign) FROM sm GROUP BY 1),
+    cu AS (SELECT gene, abs(sum(c) OVER (PARTITION BY gene ORDER BY s ROWS UNBOUNDED PRECEDING)) * (lead(s) OVER (PARTITION BY gene ORDER BY s) - s) AS a FROM st)
+    SELECT g.gene, g.gene_index, round(coalesce(sum(a), 0) / (SELECT count(DISTINCT src) FROM knn8), 6) + 0 AS score
+    FROM genes g LEFT JOIN cu ON cu.gene = g.gene GROUP BY 1, 2""")
+def _(spark, path):
+    ds = fx.dataset(spark, path)
+    return shown(S.knn_localization(ds, knn_join(ds.spots, 8)))
+
+
+@query("anticorrelation")
+def _(spark, path):
+    return shown(S.anticorrelation(fx.dataset(spark, path), fpr=0.01))
+
+
+@query("grid_kl", """
+    WITH ref AS (SELECT spot_id AS rid, x AS rx, y AS ry FROM spots ORDER BY md5('0|' || spot_id), spot_id LIMIT 25),
+    d AS (SELECT spot_id, rid, (x - rx) * (x - rx) + (y - ry) * (y - ry) AS d FROM spots, ref),
+    bw AS (SELECT quantile_cont(m, 0.5) AS b FROM (SELECT sqrt(min(d) FILTER (d > 0)) AS m FROM d GROUP BY spot_id)),
+    w AS (SELECT spot_id, rid, exp(-d / (2 * b * b)) AS w FROM d, bw),
+    q AS (SELECT rid, sum(w) / (SELECT sum(w) FROM w) AS q FROM w GROUP BY 1),
+    p0 AS (SELECT gene, rid, sum(w) AS p FROM expr JOIN w USING (spot_id) WHERE value > 0 GROUP BY 1, 2),
+    p AS (SELECT gene, rid, p / sum(p) OVER (PARTITION BY gene) AS p FROM p0)
+    SELECT g.gene, g.gene_index, round(coalesce(sum(CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) ELSE 0 END), 0), 6) + 0 AS score
+    FROM genes g LEFT JOIN p ON p.gene = g.gene LEFT JOIN q ON q.rid = p.rid GROUP BY 1, 2""")
+def _(spark, path):
+    ds = fx.dataset(spark, path)
+    return shown(S.grid_kl(ds, location(ds.spots)))
+
+
+TWO = """
+    WITH a AS (SELECT dataset, gene, rank FROM rankings WHERE method = 'Brand#1'), b AS (SELECT dataset, gene, rank FROM rankings WHERE method = 'Brand#2')"""
+
+
+def _two(spark, path):
+    r = fx.rankings(spark, path)
+    return [r.filter(F.col("method") == m).select("dataset", "gene", "rank") for m in ("Brand#1", "Brand#2")]
+
+
+@query("balanced_union", TWO + """,
+    s AS (SELECT dataset, gene, CASE WHEN rank <= 20 THEN 0 ELSE 2 END AS ph, CASE WHEN rank <= 20 THEN rank ELSE rank - 1 END AS de, 0 AS so FROM a
+          UNION ALL SELECT dataset, gene, CASE WHEN rank <= 21 THEN 1 ELSE 2 END, CASE WHEN rank <= 21 THEN rank ELSE rank - 1 END, 1 FROM b),
+    f AS (SELECT dataset, gene, min((ph, de, so)) AS p FROM s GROUP BY 1, 2)
+    SELECT dataset, gene, rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY p) AS rank FROM f) WHERE rank <= 41""")
+def _(spark, path):
+    return R.balanced_union(*_two(spark, path), 41, ["dataset"]).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("rank_intersection", TWO + """
+    SELECT dataset, gene, row_number() OVER (PARTITION BY dataset ORDER BY a.rank + b.rank, gene) AS rank FROM a JOIN b USING (dataset, gene)
+    WHERE a.rank <= 30 AND b.rank <= 30""")
+def _(spark, path):
+    return R.rank_intersection(*_two(spark, path), 30, ["dataset"]).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+TARGETS = "SELECT gene FROM genes WHERE gene LIKE 'SMALL-1%'"
+
+
+def _retain_sql(strategy: str) -> str:
+    seq = {"HVG": "SELECT dataset, gene, 0 AS ph, rank AS de, 0 AS so FROM aa", "SVG": "SELECT dataset, gene, 0 AS ph, rank AS de, 0 AS so FROM bb",
+           "hybrid": """SELECT dataset, gene, CASE WHEN rank <= (m + 1) // 2 THEN 0 ELSE 2 END AS ph, CASE WHEN rank <= (m + 1) // 2 THEN rank ELSE rank - 1 END AS de, 0 AS so FROM aa, k
+             UNION ALL SELECT dataset, gene, CASE WHEN rank <= m // 2 THEN 1 ELSE 2 END, CASE WHEN rank <= m // 2 THEN rank ELSE rank - 1 END, 1 FROM bb, k"""}[strategy]
+    return TWO + f""", t AS ({TARGETS}), k AS (SELECT 46 - count(*) AS m FROM t),
+    aa AS (SELECT dataset, gene, row_number() OVER (PARTITION BY dataset ORDER BY rank) AS rank FROM a WHERE gene NOT IN (SELECT gene FROM t)),
+    bb AS (SELECT dataset, gene, row_number() OVER (PARTITION BY dataset ORDER BY rank) AS rank FROM b WHERE gene NOT IN (SELECT gene FROM t)),
+    s AS ({seq}), f AS (SELECT dataset, gene, min((ph, de, so)) AS p FROM s GROUP BY 1, 2),
+    c AS (SELECT dataset, gene, row_number() OVER (PARTITION BY dataset ORDER BY p) AS rank FROM f)
+    SELECT '{strategy}' AS strategy, dataset, gene, rank, false AS is_target FROM c, k WHERE rank <= m
+    UNION ALL SELECT '{strategy}', d.dataset, gene, m + row_number() OVER (PARTITION BY d.dataset ORDER BY gene), true FROM t, (SELECT DISTINCT dataset FROM a) d, k"""
+
+
+for _strategy in ("HVG", "SVG", "hybrid"):
+    def _run(spark, path, strategy=_strategy):
+        a, b = _two(spark, path)
+        targets = fx.genes(spark, path).filter(F.col("gene").startswith("SMALL-1")).select("gene")
+        out = R.retain_targets(strategy, 46, a, b, targets, targets.count(), ["dataset"])
+        return out.select(F.lit(strategy).alias("strategy"), "dataset", "gene", F.col("rank").cast("bigint").alias("rank"), "is_target")
+
+    query(f"retain_targets_{_strategy.lower()}", _retain_sql(_strategy))(_run)
+
+
+@query("candidate_genes", """
+    SELECT slice, gene, round(variance, 6) + 0 AS variance, rank FROM (
+      SELECT slice, gene, round(var_pop, 9) AS variance, row_number() OVER (PARTITION BY slice ORDER BY round(var_pop, 9) DESC, gene) AS rank
+      FROM slice_moments WHERE n_spots >= 20 AND round(var_pop, 9) > 0) WHERE rank <= 50""")
+def _(spark, path):
+    return R.candidate_genes(fx.dataset(spark, path), 50, 20).select(
+        "slice", "gene", r6("variance").alias("variance"), F.col("rank").cast("bigint").alias("rank"))
