@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numeric import hash_order, hash_uniform, norm_sf, ratio, sq_dist
 from tessera.functions.ranks import bh_adjust, exact_quantiles, spread_rank
 from tessera.model import SpatialData
+from tessera.operators.embed import dense_rows
 from tessera.operators.graph import knn_join, undirected
 from tessera.operators.prepare import is_mito
 from tessera.operators.ranking import candidate_genes, expand_scores, slice_percentile_mean
@@ -184,10 +185,11 @@ def grid_kl(ds: SpatialData, emb: DataFrame, points: int = 25, column: str = "va
     refs = emb.orderBy(hash_order(seed, "spot_id"), "spot_id").limit(points).agg(
         F.sort_array(F.collect_list(F.struct(F.col("spot_id").alias("id"), F.col("emb").alias("e")))).alias("r"))
     # one array of at most `points` vectors, as a scalar
-    d = emb.select("spot_id", "emb").withColumn("_d", F.transform(refs.scalar(), lambda r: sq_dist(F.col("emb"), r["e"])))
+    d = emb.select("spot_id", "emb").withColumn("_r", refs.scalar()).withColumn(
+        "_d", F.transform("_r", lambda r: sq_dist(F.col("emb"), r["e"]))).drop("_r")
     d = d.withColumn("_near", F.sqrt(F.array_min(F.transform("_d", lambda v: F.when(v > 0, v)))))
-    width = exact_quantiles(d, "_near", [], {"w": 0.5}).scalar()
-    weights = d.select("spot_id", F.transform("_d", lambda v: F.exp(-v / (2 * width * width))).alias("_w"))
+    d = d.withColumn("_width", exact_quantiles(d, "_near", [], {"w": 0.5}).scalar())
+    weights = d.select("spot_id", F.transform("_d", lambda v: F.exp(-v / (2 * F.col("_width") * F.col("_width")))).alias("_w"))
     cols = [F.coalesce(F.get("_w", F.lit(i)), F.lit(0.0)).alias(f"w{i}") for i in range(points)]
     weights = weights.select("spot_id", *cols)
     names = [f"w{i}" for i in range(points)]
@@ -201,15 +203,6 @@ def grid_kl(ds: SpatialData, emb: DataFrame, points: int = 25, column: str = "va
     return expand_scores(hit.select("gene", kl.alias("score")), ds.genes)
 
 
-def dense_rows(expr: DataFrame, genes: DataFrame, column: str = "value") -> DataFrame:
-    """(spot_id, vec): values in the order of `genes`, zeros filled. `genes` is a selection of bounded size."""
-    size = genes.select(F.count("*")).scalar()
-    order = genes.select("gene", (F.row_number().over(Window.orderBy("gene_index")) - 1).alias("_p"))
-    kept = expr.join(order, "gene").groupBy("spot_id").agg(F.map_from_entries(F.collect_list(F.struct("_p", column))).alias("_m"))
-    slots = F.sequence(F.lit(0), (size - 1).cast("int"))
-    return kept.select("spot_id", F.transform(slots, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("vec"))
-
-
 def _gram(rows: DataFrame, parts: int = 32) -> DataFrame:
     """Rows of X'X with column sums: each partition multiplies its own block, then the blocks are added
     per gene. Output is genes x genes however many spots there are."""
@@ -259,8 +252,8 @@ def anticorrelation(ds: SpatialData, max_genes: int = 2000, fpr: float = 0.001,
                         "_u", ["_all"], "_r").select("spot_id", F.floor(F.col("_r") - 1).alias("_k"))
     moved = kept.join(index, "spot_id").select(
         F.pmod(F.col("_k") + F.floor(hash_uniform(seed + 1, "gene") * n), n).alias("spot_id"), "gene", "value")
-    real = correlation_rows(dense_rows(kept, genes), n)
-    null = correlation_rows(dense_rows(moved, genes), n)
+    real = correlation_rows(dense_rows(ds.spots, kept, genes), n)
+    null = correlation_rows(dense_rows(None, moved, genes), n)
     cut = null.agg(F.least(F.percentile_approx("r", fpr, 10000), F.lit(0.0))).scalar()
     order = genes.select("gene", (F.row_number().over(Window.orderBy("gene_index")) - 1).alias("i"))
     seen = real.groupBy("i").agg(F.count_if(F.col("r") < cut).alias("hits"), F.count("*").alias("m"))

@@ -240,7 +240,7 @@ def brennecke(ds: SpatialData, n: int = 2000) -> DataFrame:
     """Ratio of squared CV to a trend a0 + a1/mean, fitted with weights mean^2 so that both
     coefficients come from five sums. Genes in one spot only are left out if enough remain."""
     seen = ds.expr.groupBy("gene").agg(F.count_if(F.col("count") > 0).alias("d"))
-    enough = seen.agg((F.count_if("d > 1") >= min(100, n)).alias("ok")).scalar()
+    enough = seen.agg((F.count_if(F.col("d") > 1) >= min(100, n)).alias("ok")).scalar()
     keep = seen.filter((F.col("d") > 1) | ~enough).select("gene")
     kept = ds.with_expr(ds.expr.join(keep, "gene", "left_semi"))
     mean_lib = kept.expr.agg(F.sum("count")).scalar() / ds.spots.select(F.count("*")).scalar()
