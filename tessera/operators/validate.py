@@ -144,11 +144,13 @@ def score_ranking(ranking: DataFrame, truth: DataFrame, by: Sequence[str], cutof
 def score_all_features(truth: DataFrame) -> DataFrame:
     """Constants of the method that keeps every gene."""
     c = truth.agg(F.count("*").alias("n"), F.avg(F.col("is_svg").cast("double")).alias("prev"))
-    rows = F.array(
-        F.struct(F.lit("overall").alias("summary"), F.lit(None).cast("bigint").alias("cutoff"), F.lit("AUROC").alias("metric"), F.lit(0.5).alias("value")),
-        F.struct(F.lit("overall"), F.lit(None).cast("bigint"), F.lit("AUPRC"), F.col("prev")),
-        F.struct(F.lit("cutoff"), F.col("n"), F.lit("Precision"), F.col("prev")),
-        F.struct(F.lit("cutoff"), F.col("n"), F.lit("Recall"), F.lit(1.0)))
+    none = F.lit(None).cast("bigint")
+
+    def row(summary: str, cutoff: Column, metric: str, value: Column) -> Column:
+        return F.struct(F.lit(summary).alias("summary"), cutoff.alias("cutoff"), F.lit(metric).alias("metric"), value.alias("value"))
+
+    rows = F.array(row("overall", none, "AUROC", F.lit(0.5)), row("overall", none, "AUPRC", F.col("prev")),
+                   row("cutoff", F.col("n"), "Precision", F.col("prev")), row("cutoff", F.col("n"), "Recall", F.lit(1.0)))
     return c.select(F.explode(rows).alias("r")).select("r.summary", F.lit("all_svg").alias("stratum"), "r.cutoff", "r.metric", "r.value")
 
 

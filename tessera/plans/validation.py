@@ -1 +1,224 @@
-"""placeholder"""
+"""Queries over held-out validation and recovery."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions.numeric import r6
+from tessera.operators import ranking as R
+from tessera.operators import spatial as S
+from tessera.operators import validate as V
+from tessera.operators.graph import knn_join
+from tessera.plans import fixtures as fx
+from tessera.plans.ranking import MORAN
+from tessera.plans.registry import query
+
+
+@query("split_slice", """
+    SELECT slice = 'FURNITURE' AS heldout, slice, count(DISTINCT spot_id) AS n_spots, sum(count)::DOUBLE AS total FROM counts GROUP BY ALL""")
+def _(spark, path):
+    train, held = V.split_slice(fx.dataset(spark, path), "FURNITURE", check=False)
+
+    def part(ds, flag):
+        return ds.expr.groupBy("slice").agg(F.count_distinct("spot_id").alias("n_spots"), F.sum("count").alias("total")).withColumn("heldout", F.lit(flag))
+
+    return part(train, False).unionByName(part(held, True))
+
+
+@query("split_individual", """
+    WITH d AS (SELECT DISTINCT slice, left(slice, 1) IN ('B', 'F') AS heldout FROM spots)
+    SELECT heldout, slice, count(DISTINCT spot_id) AS n_spots, sum(count)::DOUBLE AS total FROM counts JOIN d USING (slice) GROUP BY ALL""")
+def _(spark, path):
+    ds = fx.dataset(spark, path)
+    donors = ds.spots.select("slice", F.when(F.substring("slice", 1, 1).isin("B", "F"), "d1").otherwise("d2").alias("donor")).distinct()
+    train, held = V.split_individual(ds, donors, "d1", check=False)
+
+    def part(x, flag):
+        return x.expr.groupBy("slice").agg(F.count_distinct("spot_id").alias("n_spots"), F.sum("count").alias("total")).withColumn("heldout", F.lit(flag))
+
+    return part(train, False).unionByName(part(held, True))
+
+
+FOLDS = MORAN + """,
+    fo AS (SELECT DISTINCT slice AS fold FROM spots),
+    tr AS (SELECT fold, gene, row_number() OVER (PARTITION BY fold ORDER BY s DESC, gene_index DESC) AS rank FROM (
+             SELECT fold, gene, gene_index, round(sum(value) , 9) AS s FROM expr JOIN fo ON fold <> slice JOIN genes USING (gene) GROUP BY 1, 2, 3)),
+    re AS (SELECT slice AS fold, gene, row_number() OVER (PARTITION BY slice ORDER BY round(score, 9) DESC, gene_index DESC) AS rank FROM mi JOIN genes USING (gene) WHERE score IS NOT NULL),
+    v AS (SELECT fold, g.gene, coalesce(max(tr.rank) OVER (PARTITION BY fold) - tr.rank + 1, 0) AS t, coalesce(max(re.rank) OVER (PARTITION BY fold) - re.rank + 1, 0) AS r
+          FROM fo CROSS JOIN genes g LEFT JOIN tr USING (fold, gene) LEFT JOIN re USING (fold, gene)),
+    w AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY t) + (count(*) OVER (PARTITION BY fold, t) - 1) / 2.0::DOUBLE AS rt, rank() OVER (PARTITION BY fold ORDER BY r) + (count(*) OVER (PARTITION BY fold, r) - 1) / 2.0::DOUBLE AS rr,
+             row_number() OVER (PARTITION BY fold ORDER BY t DESC, gene) <= 100 AND t > 0 AS it, row_number() OVER (PARTITION BY fold ORDER BY r DESC, gene) <= 100 AND r > 0 AS ir, count(*) OVER (PARTITION BY fold) AS n FROM v),
+    o AS (SELECT fold, round(count(*) FILTER (it AND ir) / count(*) FILTER (it OR ir), 6) + 0 AS topn_jaccard, round(avg(rr / n) FILTER (it), 6) + 0 AS reference_percentile, round(corr(rt, rr), 6) + 0 AS rank_spearman FROM w GROUP BY 1)"""
+
+
+def folds(spark, path):
+    """(training ranking, held-out reference ranking) with the fold as a column: all folds in one plan."""
+    ds = fx.dataset(spark, path)
+    names = ds.spots.agg(F.collect_set("slice")).scalar()
+    train = ds.expr.withColumn("fold", F.explode(names)).filter("fold <> slice").groupBy("fold", "gene").agg(F.sum("value").alias("score")).join(ds.genes, "gene")
+    ref = S.morans_i_scores(ds).filter("score IS NOT NULL").withColumnRenamed("slice", "fold").join(ds.genes, "gene")
+    return ds, R.top_features(train, None, ["fold"]), R.top_features(ref, None, ["fold"])
+
+
+@query("reproducibility", FOLDS + " SELECT * FROM o")
+def _(spark, path):
+    ds, train, ref = folds(spark, path)
+    out = V.reproducibility(train, ref, ds.genes, 100, ["fold"])
+    return out.withColumns({c: r6(c) for c in ("topn_jaccard", "reference_percentile", "rank_spearman")})
+
+
+@query("heldout_frame", FOLDS + """
+    SELECT fold, metric, value FROM (UNPIVOT o ON topn_jaccard, reference_percentile, rank_spearman INTO NAME metric VALUE value)""")
+def _(spark, path):
+    ds, train, ref = folds(spark, path)
+    out = V.reproducibility(train, ref, ds.genes, 100, ["fold"])
+    return V.heldout_frame(out, ["fold"], ["topn_jaccard", "reference_percentile", "rank_spearman"]).withColumn("value", r6("value"))
+
+
+@query("heldout_clustering")
+def _(spark, path):
+    train, held = V.split_slice(fx.dataset(spark, path), "FURNITURE", check=False)
+    ranking = R.top_features(R.statistic(train, "variance"), 50)
+    return V.heldout_clustering(held, ranking, 50, n_comp=5, n_init=2)
+
+
+TRUTH = """
+    tr AS (SELECT gene, gene_index, md5(gene) < '4' AS is_svg, CASE gene_index % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'gradient' WHEN 2 THEN 'focal' ELSE 'periodic' END AS pattern,
+                  CASE gene_index % 2 WHEN 0 THEN 'weak' ELSE 'strong' END AS effect FROM genes)"""
+
+
+def truth(spark, path):
+    k = F.col("gene_index")
+    return fx.genes(spark, path).select(
+        "gene", "gene_index", (F.md5("gene") < "4").alias("is_svg"),
+        F.when(k % 4 == 0, "domain").when(k % 4 == 1, "gradient").when(k % 4 == 2, "focal").otherwise("periodic").alias("pattern"),
+        F.when(k % 2 == 0, "weak").otherwise("strong").alias("effect"))
+
+
+@query("score_ranking", "WITH " + TRUTH + """,
+    g AS (SELECT DISTINCT dataset, method FROM rankings), rk AS (SELECT *, max(rank) OVER (PARTITION BY dataset, method) - rank + 1 AS sc FROM rankings),
+    d AS (SELECT g.dataset, g.method, t.*, coalesce(sc, 0) AS score FROM g CROSS JOIN tr t LEFT JOIN rk ON rk.dataset = g.dataset AND rk.method = g.method AND rk.gene = t.gene),
+    w AS (SELECT *, rank() OVER (PARTITION BY dataset, method ORDER BY score) + (count(*) OVER (PARTITION BY dataset, method, score) - 1) / 2.0::DOUBLE AS r,
+            row_number() OVER (PARTITION BY dataset, method ORDER BY score DESC, gene_index DESC) AS place, count(*) OVER (PARTITION BY dataset, method) AS n,
+            count(*) FILTER (is_svg) OVER (PARTITION BY dataset, method) AS p FROM d),
+    st AS (SELECT dataset, method, score, count(*) FILTER (is_svg) AS tp, count(*) AS m FROM d GROUP BY 1, 2, 3),
+    cs AS (SELECT *, sum(tp) OVER (PARTITION BY dataset, method ORDER BY score DESC) AS ctp, sum(m) OVER (PARTITION BY dataset, method ORDER BY score DESC) AS cm, sum(tp) OVER (PARTITION BY dataset, method) AS pos FROM st),
+    cu AS (SELECT dataset, method, least(cut, n) AS eff, cut, count(*) FILTER (is_svg AND place <= least(cut, n)) AS tp, any_value(p) AS p FROM w, (SELECT unnest([30, 60, 900]) AS cut) GROUP BY 1, 2, 3, 4),
+    pa AS (SELECT dataset, method, pattern, least(50, n) AS eff, count(*) FILTER (place <= 50) / count(*) AS v FROM w WHERE is_svg GROUP BY 1, 2, 3, 4),
+    ef AS (SELECT dataset, method, effect, least(50, n) AS eff, count(*) FILTER (place <= 50) / count(*) AS v FROM w WHERE is_svg GROUP BY 1, 2, 3, 4),
+    o AS (SELECT dataset, method, 'overall' AS summary, 'all_svg' AS stratum, NULL::BIGINT AS cutoff, 'AUROC' AS metric, (sum(r) FILTER (is_svg) - any_value(p) * (any_value(p) + 1) / 2) / (any_value(p) * (any_value(n) - any_value(p))) AS value FROM w GROUP BY 1, 2
+     UNION ALL SELECT dataset, method, 'overall', 'all_svg', NULL, 'AUPRC', sum(tp / pos * ctp / cm) FROM cs GROUP BY 1, 2
+     UNION ALL SELECT dataset, method, 'cutoff', 'all_svg', eff, 'Precision', tp / greatest(eff, 1) FROM cu UNION ALL SELECT dataset, method, 'cutoff', 'all_svg', eff, 'Recall', tp / greatest(p, 1) FROM cu
+     UNION ALL SELECT dataset, method, 'pattern', pattern, eff, 'Recall', v FROM pa UNION ALL SELECT dataset, method, 'effect', effect, eff, 'Recall', v FROM ef)
+    SELECT dataset, method, summary, stratum, coalesce(cutoff, 0) AS cutoff, metric, round(value, 6) + 0 AS value FROM o""")
+def _(spark, path):
+    out = V.score_ranking(fx.rankings(spark, path), truth(spark, path), ["dataset", "method"], (30, 60, 900), 50)
+    return out.withColumns({"value": r6("value"), "cutoff": F.coalesce("cutoff", F.lit(0))})
+
+
+@query("score_all_features", "WITH " + TRUTH + """, k AS (SELECT count(*) AS n, round(avg(is_svg::INT), 6) + 0 AS p FROM tr)
+    SELECT 'overall' AS summary, 'all_svg' AS stratum, 0::BIGINT AS cutoff, 'AUROC' AS metric, 0.5::DOUBLE AS value UNION ALL SELECT 'overall', 'all_svg', 0, 'AUPRC', p FROM k
+    UNION ALL SELECT 'cutoff', 'all_svg', n, 'Precision', p FROM k UNION ALL SELECT 'cutoff', 'all_svg', n, 'Recall', 1 FROM k""")
+def _(spark, path):
+    return V.score_all_features(truth(spark, path)).withColumns({"value": r6("value"), "cutoff": F.coalesce("cutoff", F.lit(0))})
+
+
+@query("marker_recovery", """
+    WITH s AS (SELECT dataset, method, gene FROM rankings WHERE rank <= 40), mk AS (SELECT split_part(gene, '-', 1) AS marker_set, gene FROM genes),
+    av AS (SELECT marker_set, count(*) AS available_markers FROM mk GROUP BY 1), sz AS (SELECT dataset, method, count(*) AS selected_genes FROM s GROUP BY 1, 2),
+    h AS (SELECT dataset, method, marker_set, count(*) AS overlap FROM s JOIN mk USING (gene) GROUP BY 1, 2, 3)
+    SELECT dataset, method, marker_set, selected_genes, available_markers, coalesce(overlap, 0) AS overlap, round(coalesce(overlap, 0) / available_markers, 6) + 0 AS marker_recall,
+           round(selected_genes * available_markers / (SELECT count(*) FROM genes), 6) + 0 AS uniform_expected,
+           round(coalesce(overlap, 0) / (selected_genes * available_markers / (SELECT count(*) FROM genes)), 6) + 0 AS uniform_enrichment
+    FROM sz CROSS JOIN av LEFT JOIN h USING (dataset, method, marker_set)""")
+def _(spark, path):
+    genes = fx.genes(spark, path)
+    sel = fx.rankings(spark, path).filter("rank <= 40").select("dataset", "method", "gene")
+    out = V.marker_recovery(sel, genes.select(F.split("gene", "-")[0].alias("marker_set"), "gene"), genes, ["dataset", "method"]).drop("background_genes")
+    return out.withColumns({c: r6(c) for c in ("marker_recall", "uniform_expected", "uniform_enrichment")})
+
+
+BINS = """
+    WITH gs AS (SELECT g.gene, coalesce(sum(count), 0) / n AS mean, count(count) / n AS det FROM genes g LEFT JOIN counts c USING (gene), (SELECT count(*) AS n FROM spots) GROUP BY g.gene, n),
+    ed AS (SELECT quantile_cont(mean, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS m, quantile_cont(det, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS d FROM gs),
+    bi AS (SELECT gene, len(list_filter(list_distinct(m), lambda e: round(e, 12) < round(mean, 12))) || '_' || len(list_filter(list_distinct(d), lambda e: round(e, 12) < round(det, 12))) AS bin FROM gs, ed),
+    sz AS (SELECT bin, count(*) AS size, count(*) FILTER (gene LIKE 'PROMO-%') AS m FROM bi GROUP BY 1),
+    se AS (SELECT method, gene FROM rankings WHERE dataset = 'BUILDING' AND rank <= 40), c AS (SELECT method, bin, count(*) AS n FROM se JOIN bi USING (gene) GROUP BY 1, 2)"""
+
+
+def _stats(spark, path):
+    ds = fx.dataset(spark, path)
+    n = ds.spots.select(F.count("*")).scalar()
+    seen = ds.expr.groupBy("gene").agg((F.sum("count") / n).alias("mean"), (F.count("*") / n).alias("detection"))
+    stats = ds.genes.select("gene").join(seen, "gene", "left").na.fill(0.0, ["mean", "detection"])
+    sel = fx.rankings(spark, path).filter("dataset = 'BUILDING' AND rank <= 40").select("method", "gene")
+    return stats, sel, ds.genes.filter(F.col("gene").startswith("PROMO-")).select("gene")
+
+
+@query("matched_expectation", BINS + """,
+    o AS (SELECT method, count(*) FILTER (gene LIKE 'PROMO-%') AS overlap FROM se GROUP BY 1)
+    SELECT method, round(sum(n * m / size), 6) + 0 AS matched_expected, any_value(overlap) AS overlap, round(any_value(overlap) / nullif(sum(n * m / size), 0), 6) + 0 AS matched_enrichment
+    FROM c JOIN sz USING (bin) JOIN o USING (method) GROUP BY 1""")
+def _(spark, path):
+    stats, sel, markers = _stats(spark, path)
+    out = V.matched_expectation(sel, markers, stats, ["method"])
+    return out.withColumns({c: r6(c) for c in ("matched_expected", "matched_enrichment")})
+
+
+@query("matched_null", BINS + """,
+    lf AS (SELECT i, sum(CASE WHEN i > 0 THEN ln(i) ELSE 0 END) OVER (ORDER BY i) AS f FROM range(1000) t(i)),
+    b AS (SELECT method, bin, n, m, size FROM c JOIN sz USING (bin) WHERE m > 0),
+    pm AS (SELECT method, bin, n, m, size, unnest(range(greatest(0, n + m - size), least(n, m) + 1)) AS k FROM b),
+    pr AS (SELECT pm.*, exp(a.f - b1.f - c1.f + d.f - e.f - f1.f - g.f + h.f + j.f) AS p FROM pm JOIN lf a ON a.i = m JOIN lf b1 ON b1.i = k JOIN lf c1 ON c1.i = m - k
+           JOIN lf d ON d.i = size - m JOIN lf e ON e.i = n - k JOIN lf f1 ON f1.i = size - m - n + k JOIN lf g ON g.i = size JOIN lf h ON h.i = n JOIN lf j ON j.i = size - n),
+    cu AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY method, bin ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM pr),
+    dr AS (SELECT method, bin, draw, ('0x' || substr(md5('5|' || method || '|' || bin || '|' || draw), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM b, (SELECT unnest(range(2000)) AS draw)),
+    x AS (SELECT dr.method, draw, sum(k) AS x FROM dr JOIN (SELECT method, bin, k, below, lead(below, 1, 2) OVER (PARTITION BY method, bin ORDER BY k) AS upto FROM cu) q ON q.method = dr.method AND q.bin = dr.bin AND u > below AND u <= upto GROUP BY 1, 2)
+    SELECT method, round(avg(x), 6) + 0 AS null_mean, round(quantile_cont(x, 0.025), 6) + 0 AS null_lower, round(quantile_cont(x, 0.975), 6) + 0 AS null_upper FROM x GROUP BY 1""")
+def _(spark, path):
+    stats, sel, markers = _stats(spark, path)
+    out = V.matched_null(sel, markers, stats, ["method"], 2000, 5)
+    return out.withColumns({c: r6(c) for c in ("null_mean", "null_lower", "null_upper")})
+
+
+@query("reference_concordance")
+def _(spark, path):
+    r = fx.records(spark, path)
+    held = r.filter(F.col("metric_name").isin("bASW", "iLISI", "silhouette") & F.col("metric_value").isNotNull()).groupBy(
+        F.concat_ws("-", "dataset", "random_seed").alias("fold"), F.col("fs_method").alias("method"), F.col("integration_method").alias("reference"),
+        F.col("metric_name").alias("metric")).agg(F.avg("metric_value").alias("value"))
+    ari = r.filter("metric_name = 'ari' AND metric_value IS NOT NULL").groupBy(
+        F.concat_ws("-", "dataset", "random_seed").alias("fold"), F.col("fs_method").alias("method")).agg(F.avg("metric_value").alias("value")).select(
+        "fold", "method", F.lit(None).cast("string").alias("reference"), F.lit("ari").alias("metric"), "value")
+    return V.reference_concordance(held.unionByName(ari), 200)
+
+
+@query("hierarchical_mean", """
+    WITH a AS (SELECT dataset, integration_method, fs_method, random_seed, avg(metric_value) AS v FROM records GROUP BY 1, 2, 3, 4), b AS (SELECT dataset, integration_method, fs_method, avg(v) AS v FROM a GROUP BY 1, 2, 3),
+    c AS (SELECT dataset, integration_method, avg(v) AS v FROM b GROUP BY 1, 2) SELECT dataset, round(avg(v), 6) + 0 AS value FROM c GROUP BY 1""")
+def _(spark, path):
+    return V.hierarchical_mean(fx.records(spark, path), ["dataset", "integration_method", "fs_method", "random_seed"], "metric_value").withColumn("value", r6("value"))
+
+
+@query("paired_difference", """
+    SELECT dataset, fs_method, metric_name, round(avg(metric_value) FILTER (integration_method = 'F'), 6) + 0 AS first_value, round(avg(metric_value) FILTER (integration_method = 'O'), 6) + 0 AS second_value,
+           round(avg(metric_value) FILTER (integration_method = 'O') - avg(metric_value) FILTER (integration_method = 'F'), 6) + 0 AS difference
+    FROM records GROUP BY 1, 2, 3 HAVING difference IS NOT NULL""")
+def _(spark, path):
+    d = V.paired_difference(fx.records(spark, path), ["dataset", "fs_method", "metric_name"], "integration_method", "F", "O", "metric_value")
+    return d.withColumns({c: r6(c) for c in ("first_value", "second_value", "difference")})
+
+
+@query("pattern_profiles", """
+    WITH u AS (SELECT spot_id, slice, x / 40 AS x, y / (SELECT max(y) + 1 FROM spots) AS y, spot_id % 3 AS k FROM spots),
+    r AS (SELECT *, (x + 0.15 * y > 0.58)::INT AS a, 0.75 * x + 0.25 * y AS b, exp(-(pow(x - (0.32 + 0.1 * (k % 3)), 2) + pow(y - (0.68 - 0.08 * (k % 3)), 2)) / 0.035) AS c,
+                 sin(4 * pi() * x + k * pi() / 7) + 0.35 * cos(2 * pi() * y) AS d FROM u)
+    SELECT spot_id, round((a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-12), 6) + 0 AS domain, round((b - avg(b) OVER w) / (stddev_pop(b) OVER w + 1e-12), 6) + 0 AS gradient,
+           round((c - avg(c) OVER w) / (stddev_pop(c) OVER w + 1e-12), 6) + 0 AS focal, round((d - avg(d) OVER w) / (stddev_pop(d) OVER w + 1e-12), 6) + 0 AS periodic
+    FROM r WINDOW w AS (PARTITION BY slice)""")
+def _(spark, path):
+    s = fx.spots(spark, path)
+    top = s.select(F.max("y") + 1).scalar()
+    unit = s.withColumns({"x": F.col("x") / 40, "y": F.col("y") / top})
+    out = V.pattern_profiles(unit, F.col("spot_id") % 3)
+    return out.select("spot_id", *[r6(c).alias(c) for c in ("domain", "gradient", "focal", "periodic")])
