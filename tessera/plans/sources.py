@@ -85,8 +85,7 @@ def _(spark, path):
     # name files: one line per name, in index order
     for name, df, key in (("genes", genes, "gene"), ("spots", spots, "spot_id")):
         df.agg(F.array_sort(F.collect_list(key)).alias("n")).select(F.array_join("n", "\n").alias("value")).write.text(os.path.join(base, name))
-    body = os.path.join(base, "m", "{header,body}")
-    return T.read_matrix_market(spark, body, os.path.join(base, "genes"), os.path.join(base, "spots"))
+    return T.read_matrix_market(spark, os.path.join(base, "m", "body"), os.path.join(base, "genes"), os.path.join(base, "spots"), size_line=False)
 
 
 @query("read_gene_list", "SELECT CASE WHEN p_brand = 'Brand#3' THEN 'Human' ELSE 'Mouse' END AS \"Species\", p_type || '-' || p_size AS \"Gene\", 'ENS' || p_partkey AS \"ENSEMBL\" FROM part")

@@ -59,7 +59,7 @@ def _(spark, path):
 def _events(spark, path):
     """The events table as a file stream. A far-future row of its own event type closes all windows."""
     base = os.path.join(scratch(spark), "in")
-    e = fx.table(spark, path, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e = fx.table(spark, path, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     e.coalesce(1).write.parquet(os.path.join(base, "a"))
     last = e.agg(F.max("event_id").alias("event_id")).select("event_id", F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit(0).cast("bigint").alias("user_id"),
                                                              F.lit("close").alias("event_type"), F.lit(0.0).alias("value"))
@@ -70,9 +70,9 @@ def _events(spark, path):
 def _windowed(spark, path, window, keys):
     out = os.path.join(scratch(spark), "out")
     w = N.windowed(_events(spark, path), window, keys, "40 days").select(
-        F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", r6("mean").alias("mean"), r6("lower").alias("lower"), r6("upper").alias("upper"))
+        F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), *keys, "n", r6("mean").alias("mean"), r6("lower").alias("lower"), r6("upper").alias("upper"))
     N.write_available(w, out, os.path.join(scratch(spark), "cp"))
-    return spark.read.parquet(out).filter("start < '2029-01-01'")
+    return spark.read.parquet(out).filter(F.col("start") < F.lit("2029-01-01").cast("timestamp_ntz"))
 
 
 STATS = "count(*) AS n, round(avg(value), 6) + 0 AS mean, round(min(value), 6) + 0 AS lower, round(max(value), 6) + 0 AS upper"

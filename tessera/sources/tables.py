@@ -87,28 +87,27 @@ def attach_obs(expr_spots: DataFrame, obs: DataFrame, key: str = "spot_id") -> D
 
 
 def parse_matrix_market(lines: DataFrame) -> DataFrame:
-    """Coordinate-format lines (column `value`) to (row, col, count), 1-based. The size line is the
-    one whose product of first two numbers bounds all others: it follows the comments, so it is
-    recognised by its line offset."""
+    """Coordinate-format lines (column `value`) to (row, col, count), 1-based; comments dropped."""
     body = lines.filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
     f = F.split(F.trim("value"), r"\s+")
     return body.select("line", f[0].cast("bigint").alias("row"), f[1].cast("bigint").alias("col"),
                        f[2].cast("double").alias("count"))
 
 
-def read_matrix_market(spark: SparkSession, matrix: str, genes: str, spots: str) -> DataFrame:
-    """Matrix-Market triples with one-name-per-line gene and spot files."""
+def read_matrix_market(spark: SparkSession, matrix: str, genes: str, spots: str, size_line: bool = True) -> DataFrame:
+    """Matrix-Market triples with one-name-per-line gene and spot files. A single file holds a size line as
+    its first line after the comments; the `body` folder of `write_matrix_market` has none."""
     body = parse_matrix_market(spark.read.text(matrix).withColumn("line", F.monotonically_increasing_id()))
-    size_line = body.select(F.min("line")).scalar()
+    if size_line:
+        body = body.filter(F.col("line") != body.select(F.min("line")).scalar())
 
     def indexed(path: str, name: str, index: str) -> DataFrame:
         # whole-file row: a name list is a dictionary, and its line order is its index
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
         return text.select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("_p", name)).select(
             (F.col("_p") + 1).cast("bigint").alias(index), F.trim(name).alias(name))
 
-    return (body.filter(F.col("line") != size_line)
-            .join(indexed(genes, "gene", "row"), "row").join(indexed(spots, "spot_id", "col"), "col")
+    return (body.join(indexed(genes, "gene", "row"), "row").join(indexed(spots, "spot_id", "col"), "col")
             .select("gene", "spot_id", "count"))
 
 
