@@ -18,18 +18,22 @@ def avg_rank(column: str, by: Sequence[str] = (), ascending: bool = True) -> Col
     return F.when(value.isNotNull(), F.rank().over(ordered) + (F.count("*").over(ties) - 1) / 2)
 
 
-def _ordered_values(df: DataFrame, column: str, by: list[str], parts: int) -> DataFrame:
+def _ordered_values(df: DataFrame, column: str, by: list[str], rows_per_range: int = 100_000) -> DataFrame:
     """Distinct values of each group with their count and first 0-based row position.
 
-    Equal values are counted first, then each group is cut into value ranges from an
-    approximate quantile sketch. The ranges are ordered apart and shifted by the number
-    of rows in lower ranges, so no task sorts a whole group and positions stay exact.
-    """
+    Equal values are counted first. A group with many distinct values is cut into ranges (at most 256) from
+    an approximate quantile sketch; the ranges are ordered apart and shifted by the number of rows in lower
+    ranges, so no task sorts a whole large group and positions stay exact."""
+    parts = 256
     probs = [i / parts for i in range(1, parts)]
     ties = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_ties"))
-    cuts = ties.groupBy(*by).agg(F.percentile_approx(column, probs, 1000).alias("_cuts"))
+    sketch = ties.groupBy(*by).agg(F.percentile_approx(column, probs, 2000).alias("_q"), F.count("*").alias("_d"))
+    k = F.least(F.ceil(F.col("_d") / rows_per_range).cast("int"), F.lit(parts))
+    picked = F.transform(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), lambda i: F.element_at("_q", (i * parts / k).cast("int")))
+    cuts = sketch.select(*by, F.when(k > 1, picked).alias("_cuts"))
+    inside_cuts = F.size(F.filter("_cuts", lambda c: c < F.col(column)))
     ranged = ties.join(cuts, by).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")
+        "_range", F.when(F.col("_cuts").isNull(), 0).otherwise(inside_cuts)).drop("_cuts")
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = ranged.groupBy(*by, "_range").agg(F.sum("_ties").alias("_n")).select(
         *by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
@@ -40,22 +44,22 @@ def _ordered_values(df: DataFrame, column: str, by: list[str], parts: int) -> Da
         (F.col("_shift") + F.sum("_ties").over(inside) - F.col("_ties")).alias("_first"))
 
 
-def spread_rank(df: DataFrame, column: str, by: Sequence[str], name: str, parts: int = 64) -> DataFrame:
+def spread_rank(df: DataFrame, column: str, by: Sequence[str], name: str, rows_per_range: int = 100_000) -> DataFrame:
     """Average-tie rank of groups of data rows, without sorting a group in one task."""
     by = list(by)
-    ranks = _ordered_values(df, column, by, parts).select(
+    ranks = _ordered_values(df, column, by, rows_per_range).select(
         *by, column, (F.col("_first") + (F.col("_ties") + 1) / 2).alias(name))
     return df.join(ranks, [*by, column], "left")
 
 
 def exact_quantiles(df: DataFrame, column: str, by: Sequence[str], probs: dict[str, float],
-                    parts: int = 64) -> DataFrame:
+                    rows_per_range: int = 100_000) -> DataFrame:
     """Linear-interpolation quantiles of groups of data rows (one output column per name).
     `percentile` would hold all distinct values of a group in one task; this does not."""
     by, keys = list(by), list(by) or ["_all"]
     if not by:
         df = df.withColumn("_all", F.lit(1))
-    values = _ordered_values(df.select(*keys, column), column, keys, parts)
+    values = _ordered_values(df.select(*keys, column), column, keys, rows_per_range)
     last = F.col("_first") + F.col("_ties") - 1
 
     def at(position: "F.Column") -> "F.Column":

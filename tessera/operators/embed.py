@@ -232,7 +232,7 @@ def harmony(emb: DataFrame, clusters: int | None = None, theta: float = 2.0, sig
 def slice_embedding(emb: DataFrame) -> DataFrame:
     """Mean vector per slice."""
     long = emb.select("slice", F.posexplode("emb").alias("pos", "v")).groupBy("slice", "pos").agg(F.avg("v").alias("m"))
-    return long.groupBy("slice").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda e: e["m"]).alias("emb"))
+    return long.groupBy("slice").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda e: e["m"]).alias("emb"))
 
 
 def align_embedding(emb: DataFrame, spots: DataFrame, check: bool = True) -> DataFrame:

@@ -1,9 +1,9 @@
 """Nearest-neighbour joins, radius degrees, graph aggregation and components.
 
 Coordinates: points of each slice are cut into cells of nearly equal size by quantile strips on x and,
-inside each strip, on y. A query reads its own cell for a distance bound and then only the cells whose
-box meets that bound, so the join is exact and its rows stay a small multiple of the points.
-Vectors: see `vector_knn`.
+inside each strip, on y. Which cells can hold neighbours of which is decided between cells, from their
+boxes; points then meet only the points of those cells. The join is exact and its rows stay a small
+multiple of the points. Vectors: see `vector_knn`.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import hash_order
 from tessera.functions.ranks import exact_quantiles
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, spread
 
-CELL_SIZE = 48
 MAX_CUTS = 256
 
 
@@ -35,19 +34,20 @@ def _with_cuts(df: DataFrame, column: str, by: list[str], parts: Callable[[Colum
 
 
 class CellIndex:
-    """Cells of nearly equal size inside each group, with the boxes of cells and strips.
+    """Cells of about `size` locations inside each group, with their boxes and points.
 
     `keep` points of each location (smallest ids) go into the cells: among points at one place no others
     can be neighbours of any query. Without it, locations are stored once with their multiplicity."""
 
-    def __init__(self, points: DataFrame, by: Sequence[str], keep: int | None):
+    def __init__(self, points: DataFrame, by: Sequence[str], size: int, keep: int | None):
         by = list(by)
         self.by = by
         self.cell_key = [*by, "_strip", "_cell"]
         placed = _with_cuts(points.select(*by, "spot_id", "x", "y"), "x", by,
-                            lambda n: F.ceil(F.sqrt(n / CELL_SIZE)).cast("int"), "_strip")
-        placed = _with_cuts(placed, "y", [*by, "_strip"], lambda n: F.ceil(n / CELL_SIZE).cast("int"), "_cell")
-        self.placed = cut_lineage(placed)
+                            lambda n: F.ceil(F.sqrt(n / size)).cast("int"), "_strip")
+        placed = _with_cuts(placed, "y", [*by, "_strip"], lambda n: F.ceil(n / size).cast("int"), "_cell")
+        # the search below costs compute and not bytes, so its partition number is set and not coalesced
+        self.placed = cut_lineage(spread(placed, *self.cell_key))
         if keep is not None:
             # row_number <= keep is limited per input partition before its shuffle, so a hot location stays small
             w = Window.partitionBy(*self.cell_key, "x", "y").orderBy("spot_id")
@@ -56,88 +56,90 @@ class CellIndex:
         else:
             located = self.placed.groupBy(*self.cell_key, "x", "y").agg(F.count("*").alias("mult")).withColumn(
                 "spot_id", F.lit(None).cast("string"))
-        box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
-        # one row per cell of about CELL_SIZE locations
+        # one row per cell of about `size` locations
         self.cells = cut_lineage(located.groupBy(*self.cell_key).agg(
-            *box, F.sum("mult").alias("n"), F.collect_list(F.struct("spot_id", "x", "y", "mult")).alias("_pts")))
-        self.points = self.cells.select(*self.cell_key, "_pts")
+            F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+            F.sum("mult").alias("n"), F.collect_list(F.struct("spot_id", "x", "y", "mult")).alias("_pts")))
         # at most MAX_CUTS boxes per strip and MAX_CUTS strips per group
-        strips = self.cells.groupBy(*by, "_strip").agg(
+        boxes = self.cells.groupBy(*by, "_strip").agg(
             F.collect_list(F.struct("_cell", "x0", "x1", "y0", "y1", "n")).alias("_boxes"),
             F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
-        self.cell_boxes = strips.select(*by, "_strip", "_boxes")
-        self.strip_boxes = strips.groupBy(*by).agg(
-            F.collect_list(F.struct("_strip", "x0", "x1", "y0", "y1", "n")).alias("_strips"))
+        self.boxes = boxes.select(*by, "_strip", "_boxes")
+        self.strips = boxes.groupBy(*by).agg(F.collect_list(F.struct("_strip", "x0", "x1", "y0", "y1", "n")).alias("_strips"))
 
-    def cells_within(self, queries: DataFrame, bound: str) -> DataFrame:
-        """Query rows (with `_strips`) x cells whose box is within `bound` (squared distance) of the query."""
-        near = queries.withColumn("_s", F.explode(
-            F.filter("_strips", lambda s: _near(s) <= F.col(bound)))).drop("_strips", "_strip", "_cell")
-        near = near.withColumn("_strip", F.col("_s._strip")).drop("_s")
-        return near.join(self.cell_boxes, [*self.by, "_strip"]).withColumn("_b", F.explode(
-            F.filter("_boxes", lambda b: _near(b) <= F.col(bound)))).drop("_boxes").withColumn("_cell", F.col("_b._cell"))
-
-
-def _gap(v: Column, lo: Column, hi: Column) -> Column:
-    return F.greatest(lo - v, v - hi, F.lit(0.0))
+    def reach(self, bound: Column) -> DataFrame:
+        """Cell x cell rows whose boxes are within `bound` (a squared distance per cell, which may use the
+        strips of the group): (*cell_key, _bound, box _b, points _pts) with the points of the other cell."""
+        c = self.cells.drop("_pts").join(self.strips, self.by).withColumn("_bound", bound)
+        c = c.withColumn("_s", F.explode(F.filter("_strips", lambda s: _near(s) <= F.col("_bound")))).withColumn("_other", F.col("_s._strip"))
+        c = c.drop("_strips", "_s").join(self.boxes.withColumnRenamed("_strip", "_other"), [*self.by, "_other"]).withColumn(
+            "_b", F.explode(F.filter("_boxes", lambda b: _near(b) <= F.col("_bound"))))
+        other = self.cells.select(*self.by, F.col("_strip").alias("_other"), F.col("_cell").alias("_oc"), "_pts")
+        c = c.select(*self.cell_key, "_bound", "_other", "_b", F.col("_b._cell").alias("_oc"))
+        return c.join(other, [*self.by, "_other", "_oc"]).drop("_other", "_oc")
 
 
 def _near(box: Column) -> Column:
-    """Squared distance from the query to the nearest point of a box."""
-    dx, dy = _gap(F.col("x"), box["x0"], box["x1"]), _gap(F.col("y"), box["y0"], box["y1"])
+    """Squared distance between the box of the row and another box."""
+    dx = F.greatest(box["x0"] - F.col("x1"), F.col("x0") - box["x1"], F.lit(0.0))
+    dy = F.greatest(box["y0"] - F.col("y1"), F.col("y0") - box["y1"], F.lit(0.0))
     return dx * dx + dy * dy
 
 
 def _far(box: Column) -> Column:
-    dx = F.greatest(F.abs(F.col("x") - box["x0"]), F.abs(F.col("x") - box["x1"]))
-    dy = F.greatest(F.abs(F.col("y") - box["y0"]), F.abs(F.col("y") - box["y1"]))
+    """Squared distance no two points of the two boxes exceed."""
+    dx = F.greatest(box["x1"], F.col("x1")) - F.least(box["x0"], F.col("x0"))
+    dy = F.greatest(box["y1"], F.col("y1")) - F.least(box["y0"], F.col("y0"))
+    return dx * dx + dy * dy
+
+
+def _gap2(box: Column) -> Column:
+    """Squared distance from a point (x, y) to a box."""
+    dx = F.greatest(box["x0"] - F.col("x"), F.col("x") - box["x1"], F.lit(0.0))
+    dy = F.greatest(box["y0"] - F.col("y"), F.col("y") - box["y1"], F.lit(0.0))
     return dx * dx + dy * dy
 
 
 def knn_join(spots: DataFrame, k: int, by: Sequence[str] = ("slice",)) -> DataFrame:
     """Exact k nearest spots inside each group by (squared distance, id), self excluded:
-    edges(*by, src, dst, dist2, rank)."""
-    by = list(by)
-    index = CellIndex(spots, by, k + 1)
-    q = index.placed.withColumnRenamed("spot_id", "src")
-
-    def best(points: str) -> Column:
-        d = F.transform(points, lambda p: F.struct(
-            ((p["x"] - F.col("x")) * (p["x"] - F.col("x")) + (p["y"] - F.col("y")) * (p["y"] - F.col("y"))).alias("dist2"),
-            p["spot_id"].alias("dst")))
-        return F.slice(F.array_sort(F.filter(d, lambda e: e["dst"] != F.col("src"))), 1, k)
+    edges(*by, src, dst, dist2, rank).
 
-    own = q.join(index.points, index.cell_key).withColumn("_top", best("_pts")).drop("_pts")
-    own = own.withColumn("_b0", F.when(F.size("_top") >= k, F.get("_top", F.lit(k - 1))["dist2"])).drop("_top")
-    # a cell with fewer than k others: fall back to the strips that together hold enough points
+    The k neighbours of a point lie within the diagonal of its cell when the cell holds k others, else
+    within the strips that together hold enough points."""
+    by = list(by)
+    index = CellIndex(spots, by, max(16, 2 * (k + 1)), k + 1)
     acc = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("d"))
-    reach = F.aggregate(
-        F.array_sort(F.transform("_strips", lambda s: F.struct(_far(s).alias("d"), s["n"].alias("n")))), acc,
+    wide = F.aggregate(
+        F.sort_array(F.transform("_strips", lambda s: F.struct(_far(s).alias("d"), s["n"].alias("n")))), acc,
         lambda a, s: F.when(a["n"] >= k + 1, a).otherwise(F.struct((a["n"] + s["n"]).alias("n"), s["d"].alias("d"))))["d"]
-    bounded = own.join(index.strip_boxes, by).withColumn(
-        "_bound", F.when(F.col("_b0").isNotNull(), F.col("_b0")).otherwise(reach)).drop("_b0")
-    hits = index.cells_within(bounded, "_bound").drop("_b").join(index.points, index.cell_key)
-    found = hits.select(*by, "src", F.explode(best("_pts")).alias("_e")).select(*by, "src", "_e.dst", "_e.dist2")
-    w = Window.partitionBy(*by, "src").orderBy("dist2", "dst")
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    bound = F.when(F.col("n") >= k + 1, w * w + h * h).otherwise(wide)
+    q = index.placed.withColumnRenamed("spot_id", "src")
+    met = q.join(index.reach(bound), index.cell_key).filter(_gap2(F.col("_b")) <= F.col("_bound"))
+    e = met.select(*by, "src", "x", "y", "_bound", F.explode("_pts").alias("_p"))
+    dx, dy = F.col("_p.x") - F.col("x"), F.col("_p.y") - F.col("y")
+    e = e.select(*by, "src", F.col("_p.spot_id").alias("dst"), (dx * dx + dy * dy).alias("dist2"), "_bound")
+    near = e.filter((F.col("dist2") <= F.col("_bound")) & (F.col("dst") != F.col("src"))).drop("_bound")
+    win = Window.partitionBy(*by, "src").orderBy("dist2", "dst")
     # the graph is read many times by its users, so it is stored once
-    return cut_lineage(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+    return cut_lineage(near.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k))
 
 
 def radius_degree(spots: DataFrame, radius: float, by: Sequence[str] = ("slice",)) -> DataFrame:
     """Spots within `radius` of each spot, self excluded. Cells that lie inside the disc count as a whole;
     only cells on its edge are looked into, so dense regions cost boxes and not pairs."""
     by = list(by)
-    index = CellIndex(spots, by, None)
-    r2 = radius * radius
-    q = index.placed.select(*by, "spot_id", "x", "y", F.lit(r2).alias("_bound")).join(index.strip_boxes, by)
-    near = index.cells_within(q, "_bound")
-    full = _far(F.col("_b")) <= r2
-    inside = near.filter(full).select(*by, "spot_id", F.col("_b.n").alias("n"))
-    edge = near.filter(~full).join(index.points, index.cell_key)
-    hit = F.aggregate("_pts", F.lit(0).cast("bigint"), lambda a, p: a + F.when(
-        (p["x"] - F.col("x")) * (p["x"] - F.col("x")) + (p["y"] - F.col("y")) * (p["y"] - F.col("y")) <= r2, p["mult"]).otherwise(0))
-    return inside.unionByName(edge.select(*by, "spot_id", hit.alias("n"))).groupBy(*by, "spot_id").agg(
-        (F.sum("n") - 1).alias("degree"))
+    index = CellIndex(spots, by, 32, None)
+    r2 = F.lit(float(radius * radius))
+    near = index.placed.join(index.reach(r2), index.cell_key).filter(_gap2(F.col("_b")) <= r2)
+    dx = F.greatest(F.abs(F.col("x") - F.col("_b.x0")), F.abs(F.col("x") - F.col("_b.x1")))
+    dy = F.greatest(F.abs(F.col("y") - F.col("_b.y0")), F.abs(F.col("y") - F.col("_b.y1")))
+    full = dx * dx + dy * dy <= r2
+    # a cell inside the disc is one pseudo-point with the cell's count, at distance 0
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("spot_id"), F.col("x"), F.col("y"), F.col("_b.n").alias("mult")))
+    p = near.select(*by, "spot_id", "x", "y", F.explode(F.when(full, whole).otherwise(F.col("_pts"))).alias("_p"))
+    px, py = F.col("_p.x") - F.col("x"), F.col("_p.y") - F.col("y")
+    return p.groupBy(*by, "spot_id").agg((F.sum(F.when(px * px + py * py <= r2, F.col("_p.mult")).otherwise(0)) - 1).alias("degree"))
 
 
 def symmetrize(edges: DataFrame, by: Sequence[str] = ("slice",)) -> DataFrame:
@@ -220,7 +222,7 @@ def vector_knn(candidates: DataFrame, k: int, queries: DataFrame | None = None,
 
     acc = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("d"))
     bound = F.aggregate(
-        F.array_sort(F.transform("_stats", lambda s: F.struct((pd_at(s) + s["far"]).alias("d"), s["n"].alias("n")))), acc,
+        F.sort_array(F.transform("_stats", lambda s: F.struct((pd_at(s) + s["far"]).alias("d"), s["n"].alias("n")))), acc,
         lambda a, s: F.when(a["n"] >= need, a).otherwise(F.struct((a["n"] + s["n"]).alias("n"), s["d"].alias("d"))))["d"]
     q = query.withColumn("_pd", to_pivots("emb"))
     q = q.join(packed, by) if by else q.withColumn("_stats", packed.scalar())
@@ -289,7 +291,7 @@ def aggregate_neighbours(emb: DataFrame, edges: DataFrame, layers: int) -> DataF
         reached = reached.unionByName(frontier)
         values = frontier.join(emb.select(F.col("spot_id").alias("dst"), F.posexplode("emb").alias("pos", "v")), "dst")
         means = values.groupBy("src", "pos").agg(F.avg("v").alias("m")).groupBy("src").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda e: e["m"]).alias("_m"))
+            F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda e: e["m"]).alias("_m"))
         out = out.join(means.withColumnRenamed("src", "spot_id"), "spot_id", "left").withColumn(
             "features", F.concat("features", F.coalesce("_m", F.transform("emb", lambda v: F.lit(0.0))))).drop("_m")
     return out.drop("emb")
@@ -339,6 +341,6 @@ def mnn_correct(emb: DataFrame, k: int, pairs: Sequence[tuple[str, str]]) -> Dat
     diff = matched.join(vec.select(F.col("spot_id").alias("src"), "pos", F.col("v").alias("a")), "src").join(
         vec.select(F.col("spot_id").alias("dst"), "pos", F.col("v").alias("b")), ["dst", "pos"])
     shift = diff.groupBy(F.col("right").alias("slice"), "pos").agg(F.avg(F.col("a") - F.col("b")).alias("d")).groupBy("slice").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "d"))), lambda e: e["d"]).alias("_shift"))
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "d"))), lambda e: e["d"]).alias("_shift"))
     return emb.join(shift, "slice", "left").withColumn(
         "emb", F.when(F.col("_shift").isNull(), F.col("emb")).otherwise(F.zip_with("emb", "_shift", lambda a, b: a + b))).drop("_shift")

@@ -182,7 +182,7 @@ def crop_counts(before: DataFrame, after: DataFrame) -> DataFrame:
 def annotate_slice_class(spots: DataFrame, sizes: dict[str, int], strict: bool = True) -> DataFrame:
     """Class of each slice from its position in sorted order and the given group sizes."""
     # slice names form a small dictionary; their sorted array gives each one its position
-    names = spots.agg(F.array_sort(F.collect_set("slice")).alias("names"))
+    names = spots.agg(F.sort_array(F.collect_set("slice")).alias("names"))
     if strict and names.first()["names"].__len__() != sum(sizes.values()):
         raise ValueError("slice class sizes do not add up to the number of slices")
     bounds, total = [], 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numeric import hash_uniform, ratio
 from tessera.functions.ranks import avg_rank, percentile_scores
 from tessera.model import SpatialData
+from tessera.session import cut_lineage
 
 
 def top_features(scores: DataFrame, n: int | None, by: Sequence[str] = (), digits: int = 9) -> DataFrame:
@@ -24,7 +24,7 @@ def top_features(scores: DataFrame, n: int | None, by: Sequence[str] = (), digit
 def selection_summary(ranking: DataFrame, by: Sequence[str] = (), requested: int | None = None) -> DataFrame:
     """Requested and effective counts and the md5 of newline-joined names in rank order.
     A selection is bounded by the gene dictionary, so its ordered list fits one row."""
-    names = F.transform(F.array_sort(F.collect_list(F.struct("rank", "gene"))), lambda e: e["gene"])
+    names = F.transform(F.sort_array(F.collect_list(F.struct("rank", "gene"))), lambda e: e["gene"])
     return ranking.groupBy(*by).agg(
         F.count("*").alias("effective_n_features"), F.md5(F.array_join(names, "\n")).alias("feature_hash")
     ).withColumn("requested_n_features", F.lit(requested).cast("bigint"))
@@ -194,7 +194,7 @@ def retain_targets(strategy: str, budget: int, first: DataFrame, second: DataFra
     groups = first.select(*by).distinct() if by else None
     forced = targets.select("gene", F.lit(fill).alias("_o"))
     if groups is not None:
-        names = targets.agg(F.array_sort(F.collect_set("gene")).alias("g")).scalar()
+        names = targets.agg(F.sort_array(F.collect_set("gene")).alias("g")).scalar()
         forced = groups.select(*by, F.explode(names).alias("gene"), F.lit(fill).alias("_o"))
     forced = forced.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("gene")) + F.col("_o"))
     return chosen.select(*by, "gene", "rank", F.lit(False).alias("is_target")).unionByName(
@@ -222,8 +222,8 @@ def wilcoxon(ds: SpatialData, n: int, column: str = "value", max_q: float = 0.01
     total = spots.select(F.count("*").cast("double")).scalar()
     labels = sizes.agg(F.sort_array(F.collect_list(F.struct("label", "n1"))).alias("l")).scalar()
     x = ds.expr.filter(F.col(column) != 0).select("spot_id", "gene", F.round(column, 9).alias("_v")).join(spots, "spot_id")
-    ordered = _ordered_values(x, "_v", ["gene"], 64).select(
-        "gene", "_v", "_ties", (F.col("_first") + (F.col("_ties") + 1) / 2).alias("_r"))
+    ordered = cut_lineage(_ordered_values(x, "_v", ["gene"]).select(
+        "gene", "_v", "_ties", (F.col("_first") + (F.col("_ties") + 1) / 2).alias("_r")))
     tie = ordered.groupBy("gene").agg(
         F.sum(F.pow("_ties", F.lit(3)) - F.col("_ties")).alias("tie_sum"), F.sum("_ties").cast("double").alias("nnz"))
     per_label = x.groupBy("gene", "label", "_v").agg(F.count("*").alias("_c")).join(

@@ -17,6 +17,7 @@ from tessera.operators.embed import dense_rows
 from tessera.operators.graph import knn_join, undirected
 from tessera.operators.prepare import is_mito
 from tessera.operators.ranking import candidate_genes, expand_scores, slice_percentile_mean
+from tessera.session import cut_lineage
 
 
 def _edge_products(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -56,61 +57,62 @@ def morans_i(ds: SpatialData, k: int = 8, column: str = "value", missing: str =
     return slice_percentile_mean(morans_i_scores(ds, k, column, edges), ds.genes, used, missing)
 
 
-def kernel_columns(spots: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Coordinate kernels per slice: centred coordinates, and Gaussian and cosine transforms of them at
-    five quantile scales of their absolute values."""
+def coordinate_kernels(spots: DataFrame) -> DataFrame:
+    """(slice, spot_id, kernels): eleven (name, kx, ky) structs per spot: centred coordinates, and Gaussian
+    and cosine transforms of them at five quantile scales of their absolute values."""
     means = spots.groupBy("slice").agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
     c = spots.join(means, "slice").select("slice", "spot_id", (F.col("x") - F.col("_mx")).alias("_x"), (F.col("y") - F.col("_my")).alias("_y"))
-    probs = {f"{i}": i / 5 for i in range(1, 6)}
-    c = c.withColumns({"_ax": F.abs("_x"), "_ay": F.abs("_y")})
-    for axis in "xy":
-        c = c.join(exact_quantiles(c, f"_a{axis}", ["slice"], {f"_l{axis}{i}": p for i, p in probs.items()}), "slice")
-    out, names = {"k0x": F.col("_x"), "k0y": F.col("_y")}, [("k0x", "k0y")]
-    for i in probs:
-        for kind in "gc":
-            for axis in "xy":
-                v, l = F.col(f"_{axis}"), F.col(f"_l{axis}{i}")
-                out[f"{kind}{i}{axis}"] = (F.exp(-ratio(v * v, 2 * l * l)) if kind == "g"
-                                           else F.cos(ratio(2 * math.pi * v, l)))
-            names.append((f"{kind}{i}x", f"{kind}{i}y"))
-    return c.select("slice", "spot_id", *[e.alias(k) for k, e in out.items()]), names
+    # both axes in one pass of the quantile operator
+    axes = c.select("slice", F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.abs("_x").alias("a")),
+                                               F.struct(F.lit("y").alias("axis"), F.abs("_y").alias("a")))).alias("e")).select("slice", "e.axis", "e.a")
+    q = exact_quantiles(axes, "a", ["slice", "axis"], {f"q{i}": i / 5 for i in range(1, 6)})
+    scales = q.groupBy("slice").pivot("axis", ["x", "y"]).agg(F.first(F.array(*[f"q{i}" for i in range(1, 6)])))
+    c = c.join(scales.withColumnsRenamed({"x": "_lx", "y": "_ly"}), "slice")
+
+    def at(kind: str, axis: str, i: Column) -> Column:
+        v, l = F.col(f"_{axis}"), F.get(f"_l{axis}", i)
+        return F.exp(-ratio(v * v, 2 * l * l)) if kind == "g" else F.cos(ratio(2 * math.pi * v, l))
+
+    def family(kind: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(
+            F.concat(F.lit(kind), i.cast("string")).alias("name"), at(kind, "x", i).alias("kx"), at(kind, "y", i).alias("ky")))
+
+    raw = F.array(F.struct(F.lit("raw").alias("name"), F.col("_x").alias("kx"), F.col("_y").alias("ky")))
+    return c.select("slice", "spot_id", F.concat(raw, family("g"), family("c")).alias("kernels"))
 
 
 def kernel_projection_test(ds: SpatialData, column: str = "count", max_genes: int | None = None,
                            min_spots: int = 10) -> DataFrame:
     """Covariance test per slice and gene: n R^2 of the regression on each kernel pair is chi-square with
     two degrees of freedom, so p = exp(-n R^2 / 2); the eleven p-values are combined by the Cauchy rule.
-    Mitochondrial genes are left out. Per gene it needs dot products of non-zero entries with 22 columns."""
-    kernels, names = kernel_columns(ds.spots)
-    flat = [c for pair in names for c in pair]
-    stats = kernels.groupBy("slice").agg(
-        F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in flat],
-        *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in flat],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"m_{a}") for a, b in names]).filter(F.col("n") >= min_spots)
+    Mitochondrial genes are left out. Non-zero entries meet the kernels of their spot and are summed per
+    gene and kernel before any shuffle of products."""
+    kernels = cut_lineage(coordinate_kernels(ds.spots))
+    k = kernels.select("slice", F.explode("kernels").alias("k")).select("slice", "k.name", "k.kx", "k.ky")
+    stats = k.groupBy("slice", "name").agg(
+        F.count("*").cast("double").alias("n"), F.sum("kx").alias("sx"), F.sum("ky").alias("sk"),
+        F.sum(F.col("kx") * F.col("kx")).alias("qx"), F.sum(F.col("ky") * F.col("ky")).alias("qk"),
+        F.sum(F.col("kx") * F.col("ky")).alias("m")).filter(F.col("n") >= min_spots)
     expr = ds.expr.filter(~is_mito())
     if max_genes is not None:
         keep = candidate_genes(ds.with_expr(expr), max_genes, min_spots, column).select("slice", "gene")
         expr = expr.join(keep, ["slice", "gene"], "left_semi")
-    y = F.col(column)
-    dots = expr.join(kernels, ["slice", "spot_id"]).groupBy("slice", "gene").agg(
-        F.sum(y).alias("sy"), F.sum(y * y).alias("qy"), *[F.sum(y * F.col(c)).alias(f"d_{c}") for c in flat]).join(stats, "slice")
+    y = F.col("_y")
+    met = expr.select("slice", "spot_id", "gene", F.col(column).alias("_y")).join(kernels, ["slice", "spot_id"])
+    dots = met.select("slice", "gene", "_y", F.explode("kernels").alias("k")).groupBy("slice", "gene", F.col("k.name").alias("name")).agg(
+        F.sum(y).alias("sy"), F.sum(y * y).alias("qy"), F.sum(y * F.col("k.kx")).alias("dx"), F.sum(y * F.col("k.ky")).alias("dk")).join(stats, ["slice", "name"])
     n = F.col("n")
-    zz = F.col("qy") - F.col("sy") * F.col("sy") / n
-
-    def quad(a: str, b: str) -> Column:
-        saa = F.col(f"q_{a}") - F.col(f"s_{a}") * F.col(f"s_{a}") / n
-        sbb = F.col(f"q_{b}") - F.col(f"s_{b}") * F.col(f"s_{b}") / n
-        sab = F.col(f"m_{a}") - F.col(f"s_{a}") * F.col(f"s_{b}") / n
-        da = F.col(f"d_{a}") - F.col("sy") * F.col(f"s_{a}") / n
-        db = F.col(f"d_{b}") - F.col("sy") * F.col(f"s_{b}") / n
-        det = saa * sbb - sab * sab
-        r2 = ratio(sbb * da * da - 2 * sab * da * db + saa * db * db, F.when(det > 1e-9, det) * F.when(zz > 1e-12, zz))
-        return n * r2
-
-    p = [F.greatest(F.least(F.exp(-F.coalesce(quad(a, b), F.lit(0.0)) / 2), F.lit(1 - 1e-9)), F.lit(1e-300)) for a, b in names]
-    cauchy = sum((F.when(v < 1e-8, 1.0 / (v * math.pi)).otherwise(F.tan((0.5 - v) * math.pi)) for v in p), F.lit(0.0)) / len(p)
-    return dots.select("slice", "gene", cauchy.alias("_t")).select("slice", "gene", F.when(
-        F.col("_t") > 1e8, 1.0 / (F.col("_t") * math.pi)).otherwise(0.5 - F.atan("_t") / math.pi).alias("p_value"))
+    aa, bb, ab = F.col("qx") - F.col("sx") * F.col("sx") / n, F.col("qk") - F.col("sk") * F.col("sk") / n, F.col("m") - F.col("sx") * F.col("sk") / n
+    da, db = F.col("dx") - F.col("sy") * F.col("sx") / n, F.col("dk") - F.col("sy") * F.col("sk") / n
+    c = dots.select("slice", "gene", "n", aa.alias("aa"), bb.alias("bb"), ab.alias("ab"), da.alias("da"), db.alias("db"),
+                    (F.col("qy") - F.col("sy") * F.col("sy") / n).alias("zz")).withColumn("det", F.expr("aa * bb - ab * ab"))
+    top = F.expr("bb * da * da - 2 * ab * da * db + aa * db * db")
+    stat = n * ratio(top, F.when((F.col("det") > 1e-9) & (F.col("zz") > 1e-12), F.col("det") * F.col("zz")))
+    p = F.greatest(F.least(F.exp(-F.coalesce(stat, F.lit(0.0)) / 2), F.lit(1 - 1e-9)), F.lit(1e-300))
+    term = F.when(F.col("p") < 1e-8, 1.0 / (F.col("p") * math.pi)).otherwise(F.tan((0.5 - F.col("p")) * math.pi))
+    t = c.withColumn("p", p).groupBy("slice", "gene").agg(F.avg(term).alias("t"))
+    return t.select("slice", "gene", F.when(F.col("t") > 1e8, 1.0 / (F.col("t") * math.pi)).otherwise(
+        0.5 - F.atan("t") / math.pi).alias("p_value"))
 
 
 def kernel_ranking(ds: SpatialData, column: str = "count", max_genes: int | None = None) -> DataFrame:

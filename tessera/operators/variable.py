@@ -15,6 +15,7 @@ from tessera.functions.ranks import bh_adjust
 from tessera.model import SpatialData
 from tessera.operators.prepare import normalize_total
 from tessera.operators.ranking import expand_scores, global_moments, slice_moments
+from tessera.session import spread
 
 # fixed value: normal-consistency factor of the median absolute deviation
 MAD_SCALE = 0.6744897501960817
@@ -172,7 +173,8 @@ def library_sums(genes: DataFrame, libraries: DataFrame, terms: dict[str, Callab
     hist = libraries.groupBy(*by, "lib").agg(F.count("*").alias("n")).withColumn(
         "_chunk", F.pmod(F.xxhash64("lib"), F.lit(chunks)).cast("int"))
     parts = hist.groupBy(*by, "_chunk").agg(F.collect_list(F.struct("lib", "n")).alias("_h"))
-    met = genes.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(parts, [*by, "_chunk"])
+    met = genes.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    met = spread(met, "gene", "_chunk").join(parts, [*by, "_chunk"])
 
     def total(f: Callable[[Column], Column]) -> Column:
         return F.aggregate("_h", F.lit(0.0), lambda acc, e: acc + e["n"] * f(e["lib"]))

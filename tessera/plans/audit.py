@@ -141,7 +141,7 @@ def _(spark, path):
 
 def selections(spark, path):
     """Stored selections with a damaged hash (Brand#3), a wrong count (Brand#4) and a repeated gene (Brand#5)."""
-    entry = F.array_sort(F.collect_list(F.struct("rank", "gene", "gene_index", "score")))
+    entry = F.sort_array(F.collect_list(F.struct("rank", "gene", "gene_index", "score")))
     g = fx.rankings(spark, path).filter("rank <= 30").groupBy("dataset", "method").agg(entry.alias("g"))
     names = F.transform("g", lambda e: e["gene"])
     names = F.when(F.col("method") == "Brand#5", F.concat(names, F.slice(names, 1, 1))).otherwise(names)

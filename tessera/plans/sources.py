@@ -3,28 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import r6
 from tessera.plans import fixtures as fx
+from tessera.plans.fixtures import scratch
 from tessera.plans.registry import query
 from tessera.sources import records as R
 from tessera.sources import tables as T
 
 
-def scratch(spark) -> str:
-    """A fresh folder: in the shared checkpoint folder of a cluster, else a local temporary one (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is not None:
-        return f"{shared.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 @query("load_dataset", """
     SELECT slice, label, gene, sum(count)::DOUBLE AS total, count(*) AS n, round(sum(value), 5) + 0 AS value FROM expr JOIN spots USING (spot_id, slice) GROUP BY 1, 2, 3""")
 def _(spark, path):
@@ -79,12 +68,12 @@ def _(spark, path):
     base = scratch(spark)
     x = fx.counts(spark, path).groupBy("gene", F.col("slice").alias("spot_id")).agg(F.sum("count").alias("count"))
     genes = fx.genes(spark, path)
-    names = x.agg(F.array_sort(F.collect_set("spot_id")).alias("s"))
+    names = x.agg(F.sort_array(F.collect_set("spot_id")).alias("s"))
     spots = names.select(F.posexplode("s").alias("spot_index", "spot_id"))
     T.write_matrix_market(x, genes, spots, os.path.join(base, "m"))
     # name files: one line per name, in index order
     for name, df, key in (("genes", genes, "gene"), ("spots", spots, "spot_id")):
-        df.agg(F.array_sort(F.collect_list(key)).alias("n")).select(F.array_join("n", "\n").alias("value")).write.text(os.path.join(base, name))
+        df.agg(F.sort_array(F.collect_list(key)).alias("n")).select(F.array_join("n", "\n").alias("value")).write.text(os.path.join(base, name))
     return T.read_matrix_market(spark, os.path.join(base, "m", "body"), os.path.join(base, "genes"), os.path.join(base, "spots"), size_line=False)
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import r6
 from tessera.plans import fixtures as fx
+from tessera.plans.fixtures import scratch
 from tessera.plans.registry import query
-from tessera.plans.sources import scratch
 from tessera.streaming import records as N
 
 

@@ -41,3 +41,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative operators call it each round so plans stay small."""
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition to the session's shuffle partition number. An explicit number is kept by adaptive
+    execution, which would otherwise merge partitions of few bytes and much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

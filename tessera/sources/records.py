@@ -49,7 +49,7 @@ def merge_results(*frames: DataFrame) -> DataFrame:
 def selection_json(ranking: DataFrame, by: Sequence[str], method: str = "method") -> DataFrame:
     """One JSON selection per group: ordered names, indices, scores and metadata."""
     entry = F.struct("rank", "gene", "gene_index", "score")
-    ordered = F.array_sort(F.collect_list(entry))
+    ordered = F.sort_array(F.collect_list(entry))
     body = ranking.groupBy(*by).agg(ordered.alias("_g"))
     names = F.transform("_g", lambda e: e["gene"])
     payload = F.struct(
