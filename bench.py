@@ -1,7 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-The selector queries mirror the published selector profile; results are fully computed and counted
-with a no-op write, after one warm-up query."""
+The selector queries mirror the published selector profile. `dataset_build` is the first query, which also
+derives and stores the dataset; the others read it. Results are fully computed with a no-op write."""
 
 from __future__ import annotations
 
@@ -27,8 +27,11 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, name="bench")
     queries = catalog.queries()
-    queries["statistic_mean"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    spark.range(1000).selectExpr("sum(id)").collect()
     times = {}
+    start = time.time()
+    queries["statistic_mean"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # derives and stores the dataset
+    times["dataset_build"] = round(time.time() - start, 3)
     for name in HEADLINE:
         start = time.time()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

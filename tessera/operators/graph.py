@@ -22,11 +22,13 @@ from tessera.session import cut_lineage, spread
 MAX_CUTS = 256
 
 
-def _with_cuts(df: DataFrame, column: str, by: list[str], parts: Callable[[Column], Column], name: str) -> DataFrame:
-    """Add `name`: the range of `column` inside its group, from quantile cuts (at most MAX_CUTS ranges)."""
+def _with_cuts(df: DataFrame, column: str, by: list[str], parts: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """Add `name`: the range of `column` inside its group, from quantile cuts (at most MAX_CUTS ranges).
+    `parts` gives the number of ranges from the group's size and its width-to-height ratio."""
     probs = [i / MAX_CUTS for i in range(1, MAX_CUTS)]
-    q = df.groupBy(*by).agg(F.percentile_approx(column, probs, 2000).alias("_q"), F.count("*").alias("_n"))
-    k = F.least(F.greatest(parts(F.col("_n")), F.lit(1)), F.lit(MAX_CUTS))
+    q = df.groupBy(*by).agg(F.percentile_approx(column, probs, 2000).alias("_q"), F.count("*").alias("_n"),
+                              F.coalesce(F.try_divide(F.stddev_pop("x"), F.stddev_pop("y")), F.lit(1.0)).alias("_aspect"))
+    k = F.least(F.greatest(parts(F.col("_n"), F.col("_aspect")), F.lit(1)), F.lit(MAX_CUTS))
     picked = F.transform(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))),
                          lambda i: F.element_at("_q", F.greatest((i * MAX_CUTS / k).cast("int"), F.lit(1))))
     cuts = q.select(*by, F.when(k > 1, F.array_distinct(picked)).otherwise(F.array().cast("array<double>")).alias("_cuts"))
@@ -44,8 +46,8 @@ class CellIndex:
         self.by = by
         self.cell_key = [*by, "_strip", "_cell"]
         placed = _with_cuts(points.select(*by, "spot_id", "x", "y"), "x", by,
-                            lambda n: F.ceil(F.sqrt(n / size)).cast("int"), "_strip")
-        placed = _with_cuts(placed, "y", [*by, "_strip"], lambda n: F.ceil(n / size).cast("int"), "_cell")
+                            lambda n, aspect: F.ceil(F.sqrt(n / size * aspect)).cast("int"), "_strip")
+        placed = _with_cuts(placed, "y", [*by, "_strip"], lambda n, _: F.ceil(n / size).cast("int"), "_cell")
         # the search below costs compute and not bytes, so its partition number is set and not coalesced
         self.placed = cut_lineage(spread(placed, *self.cell_key))
         if keep is not None:
