@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality_rules
+from tessera.llm import byte_bpe, decontaminate, pii, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,8 +28,8 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 RULES_SQL = r"""
 with w as (
   select row_number() over () as r, doc_id, coalesce(text, '') as t,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') as words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
   from documents),
 win as (
   select r, i, array_to_string(list_slice(words, i, i + 7), ' ') as g
@@ -56,3 +56,49 @@ from b
 @query("op1_quality_rules", RULES_SQL)
 def op1(spark: SparkSession, path: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(table(spark, path, "documents")), 2)
+
+
+DECONTAMINATE_SQL = r"""
+with lower_docs as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents),
+items as (
+  select cast(item_id as varchar) as item, words, least(13, len(words)) as size
+  from (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark where text is not null)
+  where len(words) > 0),
+win as (
+  select distinct item, size, array_to_string(list_slice(words, i, i + size - 1), ' ') as g
+  from (select item, words, size, unnest(range(1, len(words) - size + 2)) as i from items)),
+doc_win as (
+  select r, size, i, array_to_string(list_slice(words, i, i + size - 1), ' ') as g
+  from (select r, words, size, unnest(range(1, len(words) - size + 2)) as i
+        from lower_docs, (select distinct size from win) where len(words) >= size)),
+hit as (select r, d.size, i, item from doc_win d join win using (size, g)),
+covered as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + size)) as p from hit) group by r),
+named as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from hit) group by r)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+from lower_docs left join covered using (r) left join named using (r)
+"""
+
+
+@query("op3_decontaminate", DECONTAMINATE_SQL)
+def op3(spark: SparkSession, path: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, path, "documents"), table(spark, path, "benchmark"))
+    return decontaminate.report(found).withColumnRenamed("key", "doc_id")
+
+
+@query("op5_pii_deobfuscation")
+def op5(spark: SparkSession, path: str) -> DataFrame:
+    return pii.find(table(spark, path, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query("op10_byte_bpe")
+def op10(spark: SparkSession, path: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ids = byte_bpe.encode(table(spark, path, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(ids, ranks)).withColumnRenamed("key", "doc_id")
