@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm import words as W
 
 HOT = 400_000
-_A, _B = 1048573, 1048559  # the two places of a key
+_A, _B = 999983, 800011  # primes: the two places of a key
 _SHIFT = 16
 
 
