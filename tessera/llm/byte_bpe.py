@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 
-HOT = 400_000
+HOT = 200_000
 _A, _B = 999983, 800011  # primes: the two places of a key
 _SHIFT = 16
 
@@ -99,7 +99,7 @@ def frequent(docs: DataFrame, text_col: str, pattern: str, shared, hot: int) ->
                 for piece, n in Counter(split(text or "")).items():
                     if piece.encode() not in ranks:
                         seen[piece] += n
-                if len(seen) > 300_000:
+                if len(seen) > 150_000:
                     yield flush()
         yield flush()
 
@@ -125,8 +125,9 @@ def hot_dictionary(pieces: DataFrame, ranks: dict[bytes, int], table: Column, si
     return {p: np.array(w, "<u2").tobytes() for ps, ws in zip(rows["pieces"].to_pylist(), rows["words"].to_pylist()) for p, w in zip(ps, ws)}
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(key, ids): the ids of each text as little-endian unsigned 16-bit integers."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, then=None,
+           then_schema: str = "ids binary") -> DataFrame:
+    """(key, ids): the ids of each text as little-endian unsigned 16-bit integers. `then` maps these batches further in the same worker."""
     spark = docs.sparkSession
     if max(ranks.values()) >= 1 << _SHIFT:
         raise ValueError("ids must fit 16 bits")
@@ -146,7 +147,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             for batch in W.slices(whole, "text"):
                 rare: dict[str, int] = {}
                 codes, sizes = [], []
-                if len(numbers) > 400_000:
+                if len(numbers) > 150_000:
                     numbers.clear()
                     ready.clear()
                 base = 1 << 30
@@ -199,13 +200,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 yield pa.record_batch([row.column("keys").flatten(), pa.array([ids[a:b].tobytes() for a, b in zip(texts, texts[1:])], pa.binary())],
                                       ["key", "ids"])
 
-    return blocks.mapInArrow(assemble, f"key {kind}, ids binary")
+    return blocks.mapInArrow(lambda batches: then(assemble(batches)) if then else assemble(batches), f"key {kind}, {then_schema}")
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(key, ids, bytes): concatenates the vocabulary's byte strings."""
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
-
+def decoder(shared):
+    """Batches of (key, ids) to (key, ids, bytes): concatenates the vocabulary's byte strings."""
     def join(batches):
         pieces = [b""] * (max(shared.value.values()) + 1)
         for k, v in shared.value.items():
@@ -222,19 +221,30 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 out.append(pool[np.repeat(begin[i] - ends[:-1], n) + np.arange(ends[-1])].tobytes())
             yield pa.record_batch([batch.column("key"), batch.column("ids"), pa.array(out, pa.binary())], ["key", "ids", "bytes"])
 
+    return join
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(key, ids, bytes) of encoded rows."""
     kind = encoded.schema["key"].dataType.simpleString()
-    return encoded.select("key", "ids").mapInArrow(join, f"key {kind}, ids binary, bytes binary")
+    return encoded.select("key", "ids").mapInArrow(decoder(encoded.sparkSession.sparkContext.broadcast(ranks)), f"key {kind}, ids binary, bytes binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    def scan(batches):
-        for batch in batches:
-            ids = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
-            yield pa.record_batch(
-                [batch.column("key"), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], pa.string()),
-                 pa.array([hashlib.sha256(x).hexdigest() for x in batch.column("bytes").to_pylist()], pa.string())],
-                ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = decoded.schema["key"].dataType.simpleString()
-    return decoded.mapInArrow(scan, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(batches):
+    """Batches of (key, ids, bytes) to their counts and digests."""
+    for batch in batches:
+        ids = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
+        yield pa.record_batch(
+            [batch.column("key"), pa.array([len(x) for x in ids], pa.int64()),
+             pa.array([hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], pa.string()),
+             pa.array([hashlib.sha256(x).hexdigest() for x in batch.column("bytes").to_pylist()], pa.string())],
+            ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): encodes, decodes the ids, and digests both."""
+    decoded = decoder(docs.sparkSession.sparkContext.broadcast(ranks))
+    return encode(docs, ranks, pattern, id_col, text_col, then=lambda batches: digests(decoded(batches)), then_schema=DIGESTS)
