@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, decontaminate, pii, quality_rules
+from tessera.llm import byte_bpe, decontaminate, jaccard_join, pii, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,5 +100,27 @@ def op10(spark: SparkSession, path: str) -> DataFrame:
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    ids = byte_bpe.encode(table(spark, path, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(ids, ranks)).withColumnRenamed("key", "doc_id")
+    return byte_bpe.round_trip(table(spark, path, "documents"), ranks, public_tokenizers.PATTERN).withColumnRenamed("key", "doc_id")
+
+
+JACCARD_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+s as (
+  select distinct doc_id, array_to_string(list_slice(words, i, i + 4), ' ') as g
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as i from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select a as doc_id, b as r from both_ways union select reach.doc_id, both_ways.b from reach join both_ways on reach.r = both_ways.a),
+comp as (select doc_id, least(doc_id, min(r)) as component_id from reach group by doc_id)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, w.doc_id) as component_id
+from w left join n using (doc_id) left join comp using (doc_id)
+"""
+
+
+@query("op9_jaccard_join", JACCARD_SQL)
+def op9(spark: SparkSession, path: str) -> DataFrame:
+    return jaccard_join.join(table(spark, path, "documents")).withColumnRenamed("doc", "doc_id")
