@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, jaccard_join, pii, quality_rules
+from tessera.llm import byte_bpe, decontaminate, jaccard_join, lm_score, pii, quality_rules, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +125,65 @@ from w left join n using (doc_id) left join comp using (doc_id)
 @query("op9_jaccard_join", JACCARD_SQL)
 def op9(spark: SparkSession, path: str) -> DataFrame:
     return jaccard_join.join(table(spark, path, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+WARC_SQL = """
+with p as (select row_number() over () as r, page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select r, page_id, cast(octet_length(payload) as bigint) as payload_bytes, sha1(payload) as payload_digest from p),
+g as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as newest from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> newest then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> newest then newest end as refers_to
+from g
+"""
+
+
+@query("op4_warc_index", WARC_SQL)
+def op4(spark: SparkSession, path: str) -> DataFrame:
+    return warc.round_trip(table(spark, path, "pages"))
+
+
+@query("op8_token_files")
+def op8(spark: SparkSession, path: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(table(spark, path, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+LM_SQL = r"""
+with w as (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+    doc_id in (select doc_id from labels where quality = 1 and toxic = 0) as target
+  from documents),
+t as (select r, target, unnest(words) as w, unnest(range(len(words))) as i from w),
+c1 as (select w, count(*) as b, count(*) filter (target) as t from t group by w),
+n as (select count(*) as nb, count(*) filter (target) as nt from t),
+v_least as (select min(b) as least from (select b, sum(k) over (order by b desc) as s from (select b, count(*) as k from c1 where b > 1 group by b)) where s <= 50000),
+v as (select * from c1, v_least where b >= least),
+size as (select count(*) as size, coalesce(sum(b), 0) as b, coalesce(sum(t), 0) as t from v),
+uni as (
+  select w, b as cb, t as ct, (b + 1) / (nb + size + 1) as pb, (t + 1) / (nt + size + 1) as pt
+  from (select w, b, t from v union all select null, nb - b, nt - t from size, n), n, (select size from size)),
+tok as (select r, i, t.w, v.w as k, target from t left join v on t.w = v.w),
+p as (select a.r, a.i, a.target, b.k as l, a.k as w from tok a join tok b on a.r = b.r and a.i = b.i + 1 where a.k is not null and b.k is not null),
+c2 as (select l, w, count(*) as b, count(*) filter (target) as t from p group by l, w having count(*) >= 2),
+p_least as (select min(b) as least from (select b, sum(k) over (order by b desc) as s from (select b, count(*) as k from c2 group by b)) where s <= 400000),
+pairs as (
+  select c2.l, c2.w, -ln(0.6 * (c2.b / x.cb) + 0.4 * y.pb) as lb, -ln(0.6 * (case when x.ct > 0 then c2.t / x.ct else y.pt end) + 0.4 * y.pt) as lt
+  from c2 join p_least on b >= least join uni x on x.w = c2.l join uni y on y.w = c2.w),
+loss as (
+  select tok.r, coalesce(pairs.lb, -ln(0.4 * uni.pb)) as lb, coalesce(pairs.lt, -ln(0.4 * uni.pt)) as lt
+  from tok left join p on p.r = tok.r and p.i = tok.i left join pairs on pairs.l = p.l and pairs.w = p.w
+  join uni on uni.w is not distinct from tok.k),
+m as (select r, avg(lb) as lb, avg(lt) as lt from loss group by r)
+select doc_id, cast(len(words) as bigint) as n_tokens, round(lt, 6) as target_loss, round(lb, 6) as background_loss, round(lt - lb, 6) as score
+from w left join m using (r)
+"""
+
+
+@query("op2_cross_entropy_difference", LM_SQL)
+def op2(spark: SparkSession, path: str) -> DataFrame:
+    trusted = table(spark, path, "labels").filter("quality = 1 and toxic = 0")
+    rows = lm_score.cross_entropy_difference(table(spark, path, "documents"), trusted)
+    return rows.select(F.col("key").alias("doc_id"), "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
