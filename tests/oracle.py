@@ -35,7 +35,7 @@ def _kind(s: pd.Series) -> str:
 
 def _canon(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "~"
         if isinstance(v, float):
             return repr(float(v))
