@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, jaccard_join, lm_score, pii, quality_rules, token_files, warc
+from tessera.llm import byte_bpe, decontaminate, jaccard_join, kneser_ney, lm_score, pii, quality_rules, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -187,3 +187,10 @@ def op2(spark: SparkSession, path: str) -> DataFrame:
     trusted = table(spark, path, "labels").filter("quality = 1 and toxic = 0")
     rows = lm_score.cross_entropy_difference(table(spark, path, "documents"), trusted)
     return rows.select(F.col("key").alias("doc_id"), "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
+@query("op7_kneser_ney")
+def op7(spark: SparkSession, path: str) -> DataFrame:
+    trusted = table(spark, path, "labels").filter("quality = 1 and toxic = 0")
+    rows = kneser_ney.classify(table(spark, path, "documents"), trusted)
+    return rows.select(F.col("key").alias("doc_id"), "lang", "n_tokens", *[F.round(c, 4).alias(c) for c in ("perplexity", "threshold")], "kept")
