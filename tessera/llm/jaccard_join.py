@@ -2,15 +2,17 @@
 
 A document is the set of its distinct five-word shingles (hashed to 64 bits). Sets are put in bands of size, [l, floor(l / s)], so that two
 sets of similarity s or more lie in one band or in neighbouring ones. For each band pair there is a largest symmetric difference k; the
-feature domain is cut into more than k parts by hash, so two similar sets agree in at least one whole part. The content of each part is one
-signature. There are more parts than k + 1, and a set that has few enough empty parts leaves those out without losing a partner; any
-other set emits them too.
-
-Each task merges its own signatures first, keeping one document per signature and pairing the rest with it, so a signature reaches the
-shuffle at most once per task however common it is. Signatures travel as packed arrays, one row per shard and task. Documents of a shared
-signature are paired with the smallest one; every pair is verified on the whole sets. Links are then closed to components. Groups whose
-documents end in different components are examined again, between the components only, until no unexamined pair of one signature crosses
-two components, so no link is lost.
+feature domain is cut into k + 1 + x parts by hash, so two similar sets agree in at least x + 1 whole parts. The content of each part is one
+signature. Each set leaves out the x signatures of fewest elements, which say least: of x + 1 common ones the last in the order of
+(elements, signature), which is the same order for both sets, is left out by neither.
+
+Each task merges its own signatures first: where more than eight of its documents share one, it keeps the smallest and pairs the rest with
+it, so a signature reaches the shuffle a bounded number of times per task however common it is. Signatures travel as packed arrays, one row
+per shard and task. All pairs of a group of at most eight are candidates; in a larger group each document is paired with the smallest and
+with the one before it. Candidates of fitting sizes are screened on 16-bit hashes, which can only overstate what two sets share, and the
+rest is verified on whole sets. Links are then closed to components. Where documents of a larger group end in different components, all
+documents of these components are joined again, now on their rarest shingles: of two similar sets the n - ceil(s n) + 1 rarest of each
+share one. So no link is lost, and a passage that many documents share pairs nobody.
 
 Defined results: documents without words, or null, have an empty set and link with nothing; fewer than five words are one shingle; equal
 sets link; ids that occur more than once are one node of the graph and keep one result row per input row; an empty table gives no rows."""
@@ -19,13 +21,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.folders import stored
 
 WORDS = 5
+SMALL = 8  # documents of one signature that are compared pairwise
 FLUSH = 3_000_000  # signatures that a task holds before it merges and sends them
 SHARD_DOCS = 2_000  # documents per shard of the signature shuffle
 
@@ -57,7 +60,7 @@ class Bands:
         """(k, parts) of the join of `band` with itself and the next band: |x ^ y| <= (|x| + |y|) (1 - s) / (1 + s)."""
         u = self.low[band + 1] - 1
         k = (u + u * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-        return k, 1 if k == 0 else k + 1 + max(1, k // 16)
+        return k, 1 if k == 0 else k + 1 + max(1, k // 4)
 
 
 def signatures(grams: np.ndarray, bands: Bands) -> np.ndarray:
@@ -75,7 +78,7 @@ def signatures(grams: np.ndarray, bands: Bands) -> np.ndarray:
         sums, count = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts)
         np.add.at(sums, part, W.mix(spread + np.uint64(1)))
         sums = W.mix(sums + W.mix(np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ salt))
-        out.append(sums if (count == 0).sum() >= parts - k else sums[count > 0])
+        out.append(sums[np.lexsort((sums, count))[parts - k - 1:]])
     return np.concatenate(out)
 
 
@@ -104,49 +107,45 @@ def _sizes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "doc long, n_shingles long, d1 long, d2 long")
 
 
-def _packed(docs: DataFrame, bands: Bands, shards: int, marked: bool = False) -> DataFrame:
-    """(shard, sigs, docs, marks): packed signatures. Unmarked: one document per signature and task, and the pairs inside the task as
-    shard -1. Marked: every document of a signature, with its component."""
+def _packed(docs: DataFrame, bands: Bands, shards: int) -> DataFrame:
+    """(shard, sigs, docs, marks): packed signatures. Where more than SMALL documents of a task share one, the smallest stands for them
+    with a mark, and the others are paired with it in a row of shard -1."""
     def pack(s, *columns):
         shard = ((s >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)  # ascending, as s is
         cut = np.searchsorted(shard, np.arange(shards + 1))
         return [(k, *(x[a:b].tobytes() for x in (s, *columns))) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
 
     def scan(batches):
-        sigs, owners, marks, seen, held = [], [], [], {}, 0
+        sigs, owners, seen, held = [], [], {}, 0
 
         def flush():
             s, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sigs, owners))
             s = s.view(np.uint64)
             order = np.lexsort((d, s))
             s, d = s[order], d[order]
-            if marked:
-                rows = pack(s, d, np.concatenate(marks)[order])
-            else:
-                head = np.r_[True, s[1:] != s[:-1]]
-                lead = d[np.flatnonzero(head)[np.cumsum(head) - 1]]
-                inner = np.stack([d[~head], lead[~head]], 1)
-                inner = inner[inner[:, 0] != inner[:, 1]]
-                rows = [(*r, b"") for r in pack(s[head], d[head])]
-                if len(inner):
-                    rows.append((-1, inner[:, 0].tobytes(), inner[:, 1].tobytes(), b""))
+            head = np.r_[True, s[1:] != s[:-1]]
+            group = np.cumsum(head) - 1
+            large = (np.bincount(group) > SMALL)[group]
+            lead = d[np.flatnonzero(head)[group]]
+            hidden = large & ~head
+            rows = pack(s[~hidden], d[~hidden], large[~hidden].astype(np.int64))
+            if hidden.any():
+                rows.append((-1, d[hidden].tobytes(), lead[hidden].tobytes(), b""))
             k, *data = zip(*rows)
             return pa.record_batch([pa.array(k, pa.int32()), *(pa.array(x, pa.binary()) for x in data)], ["shard", "sigs", "docs", "marks"])
 
         for whole in batches:
             for batch in W.slices(whole, "text"):
-                comps = batch.column("comp").to_pylist() if marked else [0] * batch.num_rows
-                for doc, comp, s in zip(batch.column("doc").to_pylist(), comps, shingles(batch.column("text"))):
-                    if not len(s) or not marked and seen.setdefault(_digest(s), doc) != doc:
+                for doc, s in zip(batch.column("doc").to_pylist(), shingles(batch.column("text"))):
+                    if not len(s) or seen.setdefault(_digest(s), doc) != doc:
                         continue  # equal sets are linked by their digest
                     mine = signatures(s, bands)
                     sigs.append(mine)
                     owners.append(np.full(len(mine), doc, np.int64))
-                    marks.append(np.full(len(mine), comp, np.int64))
                     held += len(mine)
                 if held > FLUSH:
                     yield flush()
-                    sigs, owners, marks, seen, held = [], [], [], {}, 0
+                    sigs, owners, seen, held = [], [], {}, 0
         if held:
             yield flush()
 
@@ -157,49 +156,62 @@ def _read(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(table[c].to_pylist()), np.uint64 if c == "sigs" else np.int64) for c in names]
 
 
-def _pairs(both: np.ndarray) -> pa.Table:
-    both = np.sort(both[both[:, 0] != both[:, 1]], axis=1)
-    both, weight = np.unique(both, axis=0, return_counts=True)
-    return pa.table({"a": both[:, 0], "b": both[:, 1], "weight": weight.astype(np.int64)})
+def _pairs(both: np.ndarray, large: np.ndarray | bool) -> pa.Table:
+    both = np.sort(both, axis=1)
+    both = np.concatenate([both, np.broadcast_to(np.asarray(large, np.int64).reshape(-1, 1), (len(both), 1))], 1)[both[:, 0] != both[:, 1]]
+    both = np.unique(both, axis=0)
+    return pa.table({"a": both[:, 0], "b": both[:, 1], "large": both[:, 2]})
+
+
+PAIRS = "a long, b long, large long"
 
 
 def _candidates(packed: DataFrame) -> DataFrame:
-    """(a, b, weight), a < b: documents of a shared signature, each with the smallest one and with the one before it."""
+    """(a, b, large), a < b: candidate pairs; `large` if one came from a group whose pairs are not all candidates."""
     def pair(key, table):
         if key[0].as_py() < 0:
             a, b = _read(table, "sigs", "docs")
-            return _pairs(np.stack([a.view(np.int64), b], 1))
-        s, d = _read(table, "sigs", "docs")
+            return _pairs(np.stack([a.view(np.int64), b], 1), True)
+        s, d, m = _read(table, "sigs", "docs", "marks")
         order = np.lexsort((d, s))
-        s, d = s[order], d[order]
+        s, d, m = s[order], d[order], m[order]
         head = np.r_[True, s[1:] != s[:-1]]
-        rest = np.flatnonzero(~head)
-        lead = np.flatnonzero(head)[np.cumsum(head)[rest] - 1]
-        return _pairs(np.concatenate([np.stack([d[x], d[rest]], 1) for x in (lead, rest - 1)]))
+        group = np.cumsum(head) - 1
+        large = ((np.bincount(group) > SMALL) | (np.bincount(group, m) > 0))[group]
+        out, flags = [], []
+        for lag in range(1, min(SMALL, len(s))):
+            i = np.flatnonzero((s[lag:] == s[:-lag]) & ~large[lag:])
+            out.append(np.stack([d[i], d[i + lag]], 1))
+            flags.append(np.zeros(len(i), np.int64))
+        rest = np.flatnonzero(large & ~head)
+        for x in (np.flatnonzero(head)[group[rest]], rest - 1):
+            out.append(np.stack([d[x], d[rest]], 1))
+            flags.append(np.ones(len(rest), np.int64))
+        return _pairs(np.concatenate(out), np.concatenate(flags))
 
     # the pairs inside a task are not gathered: each packed row is a group of its own
     dealt = packed.withColumn("deal", F.when(F.col("shard") >= 0, F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
-    found = dealt.groupBy("shard", "deal").applyInArrow(pair, "a long, b long, weight long")
-    return found.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    found = dealt.groupBy("shard", "deal").applyInArrow(pair, PAIRS)
+    return found.groupBy("a", "b").agg(F.max("large").alias("large"))
 
 
-def _crossing(packed: DataFrame) -> DataFrame:
-    """(a, b, weight): all pairs of one signature between different components."""
-    def pair(key, table):
-        s, d, c = _read(table, "sigs", "docs", "marks")
-        order = np.lexsort((d, c, s))
-        s, d, c = s[order], d[order], c[order]
-        out = [np.zeros((0, 2), np.int64)]
-        cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
-        for i in np.flatnonzero(c[cut[:-1]] != c[cut[1:] - 1]):
-            mine, mark = d[cut[i]:cut[i + 1]], c[cut[i]:cut[i + 1]]
-            for e in np.flatnonzero(mark[1:] != mark[:-1]) + 1:
-                f = np.searchsorted(mark, mark[e], "right")
-                out.append(np.stack([np.repeat(mine[:e], f - e), np.tile(mine[e:f], e)], 1))
-        return _pairs(np.concatenate(out))
-
-    found = packed.groupBy("shard").applyInArrow(pair, "a long, b long, weight long")
-    return found.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+def _rare_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents of different components, of fitting sizes, that share one of their rarest shingles; members: (doc, comp, text)."""
+    def scan(batches):
+        for whole in batches:
+            for batch in W.slices(whole, "text"):
+                sets = shingles(batch.column("text"))
+                yield pa.record_batch([batch.column("doc"), batch.column("comp"), pa.array([len(x) for x in sets], pa.int64()),
+                                       pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["doc", "comp", "n", "grams"])
+
+    rows = stored(members.select("doc", "comp", "text").mapInArrow(scan, "doc long, comp long, n long, grams array<long>")
+                  .select("doc", "comp", "n", F.explode("grams").alias("gram")).distinct(), "jaccard-rare")
+    ranked = rows.join(rows.groupBy("gram").agg(F.count("*").alias("f")).filter("f > 1"), "gram", "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("f", "gram"))
+    prefix = ranked.withColumn("place", place).filter(f"place <= n - ({percent} * n + 99) div 100 + 1 and f > 1").select("gram", "doc", "comp", "n")
+    x, y = (prefix.select("gram", *[F.col(c).alias(f"{c}{side}") for c in ("doc", "comp", "n")]) for side in "ab")
+    both = x.join(y, "gram").filter(f"compa != compb and doca < docb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return both.select(F.col("doca").alias("a"), F.col("docb").alias("b")).distinct()
 
 
 BROADCAST_ROWS = 1_000_000  # ids: at most about 30 MB
@@ -210,26 +222,41 @@ def _among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc", how)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of stored pairs (a, b) those whose whole sets are similar enough."""
+def _compared(docs: DataFrame, pairs: DataFrame, pack, test) -> DataFrame:
+    """Of stored pairs (a, b) those that `test` accepts on the packed sets of both documents."""
     ids = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "jaccard-ids")
 
     def sets(batches):
         for whole in batches:
             for batch in W.slices(whole, "text"):
-                yield pa.record_batch([batch.column("doc"), pa.array([s.tobytes() for s in shingles(batch.column("text"))], pa.binary())], ["doc", "grams"])
+                yield pa.record_batch([batch.column("doc"), pa.array([pack(s).tobytes() for s in shingles(batch.column("text"))], pa.binary())], ["doc", "grams"])
 
     held = _among(docs, ids).mapInArrow(sets, "doc long, grams binary")
 
-    def test(batches):
+    def check(batches):
         for batch in batches:
-            good = [jaccard_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-                    for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist())]
+            good = [test(x, y) for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = (pairs.select("a", "b").join(held.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b")
             .join(held.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a"))
-    return both.select("a", "b", "ga", "gb").mapInArrow(test, "a long, b long").distinct()
+    return stored(both.select("a", "b", "ga", "gb").mapInArrow(check, "a long, b long").distinct(), "jaccard-links")
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The links among stored pairs: a screen on 16-bit hashes, of which equal elements have equal ones, then the whole sets."""
+    def may(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+        seen = np.zeros(1 << 16, bool)
+        seen[b] = True
+        most = min(int(seen[a].sum()), len(b))
+        return 100 * most >= percent * (len(a) + len(b) - most)
+
+    def are(x: bytes, y: bytes) -> bool:
+        return jaccard_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+
+    likely = _compared(docs, pairs, lambda s: (s >> np.uint64(48)).astype(np.uint16), may)
+    return _compared(docs, likely, lambda s: s, are)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,24 +296,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         return pairs.filter("ca != cb")
 
     def per_class(pairs: DataFrame) -> DataFrame:
-        """One pair for each two classes of equal sets, as (a, b): the smallest documents of the classes."""
-        return (marked(pairs, base).groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
+        """One pair for each two classes of equal sets, as (a, b): the smallest documents of the classes, if their sizes fit."""
+        both = marked(pairs, base).groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.max("large").alias("large"))
+        for side in ("a", "b"):
+            both = both.join(some.groupBy(F.col("doc").alias(side)).agg(F.max("n_shingles").alias(f"n{side}")), side)
+        return both.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "large")
 
     pairs = stored(per_class(_candidates(_packed(named, bands, shards))), "jaccard-pairs")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a"))
-    links = stored(_verify(named, stored(best.select("a", "b"), "jaccard-best"), percent), "jaccard-links")
-    comp = components(base.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(links))
-    left = stored(marked(pairs, comp).select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-left")
-    links = stored(_verify(named, left, percent), "jaccard-links")
-    comp = stored(components(comp.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(links)), "jaccard-comp")
-
-    doubt = marked(pairs, comp)  # every one of them has been examined and failed
+    links = _verify(named, pairs, percent)
+    comp = stored(components(base.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(links)), "jaccard-comp")
+
+    doubt = marked(pairs.filter("large = 1"), comp)  # examined and not linked
     doubt = stored(doubt.select(F.col("ca").alias("comp")).union(doubt.select("cb")).distinct(), "jaccard-doubt")
+    if doubt.isEmpty():
+        return sizes, comp
     members = named.select("doc").distinct().join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).join(doubt, "comp", "left_semi")
-    again = _packed(_among(named, stored(members.select("doc", "comp"), "jaccard-members"), "inner"), bands, shards, marked=True)
-    more = per_class(_crossing(again)).join(pairs, ["a", "b"], "left_anti")
-    links = stored(_verify(named, stored(more.select("a", "b"), "jaccard-more"), percent), "jaccard-links")
-    return sizes, components(comp.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(links))
+    again = _among(named, stored(members.select("doc", "comp"), "jaccard-members"), "inner")
+    more = stored(per_class(_rare_pairs(again, percent).withColumn("large", F.lit(1))).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
+    return sizes, components(comp.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(_verify(named, more, percent)))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -298,6 +325,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 def one_per_group(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Documents without those that reach a smaller id by links; all columns stay. Rows without an id stay."""
     _, comp = link(docs, percent=percent)
-    losers = stored(comp.filter("comp < doc").select("doc"), "jaccard-losers")
-    return _among(docs.withColumn("doc", F.col("doc_id").cast("long")) if "doc" not in docs.columns else docs, losers, "left_anti").select(docs.columns) \
-        if "doc" not in docs.columns else docs.join(losers.withColumnRenamed("doc", "_loser"), F.col("doc_id") == F.col("_loser"), "left_anti")
+    losers = stored(comp.filter("comp < doc").select(F.col("doc").alias("_loser")), "jaccard-losers")
+    small = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
+    return docs.join(small, docs["doc_id"].cast("long") == losers["_loser"], "left_anti")
