@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-Texts are cut into pieces by the tokenizer's pattern. A piece that is a vocabulary entry has its id at once. Every other distinct piece
-starts as the ids of its bytes, and a fold (`aggregate`) merges, step by step, the leftmost adjacent pair of lowest rank until no pair has
-one. Ranks of pairs are a literal map from (left id, right id) to the merged id, stored as one array with two possible places for each key,
-so a lookup costs two reads whatever the vocabulary size.
+Texts are cut into pieces by the tokenizer's pattern (`regexp_extract_all`; code points on whose class the JVM and the tokenizer's tables
+disagree are written into the pattern). A piece that is a vocabulary entry has its id at once. Every other distinct piece starts as the ids
+of its bytes, and a fold (`aggregate`) merges, step by step, the leftmost adjacent pair of lowest rank until no pair has one; it keeps the
+pairs' ranks and looks up only the two that a merge makes. Ranks of pairs are a literal map from (left id, right id) to the merged id,
+stored as one array with two possible places for each key, so a lookup costs two reads whatever the vocabulary size.
 
-Folding is dear, so it is done per distinct piece: the `hot` most frequent pieces of the whole corpus are folded once and shared as a
-dictionary of bounded size; the rest is folded once per block of documents. Nothing but these counts is shuffled.
+Folding is dear, so it is done per distinct piece: the most frequent pieces of the whole corpus, at most `hot`, are folded once and shared
+as a dictionary of bounded size; the rest is folded once per block of documents. Nothing but these counts is shuffled.
 
 Defined results: null and empty texts have no ids and decode to nothing; repeated rows give one row each; an empty table gives no rows; a
 text of any length is one row of one block. Only the named columns are read."""
@@ -15,16 +16,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import Counter
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
+from tessera.llm.folders import stored
+from tessera.llm.lm_score import frequent
 
-HOT = 200_000
+HOT = 800_000
+BLOCK = 4 << 20  # bytes of text in a block
 _A, _B = 999983, 800011  # primes: the two places of a key
 _SHIFT = 16
 
@@ -63,14 +69,19 @@ def table_column(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
 
 def fold(word: str, table: str) -> str:
     """SQL of the ids of one word: merges the leftmost pair of lowest rank while there is one."""
-    key = f"(shiftleft(bigint(a), {_SHIFT}) + b)"
-    at = lambda prime: f"{table}[int({key} % {prime})]"
-    rank = (f"case when b is null then null when shiftright({at(_A)}, {_SHIFT}) = {key} then int({at(_A)} & 65535) "
-            f"when shiftright({at(_B)}, {_SHIFT}) = {key} then int({at(_B)} & 65535) end")
-    merged = ("if(m is null, acc, transform(array(int(array_position(r, m))), p -> "
-              "concat(slice(acc, 1, p - 1), array(m), slice(acc, p + 2, size(acc))))[0])")
-    step = f"transform(array(zip_with(acc, slice(acc, 2, size(acc)), (a, b) -> {rank})), r -> transform(array(array_min(r)), m -> {merged})[0])[0]"
-    return f"if(size({word}) < 2, {word}, aggregate(sequence(2, size({word})), {word}, (acc, step) -> {step}))"
+    def rank(a: str, b: str) -> str:
+        key = f"(shiftleft(bigint({a}), {_SHIFT}) + {b})"
+        at = lambda prime: f"{table}[int({key} % {prime})]"
+        return (f"case when {b} is null then null when shiftright({at(_A)}, {_SHIFT}) = {key} then int({at(_A)} & 65535) "
+                f"when shiftright({at(_B)}, {_SHIFT}) = {key} then int({at(_B)} & 65535) end")
+
+    ids = "concat(slice(acc.i, 1, p - 1), array(m), slice(acc.i, p + 2, size(acc.i)))"
+    ranks = (f"concat(slice(acc.r, 1, greatest(p - 2, 0)), if(p > 1, array({rank('get(acc.i, p - 2)', 'm')}), array()), "
+             f"array({rank('m', 'get(acc.i, p + 1)')}), slice(acc.r, p + 2, size(acc.r)))")
+    merged = f"if(m is null, acc, transform(array(int(array_position(acc.r, m))), p -> named_struct('i', {ids}, 'r', {ranks}))[0])"
+    step = f"transform(array(array_min(acc.r)), m -> {merged})[0]"
+    start = f"named_struct('i', {word}, 'r', zip_with({word}, slice({word}, 2, size({word})), (a, b) -> {rank('a', 'b')}))"
+    return f"if(size({word}) < 2, {word}, aggregate(sequence(2, size({word})), {start}, (acc, step) -> {step}, acc -> acc.i))"
 
 
 def folded(rows: DataFrame, column: str, table: Column) -> DataFrame:
@@ -78,51 +89,138 @@ def folded(rows: DataFrame, column: str, table: Column) -> DataFrame:
     return rows.withColumn("_pairs", table).withColumn(column, F.expr(f"transform({column}, w -> {fold('w', '_pairs')})")).drop("_pairs")
 
 
-def _splitter(pattern: str):
+def jvm_pattern(spark: SparkSession, pattern: str) -> str:
+    """The pattern with the classes of the JVM extended by the code points that only the tokenizer's Unicode tables put into them."""
     import regex
 
-    return regex.compile(pattern).findall
-
-
-def frequent(docs: DataFrame, text_col: str, pattern: str, shared, hot: int) -> DataFrame:
-    """(piece, n): the most frequent pieces outside the vocabulary, counted over all documents."""
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        theirs = {r[0] for r in spark.range(0x110000).filter("id not between 55296 and 57343")
+                  .filter(F.expr(f"decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') rlike r'^{name}$'")).collect()}
+        find = regex.compile(name).match
+        ours = {c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and find(chr(c))}
+        new = ours - theirs
+        first, last = sorted(c for c in new if c - 1 not in new), sorted(c for c in new if c + 1 not in new)
+        extra = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(first, last))
+        if extra:
+            inside = False
+            parts = []
+            for token in re.split(r"(\\p\{\w\}|\\.|\[|\])", pattern):
+                inside = token == "[" or inside and token != "]"
+                parts.append(token if token != name else token + extra if inside else f"[{token}{extra}]")
+            pattern = "".join(parts)
+    return pattern
+
+
+def cut(docs: DataFrame, pattern: str) -> DataFrame:
+    """(key, pieces) of (key, text) rows; `pattern` is one of jvm_pattern."""
+    return docs.select("key", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0)).alias("pieces"))
+
+
+def _hashes(strings: pa.Array) -> np.ndarray:
+    buf, offsets = W.buffers(strings)
+    return W.word_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
+
+
+def _parts(batch: pa.RecordBatch):
+    """The rows of a batch in pieces of at most BLOCK bytes."""
+    pieces = batch.column("pieces")
+    _, bytes_ = W.buffers(pieces.flatten())
+    rows = bytes_[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(rows, rows[i] + BLOCK, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
+@dataclass(frozen=True)
+class Known:
+    """Pieces with known ids, ascending by hash; a hit is compared byte by byte."""
+    hashes: np.ndarray
+    pieces: pa.Array
+    sizes: np.ndarray
+    begin: np.ndarray
+    ids: np.ndarray
+
+    @staticmethod
+    def of(pieces: pa.Array, ids: list[np.ndarray]) -> Known:
+        hashes = _hashes(pieces)
+        order = np.argsort(hashes, kind="stable")
+        ids = [ids[i] for i in order.tolist()]
+        sizes = np.array([len(x) for x in ids], np.int32)
+        return Known(hashes[order], pieces.take(pa.array(order)), sizes, np.cumsum(sizes) - sizes, np.concatenate(ids) if ids else np.zeros(0, np.uint16))
+
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each piece, or -1. Pieces of equal hash but one are not found, which costs a fold and nothing else."""
+        if not len(self.hashes):
+            return np.full(len(pieces), -1)
+        hashes = _hashes(pieces)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = pc.equal(self.pieces.take(pa.array(at)), pieces.cast(pa.binary())).to_numpy(zero_copy_only=False)
+        return np.where(same, at, -1)
+
+
+def vocabulary_entries(ranks: dict[bytes, int]) -> Known:
+    return Known.of(pa.array(list(ranks), pa.binary()), [np.array([v], np.uint16) for v in ranks.values()])
+
+
+def piece_counts(pieces: DataFrame, shared) -> DataFrame:
+    """(piece, n) of the pieces outside the vocabulary, summed over all documents; pieces that occur once are left out."""
     def count(batches):
-        split, ranks, seen = _splitter(pattern), shared.value[0], Counter()
+        held = []
 
         def flush():
-            rows = [(k.encode(), n) for k, n in seen.items()]
-            seen.clear()
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["piece", "n"])
+            table = pa.table({"piece": pa.concat_arrays([h[0] for h in held]), "n": pa.concat_arrays([h[1] for h in held])})
+            held.clear()
+            table = table.group_by("piece").aggregate([("n", "sum")]).rename_columns(["piece", "n"])
+            return table.select(["piece", "n"]).combine_chunks().to_batches()
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for piece, n in Counter(split(text or "")).items():
-                    if piece.encode() not in ranks:
-                        seen[piece] += n
-                if len(seen) > 150_000:
-                    yield flush()
-        yield flush()
+        for whole in batches:
+            for batch in _parts(whole):
+                counts = pc.value_counts(batch.column("pieces").flatten())
+                new = pa.array(shared.value.find(counts.field("values")) < 0)
+                held.append((counts.field("values").filter(new).cast(pa.binary()), counts.field("counts").filter(new)))
+                if sum(len(h[0]) for h in held) > 500_000:
+                    yield from flush()
+        if held:
+            yield from flush()
 
-    pieces = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "piece binary, n long")
-    return pieces.groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "piece").limit(hot)
+    rows = pieces.select("pieces").mapInArrow(count, "piece binary, n long")
+    return rows.groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
-def hot_dictionary(pieces: DataFrame, ranks: dict[bytes, int], table: Column, size: int = 20_000) -> dict[bytes, bytes]:
-    """Folds the frequent pieces in parallel; the result has at most as many entries as `pieces`, which is bounded by its limit."""
+def _words(pieces: pa.Array, byte_ids: np.ndarray) -> pa.Array:
+    buf, offsets = W.buffers(pieces)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(byte_ids[buf]))
+
+
+def _one(values: pa.Array) -> pa.Array:
+    """A list array whose only row is `values`."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def hot_dictionary(pieces: DataFrame, ranks: dict[bytes, int], table: Column, hot: int, size: int = 10_000) -> tuple[pa.Array, list[np.ndarray]]:
+    """The frequent pieces, at most `hot`, folded in parallel."""
     byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+    spark = pieces.sparkSession
+    top = frequent(pieces, hot)
 
     def pack(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, size):
                 part = batch.column("piece").slice(i, size)
-                buf, offsets = W.buffers(part)
-                words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(byte_ids[buf]))
-                yield pa.record_batch([pa.array([part.to_pylist()], pa.list_(pa.binary())), pa.array([words.to_pylist()], pa.list_(pa.list_(pa.int32())))],
-                                      ["pieces", "words"])
+                yield pa.record_batch([_one(part), _one(_words(part, byte_ids))], ["pieces", "words"])
 
-    spread = pieces.select("piece").repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = spark.createDataFrame(top.select(["piece"])).repartition(parts)
     rows = folded(spread.mapInArrow(pack, "pieces array<binary>, words array<array<int>>"), "words", table).toArrow()
-    return {p: np.array(w, "<u2").tobytes() for ps, ws in zip(rows["pieces"].to_pylist(), rows["words"].to_pylist()) for p, w in zip(ps, ws)}
+    flat, ids = [], []
+    for batch in rows.to_batches():
+        flat.append(batch.column("pieces").flatten())
+        words = batch.column("words").flatten()
+        values, at = words.flatten().to_numpy(zero_copy_only=False).astype(np.uint16), words.offsets.to_numpy() - words.offsets[0].as_py()
+        ids += np.split(values, at[1:-1]) if len(words) else []
+    return (pa.concat_arrays(flat) if flat else pa.array([], pa.binary())), ids
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, then=None,
@@ -131,55 +229,38 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     spark = docs.sparkSession
     if max(ranks.values()) >= 1 << _SHIFT:
         raise ValueError("ids must fit 16 bits")
-    table = table_column(spark, ranks)
-    vocabulary = spark.sparkContext.broadcast((ranks,))
-    known = hot_dictionary(frequent(docs, text_col, pattern, vocabulary, hot), ranks, table)
-    shared = spark.sparkContext.broadcast((ranks, known))
-    byte_ids = [ranks[bytes([i])] for i in range(256)]
     keyed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = keyed.schema["key"].dataType.simpleString()
+    pieces, table = cut(keyed, jvm_pattern(spark, pattern)), table_column(spark, ranks)
+    entries = vocabulary_entries(ranks)
+    counts = stored(piece_counts(pieces, spark.sparkContext.broadcast(entries)), "bpe-pieces")
+    flat, ids = hot_dictionary(counts, ranks, table, hot)
+    shared = spark.sparkContext.broadcast(Known.of(pa.concat_arrays([pa.array(list(ranks), pa.binary()), flat]),
+                                                   [np.array([v], np.uint16) for v in ranks.values()] + ids))
+    byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
-    def split_block(batches):
-        split, (ranks, known) = _splitter(pattern), shared.value
-        numbers: dict[str, int] = {}  # piece -> place in `ready`: pieces with known ids, kept over the blocks of a task
-        ready: list[bytes] = []
+    def number(batches):
+        """One row per block: the keys, pieces per text, the number of each piece, the ids of known pieces, and the other pieces' bytes."""
+        known = shared.value
         for whole in batches:
-            for batch in W.slices(whole, "text"):
-                rare: dict[str, int] = {}
-                codes, sizes = [], []
-                if len(numbers) > 150_000:
-                    numbers.clear()
-                    ready.clear()
-                base = 1 << 30
-                for text in batch.column("text").to_pylist():
-                    pieces = split(text) if text else []
-                    sizes.append(len(pieces))
-                    for p in pieces:
-                        c = numbers.get(p)
-                        if c is None:
-                            c = rare.get(p)
-                        if c is None:
-                            raw = p.encode()
-                            one = ranks.get(raw)
-                            ids = known.get(raw) if one is None else one.to_bytes(2, "little")
-                            if ids is None:
-                                c = rare[p] = base + len(rare)
-                            else:
-                                c = numbers[p] = len(ready)
-                                ready.append(ids)
-                        codes.append(c)
-                code = np.array(codes, np.int64)
-                used, local = np.unique(code, return_inverse=True)
-                words = [[byte_ids[x] for x in p.encode()] for p in rare]
-                # ids of the known pieces travel with the block, so the next step needs no dictionary
-                sure = [ready[c] for c in used[used < base].tolist()]
+            for batch in _parts(whole):
+                lists = batch.column("pieces")
+                coded = pc.dictionary_encode(lists.flatten())
+                at = known.find(coded.dictionary)
+                order = np.argsort(at < 0, kind="stable")  # known pieces first
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order), dtype=np.int32)
+                sure = at[order[:int((at >= 0).sum())]]
+                sizes = known.sizes[sure]
+                ends = np.cumsum(sizes)
+                pool = known.ids[np.repeat(known.begin[sure] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+                rest = coded.dictionary.take(pa.array(order[len(sure):]))
                 yield pa.record_batch(
-                    [pa.array([batch.column("key").to_pylist()], pa.list_(batch.schema.field("key").type)), pa.array([sizes], pa.list_(pa.int32())),
-                     pa.array([local.astype("<i4").tobytes()], pa.binary()), pa.array([b"".join(sure)], pa.binary()),
-                     pa.array([np.array([len(s) >> 1 for s in sure], "<i4").tobytes()], pa.binary()), pa.array([words], pa.list_(pa.list_(pa.int32())))],
+                    [_one(batch.column("key")), _one(pc.list_value_length(lists).cast(pa.int32())), pa.array([place[coded.indices.to_numpy()].tobytes()], pa.binary()),
+                     pa.array([pool.tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), _one(_words(rest, byte_ids))],
                     ["keys", "sizes", "codes", "sure", "sure_sizes", "words"])
 
-    blocks = folded(keyed.mapInArrow(split_block, f"keys array<{kind}>, sizes array<int>, codes binary, sure binary, sure_sizes binary, words array<array<int>>"),
+    blocks = folded(pieces.mapInArrow(number, f"keys array<{kind}>, sizes array<int>, codes binary, sure binary, sure_sizes binary, words array<array<int>>"),
                     "words", table)
 
     def assemble(batches):
@@ -191,11 +272,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 pool = np.r_[np.frombuffer(row.column("sure")[0].as_py(), "<u2"), tail]
                 each = np.r_[np.frombuffer(row.column("sure_sizes")[0].as_py(), "<i4"), np.diff(words.offsets.to_numpy())].astype(np.int64)
                 codes = np.frombuffer(row.column("codes")[0].as_py(), "<i4")
-                begin = np.r_[0, np.cumsum(each)][:-1]
                 n = each[codes]
                 ends = np.r_[0, np.cumsum(n)]
-                at = np.repeat(begin[codes] - ends[:-1], n) + np.arange(ends[-1])
-                ids = pool[at].astype("<u2")
+                ids = pool[np.repeat((np.cumsum(each) - each)[codes] - ends[:-1], n) + np.arange(ends[-1])].astype("<u2")
                 texts = ends[np.r_[0, np.cumsum(row.column("sizes").flatten().to_numpy())]]
                 yield pa.record_batch([row.column("keys").flatten(), pa.array([ids[a:b].tobytes() for a, b in zip(texts, texts[1:])], pa.binary())],
                                       ["key", "ids"])

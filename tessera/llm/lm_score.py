@@ -96,7 +96,7 @@ def frequent(counts: DataFrame, size: int) -> pa.Table:
             break
         least = n
     rows = (counts.filter(F.col("n") >= least) if least is not None else counts.limit(0)).toArrow()
-    return rows.sort_by("key")
+    return rows.sort_by(rows.column_names[0])
 
 
 @dataclass(frozen=True)
