@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.folders import stored
+from tessera.llm.known import Known, counted
 from tessera.llm.lm_score import frequent
 
 HOT = 800_000
@@ -116,11 +116,6 @@ def cut(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("key", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0)).alias("pieces"))
 
 
-def _hashes(strings: pa.Array) -> np.ndarray:
-    buf, offsets = W.buffers(strings)
-    return W.word_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
-
-
 def _parts(batch: pa.RecordBatch):
     """The rows of a batch in pieces of at most BLOCK bytes."""
     pieces = batch.column("pieces")
@@ -133,60 +128,13 @@ def _parts(batch: pa.RecordBatch):
         i = j
 
 
-@dataclass(frozen=True)
-class Known:
-    """Pieces with known ids, ascending by hash; a hit is compared byte by byte."""
-    hashes: np.ndarray
-    pieces: pa.Array
-    sizes: np.ndarray
-    begin: np.ndarray
-    ids: np.ndarray
-
-    @staticmethod
-    def of(pieces: pa.Array, ids: list[np.ndarray]) -> Known:
-        hashes = _hashes(pieces)
-        order = np.argsort(hashes, kind="stable")
-        ids = [ids[i] for i in order.tolist()]
-        sizes = np.array([len(x) for x in ids], np.int32)
-        return Known(hashes[order], pieces.take(pa.array(order)), sizes, np.cumsum(sizes) - sizes, np.concatenate(ids) if ids else np.zeros(0, np.uint16))
-
-    def find(self, pieces: pa.Array) -> np.ndarray:
-        """The place of each piece, or -1. Pieces of equal hash but one are not found, which costs a fold and nothing else."""
-        if not len(self.hashes):
-            return np.full(len(pieces), -1)
-        hashes = _hashes(pieces)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        same = pc.equal(self.pieces.take(pa.array(at)), pieces.cast(pa.binary())).to_numpy(zero_copy_only=False)
-        return np.where(same, at, -1)
-
-
 def vocabulary_entries(ranks: dict[bytes, int]) -> Known:
     return Known.of(pa.array(list(ranks), pa.binary()), [np.array([v], np.uint16) for v in ranks.values()])
 
 
-def piece_counts(pieces: DataFrame, shared) -> DataFrame:
-    """(piece, n) of the pieces outside the vocabulary, summed over all documents; pieces that occur once are left out."""
-    def count(batches):
-        held = []
-
-        def flush():
-            table = pa.table({"piece": pa.concat_arrays([h[0] for h in held]), "n": pa.concat_arrays([h[1] for h in held])})
-            held.clear()
-            table = table.group_by("piece").aggregate([("n", "sum")]).rename_columns(["piece", "n"])
-            return table.select(["piece", "n"]).combine_chunks().to_batches()
-
-        for whole in batches:
-            for batch in _parts(whole):
-                counts = pc.value_counts(batch.column("pieces").flatten())
-                new = pa.array(shared.value.find(counts.field("values")) < 0)
-                held.append((counts.field("values").filter(new).cast(pa.binary()), counts.field("counts").filter(new)))
-                if sum(len(h[0]) for h in held) > 500_000:
-                    yield from flush()
-        if held:
-            yield from flush()
-
-    rows = pieces.select("pieces").mapInArrow(count, "piece binary, n long")
-    return rows.groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1")
+def _flat_pieces(batch: pa.RecordBatch):
+    for part in _parts(batch):
+        yield part.column("pieces").flatten()
 
 
 def _words(pieces: pa.Array, byte_ids: np.ndarray) -> pa.Array:
@@ -233,7 +181,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     kind = keyed.schema["key"].dataType.simpleString()
     pieces, table = cut(keyed, jvm_pattern(spark, pattern)), table_column(spark, ranks)
     entries = vocabulary_entries(ranks)
-    counts = stored(piece_counts(pieces, spark.sparkContext.broadcast(entries)), "bpe-pieces")
+    lists = pieces.select("pieces")
+    counts = stored(counted(lists, _flat_pieces, spark.sparkContext.broadcast(entries)), "bpe-pieces")
     flat, ids = hot_dictionary(counts, ranks, table, hot)
     shared = spark.sparkContext.broadcast(Known.of(pa.concat_arrays([pa.array(list(ranks), pa.binary()), flat]),
                                                    [np.array([v], np.uint16) for v in ranks.values()] + ids))

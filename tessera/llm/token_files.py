@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.folders import filesystem, new_folder, put_bytes, stored
+from tessera.llm.known import Known, counted, gather
+from tessera.llm.lm_score import frequent
 
 MAGIC = b"TOKD1\0"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("size", "<i4"), ("n", "<i4"), ("before", "<i8")])
@@ -34,60 +36,84 @@ NO_ID = np.iinfo(np.int64).min  # stands for a null id, which sorts first
 SAMPLE_DOCS = 2_000  # documents that the dictionary is trained on
 DICTIONARY_BYTES = 64 << 10
 FILE_DOCS = 20_000  # documents per file
-CACHE = 150_000  # distinct words that a task keeps encoded
+KNOWN_WORDS = 600_000  # frequent words whose ids every task holds
 
 
-def encoder(tokenizer_file: str, end: int = END):
-    """A function from a text array to one id array per text.
+def _split(texts: pa.Array) -> pa.ListArray:
+    """The tokenizer drops white space and never looks across it, so its words can be encoded one by one."""
+    return pc.split_pattern_regex(texts.fill_null(""), r"[ \t\n\r]+")
 
-    The tokenizer drops white space and never looks across it, so words between spaces are encoded one by one and distinct words once."""
+
+def _flat_words(batch: pa.RecordBatch):
+    for part in W.slices(batch, "text"):
+        yield _split(part.column("text")).values
+
+
+def _ids(tok, words: list) -> list[np.ndarray]:
+    return [np.array(e.ids, np.uint16) for e in tok.encode_batch(words, add_special_tokens=False)]
+
+
+def frequent_words(docs: DataFrame, tokenizer_file: str, most: int = KNOWN_WORDS) -> Known:
+    """The most frequent words of all documents, at most `most`, with their ids: a dictionary of bounded size for the tasks."""
+    spark = docs.sparkSession
+    empty = spark.sparkContext.broadcast(Known.of(pa.array([], pa.binary()), []))
+    top = frequent(stored(counted(docs.select("text"), _flat_words, empty), "token-words"), most)
+
+    def encode(batches):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(tokenizer_file)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 10_000):
+                part = batch.column("piece").slice(i, 10_000)
+                ids = _ids(tok, part.cast(pa.string()).to_pylist())
+                yield pa.record_batch([part, pa.array([x.tobytes() for x in ids], pa.binary())], ["piece", "ids"])
+
+    spread = spark.createDataFrame(top.select(["piece"])).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = spread.mapInArrow(encode, "piece binary, ids binary").toArrow().combine_chunks()
+    pieces = rows["piece"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
+    return Known.of(pieces, [np.frombuffer(x, np.uint16) for x in rows["ids"].to_pylist()])
+
+
+def encoder(tokenizer_file: str, known: Known, end: int = END):
+    """A function from a text array to one id array per text. Distinct words are looked up, and the unknown ones encoded once per array."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_file)
-    known: dict[str, int] = {}
-    pool, sizes = [np.zeros(0, np.uint16)], []
+    tail = np.array([end], np.uint16)
 
     def encode(texts: pa.Array) -> list[np.ndarray]:
-        nonlocal pool
-        if len(known) > CACHE:
-            known.clear()
-            pool, sizes[:] = [np.zeros(0, np.uint16)], []
-        parts = pc.split_pattern_regex(texts.fill_null(""), r"[ \t\n\r]+")
+        parts = _split(texts)
         coded = pc.dictionary_encode(parts.values)
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in known]
-        if new:
-            got = [np.array(e.ids, np.uint16) for e in tok.encode_batch(new, add_special_tokens=False)]
-            for w, ids in zip(new, got):
-                known[w] = len(sizes)
-                sizes.append(len(ids))
-            pool = [np.concatenate([*pool, *got])]
-        at = np.array([known[w] for w in words], np.int64)
-        each = np.array(sizes, np.int64)
-        begin = (np.cumsum(each) - each)[at] if len(at) else at
-        code = coded.indices.to_numpy()
-        n = each[at][code] if len(at) else np.zeros(0, np.int64)
-        ends = np.r_[0, np.cumsum(n)]
-        ids = pool[0][np.repeat(begin[code] - ends[:-1], n) + np.arange(ends[-1])] if len(code) else pool[0][:0]
+        at = known.find(coded.dictionary)
+        new = np.flatnonzero(at < 0)
+        got = _ids(tok, coded.dictionary.take(pa.array(new)).to_pylist())
+        extra = np.array([len(x) for x in got], np.int64)
+        sizes = np.zeros(len(at), np.int64)
+        begin = np.zeros(len(at), np.int64)
+        have = at >= 0
+        sizes[have], begin[have] = known.sizes[at[have]], known.begin[at[have]]
+        sizes[new], begin[new] = extra, len(known.ids) + np.cumsum(extra) - extra
+        ids, ends = gather(np.concatenate([known.ids, *got]).astype(np.uint16), begin, sizes, coded.indices.to_numpy())
         cut = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
-        tail = np.array([end], np.uint16)
         return [np.concatenate([ids[a:b], tail]) for a, b in zip(cut, cut[1:])]
 
     return encode
 
 
-def train(docs: DataFrame, tokenizer_file: str, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
+def train(docs: DataFrame, tokenizer_file: str, shared, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
     """A zstandard dictionary from the serialized ids of at most `sample_docs` documents, chosen by hash of their ids."""
     import zstandard
 
     def ids(batches):
-        encode = encoder(tokenizer_file)
+        encode = encoder(tokenizer_file, shared.value)
         for whole in batches:
             for batch in W.slices(whole, "text"):
                 yield pa.record_batch([pa.array([x[:4096].tobytes() for x in encode(batch.column("text"))], pa.binary())], ["ids"])
 
-    chosen = docs.orderBy(F.expr("xxhash64(doc)"), "doc").select("text").limit(sample_docs)
-    samples = [x for x in chosen.mapInArrow(ids, "ids binary").toArrow()["ids"].to_pylist() if len(x) > 8]
+    # the ids are chosen first, so that no text is sorted
+    chosen = docs.select("doc").orderBy(F.expr("xxhash64(doc)"), "doc").limit(sample_docs).distinct()
+    samples = [x for x in docs.join(F.broadcast(chosen), "doc").select("text").mapInArrow(ids, "ids binary").toArrow()["ids"].to_pylist() if len(x) > 8]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too little to learn from: the samples themselves, as raw content
@@ -108,7 +134,8 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     total = docs.count()
     cuts = boundaries(docs, -(-total // file_docs))
-    dictionary = train(docs, tokenizer_file)
+    known = spark.sparkContext.broadcast(frequent_words(docs, tokenizer_file))
+    dictionary = train(docs, tokenizer_file, known)
     name = hashlib.sha256(dictionary).hexdigest()
     put_bytes(f"{folder}/{name}.dict", dictionary)
     shared = spark.sparkContext.broadcast((dictionary, np.array(cuts, np.int64)))
@@ -118,7 +145,7 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_
 
         words, cuts = shared.value
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words))
-        encode = encoder(tokenizer_file)
+        encode = encoder(tokenizer_file, known.value)
         for whole in batches:
             for batch in W.slices(whole, "text"):
                 ids = encode(batch.column("text"))
