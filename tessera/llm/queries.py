@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, jaccard_join, kneser_ney, lm_score, pii, quality_rules, token_files, warc
+from tessera.llm import byte_bpe, decontaminate, jaccard_join, kneser_ney, lm_score, pii, quality_rules, suffix_dedup, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,3 +194,27 @@ def op7(spark: SparkSession, path: str) -> DataFrame:
     trusted = table(spark, path, "labels").filter("quality = 1 and toxic = 0")
     rows = kneser_ney.classify(table(spark, path, "documents"), trusted)
     return rows.select(F.col("key").alias("doc_id"), "lang", "n_tokens", *[F.round(c, 4).alias(c) for c in ("perplexity", "threshold")], "kept")
+
+
+REPEATS_SQL = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, doc_id, i, md5(substr(h, 2 * i - 1, 200)) as m from (select r, doc_id, h, unnest(range(1, len(h) // 2 - 98)) as i from d where len(h) >= 200)),
+later as (select r, i from (select r, i, row_number() over (partition by m order by doc_id, i) as k from w) where k > 1),
+runs as (
+  select r, min(i) as a, max(i) + 99 as b
+  from (select r, i, sum(gap) over (partition by r order by i) as g
+        from (select r, i, cast(coalesce(i > lag(i) over (partition by r order by i) + 100, true) as int) as gap from later))
+  group by r, g),
+pieces as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as p from runs),
+kept as (
+  select d.r, string_agg(substr(h, 2 * p + 1, 2 * (a - 1 - p)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as k, sum(b - a + 1) as n, count(*) as s
+  from pieces join d using (r) group by d.r)
+select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n, 0) as bigint) as n_removed, coalesce(s, 0) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
+from d left join kept using (r)
+"""
+
+
+@query("op6_suffix_dedup", REPEATS_SQL)
+def op6(spark: SparkSession, path: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, path, "documents"))
+    return rows.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
