@@ -18,6 +18,13 @@ def _hashes(strings: pa.Array) -> np.ndarray:
     return W.word_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
 
 
+def gather(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `pool` that the codes name, one after the other, and where each begins, with the end."""
+    n = sizes[codes]
+    ends = np.r_[0, np.cumsum(n)]
+    return pool[np.repeat(begin[codes] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
 @dataclass(frozen=True)
 class Known:
     """Pieces with known ids, ascending by hash; a hit is compared byte by byte."""
@@ -28,12 +35,12 @@ class Known:
     ids: np.ndarray
 
     @staticmethod
-    def of(pieces: pa.Array, ids: list[np.ndarray]) -> Known:
+    def of(pieces: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> Known:
+        """From pieces, their numbers of ids, and all ids one after the other."""
         hashes = _hashes(pieces)
         order = np.argsort(hashes, kind="stable")
-        ids = [ids[i] for i in order.tolist()]
-        sizes = np.array([len(x) for x in ids], np.int32)
-        return Known(hashes[order], pieces.take(pa.array(order)), sizes, np.cumsum(sizes) - sizes, np.concatenate(ids) if ids else np.zeros(0, np.uint16))
+        pool, ends = gather(ids, np.cumsum(sizes) - sizes, sizes, order)
+        return Known(hashes[order], pieces.take(pa.array(order)), sizes[order], ends[:-1], pool)
 
     def find(self, pieces: pa.Array) -> np.ndarray:
         """The place of each piece, or -1. Pieces of equal hash but one are not found, which costs a fold and nothing else."""
@@ -45,13 +52,6 @@ class Known:
         return np.where(same, at, -1)
 
 
-def gather(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of `pool` that the codes name, one after the other, and where each begins, with the end."""
-    n = sizes[codes]
-    ends = np.r_[0, np.cumsum(n)]
-    return pool[np.repeat(begin[codes] - ends[:-1], n) + np.arange(ends[-1])], ends
-
-
 def counted(rows: DataFrame, flat, shared) -> DataFrame:
     """(piece, n) of the strings that `flat` takes from a batch and that the broadcast dictionary lacks, summed over all rows; strings that
     occur once are left out. Tasks merge their own counts first."""

@@ -13,8 +13,10 @@ order by content; a null id sorts first; an empty table gives no files and no ro
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
+import os
 import struct
 import zlib
 
@@ -49,6 +51,15 @@ def _flat_words(batch: pa.RecordBatch):
         yield _split(part.column("text")).values
 
 
+@functools.cache
+def _tokenizer(file: str):
+    """One per worker process. Its threads are left off: Spark already uses every core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(file)
+
+
 def _ids(tok, words: list) -> list[np.ndarray]:
     return [np.array(e.ids, np.uint16) for e in tok.encode_batch(words, add_special_tokens=False)]
 
@@ -56,13 +67,11 @@ def _ids(tok, words: list) -> list[np.ndarray]:
 def frequent_words(docs: DataFrame, tokenizer_file: str, most: int = KNOWN_WORDS) -> Known:
     """The most frequent words of all documents, at most `most`, with their ids: a dictionary of bounded size for the tasks."""
     spark = docs.sparkSession
-    empty = spark.sparkContext.broadcast(Known.of(pa.array([], pa.binary()), []))
+    empty = spark.sparkContext.broadcast(Known.of(pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.uint16)))
     top = frequent(stored(counted(docs.select("text"), _flat_words, empty), "token-words"), most)
 
     def encode(batches):
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_file)
+        tok = _tokenizer(tokenizer_file)
         for batch in batches:
             for i in range(0, batch.num_rows, 10_000):
                 part = batch.column("piece").slice(i, 10_000)
@@ -72,14 +81,13 @@ def frequent_words(docs: DataFrame, tokenizer_file: str, most: int = KNOWN_WORDS
     spread = spark.createDataFrame(top.select(["piece"])).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = spread.mapInArrow(encode, "piece binary, ids binary").toArrow().combine_chunks()
     pieces = rows["piece"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
-    return Known.of(pieces, [np.frombuffer(x, np.uint16) for x in rows["ids"].to_pylist()])
+    ids = rows["ids"].to_pylist()
+    return Known.of(pieces, np.array([len(x) >> 1 for x in ids], np.int64), np.frombuffer(b"".join(ids), np.uint16))
 
 
 def encoder(tokenizer_file: str, known: Known, end: int = END):
     """A function from a text array to one id array per text. Distinct words are looked up, and the unknown ones encoded once per array."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(tokenizer_file)
+    tok = _tokenizer(tokenizer_file)
     tail = np.array([end], np.uint16)
 
     def encode(texts: pa.Array) -> list[np.ndarray]:
