@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.folders import stored
-from tessera.llm.known import Known, counted
+from tessera.llm.known import Known, counted, gather
 from tessera.llm.lm_score import frequent
 
-HOT = 800_000
-BLOCK = 4 << 20  # bytes of text in a block
+HOT = 400_000
+BLOCK = 2 << 20  # bytes of text in a block
 _A, _B = 999983, 800011  # primes: the two places of a key
 _SHIFT = 16
 
@@ -106,14 +106,19 @@ def jvm_pattern(spark: SparkSession, pattern: str) -> str:
             parts = []
             for token in re.split(r"(\\p\{\w\}|\\.|\[|\])", pattern):
                 inside = token == "[" or inside and token != "]"
-                parts.append(token if token != name else token + extra if inside else f"[{token}{extra}]")
+                parts.append(token if token != name else f"{token}[{extra}]" if inside else f"[{token}[{extra}]]")
             pattern = "".join(parts)
+            if name == r"\s":
+                pattern = pattern.replace(r"\S", rf"[^\s[{extra}]]")
     return pattern
 
 
 def cut(docs: DataFrame, pattern: str) -> DataFrame:
-    """(key, pieces) of (key, text) rows; `pattern` is one of jvm_pattern."""
-    return docs.select("key", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0)).alias("pieces"))
+    """(key, pieces) of (key, text) rows. Texts of ASCII alone, on which all tables agree, need no extended classes."""
+    text, extended = F.coalesce("text", F.lit("")), jvm_pattern(docs.sparkSession, pattern)
+    plain = F.octet_length(text) == F.length(text)
+    return docs.select("key", F.when(plain, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(
+        F.regexp_extract_all(text, F.lit(extended), F.lit(0))).alias("pieces"))
 
 
 def _parts(batch: pa.RecordBatch):
@@ -129,7 +134,7 @@ def _parts(batch: pa.RecordBatch):
 
 
 def vocabulary_entries(ranks: dict[bytes, int]) -> Known:
-    return Known.of(pa.array(list(ranks), pa.binary()), [np.array([v], np.uint16) for v in ranks.values()])
+    return Known.of(pa.array(list(ranks), pa.binary()), np.ones(len(ranks), np.int64), np.array(list(ranks.values()), np.uint16))
 
 
 def _flat_pieces(batch: pa.RecordBatch):
@@ -147,8 +152,8 @@ def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def hot_dictionary(pieces: DataFrame, ranks: dict[bytes, int], table: Column, hot: int, size: int = 10_000) -> tuple[pa.Array, list[np.ndarray]]:
-    """The frequent pieces, at most `hot`, folded in parallel."""
+def hot_dictionary(pieces: DataFrame, ranks: dict[bytes, int], table: Column, hot: int, size: int = 10_000) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The frequent pieces, at most `hot`, folded in parallel: pieces, numbers of ids, all ids."""
     byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
     spark = pieces.sparkSession
     top = frequent(pieces, hot)
@@ -162,13 +167,13 @@ def hot_dictionary(pieces: DataFrame, ranks: dict[bytes, int], table: Column, ho
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spread = spark.createDataFrame(top.select(["piece"])).repartition(parts)
     rows = folded(spread.mapInArrow(pack, "pieces array<binary>, words array<array<int>>"), "words", table).toArrow()
-    flat, ids = [], []
+    flat, sizes, ids = [pa.array([], pa.binary())], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
     for batch in rows.to_batches():
         flat.append(batch.column("pieces").flatten())
         words = batch.column("words").flatten()
-        values, at = words.flatten().to_numpy(zero_copy_only=False).astype(np.uint16), words.offsets.to_numpy() - words.offsets[0].as_py()
-        ids += np.split(values, at[1:-1]) if len(words) else []
-    return (pa.concat_arrays(flat) if flat else pa.array([], pa.binary())), ids
+        sizes.append(np.diff(words.offsets.to_numpy()).astype(np.int64))
+        ids.append(words.flatten().to_numpy(zero_copy_only=False).astype(np.uint16))
+    return pa.concat_arrays(flat), np.concatenate(sizes), np.concatenate(ids)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, then=None,
@@ -179,13 +184,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         raise ValueError("ids must fit 16 bits")
     keyed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = keyed.schema["key"].dataType.simpleString()
-    pieces, table = cut(keyed, jvm_pattern(spark, pattern)), table_column(spark, ranks)
+    pieces, table = cut(keyed, pattern), table_column(spark, ranks)
     entries = vocabulary_entries(ranks)
     lists = pieces.select("pieces")
     counts = stored(counted(lists, _flat_pieces, spark.sparkContext.broadcast(entries)), "bpe-pieces")
-    flat, ids = hot_dictionary(counts, ranks, table, hot)
-    shared = spark.sparkContext.broadcast(Known.of(pa.concat_arrays([pa.array(list(ranks), pa.binary()), flat]),
-                                                   [np.array([v], np.uint16) for v in ranks.values()] + ids))
+    flat, sizes, ids = hot_dictionary(counts, ranks, table, hot)
+    shared = spark.sparkContext.broadcast(Known.of(
+        pa.concat_arrays([pa.array(list(ranks), pa.binary()), flat]), np.concatenate([np.ones(len(ranks), np.int64), sizes]),
+        np.concatenate([np.array(list(ranks.values()), np.uint16), ids])))
     byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
     def number(batches):
@@ -200,9 +206,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 place = np.empty(len(order), np.int32)
                 place[order] = np.arange(len(order), dtype=np.int32)
                 sure = at[order[:int((at >= 0).sum())]]
-                sizes = known.sizes[sure]
-                ends = np.cumsum(sizes)
-                pool = known.ids[np.repeat(known.begin[sure] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+                sizes = known.sizes[sure].astype(np.int32)
+                pool, _ = gather(known.ids, known.begin, known.sizes, sure)
                 rest = coded.dictionary.take(pa.array(order[len(sure):]))
                 yield pa.record_batch(
                     [_one(batch.column("key")), _one(pc.list_value_length(lists).cast(pa.int32())), pa.array([place[coded.indices.to_numpy()].tobytes()], pa.binary()),
@@ -221,9 +226,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 pool = np.r_[np.frombuffer(row.column("sure")[0].as_py(), "<u2"), tail]
                 each = np.r_[np.frombuffer(row.column("sure_sizes")[0].as_py(), "<i4"), np.diff(words.offsets.to_numpy())].astype(np.int64)
                 codes = np.frombuffer(row.column("codes")[0].as_py(), "<i4")
-                n = each[codes]
-                ends = np.r_[0, np.cumsum(n)]
-                ids = pool[np.repeat((np.cumsum(each) - each)[codes] - ends[:-1], n) + np.arange(ends[-1])].astype("<u2")
+                ids, ends = gather(pool.astype("<u2"), np.cumsum(each) - each, each, codes)
                 texts = ends[np.r_[0, np.cumsum(row.column("sizes").flatten().to_numpy())]]
                 yield pa.record_batch([row.column("keys").flatten(), pa.array([ids[a:b].tobytes() for a, b in zip(texts, texts[1:])], pa.binary())],
                                       ["key", "ids"])
