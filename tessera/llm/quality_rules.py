@@ -108,5 +108,7 @@ def kept_documents(docs: DataFrame, version: int = 2) -> DataFrame:
 
     The measures are computed beside the row in one projection chain: no join by id, so equal ids stay apart."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), F.col("text").alias("text"))
-    kept = apply_policy(ledger(packed), version).filter("kept")
+    # the row number keeps the filter above the measures: pushed below, it would repeat them inside their own lambdas
+    judged = apply_policy(ledger(packed), version).withColumn("_row", F.monotonically_increasing_id())
+    kept = judged.filter("kept and _row >= 0")
     return kept.select(*[F.col("doc_id").getField(c).alias(c) for c in docs.columns])
