@@ -6,10 +6,9 @@ feature domain is cut into k + 1 + x parts by hash, so two similar sets agree in
 signature. Each set leaves out the x signatures of fewest elements, which say least: of x + 1 common ones the last in the order of
 (elements, signature), which is the same order for both sets, is left out by neither.
 
-Each task merges its own signatures first: where more than eight of its documents share one, it keeps the smallest and pairs the rest with
+Each task merges its own signatures first: where more than four of its documents share one, it keeps the smallest and pairs the rest with
 it, so a signature reaches the shuffle a bounded number of times per task however common it is. Signatures travel as packed arrays, one row
-per shard and task. All pairs of a group of at most eight are candidates; in a larger group each document is paired with the smallest and
-with the one before it. Candidates of fitting sizes are screened on 16-bit hashes, which can only overstate what two sets share, and the
+per shard and task. All pairs of a group of at most four are candidates; in a larger group each document is paired with the smallest. Candidates of fitting sizes are screened on 16-bit hashes, which can only overstate what two sets share, and the
 rest is verified on whole sets. Links are then closed to components. Where documents of a larger group end in different components, all
 documents of these components are joined again, now on their rarest shingles: of two similar sets the n - ceil(s n) + 1 rarest of each
 share one. So no link is lost, and a passage that many documents share pairs nobody.
@@ -28,7 +27,7 @@ from tessera.llm import words as W
 from tessera.llm.folders import stored
 
 WORDS = 5
-SMALL = 8  # documents of one signature that are compared pairwise
+SMALL = 4  # documents of one signature that are compared pairwise
 FLUSH = 3_000_000  # signatures that a task holds before it merges and sends them
 SHARD_DOCS = 2_000  # documents per shard of the signature shuffle
 
@@ -184,9 +183,8 @@ def _candidates(packed: DataFrame) -> DataFrame:
             out.append(np.stack([d[i], d[i + lag]], 1))
             flags.append(np.zeros(len(i), np.int64))
         rest = np.flatnonzero(large & ~head)
-        for x in (np.flatnonzero(head)[group[rest]], rest - 1):
-            out.append(np.stack([d[x], d[rest]], 1))
-            flags.append(np.ones(len(rest), np.int64))
+        out.append(np.stack([d[np.flatnonzero(head)[group[rest]]], d[rest]], 1))
+        flags.append(np.ones(len(rest), np.int64))
         return _pairs(np.concatenate(out), np.concatenate(flags))
 
     # the pairs inside a task are not gathered: each packed row is a group of its own
