@@ -92,7 +92,7 @@ def svd_embed(ds: SpatialData, features: DataFrame, n_comp: int = 30) -> DataFra
 def combat(ds: SpatialData, column: str = "value", rounds: int = 30) -> tuple[DataFrame, DataFrame]:
     """Empirical-Bayes location and scale correction per slice and gene.
 
-    Returns (entries with `adjusted`, zeros(slice, gene, zero_value)). Everything is a function of the
+    Returns (entries with `adjusted`, maps(slice, gene, scale, zero_value)); an absent entry becomes its zero_value. Everything is a function of the
     zero-aware moments of each (slice, gene), so the matrix is read once for moments and once to apply an
     affine map; the fixed-point rounds run inside one expression per (slice, gene)."""
     sizes = ds.slice_sizes()
@@ -127,12 +127,12 @@ def combat(ds: SpatialData, column: str = "value", rounds: int = 30) -> tuple[Da
     maps = g.select("slice", "gene", "scale", shift.alias("zero_value"))
     entries = ds.expr.join(maps, ["slice", "gene"], "left").withColumn(
         "adjusted", F.coalesce(v * F.col("scale") + F.col("zero_value"), v)).drop("scale", "zero_value")
-    return entries, maps.select("slice", "gene", "zero_value")
+    return entries, maps
 
 
 def combat_pca(ds: SpatialData, features: DataFrame, n_comp: int = 50) -> tuple[DataFrame, list[float]]:
-    entries, zeros = combat(ds)
-    return pca_embed(ds.with_expr(entries), features, n_comp, "adjusted", zeros)
+    entries, maps = combat(ds)
+    return pca_embed(ds.with_expr(entries), features, n_comp, "adjusted", maps.select("slice", "gene", "zero_value"))
 
 
 def scale_pca(ds: SpatialData, features: DataFrame, n_comp: int = 30) -> DataFrame:

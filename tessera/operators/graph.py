@@ -299,12 +299,12 @@ def aggregate_neighbours(emb: DataFrame, edges: DataFrame, layers: int) -> DataF
     return out.drop("emb")
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): smallest id of each component by alternating large-star and small-star rounds.
-    The rounds double path lengths, so their number grows with the logarithm of the longest path."""
+    The rounds double path lengths, so their number grows with the logarithm of the longest path; they go on until nothing changes."""
     e = cut_lineage(edges.select("src", "dst").filter("src <> dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    for _ in range(max_rounds):
+    while True:
         # large star: all larger neighbours (and the node) point to the smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -32,9 +32,9 @@ def slice_mixing_entropy(emb: DataFrame, k: int = 15, edges: DataFrame | None =
     return h.agg(F.avg(F.when(F.col("m") > 1, F.col("h") / F.log("m")).otherwise(F.col("h"))).alias("value"))
 
 
-def silhouette_values(emb: DataFrame, cluster_col: str, sample: int | None = 10000, seed: int = 0,
+def silhouette_values(emb: DataFrame, cluster_col: str, sample: int | None = None, seed: int = 0,
                       by: Sequence[str] = (), block: int = 1024) -> DataFrame:
-    """Euclidean silhouette of each (sampled) point, exact over the sample, inside each `by` group.
+    """Euclidean silhouette of each point inside each `by` group; over a hashed sample only if `sample` is given.
 
     Points are hashed to blocks; every pair of blocks is one task unit that returns, per point of the
     first block, its distance sums to the clusters of the second, so point pairs are never rows."""
@@ -81,7 +81,7 @@ def silhouette_values(emb: DataFrame, cluster_col: str, sample: int | None = 100
     return s.select(*by, "spot_id", "c", value.alias("silhouette"))
 
 
-def silhouette(emb: DataFrame, cluster_col: str, sample: int | None = 10000, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+def silhouette(emb: DataFrame, cluster_col: str, sample: int | None = None, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """Mean silhouette; NULL with fewer than two clusters."""
     s = silhouette_values(emb, cluster_col, sample, seed, by)
     return s.groupBy(*by).agg(F.when(F.count_distinct("c") >= 2, F.avg("silhouette")).alias("value"), F.count("*").alias("n"))
@@ -366,7 +366,7 @@ def eval_clustering(spots: DataFrame, emb: DataFrame, cluster_col: str = "cluste
     null = emb.sparkSession.range(1).select(F.lit(None).cast("double").alias("value"))
     mean = F.avg("value").alias("value")
     return _rows({
-        "silhouette": silhouette(emb, cluster_col), "ari": ari(emb, "label", cluster_col) if labelled else null,
+        "silhouette": silhouette(emb, cluster_col).select(F.coalesce("value", F.lit(0.0)).alias("value")), "ari": ari(emb, "label", cluster_col) if labelled else null,
         "nmi": nmi(emb, "label", cluster_col) if labelled else null,
         "CHAOS": chaos(placed, cluster_col).agg(mean), "PAS": pas(placed, cluster_col, k).agg(mean)}, "Clustering")
 

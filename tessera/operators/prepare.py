@@ -146,8 +146,10 @@ def subset_slices(ds: SpatialData, slices: Sequence[str], check: bool = True) ->
     return _nonempty(SpatialData(ds.spots.filter(keep), ds.genes, ds.expr.filter(keep), ds.pairs), "slices", check)
 
 
-def subset_labels(ds: SpatialData, labels: Sequence[str], check: bool = True) -> SpatialData:
-    spots = ds.spots.filter(F.col("label").isin(list(labels)))
+def subset_labels(ds: SpatialData, labels: Sequence[str] | DataFrame, check: bool = True) -> SpatialData:
+    """`labels` are names, or a frame with a column `label`."""
+    named = isinstance(labels, DataFrame)
+    spots = ds.spots.join(labels.select("label"), "label", "left_semi") if named else ds.spots.filter(F.col("label").isin(list(labels)))
     expr = ds.expr.join(spots.select("spot_id"), "spot_id", "left_semi")
     return _nonempty(SpatialData(spots, ds.genes, expr, ds.pairs), "labels", check)
 

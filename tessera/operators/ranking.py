@@ -105,9 +105,9 @@ def conserved(ds: SpatialData, column: str = "value") -> DataFrame:
 
 
 def tf_list(ds: SpatialData, factors: DataFrame, species: str) -> DataFrame:
-    """Transcription factors of a species in list order. The key is ENSEMBL when the first 50 gene
-    names start with ENS, else the symbol without case."""
-    head = ds.genes.orderBy("gene_index").limit(50).agg(F.bool_and(F.col("gene").startswith("ENS")).alias("e")).first()["e"]
+    """Transcription factors of a species in list order. The key is ENSEMBL when all gene names
+    start with ENS, else the symbol without case."""
+    head = ds.genes.agg(F.bool_and(F.col("gene").startswith("ENS")).alias("e")).first()["e"]
     known = factors.filter(F.lower("Species") == species.lower())
     if head:
         keyed = known.select(F.col("ENSEMBL").alias("gene"), "position")

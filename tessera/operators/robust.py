@@ -168,10 +168,14 @@ def bootstrap_ranks(scores: DataFrame, draws: int = 1000, seed: int = 0, value:
     return _summaries(_rank_draws(r, _draw_units(r, "dataset", ["integration_method"], draws, seed)), ["integration_method"])
 
 
-def exact_bootstrap_ranks(scores: DataFrame, value: str = "CoreOverallMean") -> DataFrame:
-    """All n^n ordered resamples of n datasets (n is at most 6): draw number in base n."""
+def exact_bootstrap_ranks(scores: DataFrame, value: str = "CoreOverallMean", most: int = 6) -> DataFrame:
+    """All n^n ordered resamples of n datasets: draw number in base n. More than `most` datasets are an error, not left out:
+    raise `most` knowingly, or use `bootstrap_ranks`."""
     r = _ranked(scores, value)
-    units = r.groupBy("integration_method").agg(F.sort_array(F.collect_set("dataset")).alias("_u")).filter("size(_u) <= 6")
+    units = r.groupBy("integration_method").agg(F.sort_array(F.collect_set("dataset")).alias("_u"))
+    largest = units.agg(F.max(F.size("_u"))).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"{largest} datasets have {largest}^{largest} resamples; `most` is {most}")
     n = F.size("_u").cast("bigint")
     d = units.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.pow(n, n).cast("bigint") - 1))).withColumn(
         "_k", F.explode(F.sequence(F.lit(0), F.size("_u") - 1)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.checks import assert_empty, assert_unique
+from tessera.functions.checks import assert_empty, nan_to_null, assert_unique
 from tessera.functions.numeric import mean_if_complete, mean_of_present, ratio
 from tessera.functions.ranks import avg_rank
 
@@ -56,7 +56,7 @@ def orient(results: DataFrame, meta: DataFrame | None = None, check: bool = Fals
     if check:
         assert_empty(results.join(meta, "metric_name", "left_anti").select("metric_name"), "unknown metric")
     side = F.broadcast(meta.select("metric_name", "component", "direction"))  # 13 rows
-    return results.join(side, "metric_name").withColumn("oriented", F.col("metric_value") * F.col("direction"))
+    return nan_to_null(results, "metric_value").join(side, "metric_name").withColumn("oriented", F.col("metric_value") * F.col("direction"))
 
 
 def seed_average(oriented: DataFrame) -> DataFrame:

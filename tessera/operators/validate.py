@@ -271,17 +271,3 @@ def reference_concordance(long: DataFrame, draws: int = 1000, seed: int = 0) ->
         F.concat_ws(":", "reference", "metric").alias("comparison"), "fold", F.col("value").alias("x"), "y")
     boot = bootstrap_spearman(j, "x", "y", "fold", draws, seed, ["comparison"]).select("comparison", "n", "rho", "lower", "upper")
     return cross.unionByName(boot)
-
-
-def pattern_profiles(spots: DataFrame, slice_number: Column) -> DataFrame:
-    """Domain, gradient, focal and periodic profiles of unit coordinates, standardized per slice (population deviation)."""
-    x, y, k = F.col("x"), F.col("y"), slice_number
-    focal_x, focal_y = 0.32 + 0.10 * (k % 3), 0.68 - 0.08 * (k % 3)
-    raw = {
-        "domain": (x + 0.15 * y > 0.58).cast("double"), "gradient": 0.75 * x + 0.25 * y,
-        "focal": F.exp(-((x - focal_x) * (x - focal_x) + (y - focal_y) * (y - focal_y)) / 0.035),
-        "periodic": F.sin(4 * math.pi * x + k * math.pi / 7) + 0.35 * F.cos(2 * math.pi * y)}
-    r = spots.withColumns(raw)
-    # moments are one row per slice, joined back: no window over a whole slice
-    m = r.groupBy("slice").agg(*[F.avg(c).alias(f"m_{c}") for c in raw], *[F.stddev_pop(c).alias(f"s_{c}") for c in raw])
-    return r.join(m, "slice").select(*spots.columns, *[((F.col(c) - F.col(f"m_{c}")) / (F.col(f"s_{c}") + 1e-12)).alias(c) for c in raw])

@@ -171,17 +171,17 @@ def _(spark, path):
 
 @query("score_audit", """
     WITH st AS (SELECT DISTINCT dataset, fs_method, n_features FROM records WHERE fs_method <> 'Brand#7'), d AS (
-    SELECT 'input metric-key duplicates' AS "check", 0 AS expected, (SELECT count(*) FROM (SELECT 1 FROM records GROUP BY dataset, fs_method, n_features, integration_method, task, metric_name, random_seed HAVING count(*) > 1)) AS observed
-    UNION ALL SELECT 'metric direction coverage', 0, 0 UNION ALL SELECT 'frozen range rows', (SELECT count(*) FROM (SELECT DISTINCT dataset, task, metric_name FROM records)), (SELECT count(*) FROM ranges)
-    UNION ALL SELECT 'finite setting metrics missing ranges', 0, (SELECT count(*) FROM setting_scaled WHERE oriented_mean IS NOT NULL AND status IS NULL)
-    UNION ALL SELECT 'setting metric means outside [0,1]', 0, (SELECT count(*) FROM setting_scaled WHERE scaled < -1e-10 OR scaled > 1 + 1e-10)
-    UNION ALL SELECT 'setting scores missing CoreOverall', 0, (SELECT count(*) FROM core_scores WHERE CoreOverallMean IS NULL)
-    UNION ALL SELECT 'alignment scores outside eligible datasets', 0, (SELECT count(*) FROM (SELECT dataset, avg(Alignment) AS a FROM seed_scores GROUP BY dataset, fs_method, n_features, integration_method) WHERE a IS NOT NULL AND dataset NOT IN ('BUILDING', 'FURNITURE'))
-    UNION ALL SELECT 'duplicate representative settings', 0, (SELECT count(*) FROM (SELECT 1 FROM st GROUP BY dataset, fs_method HAVING count(*) > 1))
-    UNION ALL SELECT 'representative score coverage', (SELECT count(*) FROM st) * (SELECT count(DISTINCT integration_method) FROM records), (SELECT count(*) FROM core_scores SEMI JOIN st USING (dataset, fs_method, n_features))
-    UNION ALL SELECT 'controls in competitive ranking', 0, 0
-    UNION ALL SELECT 'constant frozen ranges', 0, (SELECT count(*) FROM ranges WHERE status = 'constant'))
-    SELECT "check", expected::BIGINT AS expected, observed::BIGINT AS observed, CASE WHEN expected = observed THEN 'PASS' WHEN "check" = 'constant frozen ranges' THEN 'WARN' ELSE 'FAIL' END AS status FROM d""")
+    SELECT 'repeated record keys' AS "check", 0 AS expected, (SELECT count(*) FROM (SELECT 1 FROM records GROUP BY dataset, fs_method, n_features, integration_method, task, metric_name, random_seed HAVING count(*) > 1)) AS observed
+    UNION ALL SELECT 'metrics without a direction', 0, 0 UNION ALL SELECT 'one range per dataset and metric', (SELECT count(*) FROM (SELECT DISTINCT dataset, task, metric_name FROM records)), (SELECT count(*) FROM ranges)
+    UNION ALL SELECT 'settings without a range', 0, (SELECT count(*) FROM setting_scaled WHERE oriented_mean IS NOT NULL AND status IS NULL)
+    UNION ALL SELECT 'scaled settings beyond 0 and 1', 0, (SELECT count(*) FROM setting_scaled WHERE scaled < -1e-10 OR scaled > 1 + 1e-10)
+    UNION ALL SELECT 'settings without a core score', 0, (SELECT count(*) FROM core_scores WHERE CoreOverallMean IS NULL)
+    UNION ALL SELECT 'alignment where no pair is declared', 0, (SELECT count(*) FROM (SELECT dataset, avg(Alignment) AS a FROM seed_scores GROUP BY dataset, fs_method, n_features, integration_method) WHERE a IS NOT NULL AND dataset NOT IN ('BUILDING', 'FURNITURE'))
+    UNION ALL SELECT 'methods with two chosen settings', 0, (SELECT count(*) FROM (SELECT 1 FROM st GROUP BY dataset, fs_method HAVING count(*) > 1))
+    UNION ALL SELECT 'chosen settings with scores', (SELECT count(*) FROM st) * (SELECT count(DISTINCT integration_method) FROM records), (SELECT count(*) FROM core_scores SEMI JOIN st USING (dataset, fs_method, n_features))
+    UNION ALL SELECT 'controls that compete', 0, 0
+    UNION ALL SELECT 'ranges of width zero', 0, (SELECT count(*) FROM ranges WHERE status = 'constant'))
+    SELECT "check", expected::BIGINT AS expected, observed::BIGINT AS observed, CASE WHEN expected = observed THEN 'PASS' WHEN "check" = 'ranges of width zero' THEN 'WARN' ELSE 'FAIL' END AS status FROM d""")
 def _(spark, path):
     o, setting, ranges, seeds = tables(spark, path)
     scores = S.setting_scores(seeds)
@@ -236,17 +236,35 @@ def _(spark, path):
 
 
 REQUIRED = ["bASW", "iLISI", "silhouette", "CHAOS", "PAS"]
-RUNS = "SELECT dataset, fs_method, integration_method, random_seed, count(DISTINCT metric_name) FILTER (metric_value IS NOT NULL) AS n_present FROM records WHERE metric_name IN ('bASW', 'iLISI', 'silhouette', 'CHAOS', 'PAS') GROUP BY 1, 2, 3, 4"
+RUN = ["dataset", "fs_method", "integration_method", "random_seed"]
+RUNS = """SELECT dataset, fs_method, integration_method, random_seed, coalesce(n, 0) AS n_present
+    FROM (SELECT DISTINCT dataset FROM records) CROSS JOIN (SELECT DISTINCT fs_method FROM records) CROSS JOIN (SELECT DISTINCT integration_method FROM records)
+    CROSS JOIN (SELECT DISTINCT random_seed FROM records)
+    LEFT JOIN (SELECT dataset, fs_method, integration_method, random_seed, count(DISTINCT metric_name) FILTER (metric_value IS NOT NULL) AS n
+               FROM records WHERE metric_name IN ('bASW', 'iLISI', 'silhouette', 'CHAOS', 'PAS') GROUP BY 1, 2, 3, 4) USING (dataset, fs_method, integration_method, random_seed)"""
+
+
+def run_grid(records):
+    """Every run of the job grid, from the values of each axis."""
+    grid = records.agg(*[F.collect_set(c).alias(c) for c in RUN])
+    for c in RUN:
+        grid = grid.withColumn(c, F.explode(c))
+    return grid
+
+
+def runs(spark, path):
+    records = fx.records(spark, path)
+    return K.run_coverage(records, REQUIRED, RUN, run_grid(records))
 
 
 @query("run_coverage", f"SELECT *, n_present = 5 AS complete FROM ({RUNS})")
 def _(spark, path):
-    return K.run_coverage(fx.records(spark, path), REQUIRED, ["dataset", "fs_method", "integration_method", "random_seed"])
+    return runs(spark, path)
 
 
 @query("complete_methods", f"SELECT fs_method, bool_and(n_present = 5) AS complete, count(*) AS n_runs FROM ({RUNS}) GROUP BY 1")
 def _(spark, path):
-    return K.complete_methods(K.run_coverage(fx.records(spark, path), REQUIRED, ["dataset", "fs_method", "integration_method", "random_seed"]))
+    return K.complete_methods(runs(spark, path))
 
 
 @query("pending_jobs", f"""

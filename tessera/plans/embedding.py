@@ -56,11 +56,8 @@ def _(spark, path):
     SELECT slice, gene, round(1 / sqrt(st[2]), 5) + 0 AS scale, round(grand - grand / sqrt(st[2]) - sd * st[1] / sqrt(st[2]), 5) + 0 AS zero_value FROM it""")
 def _(spark, path):
     ds = fx.dataset(spark, path)
-    entries, zeros = E.combat(ds)
-    # the scale is read back from an entry: (adjusted - zero) / value
-    s = entries.join(zeros, ["slice", "gene"]).groupBy("slice", "gene").agg(
-        F.max_by((F.col("adjusted") - F.col("zero_value")) / F.col("value"), "value").alias("scale"), F.first("zero_value").alias("zero_value"))
-    return s.select("slice", "gene", (F.round("scale", 5) + F.lit(0.0)).alias("scale"), (F.round("zero_value", 5) + F.lit(0.0)).alias("zero_value"))
+    _, maps = E.combat(ds)
+    return maps.select("slice", "gene", (F.round("scale", 5) + F.lit(0.0)).alias("scale"), (F.round("zero_value", 5) + F.lit(0.0)).alias("zero_value"))
 
 
 @query("combat_pca")

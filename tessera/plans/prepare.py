@@ -132,8 +132,7 @@ def _(spark, path):
       AND gene LIKE 'PROMO-%' GROUP BY ALL""")
 def _(spark, path):
     ds = P.subset_slices(fx.dataset(spark, path), ["AUTOMOBILE", "MACHINERY"], check=False)
-    # two label names chosen over all spots, a dictionary-sized read
-    labels = [r["label"] for r in fx.spots(spark, path).groupBy("label").count().orderBy(F.desc("count"), "label").limit(2).collect()]
+    labels = fx.spots(spark, path).groupBy("label").count().orderBy(F.desc("count"), "label").limit(2).select("label")
     ds = P.subset_labels(ds, labels, check=False)
     ds = P.subset_features(ds, ds.genes.filter(F.col("gene").startswith("PROMO-")), check=False)
     return ds.expr.join(ds.spots.select("spot_id", "label"), "spot_id").groupBy("slice", "label", "gene").agg(F.sum("count").alias("total"))

@@ -32,9 +32,13 @@ def rounded(df, *cols):
     return df.withColumns({c: r6(c) for c in cols})
 
 
-@query("metric_metadata", "SELECT metric_name, task_group, component, direction, needs_label FROM metric_meta")
+@query("metric_metadata", """
+    SELECT metric_name, task_group, component, direction, needs_label, count(dataset) AS n_records, count(metric_value) AS n_values
+    FROM metric_meta LEFT JOIN records USING (metric_name) GROUP BY 1, 2, 3, 4, 5""")
 def _(spark, path):
-    return S.metric_metadata(spark).select("metric_name", "task_group", "component", "direction", "needs_label")
+    seen = fx.records(spark, path).groupBy("metric_name").agg(F.count("*").alias("n_records"), F.count("metric_value").alias("n_values"))
+    return S.metric_metadata(spark).join(seen, "metric_name", "left").na.fill(0, ["n_records", "n_values"]).select(
+        "metric_name", "task_group", "component", "direction", "needs_label", "n_records", "n_values")
 
 
 @query("orient", f"SELECT {SETQ}, metric_name, random_seed, round(oriented, 6) + 0 AS oriented FROM oriented")

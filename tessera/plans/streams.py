@@ -38,9 +38,12 @@ def _(spark, path):
 
 
 @query("stream_progress", """
-    SELECT dataset, integration_method, count(*) AS n_done, 975 AS n_expected, round(count(*) / 975, 6) + 0 AS share FROM records GROUP BY 1, 2""")
+    WITH e AS (SELECT count(DISTINCT fs_method) * count(DISTINCT metric_name) * count(DISTINCT random_seed) AS n_expected FROM records)
+    SELECT dataset, integration_method, count(*) AS n_done, n_expected, round(count(*) / n_expected, 6) + 0 AS share FROM records, e GROUP BY 1, 2, 4""")
 def _(spark, path):
-    expected = fx.records(spark, path).select("dataset", "integration_method").distinct().withColumn("n_expected", F.lit(975))
+    r = fx.records(spark, path)
+    keys = r.select(F.count_distinct("fs_method") * F.count_distinct("metric_name") * F.count_distinct("random_seed")).scalar()
+    expected = r.select("dataset", "integration_method").distinct().withColumn("n_expected", keys)
     expected.write.parquet(side := os.path.join(scratch(spark), "expected"))
     s = N.record_stream(spark, _record_files(spark, path))
     out = _finish(N.progress(s, spark.read.parquet(side)), spark, "update")
@@ -56,20 +59,23 @@ def _(spark, path):
     return out.withColumns({c: r6(c) for c in ("lower", "upper", "mean")})
 
 
-def _events(spark, path):
-    """The events table as a file stream. A far-future row of its own event type closes all windows."""
+def _events(spark, path, late=False):
+    """The events table as a file stream. A far-future row of its own event type closes all windows; `late` rows come after it."""
     base = os.path.join(scratch(spark), "in")
     e = fx.table(spark, path, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    e.coalesce(1).write.parquet(os.path.join(base, "a"))
+    e.write.parquet(os.path.join(base, "a"))
     last = e.agg(F.max("event_id").alias("event_id")).select("event_id", F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit(0).cast("bigint").alias("user_id"),
                                                              F.lit("close").alias("event_type"), F.lit(0.0).alias("value"))
-    last.coalesce(1).write.parquet(os.path.join(base, "b"))
+    last.write.parquet(os.path.join(base, "b"))
+    if late:  # the watermark of one batch drops late rows from the next but one
+        last.write.parquet(os.path.join(base, "b2"))
+        e.filter("user_id % 3 = 0").write.parquet(os.path.join(base, "c"))
     return N.event_stream(spark, os.path.join(base, "*"), e.schema, 1)
 
 
-def _windowed(spark, path, window, keys):
+def _windowed(spark, path, window, keys, late=False):
     out = os.path.join(scratch(spark), "out")
-    w = N.windowed(_events(spark, path), window, keys, "40 days").select(
+    w = N.windowed(_events(spark, path, late), window, keys, "40 days").select(
         F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), *keys, "n", r6("mean").alias("mean"), r6("lower").alias("lower"), r6("upper").alias("upper"))
     N.write_available(w, out, os.path.join(scratch(spark), "cp"))
     return spark.read.parquet(out).filter(F.col("start") < F.lit("2029-01-01").cast("timestamp_ntz"))
@@ -84,6 +90,13 @@ def _(spark, path):
     return _windowed(spark, path, N.tumbling("1 hour"), ["event_type"])
 
 
+@query("stream_late", f"""
+    SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end", event_type, {STATS} FROM events GROUP BY 1, 2, 3""")
+def _(spark, path):
+    """Rows behind the watermark arrive again: they change nothing."""
+    return _windowed(spark, path, N.tumbling("1 hour"), ["event_type"], late=True)
+
+
 @query("stream_sliding", f"""
     WITH e AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * k AS start FROM events, (SELECT unnest(range(3)) AS k))
     SELECT start, start + INTERVAL 3 HOUR AS "end", event_type, {STATS} FROM e GROUP BY 1, 2, 3""")

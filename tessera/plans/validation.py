@@ -207,18 +207,3 @@ def _(spark, path):
 def _(spark, path):
     d = V.paired_difference(fx.records(spark, path), ["dataset", "fs_method", "metric_name"], "integration_method", "F", "O", "metric_value")
     return d.withColumns({c: r6(c) for c in ("first_value", "second_value", "difference")})
-
-
-@query("pattern_profiles", """
-    WITH u AS (SELECT spot_id, slice, x / 40 AS x, y / (SELECT max(y) + 1 FROM spots) AS y, spot_id % 3 AS k FROM spots),
-    r AS (SELECT *, (x + 0.15 * y > 0.58)::INT AS a, 0.75 * x + 0.25 * y AS b, exp(-(pow(x - (0.32 + 0.1 * (k % 3)), 2) + pow(y - (0.68 - 0.08 * (k % 3)), 2)) / 0.035) AS c,
-                 sin(4 * pi() * x + k * pi() / 7) + 0.35 * cos(2 * pi() * y) AS d FROM u)
-    SELECT spot_id, round((a - avg(a) OVER w) / (stddev_pop(a) OVER w + 1e-12), 6) + 0 AS domain, round((b - avg(b) OVER w) / (stddev_pop(b) OVER w + 1e-12), 6) + 0 AS gradient,
-           round((c - avg(c) OVER w) / (stddev_pop(c) OVER w + 1e-12), 6) + 0 AS focal, round((d - avg(d) OVER w) / (stddev_pop(d) OVER w + 1e-12), 6) + 0 AS periodic
-    FROM r WINDOW w AS (PARTITION BY slice)""")
-def _(spark, path):
-    s = fx.spots(spark, path)
-    top = s.select(F.max("y") + 1).scalar()
-    unit = s.withColumns({"x": F.col("x") / 40, "y": F.col("y") / top})
-    out = V.pattern_profiles(unit, F.col("spot_id") % 3)
-    return out.select("spot_id", *[r6(c).alias(c) for c in ("domain", "gradient", "focal", "periodic")])
