@@ -254,9 +254,9 @@ def interleave(bwts: list[np.ndarray], strings: list[int], rounds: int) -> tuple
     more if it agrees in that symbol and its rows came from one block."""
     base = np.cumsum([0, *(len(b) for b in bwts)])
     symbol = np.concatenate(bwts)
-    before = np.concatenate([np.where(f < 0, -1, f + b) for f, b in zip(map(_last_to_first, bwts), base)])
-    ends = np.concatenate([np.arange(n) + b for n, b in zip(strings, base)])
-    rows, block = np.arange(len(symbol)), np.zeros(len(symbol), np.int32)
+    before = np.concatenate([np.where(f < 0, -1, f + b).astype(np.int32) for f, b in zip(map(_last_to_first, bwts), base)])
+    ends = np.concatenate([np.arange(n, dtype=np.int32) + np.int32(b) for n, b in zip(strings, base)])
+    rows, block = np.arange(len(symbol), dtype=np.int32), np.zeros(len(symbol), np.int32)
     for _ in range(rounds):
         dealt = symbol[rows]
         order = np.argsort(dealt, kind="stable")[len(ends):]  # a string's start has nothing before it
@@ -271,7 +271,7 @@ def interleave(bwts: list[np.ndarray], strings: list[int], rounds: int) -> tuple
 def places(bwt: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of each row, by walking all strings backwards at once."""
     back = _last_to_first(bwt)
-    string, offset = np.zeros(len(bwt), np.int64), np.zeros(len(bwt), np.int64)
+    string, offset = np.zeros(len(bwt), np.int32), np.zeros(len(bwt), np.int32)
     row, mine, left = np.arange(len(sizes)), np.arange(len(sizes)), sizes.astype(np.int64)
     while len(row):
         string[row], offset[row] = mine, left
@@ -324,14 +324,15 @@ def _repeats(transforms: DataFrame, shards: int, length: int) -> DataFrame:
             starts.append(s)
             windows.append(r)
         rows, block = interleave(bwts, [len(d) for d in docs], length)
+        shared = np.bincount(block)[block] > 1
+        rows, block = rows[shared], block[shared]
         where = [places(b, r + length - 1) for b, r in zip(bwts, windows)]
-        base = np.cumsum([0, *(len(d) for d in docs)])
+        base = np.cumsum([0, *(len(d) for d in docs)], dtype=np.int32)
         string = np.concatenate([w[0] + b for w, b in zip(where, base)])[rows]
         offset = np.concatenate([w[1] for w in where])[rows]
-        doc, start, window = (np.concatenate(x)[string] for x in (docs, starts, windows))
-        size = np.bincount(block)
-        keep = (size[block] > 1) & (offset < window)
-        doc, at, block = doc[keep], (start + offset)[keep], block[keep]
+        keep = offset < np.concatenate(windows)[string]
+        string, offset, block = string[keep], offset[keep], block[keep]
+        doc, at = np.concatenate(docs)[string], np.concatenate(starts)[string] + offset
         order = np.lexsort((at, doc, block))
         doc, at, block = doc[order], at[order], block[order]
         later = np.r_[False, (block[1:] == block[:-1])]
