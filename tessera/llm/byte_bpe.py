@@ -69,18 +69,21 @@ def table_column(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
 
 def fold(word: str, table: str) -> str:
     """SQL of the ids of one word: merges the leftmost pair of lowest rank while there is one."""
-    def rank(a: str, b: str) -> str:
-        key = f"(shiftleft(bigint({a}), {_SHIFT}) + {b})"
-        at = lambda prime: f"{table}[int({key} % {prime})]"
-        return (f"case when {b} is null then null when shiftright({at(_A)}, {_SHIFT}) = {key} then int({at(_A)} & 65535) "
-                f"when shiftright({at(_B)}, {_SHIFT}) = {key} then int({at(_B)} & 65535) end")
+    def key(a: str, b: str) -> str:
+        return f"shiftleft(bigint({a}), {_SHIFT}) + {b}"
+
+    def ranks_of(keys: str) -> str:
+        at = lambda prime: f"{table}[int(k % {prime})]"
+        return (f"transform({keys}, k -> case when shiftright({at(_A)}, {_SHIFT}) = k then int({at(_A)} & 65535) "
+                f"when shiftright({at(_B)}, {_SHIFT}) = k then int({at(_B)} & 65535) end)")
 
     ids = "concat(slice(acc.i, 1, p - 1), array(m), slice(acc.i, p + 2, size(acc.i)))"
-    ranks = (f"concat(slice(acc.r, 1, greatest(p - 2, 0)), if(p > 1, array({rank('get(acc.i, p - 2)', 'm')}), array()), "
-             f"array({rank('m', 'get(acc.i, p + 1)')}), slice(acc.r, p + 2, size(acc.r)))")
+    new = ranks_of(f"array(if(p > 1, {key('get(acc.i, p - 2)', 'm')}, null), {key('m', 'get(acc.i, p + 1)')})")
+    ranks = f"concat(slice(acc.r, 1, greatest(p - 2, 0)), slice({new}, if(p > 1, 1, 2), 2), slice(acc.r, p + 2, size(acc.r)))"
     merged = f"if(m is null, acc, transform(array(int(array_position(acc.r, m))), p -> named_struct('i', {ids}, 'r', {ranks}))[0])"
     step = f"transform(array(array_min(acc.r)), m -> {merged})[0]"
-    start = f"named_struct('i', {word}, 'r', zip_with({word}, slice({word}, 2, size({word})), (a, b) -> {rank('a', 'b')}))"
+    pairs = ranks_of(f"zip_with({word}, slice({word}, 2, size({word})), (a, b) -> {key('a', 'b')})")
+    start = f"named_struct('i', {word}, 'r', {pairs})"
     return f"if(size({word}) < 2, {word}, aggregate(sequence(2, size({word})), {start}, (acc, step) -> {step}, acc -> acc.i))"
 
 
