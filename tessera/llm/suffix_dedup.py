@@ -27,6 +27,7 @@ from tessera.llm.folders import stored
 
 LENGTH = 100
 GRAM = 24
+FIRST = 7  # symbols of a suffix that fit one number
 BYTES = 1 << 20
 _PLACE = np.uint64(BYTES - 1)  # low bits of a hash that hold a place
 FLUSH = 500_000  # segments that a task holds before it merges and sends them
@@ -214,28 +215,33 @@ def transform(strings: list[np.ndarray]) -> np.ndarray:
     keep = np.ones(n, bool)
     keep[ends] = False
     symbol[keep] = np.concatenate(strings) + np.uint8(1)
-    rank = symbol.astype(np.int64) + m
-    rank[ends] = np.arange(m)
-    step = 1
-    order = np.argsort(rank, kind="stable")
-    rank = _ranks(rank[order], order)
-    while step <= n:
+    # the first symbols of each suffix in one number, nothing after its end; equal ends are told apart by their strings
+    padded = np.concatenate([symbol, np.zeros(FIRST, np.uint8)])
+    packed, ended = np.zeros(n, np.int64), np.zeros(n, bool)
+    for k in range(FIRST):
+        packed = packed << 8 | np.where(ended, 0, padded[k:k + n])
+        ended |= padded[k:k + n] == 0
+    order = np.argsort(packed, kind="stable")
+    rank = _ranks(packed[order], order, ended[order])
+    step = FIRST
+    while rank[order[-1]] < n - 1:
         second = np.zeros(n, np.int64)
         second[:n - step] = rank[step:] + 1
         both = rank * (n + 2) + second
         order = np.argsort(both, kind="stable")
         rank = _ranks(both[order], order)
-        if rank[order[-1]] == n - 1:
-            break
         step *= 2
     before = symbol[order - 1]
     before[order == 0] = 0
     return before
 
 
-def _ranks(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
+def _ranks(ordered: np.ndarray, order: np.ndarray, distinct: np.ndarray | None = None) -> np.ndarray:
+    new = ordered[1:] != ordered[:-1]
+    if distinct is not None:
+        new |= distinct[1:]
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
+    rank[order] = np.cumsum(np.r_[False, new])
     return rank
 
 
@@ -248,23 +254,23 @@ def _last_to_first(bwt: np.ndarray) -> np.ndarray:
     return out
 
 
-def interleave(bwts: list[np.ndarray], strings: list[int], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges transforms: (rows in merged order by their first `rounds` symbols, block number of each). A row is its number in the
-    concatenation of all transforms. Each round stably deals the rows by the symbol before them; a new neighbour pair agrees in one symbol
-    more if it agrees in that symbol and its rows came from one block."""
+def interleave(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merges transforms: the rows, by their first `rounds` symbols, that share these with another row, and their block numbers. A row is
+    its number in the concatenation of all transforms. Each round stably deals the rows by the symbol before them; new neighbours agree in
+    one symbol more if they agree in that symbol and their rows came from one block. A row that is alone in its block leads to rows that
+    are alone, so it is dropped."""
     base = np.cumsum([0, *(len(b) for b in bwts)])
     symbol = np.concatenate(bwts)
     before = np.concatenate([np.where(f < 0, -1, f + b).astype(np.int32) for f, b in zip(map(_last_to_first, bwts), base)])
-    ends = np.concatenate([np.arange(n, dtype=np.int32) + np.int32(b) for n, b in zip(strings, base)])
     rows, block = np.arange(len(symbol), dtype=np.int32), np.zeros(len(symbol), np.int32)
     for _ in range(rounds):
         dealt = symbol[rows]
-        order = np.argsort(dealt, kind="stable")[len(ends):]  # a string's start has nothing before it
+        order = np.argsort(dealt, kind="stable")[int((dealt == 0).sum()):]  # a string's start has nothing before it
         kind, old = dealt[order], block[order]
-        rows = np.concatenate([ends, before[rows[order]]])
-        new = np.ones(len(order), bool)
-        new[1:] = (kind[1:] != kind[:-1]) | (old[1:] != old[:-1])
-        block = np.concatenate([np.arange(len(ends), dtype=np.int32), len(ends) - 1 + np.cumsum(new, dtype=np.int32)])
+        new = np.ones(len(order) + 1, bool)
+        new[1:-1] = (kind[1:] != kind[:-1]) | (old[1:] != old[:-1])
+        shared = ~(new[:-1] & new[1:])
+        rows, block = before[rows[order[shared]]], np.cumsum(new[:-1][shared], dtype=np.int32)
     return rows, block
 
 
@@ -323,9 +329,7 @@ def _repeats(transforms: DataFrame, shards: int, length: int) -> DataFrame:
             docs.append(d)
             starts.append(s)
             windows.append(r)
-        rows, block = interleave(bwts, [len(d) for d in docs], length)
-        shared = np.bincount(block)[block] > 1
-        rows, block = rows[shared], block[shared]
+        rows, block = interleave(bwts, length)
         where = [places(b, r + length - 1) for b, r in zip(bwts, windows)]
         base = np.cumsum([0, *(len(d) for d in docs)], dtype=np.int32)
         string = np.concatenate([w[0] + b for w, b in zip(where, base)])[rows]
