@@ -200,3 +200,22 @@ def test_heldout_split(spark):
     assert [r["spot_id"] for r in train.spots.collect()] == [1] and [r["spot_id"] for r in held.expr.collect()] == [2]
     with pytest.raises(ValueError):
         V.split_slice(held, "b")
+
+
+def test_exact_bootstrap_refuses_too_many_datasets(spark):
+    from tessera.operators.robust import exact_bootstrap_ranks
+
+    rows = [("run", f"d{d}", f"m{m}", float(d * m % 5)) for d in range(7) for m in range(3)]
+    scores = spark.createDataFrame(rows, "integration_method string, dataset string, fs_method string, CoreOverallMean double")
+    with pytest.raises(ValueError, match="7 datasets"):
+        exact_bootstrap_ranks(scores)
+    assert exact_bootstrap_ranks(scores.filter("dataset < 'd3'")).count() == 3
+
+
+def test_run_without_records_is_incomplete(spark):
+    from tessera.operators.audit import complete_methods, run_coverage
+
+    records = spark.createDataFrame([("a", 0, "x", 1.0), ("a", 1, "x", 1.0), ("b", 0, "x", 1.0)], "fs_method string, random_seed long, metric_name string, metric_value double")
+    grid = spark.createDataFrame([(m, s) for m in "ab" for s in (0, 1)], "fs_method string, random_seed long")
+    got = complete_methods(run_coverage(records, ["x"], ["fs_method", "random_seed"], grid)).collect()
+    assert {r.fs_method: (r.complete, r.n_runs) for r in got} == {"a": (True, 2), "b": (False, 2)}
