@@ -1,9 +1,12 @@
 """Cross-entropy difference between a target and a background n-gram model.
 
 The background model counts every document, the target model the trusted ones; both use the same vocabulary, the same inventory of word
-pairs and the same smoothing. Words are named by 64-bit hashes. The vocabulary holds the words whose corpus count reaches a threshold, the
-inventory the pairs of vocabulary words that do; each threshold is the lowest count whose entries fit the stated model size, so ties are
-in or out together. All counts are gathered over all documents: tasks merge their own counts, packed counts are summed per shard.
+pairs and the same smoothing. Words and pairs are named by 64-bit hashes. The vocabulary holds every word that the corpus has at least LEAST
+times, the inventory every such pair, at any size of the corpus, so the model grows with the input and no task holds it.
+
+Texts are hashed once and stored in chunks of a bounded number of tokens, or one text. Each chunk sends its distinct words and pairs with
+their counts, packed, to the shards of the key space; a shard sums them and answers each chunk with the sums of the keys that it sent. A
+chunk is then scored with its own answers.
 
     p(w | v) = weight * c(v, w) / c(v) + (1 - weight) * (c(w) + 1) / (n + size + 1)
 
@@ -15,10 +18,9 @@ model is uniform; an empty table gives no rows. Only the named columns are read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,9 @@ from tessera.llm import words as W
 from tessera.llm.folders import stored
 
 WEIGHT = 0.6
-VOCABULARY = 50_000
-PAIRS = 400_000
-FLUSH = 2_000_000
+LEAST = 2  # words and pairs seen less often are not in the model
+CHUNK_TOKENS = 1_000_000
+SHARD_TOKENS = 2_000_000
 BROADCAST_ROWS = 1_000_000
 
 
@@ -40,52 +42,6 @@ def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return W.word_hashes(buf, starts, ends), np.searchsorted(starts, offsets)
 
 
-def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[head], np.add.reduceat(counts, head, axis=0) if len(head) else counts
-
-
-def counted(docs: DataFrame, keys_of, shards: int, least: int = 1) -> DataFrame:
-    """(key, n, n_target): sums of the keys that `keys_of(words, first)` gives as (key, text number), over all documents."""
-    def scan(batches):
-        keys, flags, held = [], [], 0
-
-        def flush():
-            k, f = np.concatenate(keys), np.concatenate(flags)
-            k, c = _sums(k, np.stack([np.ones(len(k), np.int64), f], 1))
-            shard = (W.mix(k.view(np.uint64)) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-            order = np.argsort(shard, kind="stable")
-            k, c = k[order], c[order]
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(i, k[a:b].tobytes(), c[a:b].astype("<u4").tobytes()) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            i, k, c = zip(*rows)
-            return pa.record_batch([pa.array(i, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["shard", "keys", "counts"])
-
-        for whole in batches:
-            for batch in W.slices(whole, "text"):
-                k, text = keys_of(*text_words(batch.column("text")))
-                keys.append(k)
-                flags.append(batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64)[text])
-                held += len(k)
-                if held > FLUSH:
-                    yield flush()
-                    keys, flags, held = [], [], 0
-        if held:
-            yield flush()
-
-    def total(key, table):
-        k = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
-        c = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
-        k, c = _sums(k, c)
-        keep = c[:, 0] >= least
-        return pa.table({"key": k[keep], "n": c[keep, 0], "n_target": c[keep, 1]})
-
-    packed = docs.select("text", "target").mapInArrow(scan, "shard int, keys binary, counts binary")
-    return packed.groupBy("shard").applyInArrow(total, "key long, n long, n_target long")
-
-
 def frequent(counts: DataFrame, size: int) -> pa.Table:
     """The stored counts from the lowest count on whose entries are at most `size`, by key. The result is bounded by `size`."""
     levels = sorted(((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True)
@@ -99,22 +55,6 @@ def frequent(counts: DataFrame, size: int) -> pa.Table:
     return rows.sort_by(rows.column_names[0])
 
 
-@dataclass(frozen=True)
-class Model:
-    """Losses of both models as arrays over the shared vocabulary and inventory; bounded by their sizes."""
-    words: np.ndarray  # ascending hashes
-    single: np.ndarray  # (size + 1, 2): -log of the unigram part alone; the last row is the class of other words
-    pairs: np.ndarray  # ascending left * (size + 1) + right
-    loss: np.ndarray  # (pairs, 2): loss of the pair
-
-
-def word_ids(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at, len(vocabulary))
-
-
 def tagged(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, text, target). Trusted ids are broadcast while their count is small, else joined by shuffle."""
     ids = stored(trusted.select(F.col(id_col).alias("key")).filter("key is not null").distinct().withColumn("_t", F.lit(True)), "lm-trusted")
@@ -122,75 +62,164 @@ def tagged(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> D
     return keyed.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "key", "left").select("key", "text", F.coalesce("_t", F.lit(False)).alias("target"))
 
 
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY, pairs: int = PAIRS, weight: float = WEIGHT, shard_docs: int = 4_000) -> Model:
-    """Both models from (key, text, target) rows."""
-    n_docs = docs.count()
-    shards = max(1, -(-n_docs // shard_docs))
-
-    def single(hashes, first):
-        return hashes.view(np.int64), np.repeat(np.arange(len(first) - 1), np.diff(first))
-
-    counts = stored(counted(docs, single, shards), "lm-words")
-    whole = counts.agg(F.sum("n"), F.sum("n_target")).first()
-    n = np.array([whole[0] or 0, whole[1] or 0], np.float64)
-    # a word seen once cannot carry a pair, so it belongs to the class of other words
-    top = frequent(counts.filter("n > 1"), vocabulary)
-    key = top["key"].to_numpy()
-    order = np.argsort(key.view(np.uint64))
-    words, c = key.view(np.uint64)[order], np.stack([top["n"].to_numpy(), top["n_target"].to_numpy()], 1)[order].astype(np.float64)
-    size = len(words)
-    c = np.concatenate([c, (n - c.sum(0))[None]])
-    uni = (c + 1) / (n + size + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def double(hashes, first):
-        ids = word_ids(hashes, shared.value)
-        k = np.flatnonzero((ids[:-1] < len(shared.value)) & (ids[1:] < len(shared.value)))
-        text = np.searchsorted(first, k, "right") - 1
-        same = k + 1 < first[text + 1]
-        k, text = k[same], text[same]
-        return ids[k] * (len(shared.value) + 1) + ids[k + 1], text
-
-    top = frequent(stored(counted(docs, double, shards, least=2), "lm-pairs"), pairs)
-    key, both = top["key"].to_numpy(), np.stack([top["n"].to_numpy(), top["n_target"].to_numpy()], 1).astype(np.float64)
-    left, right = key // (size + 1), key % (size + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        share = np.where(c[left] > 0, both / c[left], uni[right])
-    return Model(words, -np.log((1 - weight) * uni), key, -np.log(weight * share + (1 - weight) * uni[right]))
-
+def tokens(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Chunks of (key, text, target) rows: (chunk, n, n_target, keys, lengths, target, words, ids). `words` are the distinct hashes, most
+    frequent first, `ids` the places of the tokens in them as compressed byte planes."""
+    def scan(batches):
+        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(key, n_tokens, target_loss, background_loss, score) of (key, text) rows. The first word of a text has no pair."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        def flush():
+            keys, lengths, target, hashes = zip(*held)
+            n, flags, h = np.concatenate(lengths), np.concatenate(target), np.concatenate(hashes)
+            words, ids, count = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-count, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            planes = rank[ids].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            keys = pa.concat_arrays(keys)
+            return pa.record_batch([
+                pa.array([part << 32 | made], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([int(n[flags].sum())], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+                *(pa.array([x], pa.binary()) for x in (n.astype("<i8").tobytes(), flags.tobytes(), words[order].tobytes(), pa.compress(planes, "zstd", asbytes=True)))],
+                ["chunk", "n", "n_target", "keys", "lengths", "target", "words", "ids"])
 
-    def scan(batches):
-        m = shared.value
-        size = len(m.words)
         for whole in batches:
             for batch in W.slices(whole, "text"):
                 hashes, first = text_words(batch.column("text"))
-                ids = word_ids(hashes, m.words)
-                loss = m.single[ids]
-                pair = np.full(len(ids), -1, np.int64)
-                pair[1:] = ids[:-1] * (size + 1) + ids[1:]
-                pair[first[:-1][first[:-1] < len(ids)]] = -1
-                if len(m.pairs):
-                    at = np.minimum(np.searchsorted(m.pairs, pair), len(m.pairs) - 1)
-                    hit = m.pairs[at] == pair
-                    loss[hit] = m.loss[at[hit]]
-                n = np.diff(first)
-                full = n > 0
-                mean = np.full((len(n), 2), np.nan)
-                if full.any():
-                    mean[full] = np.add.reduceat(loss, first[:-1][full], axis=0) / n[full, None]
-                yield pa.record_batch([batch.column("key"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=~full) for x in (mean[:, 1], mean[:, 0], mean[:, 1] - mean[:, 0]))],
-                                      ["key", "n_tokens", "target_loss", "background_loss", "score"])
+                held.append((batch.column("key"), np.diff(first), batch.column("target").to_numpy(zero_copy_only=False).astype(bool), hashes))
+                size += len(hashes) + batch.num_rows
+                if size > chunk_tokens:
+                    yield flush()
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield flush()
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", "text").mapInArrow(scan, f"key {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return docs.select("key", "text", "target").mapInArrow(
+        scan, f"chunk long, n long, n_target long, keys array<{kind}>, lengths binary, target binary, words binary, ids binary")
+
+
+class Chunk:
+    """The distinct words and pairs of a chunk, ascending, and the place in them of each token and of the pair that ends with it (or -1)."""
+
+    def __init__(self, n: int, lengths: bytes, target: bytes, words: bytes, ids: bytes):
+        self.lengths = np.frombuffer(lengths, "<i8")
+        self.target = np.repeat(np.frombuffer(target, bool), self.lengths)
+        raw, words = pa.decompress(ids, 4 * n, "zstd", asbytes=True), np.frombuffer(words, np.uint64)
+        ids = np.frombuffer(raw, np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
+        order = np.argsort(words)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.words, self.word = words[order], place[ids]
+        inside = np.ones(n, bool)
+        starts = np.cumsum(self.lengths) - self.lengths
+        inside[starts[self.lengths > 0]] = False
+        self.pair = np.full(n, -1, np.int64)
+        self.pairs, self.pair[inside] = np.unique(W.window_hashes(words[ids], 2)[inside[1:]], return_inverse=True)
+
+    def counts(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(keys, n, n_target) of the words and of the pairs."""
+        inside = self.pair >= 0
+        return [(k, np.bincount(at, minlength=len(k)), np.bincount(at[t], minlength=len(k)))
+                for k, at, t in ((self.words, self.word, self.target), (self.pairs, self.pair[inside], self.target[inside]))]
+
+    def cuts(self, shards: int) -> list[np.ndarray]:
+        """For the words and the pairs, where the keys of each shard begin, and the end."""
+        return [np.searchsorted((k >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1)) for k in (self.words, self.pairs)]
+
+
+PARTS = ("n", "lengths", "target", "words", "ids")
+SENT = [f"{kind}_{what}" for kind in ("word", "pair") for what in ("keys", "n", "t")]
+ANSWER = [f"{kind}_{what}" for kind in ("word", "pair") for what in ("n", "t")]
+
+
+def totals(chunks: DataFrame, shards: int) -> DataFrame:
+    """(chunk, shard, sums of the keys that the chunk sent to the shard, 0 for those not in the model). A row of chunk -1 has the shard's
+    number of vocabulary words and their two counts in place of the word sums."""
+    def send(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(*(row[c] for c in PARTS))
+                cuts, kinds = chunk.cuts(shards), chunk.counts()
+                for s in range(shards):
+                    out = []
+                    for cut, (k, n, t) in zip(cuts, kinds):
+                        a, b = cut[s], cut[s + 1]
+                        out += [k[a:b].tobytes(), n[a:b].astype("<i8").tobytes(), t[a:b].astype("<i8").tobytes()]
+                    if out[0] or out[3]:
+                        yield pa.record_batch([pa.array([s], pa.int32()), pa.array([row["chunk"]], pa.int64()), *(pa.array([x], pa.binary()) for x in out)], ["shard", "chunk", *SENT])
+
+    def add(key, table):
+        size = table.num_rows
+        answers, stats = [], b""
+        for kind in ("word", "pair"):
+            keys, n, t = (table[f"{kind}_{x}"].to_pylist() for x in ("keys", "n", "t"))
+            ends = np.cumsum([len(x) // 8 for x in keys])
+            k, n, t = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(n), "<i8"), np.frombuffer(b"".join(t), "<i8")
+            order = np.argsort(k)
+            head = np.flatnonzero(np.r_[True, k[order[1:]] != k[order[:-1]]]) if len(k) else np.zeros(0, np.int64)
+            sums = np.stack([np.add.reduceat(x[order], head) if len(k) else x for x in (n, t)])
+            sums[:, sums[0] < LEAST] = 0
+            if kind == "word":
+                stats = np.array([(sums[0] > 0).sum(), *sums.sum(1)], "<i8").tobytes()
+            back = np.empty((2, len(k)), "<i8")
+            back[:, order] = np.repeat(sums, np.diff(np.r_[head, len(k)]), axis=1)
+            answers += [[pa.compress(x[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(np.r_[0, ends], ends)] + [y] for x, y in zip(back, (stats, b""))]
+            stats = b""
+        return pa.table({"chunk": pa.array([*table["chunk"].to_pylist(), -1], pa.int64()), "shard": pa.array([key[0].as_py()] * (size + 1), pa.int32()),
+                         **{c: pa.array(x, pa.binary()) for c, x in zip(ANSWER, answers)}})
+
+    sent = chunks.select("chunk", *PARTS).mapInArrow(send, "shard int, chunk long, " + ", ".join(f"{c} binary" for c in SENT))
+    return sent.groupBy("shard").applyInArrow(add, "chunk long, shard int, " + ", ".join(f"{c} binary" for c in ANSWER))
+
+
+def losses(chunk: Chunk, word: np.ndarray, pair: np.ndarray, whole: np.ndarray, other: np.ndarray, size: int, weight: float) -> np.ndarray:
+    """(background, target) loss of each token, from (2, keys) sums of the chunk's words and pairs."""
+    c = np.where(word[0] > 0, word, other[:, None])
+    uni = (c + 1) / (whole + size + 1)[:, None]
+    loss = -np.log((1 - weight) * uni)[:, chunk.word]
+    at = np.flatnonzero(chunk.pair >= 0)
+    at = at[pair[0, chunk.pair[at]] > 0]
+    left, right, both = chunk.word[at - 1], chunk.word[at], pair[:, chunk.pair[at]]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.where(c[:, left] > 0, both / c[:, left], uni[:, right])
+    loss[:, at] = -np.log(weight * share + (1 - weight) * uni[:, right])
+    return loss
 
 
-def cross_entropy_difference(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
-    """Fits both models on all documents and scores every document."""
+def cross_entropy_difference(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT,
+                             chunk_tokens: int = CHUNK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Fits both models on all documents and scores every document: (key, n_tokens, target_loss, background_loss, score). The first word
+    of a text has no pair."""
     rows = tagged(docs, trusted, id_col, text_col)
-    return score(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), fit(rows, **sizes))
+    kind = rows.schema["key"].dataType.simpleString()
+    chunks = stored(tokens(rows, chunk_tokens), "lm-tokens")
+    n = chunks.agg(F.sum("n"), F.sum("n_target")).first()
+    whole = np.array([n[0] or 0, n[1] or 0], np.float64)
+    shards = max(1, -(-int(whole[0]) // shard_tokens))
+    sums = stored(totals(chunks, shards), "lm-totals")
+    stats = np.zeros(3, np.int64)
+    for r in sums.filter("chunk < 0").select("word_n").toLocalIterator():
+        stats += np.frombuffer(bytes(r[0]), "<i8")
+    size, other = int(stats[0]), whole - stats[1:]
+
+    def score(_, mine, answers):
+        row = mine.to_pylist()[0]
+        chunk = Chunk(*(row[c] for c in PARTS))
+        cuts, got = chunk.cuts(shards), [np.zeros((2, len(k)), np.int64) for k in (chunk.words, chunk.pairs)]
+        for r in answers.to_pylist():
+            for cut, out, kind in zip(cuts, got, ("word", "pair")):
+                a, b = (int(x) for x in cut[r["shard"]:r["shard"] + 2])
+                for line, what in zip(out, ("n", "t")):
+                    line[a:b] = np.frombuffer(pa.decompress(r[f"{kind}_{what}"], 8 * (b - a), "zstd", asbytes=True), "<i8")
+        loss = losses(chunk, *got, whole, other, size, weight)
+        n = chunk.lengths
+        full = n > 0
+        mean = np.full((2, len(n)), np.nan)
+        if full.any():
+            mean[:, full] = np.add.reduceat(loss, (np.cumsum(n) - n)[full], axis=1) / n[full]
+        return pa.table({"key": mine["keys"].combine_chunks().flatten(), "n_tokens": pa.array(n, pa.int64()), **{
+            c: pa.array(x, pa.float64(), mask=~full) for c, x in (("target_loss", mean[1]), ("background_loss", mean[0]), ("score", mean[1] - mean[0]))}})
+
+    both = chunks.select("chunk", "keys", *PARTS).groupBy("chunk").cogroup(sums.filter("chunk >= 0").groupBy("chunk"))
+    return both.applyInArrow(score, f"key {kind}, n_tokens long, target_loss double, background_loss double, score double")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -87,3 +88,25 @@ def jaccard(docs, percent=80):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def cross_entropies(docs, trusted, weight=0.6, least=2):
+    """(doc, text) rows to (doc, words, mean target loss, mean background loss)."""
+    texts = [(d, SPACED.findall((t or "").translate(LOW))) for d, t in docs]
+    one, two = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for d, w in texts:
+        for k in (0, 1) if d in trusted else (0,):
+            one[k].update(w)
+            two[k].update(zip(w, w[1:]))
+    vocabulary = {w for w, c in one[0].items() if c >= least}
+    inventory = {p for p, c in two[0].items() if c >= least}
+    n = [sum(c.values()) for c in one]
+    rest = [m - sum(c[w] for w in vocabulary) for m, c in zip(n, one)]
+
+    def loss(k, left, w):
+        uni = ((one[k][w] if w in vocabulary else rest[k]) + 1) / (n[k] + len(vocabulary) + 1)
+        if (left, w) not in inventory:
+            return -math.log((1 - weight) * uni)
+        return -math.log(weight * (two[k][left, w] / one[k][left] if one[k][left] else uni) + (1 - weight) * uni)
+
+    return [(d, len(w), *(sum(loss(k, a, b) for a, b in zip([None, *w], w)) / len(w) if w else None for k in (1, 0))) for d, w in texts]

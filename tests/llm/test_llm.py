@@ -227,6 +227,30 @@ def test_lm_score(docs, spark):
     assert all(r.n_tokens == 0 or r.score is not None for r in lm_score.cross_entropy_difference(docs, empty(trusted)).collect())
 
 
+def same_losses(rows, want):
+    got = by_row(rows, "key", "n_tokens", "target_loss", "background_loss")
+    want = sorted(want, key=repr)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(x == y if y is None else abs(x - y) < 1e-9 for g, w in zip(got, want) for x, y in zip(g[2:], w[2:]))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_tokens": 50, "shard_tokens": 900}])
+def test_lm_score_matches_plain(docs, spark, sizes):
+    trusted = spark.createDataFrame([(1,), (12,), (12,), (None,)], "doc_id long")
+    same_losses(lm_score.cross_entropy_difference(docs, trusted, **sizes).collect(), brute.cross_entropies(TEXTS, {1, 12}))
+
+
+def test_lm_score_keeps_all_words_and_pairs(spark):
+    """More words and pairs than any fixed model size; those of the trusted texts are among the rare ones."""
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{k}" for k in range(i // 2 * 4500, i // 2 * 4500 + 4500))) for i in range(200)]
+    rows += [(200 + i, " ".join(f"w{r.randrange(60)}" for _ in range(500))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = lm_score.cross_entropy_difference(df, spark.createDataFrame([(8,), (9,)], "doc_id long")).collect()
+    same_losses(got, brute.cross_entropies(rows, {8, 9}))
+    assert min(got, key=lambda x: x.score).key in (8, 9)
+
+
 def test_kneser_ney_sums_to_one(spark):
     text = [(prose(i, 60),) for i in range(20)]
     model = kneser_ney.fit(spark.createDataFrame(text, "text string"))
