@@ -298,19 +298,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         both = marked(pairs, base).groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.max("large").alias("large"))
         for side in ("a", "b"):
             both = both.join(some.groupBy(F.col("doc").alias(side)).agg(F.max("n_shingles").alias(f"n{side}")), side)
-        return both.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "large")
+        return both.select("a", "b", "large", F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").alias("fit"))
 
-    pairs = stored(per_class(_candidates(_packed(named, bands, shards))), "jaccard-pairs")
+    examined = stored(per_class(_candidates(_packed(named, bands, shards))), "jaccard-pairs")
+    pairs = examined.filter("fit")
     links = _verify(named, pairs, percent)
     comp = stored(components(base.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(links)), "jaccard-comp")
 
-    doubt = marked(pairs.filter("large = 1"), comp)  # examined and not linked
+    doubt = marked(examined.filter("large = 1"), comp)  # examined and not linked, be it for their sizes only
     doubt = stored(doubt.select(F.col("ca").alias("comp")).union(doubt.select("cb")).distinct(), "jaccard-doubt")
     if doubt.isEmpty():
         return sizes, comp
     members = named.select("doc").distinct().join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).join(doubt, "comp", "left_semi")
     again = _among(named, stored(members.select("doc", "comp"), "jaccard-members"), "inner")
-    more = stored(per_class(_rare_pairs(again, percent).withColumn("large", F.lit(1))).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
+    more = stored(per_class(_rare_pairs(again, percent).withColumn("large", F.lit(1))).filter("fit").join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
     return sizes, components(comp.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(_verify(named, more, percent)))
 
 

@@ -357,6 +357,18 @@ def test_jaccard_join_chains_and_shared_passages(spark, monkeypatch, small):
     assert sorted(x.doc_id for x in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_jaccard_join_smallest_document_of_unfitting_size(spark):
+    """A passage of 4 shingles, alone and with one more, behind many documents of 7 shingles that hold it, link with none and have smaller ids."""
+    rows = []
+    for p in range(12):
+        passage = " ".join(f"p{p}w{k}" for k in range(8))
+        rows += [(100 * p + i, f"{passage} a{p}x{i} b{p}x{i} c{p}x{i}") for i in range(40)]
+        rows += [(100 * p + 50, passage), (100 * p + 51, f"{passage} end")]
+    want = brute.jaccard(rows)
+    got = {x.doc: (x.n_shingles, x.component_id) for x in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want and all(want[100 * p + 51] == (5, 100 * p + 50) for p in range(12))
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(500, k) for k in range(501, 540)]
