@@ -51,8 +51,6 @@ _REWRITE = re.compile(
     rf"|(?P<dot>{_OPEN}{_DOT}{_CLOSE}|&#46;|{_BARE_DOT})"
     rf"|(?P<plus>(?<![a-z0-9])plus[ \t-](?=[0-9]|{_DIGIT}\b))"
     rf"|(?P<digits>(?<![^\W_]){_DIGIT}(?:[ \t-]{_DIGIT})++(?![^\W_]))", re.I)
-#: What a disguise must hold: a bracketed or bare wording of the dot or at, a character reference, or three digit words in a row.
-_TRIGGER = re.compile(rf"[(\[{{<][ \t]{{0,3}}(?:{_AT}|{_DOT})[ \t]{{0,3}}[)\]}}>]|&#(?:64|46);|[ \t](?:dot|punkt|punto)[ \t]|(?<![^\W_]){_DIGIT}[ \t-]{_DIGIT}[ \t-]{_DIGIT}(?![^\W_])", re.I)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -122,8 +120,7 @@ def rewrite(text: str) -> tuple[str, list[int], list[tuple[int, int, int, int]]]
 
 def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Identifiers that appear only after the rewriting, as spans of the source."""
-    odd = _ODD.search(text)
-    if not odd and not _TRIGGER.search(text):
+    if not _ODD.search(text) and not _REWRITE.search(text):
         return []
     clear, starts, pieces = rewrite(text)
 

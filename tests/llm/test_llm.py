@@ -159,7 +159,10 @@ def test_pii(docs):
 
 @pytest.mark.parametrize("text,want", [
     ("look at example.com dot", []), ("ip one nine two dot 168 dot 1 dot 1 x", ["one nine two dot 168 dot 1 dot 1"]), ("a[at]b[dot]org", ["a[at]b[dot]org"]),
-    ("a@b.org and ａ＠ｂ．ｏｒｇ", ["ａ＠ｂ．ｏｒｇ"]), ("un un un un", []), ("the dot at the end", []), ("a@b.org", [])])
+    ("a@b.org and ａ＠ｂ．ｏｒｇ", ["ａ＠ｂ．ｏｒｇ"]), ("un un un un", []), ("the dot at the end", []), ("a@b.org", []),
+    ("call plus 49 30 1234567 now", ["plus 49 30 1234567"]), ("+49 one seven 0 123456", ["+49 one seven 0 123456"]), ("a at b dot org", ["a at b dot org"]),
+    ("a&#64;b.org", ["a&#64;b.org"]), ("a@b&#46;org", ["a@b&#46;org"]), ("4111 1111 1111 one one one one", ["4111 1111 1111 one one one one"]),
+    ("a at b[dot]org", ["a at b[dot]org"]), ("host 10.0.0 dot 7", ["10.0.0 dot 7"])])
 def test_pii_disguises(text, want):
     assert [text[a:b] for _, a, b in pii.disguised_spans(text, pii.plain_spans(text))] == want
 
