@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, jaccard_join, kneser_ney, lm_score, pii, quality_rules, suffix_dedup, token_files, warc
+from tessera.llm import byte_bpe, decontaminate, filter_audit, jaccard_join, kneser_ney, lm_score, packing, pii, quality_rules, suffix_dedup, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +218,51 @@ from d left join kept using (r)
 def op6(spark: SparkSession, path: str) -> DataFrame:
     rows = suffix_dedup.remove_repeats(table(spark, path, "documents"))
     return rows.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+FILTERS_SQL = r"""
+with l as (select doc_id, max(cast(quality = 1 as int)) as q, max(cast(toxic = 1 as int)) as x from labels group by doc_id),
+t as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    coalesce(doc_id > min(doc_id) over (partition by coalesce(text, '')), false) as copy
+  from documents),
+m as (
+  select part, coalesce(q, 0) as q, coalesce(x, 0) as x,
+    cast(len(w) < 100 as int) + 2 * cast(100 * len(list_distinct(w)) < 80 * len(w) as int)
+    + 4 * cast(100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) as int)
+    + 8 * cast(regexp_matches(t, '[#$%&*|]') as int) + 16 * cast(copy as int) as m
+  from t left join l using (doc_id)),
+c as (select part, m, count(*) as n, sum(q) as good, sum(x) as toxic from m group by part, m),
+f as (select f, 1 << (ascii(f) - 65) as b from (select unnest(string_split('ABCDE', '')) as f)),
+o as (
+  select unnest([a.f || b.f || c.f || d.f || e.f]) as filter_order
+  from f a join f b on b.f <> a.f join f c on c.f not in (a.f, b.f) join f d on d.f not in (a.f, b.f, c.f) join f e on e.f not in (a.f, b.f, c.f, d.f)),
+s as (
+  select filter_order, step, 1 << (ascii(filter_order[step]) - 65) as bit,
+    list_sum(list_transform(string_split(left(filter_order, step - 1), ''), lambda z: case when z = '' then 0 else 1 << (ascii(z) - 65) end)) as before
+  from (select filter_order, unnest(range(1, 6)) as step from o)),
+r as (select part, m, n, good, toxic, filter_order, step, bit, coalesce(before, 0)::bigint as before from c, s)
+select part, filter_order, cast(step as int) as step,
+  cast(coalesce(sum(n) filter (m & (before | bit) = 0), 0) as bigint) as kept,
+  cast(coalesce(sum(n) filter (m & bit <> 0 and m & before = 0), 0) as bigint) as removed,
+  cast(coalesce(sum(n) filter (m & bit <> 0 and m & before <> 0), 0) as bigint) as redundant,
+  cast(coalesce(sum(n) filter (m = bit), 0) as bigint) as unique_fails,
+  cast(coalesce(sum(good) filter (m & bit <> 0 and m & before = 0), 0) as bigint) as good_lost,
+  cast(coalesce(sum(toxic) filter (m & bit <> 0 and m & before = 0), 0) as bigint) as toxic_lost,
+  cast(coalesce(sum(n * (120 // nullif(bit_count(m), 0))) filter (m & bit <> 0), 0) as bigint) as shapley
+from r group by part, filter_order, step
+"""
+
+
+@query("op12_filter_audit", FILTERS_SQL)
+def op12(spark: SparkSession, path: str) -> DataFrame:
+    return filter_audit.audit_table(spark, f"{path}/documents.parquet", table(spark, path, "labels"))
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, path: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = packing.pack_documents(table(spark, path, "documents"), public_tokenizers.path("word_bpe_49k.json")).rows
+    return rows.select(F.col("doc").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), F.col("crc32").alias("ids_crc32"), "sequence_id", "offset")
