@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, filter_audit, jaccard_join, kneser_ney, lm_score, packing, pii, quality_rules, suffix_dedup, token_files, warc
+from tessera.llm import byte_bpe, collocations, decontaminate, filter_audit, jaccard_join, kneser_ney, lm_score, packing, pii, quality_rules, suffix_dedup, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -266,3 +266,40 @@ def op13(spark: SparkSession, path: str) -> DataFrame:
 
     rows = packing.pack_documents(table(spark, path, "documents"), public_tokenizers.path("word_bpe_49k.json")).rows
     return rows.select(F.col("doc").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), F.col("crc32").alias("ids_crc32"), "sequence_id", "offset")
+
+
+PHRASES_SQL = r"""
+with p as (
+  select row_number() over () as r, lang, piece
+  from (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+t as (select lang, r, unnest(w) as w, unnest(range(len(w))) as i from (select lang, r, regexp_extract_all(piece, '[^\x20\x09]+') as w from p)),
+g as (select lang, w as w1, lead(w) over s as w2, lead(w, 2) over s as w3 from t window s as (partition by r order by i)),
+n as (select lang, count(*) as n from g group by lang),
+f1 as (select lang, w1, count(*) as f from g group by all),
+f2 as (select lang, w1, w2, count(*) as f from g where w2 is not null group by all having f >= 10),
+f3 as (select lang, w1, w2, w3, count(*) as f from g where w3 is not null group by all having f >= 10),
+around as (
+  select lang, w1, w2, max(f) as f from (select lang, w1, w2, f from f3 union all select lang, w2, w3, f from f3) group by all),
+two as (
+  select x.lang, x.w1 || ' ' || x.w2 as phrase, x.f as a, l.f as l, r.f as r, 1000000::hugeint * x.f * x.f // (l.f::hugeint * r.f) as score
+  from f2 x left join around y on y.lang = x.lang and y.w1 = x.w1 and y.w2 = x.w2
+  join f1 l on l.lang = x.lang and l.w1 = x.w1 join f1 r on r.lang = x.lang and r.w1 = x.w2
+  where y.f is null or 100 * y.f < 50 * x.f),
+cuts as (
+  select x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3 as phrase, x.f as a, l1.f as l1, r1.f as r1, l2.f as l2, r2.f as r2,
+    1000000::hugeint * x.f * x.f // (l1.f::hugeint * r1.f) as s1, 1000000::hugeint * x.f * x.f // (l2.f::hugeint * r2.f) as s2
+  from f3 x join f1 l1 on l1.lang = x.lang and l1.w1 = x.w1 join f2 r1 on r1.lang = x.lang and r1.w1 = x.w2 and r1.w2 = x.w3
+  join f2 l2 on l2.lang = x.lang and l2.w1 = x.w1 and l2.w2 = x.w2 join f1 r2 on r2.lang = x.lang and r2.w1 = x.w3),
+found as (
+  select * from two union all
+  select lang, phrase, a, case when s2 < s1 then l2 else l1 end, case when s2 < s1 then r2 else r1 end, least(s1, s2) from cuts)
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from found) join n using (lang)
+where rank <= 2000
+"""
+
+
+@query("op11_collocations", PHRASES_SQL)
+def op11(spark: SparkSession, path: str) -> DataFrame:
+    return collocations.collocations(table(spark, path, "documents"))
