@@ -17,6 +17,7 @@ no rows. Sequence numbers are any numbers; offsets have no gaps."""
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from dataclasses import dataclass
@@ -36,8 +37,8 @@ CAPACITY = 4096
 END = 1
 LOT = 8_192  # pieces that one group packs, on average
 ROUNDS = 4
-CACHED_WORDS = 200_000  # words whose ids a worker keeps
-SLICE_BYTES = 4 << 20
+CACHED_WORDS = 400_000  # words whose ids a worker keeps
+SLICE_BYTES = 8 << 20
 STEPS = 32  # step functions of 1 / k up to this k
 
 
@@ -63,20 +64,19 @@ class Encoder:
         new = np.flatnonzero(code < 0)
         got = [e.ids for e in self.encode([words[i] for i in new], add_special_tokens=False)]
         size = np.array([len(x) for x in got], np.int64)
-        pool = np.concatenate([self.pool, np.fromiter((i for x in got for i in x), "<u4", int(size.sum()))])
+        pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(got), "<u4", int(size.sum()))])
         begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
         size = np.concatenate([self.size, size])
         code[new] = len(self.begin) + np.arange(len(new))
-        room = CACHED_WORDS - len(self.begin)
-        if room > 0 and len(new):
-            keep = min(room, len(new))
-            for i in range(keep):
-                self.known[words[new[i]]] = len(self.begin) + i
-            n = len(self.begin) + keep
-            self.begin, self.size = begin[:n].copy(), size[:n].copy()
-            self.pool = pool[:begin[n - 1] + size[n - 1]].copy()
+        place = coded.indices.to_numpy()
+        keep = new[:max(0, CACHED_WORDS - len(self.begin))].tolist()
+        if keep:
+            n = len(self.begin)
+            self.known.update(zip([words[i] for i in keep], range(n, n + len(keep))))
+            n += len(keep)
+            self.begin, self.size, self.pool = begin[:n].copy(), size[:n].copy(), pool[:begin[n - 1] + size[n - 1]].copy()
         ends = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
-        ids, at = gather(pool, begin, size, np.insert(code[coded.indices.to_numpy()], ends, 0))
+        ids, at = gather(pool, begin, size, np.insert(code[place], ends, 0))
         return ids, at[np.r_[0, ends + 1 + np.arange(len(ends))]]
 
 
