@@ -1,7 +1,7 @@
 """Nearest-neighbour joins, radius degrees, graph aggregation and components.
 
-Coordinates: points of each slice are cut into cells of nearly equal size by quantile strips on x and,
-inside each strip, on y. Which cells can hold neighbours of which is decided between cells, from their
+Coordinates: a tree of boxes cuts each slice, level by level at quantiles, into cells of a bounded number of
+locations. Which cells can hold neighbours of which is decided between cells, by walking down the tree with their
 boxes; points then meet only the points of those cells. The join is exact and its rows stay a small
 multiple of the points. Vectors: see `vector_knn`.
 """
@@ -19,24 +19,50 @@ from tessera.functions.numeric import hash_order
 from tessera.functions.ranks import exact_quantiles
 from tessera.session import cut_lineage, spread
 
-MAX_CUTS = 256
+FAN = 16  # ranges per axis and level: a node of the tree has at most FAN * FAN children
 
 
 def _with_cuts(df: DataFrame, column: str, by: list[str], parts: Callable[[Column, Column], Column], name: str) -> DataFrame:
-    """Add `name`: the range of `column` inside its group, from quantile cuts (at most MAX_CUTS ranges).
+    """Add `name`: the range of `column` inside its group, from quantile cuts (at most FAN ranges).
     `parts` gives the number of ranges from the group's size and its width-to-height ratio."""
-    probs = [i / MAX_CUTS for i in range(1, MAX_CUTS)]
+    probs = [i / FAN for i in range(1, FAN)]
     q = df.groupBy(*by).agg(F.percentile_approx(column, probs, 2000).alias("_q"), F.count("*").alias("_n"),
                               F.coalesce(F.try_divide(F.stddev_pop("x"), F.stddev_pop("y")), F.lit(1.0)).alias("_aspect"))
-    k = F.least(F.greatest(parts(F.col("_n"), F.col("_aspect")), F.lit(1)), F.lit(MAX_CUTS))
+    k = F.least(F.greatest(parts(F.col("_n"), F.col("_aspect")), F.lit(1)), F.lit(FAN))
     picked = F.transform(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))),
-                         lambda i: F.element_at("_q", F.greatest((i * MAX_CUTS / k).cast("int"), F.lit(1))))
+                         lambda i: F.element_at("_q", F.greatest((i * FAN / k).cast("int"), F.lit(1))))
     cuts = q.select(*by, F.when(k > 1, F.array_distinct(picked)).otherwise(F.array().cast("array<double>")).alias("_cuts"))
     return df.join(cuts, by).withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")
 
 
+def partition_tree(locations: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+    """(*by, x, y, _cell, _path): the leaf of every distinct location in a tree of boxes, and the nodes from the root to it.
+
+    A node with more than 2 * size locations is cut into quantile strips on x and those into ranges on y, at most
+    FAN * FAN children, and so on below, so leaves stay bounded and their number is in proportion to the locations.
+    A level costs a few grouped passes over the locations that are still in full nodes; levels grow with the logarithm
+    of the largest group."""
+    by = list(by)
+    node = [*by, "_cell"]
+    open_ = locations.select(*by, "x", "y", F.lit(0).cast("long").alias("_cell"), F.array(F.lit(0).cast("long")).alias("_path"))
+    leaves = None
+    while True:
+        cut = _with_cuts(open_, "x", node, lambda n, aspect: F.ceil(F.sqrt(n / size * aspect)).cast("int"), "_strip")
+        cut = _with_cuts(cut, "y", [*node, "_strip"], lambda n, _: F.ceil(n / size).cast("int"), "_part")
+        child = F.col("_cell") * (FAN * FAN + 1) + 1 + F.col("_strip") * FAN + F.col("_part")
+        placed = cut_lineage(cut.withColumn("_cell", child).withColumn("_path", F.concat("_path", F.array("_cell"))).drop("_strip", "_part"))
+        full = placed.groupBy(*node).agg(F.count("*").alias("_n")).filter(F.col("_n") > 2 * size).select(*node)
+        full = cut_lineage(full)
+        done = full.isEmpty()
+        found = placed if done else placed.join(full, node, "left_anti")
+        leaves = found if leaves is None else leaves.unionByName(found)
+        if done:
+            return leaves
+        open_ = cut_lineage(placed.join(full, node, "left_semi"))
+
+
 class CellIndex:
-    """Cells of about `size` locations inside each group, with their boxes and points.
+    """Leaves of about `size` locations inside each group, with their boxes and points, under a tree of boxes.
 
     `keep` points of each location (smallest ids) go into the cells: among points at one place no others
     can be neighbours of any query. Without it, locations are stored once with their multiplicity."""
@@ -44,41 +70,56 @@ class CellIndex:
     def __init__(self, points: DataFrame, by: Sequence[str], size: int, keep: int | None):
         by = list(by)
         self.by = by
-        self.cell_key = [*by, "_strip", "_cell"]
-        placed = _with_cuts(points.select(*by, "spot_id", "x", "y"), "x", by,
-                            lambda n, aspect: F.ceil(F.sqrt(n / size * aspect)).cast("int"), "_strip")
-        placed = _with_cuts(placed, "y", [*by, "_strip"], lambda n, _: F.ceil(n / size).cast("int"), "_cell")
+        self.cell_key = [*by, "_cell"]
+        points = points.select(*by, "spot_id", "x", "y")
+        tree = partition_tree(points.select(*by, "x", "y").distinct(), by, size)
         # the search below costs compute and not bytes, so its partition number is set and not coalesced
-        self.placed = cut_lineage(spread(placed, *self.cell_key))
+        self.placed = cut_lineage(spread(points.join(tree, [*by, "x", "y"]), *self.cell_key))
         if keep is not None:
             # row_number <= keep is limited per input partition before its shuffle, so a hot location stays small
             w = Window.partitionBy(*self.cell_key, "x", "y").orderBy("spot_id")
             located = self.placed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
             located = located.withColumn("mult", F.lit(1).cast("bigint"))
         else:
-            located = self.placed.groupBy(*self.cell_key, "x", "y").agg(F.count("*").alias("mult")).withColumn(
+            located = self.placed.groupBy(*self.cell_key, "_path", "x", "y").agg(F.count("*").alias("mult")).withColumn(
                 "spot_id", F.lit(None).cast("string"))
-        # one row per cell of about `size` locations
-        self.cells = cut_lineage(located.groupBy(*self.cell_key).agg(
+        self.placed = self.placed.drop("_path")
+        # one row per cell of at most 2 * size locations
+        self.cells = cut_lineage(located.groupBy(*self.cell_key, "_path").agg(
             F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
             F.sum("mult").alias("n"), F.collect_list(F.struct("spot_id", "x", "y", "mult")).alias("_pts")))
-        # at most MAX_CUTS boxes per strip and MAX_CUTS strips per group
-        boxes = self.cells.groupBy(*by, "_strip").agg(
-            F.collect_list(F.struct("_cell", "x0", "x1", "y0", "y1", "n")).alias("_boxes"),
-            F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
-        self.boxes = boxes.select(*by, "_strip", "_boxes")
-        self.strips = boxes.groupBy(*by).agg(F.collect_list(F.struct("_strip", "x0", "x1", "y0", "y1", "n")).alias("_strips"))
-
-    def reach(self, bound: Column) -> DataFrame:
-        """Cell x cell rows whose boxes are within `bound` (a squared distance per cell, which may use the
-        strips of the group): (*cell_key, _bound, box _b, points _pts) with the points of the other cell."""
-        c = self.cells.drop("_pts").join(self.strips, self.by).withColumn("_bound", bound)
-        c = c.withColumn("_s", F.explode(F.filter("_strips", lambda s: _near(s) <= F.col("_bound")))).withColumn("_other", F.col("_s._strip"))
-        c = c.drop("_strips", "_s").join(self.boxes.withColumnRenamed("_strip", "_other"), [*self.by, "_other"]).withColumn(
-            "_b", F.explode(F.filter("_boxes", lambda b: _near(b) <= F.col("_bound"))))
-        other = self.cells.select(*self.by, F.col("_strip").alias("_other"), F.col("_cell").alias("_oc"), "_pts")
-        c = c.select(*self.cell_key, "_bound", "_other", "_b", F.col("_b._cell").alias("_oc"))
-        return c.join(other, [*self.by, "_other", "_oc"]).drop("_other", "_oc")
+        # every node below the root once, with its parent and the box and count of all below it
+        steps = self.cells.select(*by, "x0", "x1", "y0", "y1", "n", F.size("_path").alias("_depth"), F.posexplode("_path").alias("_at", "_parent"), "_path").filter(
+            "_at + 1 < _depth").withColumn("_child", F.get("_path", F.col("_at") + 1))
+        nodes = steps.groupBy(*by, "_parent", "_child").agg(
+            F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("n").alias("n"),
+            F.bool_or(F.col("_at") + 2 == F.col("_depth")).alias("leaf"))
+        # at most FAN * FAN boxes per node
+        self.children = cut_lineage(nodes.groupBy(*by, "_parent").agg(F.collect_list(F.struct("_child", "x0", "x1", "y0", "y1", "n", "leaf")).alias("_boxes")))
+        self.levels = (self.cells.agg(F.max(F.size("_path"))).first()[0] or 1) - 1
+
+    def with_siblings(self) -> DataFrame:
+        """Cells with the boxes `_boxes` of all children of their parent."""
+        parent = F.element_at("_path", -2)
+        return self.cells.withColumn("_parent", parent).join(self.children, [*self.by, "_parent"]).drop("_parent")
+
+    def reach(self, cells: DataFrame) -> DataFrame:
+        """Cell x cell rows whose boxes are within `_bound`, a squared distance that each row of `cells` has:
+        (*cell_key, _bound, box _b, points _pts) with the points of the other cell. Boxes are met from the root of
+        the tree down, one level per join, and only children of nodes within the bound are looked at."""
+        c = cells.select(*self.cell_key, "x0", "x1", "y0", "y1", "_bound", F.lit(0).cast("long").alias("_parent"))
+        found = None
+        for level in range(self.levels):
+            met = c.join(self.children, [*self.by, "_parent"]).withColumn(
+                "_b", F.explode(F.filter("_boxes", lambda b: _near(b) <= F.col("_bound")))).drop("_boxes", "_parent")
+            hit = met.filter("_b.leaf").select(*self.cell_key, "_bound", "_b", F.col("_b._child").alias("_oc"))
+            found = hit if found is None else found.unionByName(hit)
+            if level + 1 < self.levels:
+                c = cut_lineage(met.filter("not _b.leaf").withColumn("_parent", F.col("_b._child")).drop("_b"))
+        other = self.cells.select(*self.by, F.col("_cell").alias("_oc"), "_pts")
+        if found is None:
+            found = c.select(*self.cell_key, "_bound", F.lit(0).cast("long").alias("_oc")).withColumn("_b", F.lit(None)).limit(0)
+        return found.join(other, [*self.by, "_oc"]).drop("_oc")
 
 
 def _near(box: Column) -> Column:
@@ -107,17 +148,18 @@ def knn_join(spots: DataFrame, k: int, by: Sequence[str] = ("slice",)) -> DataFr
     edges(*by, src, dst, dist2, rank).
 
     The k neighbours of a point lie within the diagonal of its cell when the cell holds k others, else
-    within the strips that together hold enough points."""
+    within the sibling cells that together hold enough points (a parent that was cut holds more)."""
     by = list(by)
     index = CellIndex(spots, by, max(16, 2 * (k + 1)), k + 1)
     acc = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("d"))
     wide = F.aggregate(
-        F.sort_array(F.transform("_strips", lambda s: F.struct(_far(s).alias("d"), s["n"].alias("n")))), acc,
+        F.sort_array(F.transform("_boxes", lambda s: F.struct(_far(s).alias("d"), s["n"].alias("n")))), acc,
         lambda a, s: F.when(a["n"] >= k + 1, a).otherwise(F.struct((a["n"] + s["n"]).alias("n"), s["d"].alias("d"))))["d"]
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     bound = F.when(F.col("n") >= k + 1, w * w + h * h).otherwise(wide)
+    cells = index.with_siblings().withColumn("_bound", bound)
     q = index.placed.withColumnRenamed("spot_id", "src")
-    met = q.join(index.reach(bound), index.cell_key).filter(_gap2(F.col("_b")) <= F.col("_bound"))
+    met = q.join(index.reach(cells), index.cell_key).filter(_gap2(F.col("_b")) <= F.col("_bound"))
     e = met.select(*by, "src", "x", "y", "_bound", F.explode("_pts").alias("_p"))
     dx, dy = F.col("_p.x") - F.col("x"), F.col("_p.y") - F.col("y")
     e = e.select(*by, "src", F.col("_p.spot_id").alias("dst"), (dx * dx + dy * dy).alias("dist2"), "_bound")
@@ -133,7 +175,7 @@ def radius_degree(spots: DataFrame, radius: float, by: Sequence[str] = ("slice",
     by = list(by)
     index = CellIndex(spots, by, 32, None)
     r2 = F.lit(float(radius * radius))
-    near = index.placed.join(index.reach(r2), index.cell_key).filter(_gap2(F.col("_b")) <= r2)
+    near = index.placed.join(index.reach(index.cells.withColumn("_bound", r2)), index.cell_key).filter(_gap2(F.col("_b")) <= r2)
     dx = F.greatest(F.abs(F.col("x") - F.col("_b.x0")), F.abs(F.col("x") - F.col("_b.x1")))
     dy = F.greatest(F.abs(F.col("y") - F.col("_b.y0")), F.abs(F.col("y") - F.col("_b.y1")))
     full = dx * dx + dy * dy <= r2

@@ -15,7 +15,7 @@ from tessera.functions.ranks import bh_adjust
 from tessera.model import SpatialData
 from tessera.operators.prepare import normalize_total
 from tessera.operators.ranking import expand_scores, global_moments, slice_moments
-from tessera.session import spread
+from tessera.session import cut_lineage, spread
 
 # fixed value: normal-consistency factor of the median absolute deviation
 MAD_SCALE = 0.6744897501960817
@@ -52,12 +52,12 @@ def hvg_seurat(ds: SpatialData, batch: bool = False, bins: int = 20) -> DataFram
     return _combine(m.withColumn("z", z), ds, batch)
 
 
-def hvg_cell_ranger(ds: SpatialData, batch: bool = False, n: int = 2000, min_detected: int = 10) -> DataFrame:
+def hvg_cell_ranger(ds: SpatialData, batch: bool = False, n: int = 2000, min_detected: int = 10, filter_needs: int = 1000) -> DataFrame:
     """Dispersion against the median and deviation of its percentile bin of the mean, after a
-    low-count filter that applies only when enough genes pass it."""
+    low-count filter that applies only when `filter_needs` genes pass it, or all of a smaller table."""
     seen = ds.expr.groupBy("gene").agg(F.sum("count").alias("t"), F.count_if(F.col("count") > 0).alias("d"))
     enough = seen.agg(F.count_if((F.col("t") > 0) & (F.col("d") > min_detected)).alias("k")).withColumn(
-        "ok", F.col("k") >= F.least(F.lit(1000), ds.genes.select(F.count("*")).scalar())).select("ok").scalar()
+        "ok", F.col("k") >= F.least(F.lit(filter_needs), ds.genes.select(F.count("*")).scalar())).select("ok").scalar()
     keep = seen.filter(((F.col("t") > 0) & (F.col("d") > min_detected)) | ~enough).select("gene")
     # library sizes are those of the kept genes
     from tessera.operators.prepare import log1p
@@ -76,47 +76,66 @@ def hvg_cell_ranger(ds: SpatialData, batch: bool = False, n: int = 2000, min_det
     return _combine(m.join(mad, ["slice", "bin"]).withColumn("z", z), ds, batch)
 
 
-def _local_quadratic(x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
-    """Tricube-weighted quadratic fit at each x over its q nearest points; NaN where singular."""
-    order = np.argsort(x, kind="stable")
-    xs, ys, n = x[order], y[order], len(x)
-    q = min(n, max(3, int(np.floor(span * n + 1e-5))))
-    fit = np.full(n, np.nan)
-    lo = 0
-    for i in range(n):
-        while lo + q < n and xs[lo + q] - xs[i] < xs[i] - xs[lo]:
-            lo += 1
-        d = xs[lo:lo + q] - xs[i]
-        h = max(abs(d[0]), abs(d[-1]))
-        w = (1 - np.minimum(np.abs(d) / h, 1) ** 3) ** 3 if h > 0 else np.ones(q)
-        p = [np.sum(w * d ** k) for k in range(5)]
-        r = [np.sum(w * d ** k * ys[lo:lo + q]) for k in range(3)]
-        a = np.array([[p[0], p[1], p[2]], [p[1], p[2], p[3]], [p[2], p[3], p[4]]])
-        if np.linalg.matrix_rank(a) == 3:
-            fit[i] = np.linalg.solve(a, r)[0]
-    out = np.empty(n)
-    out[order] = fit
-    return out
-
-
-def local_fit(df: DataFrame, x: str, y: str, span: float, by: str = "slice") -> DataFrame:
+def _window_fits(xs: np.ndarray, ys: np.ndarray, q: int, own: slice, last: int) -> np.ndarray:
+    """Tricube-weighted quadratic fits at xs[own], each over the q nearest of the ascending xs; NaN where singular.
+    `last` is the greatest place where a window may start. Blocks of windows are fitted together."""
+    at = np.arange(len(xs))[own]
+    first = np.minimum(np.searchsorted(xs[:len(xs) - q] + xs[q:], 2 * xs[at]), last)
+    fit = np.full(len(at), np.nan)
+    step = max(1, 200_000 // q)
+    for i in range(0, len(at), step):
+        window = first[i:i + step, None] + np.arange(q)
+        d, y = xs[window] - xs[at[i:i + step], None], ys[window]
+        h = np.maximum(np.abs(d[:, 0]), np.abs(d[:, -1]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            w = np.where(h[:, None] > 0, (1 - np.minimum(np.abs(d) / h[:, None], 1) ** 3) ** 3, 1.0)
+        powers = [w]
+        for _ in range(4):
+            powers.append(powers[-1] * d)
+        p = [v.sum(1) for v in powers]
+        a = np.stack([np.stack(p[k:k + 3], 1) for k in range(3)], 1)
+        r = np.stack([(v * y).sum(1) for v in powers[:3]], 1)
+        full = np.linalg.matrix_rank(a) == 3
+        fit[i:i + step][full] = np.linalg.solve(a[full], r[full][:, :, None])[:, 0, 0]
+    return fit
+
+
+def local_fit(df: DataFrame, x: str, y: str, span: float, by: str = "slice", rows_per_range: int = 256) -> DataFrame:
     """Local weighted quadratic regression of y on x over the genes of each slice; adds `fitted`.
-    A group is one slice's gene table, bounded by the gene dictionary."""
+
+    The genes of a slice are numbered by (x, gene) and cut into ranges. A range also receives the q genes before and
+    behind it, q being the window size, since a window reaches no further; so a slice is fitted in as many tasks as it
+    has ranges. Ranges are no shorter than a quarter of q, which bounds the copies of a gene by ten."""
+    order = Window.partitionBy(by).orderBy(x, "gene")
+    q = F.least(F.col("_n"), F.greatest(F.lit(3).cast("long"), F.floor(F.col("_n") * span + 1e-5)))
+    placed = df.withColumn("_pos", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(by))).withColumn("_q", q)
+    placed = placed.withColumn("_size", F.greatest(F.lit(rows_per_range).cast("long"), F.ceil(F.col("_q") / 4)))
+    low = F.greatest(F.floor((F.col("_pos") - F.col("_q")) / F.col("_size")), F.lit(0).cast("long"))
+    high = F.least(F.floor((F.col("_pos") + F.col("_q")) / F.col("_size")), F.floor((F.col("_n") - 1) / F.col("_size")))
+    dealt = placed.withColumn("_range", F.explode(F.sequence(low, high)))
     schema = T.StructType([*df.schema.fields, T.StructField("fitted", T.DoubleType())])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([x, "gene"])
-        return pdf.assign(fitted=_local_quadratic(pdf[x].to_numpy(float), pdf[y].to_numpy(float), span))
+        pdf = pdf.sort_values("_pos")
+        pos = pdf["_pos"].to_numpy()
+        n, q, size, part = (int(pdf[c].iloc[0]) for c in ("_n", "_q", "_size", "_range"))
+        own = slice(*np.searchsorted(pos, [part * size, (part + 1) * size]))
+        fitted = _window_fits(pdf[x].to_numpy(float), pdf[y].to_numpy(float), q, own, n - q - int(pos[0]))
+        return pdf.iloc[own].assign(fitted=fitted)[[f.name for f in schema.fields]]
 
-    return df.groupBy(by).applyInPandas(fit, schema)
+    return dealt.groupBy(by, "_range").applyInPandas(fit, schema)
 
 
-def seurat_v3_variances(ds: SpatialData, batch: bool, span: float = 0.3) -> DataFrame:
-    """Variance of counts standardized by the fitted trend and clipped at sqrt(n), per slice and gene."""
+def _trend_points(ds: SpatialData, batch: bool) -> DataFrame:
     m = _moments(ds, "count", batch)
-    x = m.filter("var > 0").select("slice", "gene", "n_spots", "mean", F.round(F.log10("mean"), 12).alias("lm"),
-                                   F.log10("var").alias("lv"))
-    fit = local_fit(x, "lm", "lv", span).withColumn("sd", F.sqrt(F.pow(F.lit(10.0), F.col("fitted"))))
+    return m.filter("var > 0").select("slice", "gene", "n_spots", "mean", F.round(F.log10("mean"), 12).alias("lm"), F.log10("var").alias("lv"))
+
+
+def seurat_v3_variances(ds: SpatialData, batch: bool, span: float = 0.3, fit: DataFrame | None = None) -> DataFrame:
+    """Variance of counts standardized by the fitted trend and clipped at sqrt(n), per slice and gene. A trend that is
+    already fitted may be passed, which saves the pass over the entries for its moments."""
+    fit = local_fit(_trend_points(ds, batch), "lm", "lv", span) if fit is None else fit
+    fit = fit.withColumn("sd", F.sqrt(F.pow(F.lit(10.0), F.col("fitted"))))
     key = ["slice", "gene"] if batch else ["gene"]
     entries = ds.expr.select("slice", "gene", "count") if batch else ds.expr.select("gene", "count")
     side = fit.select(*key, "n_spots", "mean", "sd", "fitted") if batch else fit.select("gene", "n_spots", "mean", "sd", "fitted")
@@ -143,25 +162,33 @@ def hvg_seurat_v3(ds: SpatialData, n: int = 2000, batch: bool = False, span: flo
 
 def with_fallback(ds: SpatialData, n: int, spans: list[float] = SPANS) -> tuple[DataFrame, dict]:
     """Batch-aware ranking with the fallback ladder: larger spans, then fewer (smallest slices dropped,
-    at least two kept), then one global fit. The mode used is returned."""
-    from tessera.operators.prepare import subset_slices
-
-    def singular(v: DataFrame) -> bool:
-        return not v.filter("fitted IS NULL OR isnan(fitted)").isEmpty()
+    at least two kept), then one global fit. The mode used is returned.
 
+    Slices are fitted apart, so the moments are taken once, all spans are fitted on them, and one flag per slice and
+    span decides; the entries are then read once more, with the trend that was chosen."""
+    points = cut_lineage(_trend_points(ds, True))
+    fits = None
     for span in spans:
-        v = seurat_v3_variances(ds, True, span)
-        if not singular(v):
-            mode = "none" if span == spans[0] else "expanded_span"
-            return rank_combine(v, ds.genes, n), {"mode": mode, "span": span, "excluded": []}
-    # slice sizes: one row per slice
-    order = [r["slice"] for r in ds.slice_sizes().orderBy("n_spots", "slice").collect()]
-    for k in range(1, max(1, len(order) - 1)):
-        part = subset_slices(ds, order[k:], check=False)
-        v = seurat_v3_variances(part, True, spans[0])
-        if not singular(v):
-            return rank_combine(v, ds.genes, n), {"mode": "exclude_small_slices", "span": spans[0], "excluded": order[:k]}
-    return hvg_seurat_v3(ds, n, False), {"mode": "global", "span": spans[0], "excluded": []}
+        one = local_fit(points, "lm", "lv", span).withColumn("span", F.lit(span))
+        fits = one if fits is None else fits.unionByName(one)
+    fits = cut_lineage(fits)
+    # one row per slice and span
+    bad = {(r["span"], r["slice"]) for r in fits.filter("fitted IS NULL OR isnan(fitted)").select("span", "slice").distinct().collect()}
+    singular = {span: {s for p, s in bad if p == span} for span in spans}
+    chosen, mode, excluded = next((span for span in spans if not singular[span]), None), "expanded_span", []
+    if chosen is not None:
+        mode = "none" if chosen == spans[0] else mode
+    else:
+        # slice sizes: one row per slice
+        order = [r["slice"] for r in ds.slice_sizes().orderBy("n_spots", "slice").collect()]
+        k = next((k for k in range(1, max(1, len(order) - 1)) if not singular[spans[0]] & set(order[k:])), None)
+        if k is None:
+            return hvg_seurat_v3(ds, n, False), {"mode": "global", "span": spans[0], "excluded": []}
+        chosen, mode, excluded = spans[0], "exclude_small_slices", order[:k]
+    fit = fits.filter(F.col("span") == chosen).drop("span")
+    if excluded:
+        fit = fit.filter(~F.col("slice").isin(excluded))
+    return rank_combine(seurat_v3_variances(ds, True, chosen, fit), ds.genes, n), {"mode": mode, "span": chosen, "excluded": excluded}
 
 
 def library_sums(genes: DataFrame, libraries: DataFrame, terms: dict[str, Callable[[Column], Column]],
@@ -238,11 +265,11 @@ def hvg_seurat_mvp(ds: SpatialData, mean_range: tuple[float, float] = (0.1, 8.0)
         F.col("lm").between(*mean_range) & (F.col("score") > min_z)).drop("lm")
 
 
-def brennecke(ds: SpatialData, n: int = 2000) -> DataFrame:
+def brennecke(ds: SpatialData, n: int = 2000, filter_needs: int = 100) -> DataFrame:
     """Ratio of squared CV to a trend a0 + a1/mean, fitted with weights mean^2 so that both
-    coefficients come from five sums. Genes in one spot only are left out if enough remain."""
+    coefficients come from five sums. Genes in one spot only are left out if `filter_needs` others remain, or n if that is less."""
     seen = ds.expr.groupBy("gene").agg(F.count_if(F.col("count") > 0).alias("d"))
-    enough = seen.agg((F.count_if(F.col("d") > 1) >= min(100, n)).alias("ok")).scalar()
+    enough = seen.agg((F.count_if(F.col("d") > 1) >= min(filter_needs, n)).alias("ok")).scalar()
     keep = seen.filter((F.col("d") > 1) | ~enough).select("gene")
     kept = ds.with_expr(ds.expr.join(keep, "gene", "left_semi"))
     mean_lib = kept.expr.agg(F.sum("count")).scalar() / ds.spots.select(F.count("*")).scalar()
