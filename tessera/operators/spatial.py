@@ -13,40 +13,28 @@ from pyspark.sql import functions as F
 from tessera.functions.numeric import hash_order, hash_uniform, norm_sf, ratio, sq_dist
 from tessera.functions.ranks import bh_adjust, exact_quantiles, spread_rank
 from tessera.model import SpatialData
+from tessera.operators.blocks import edge_sums, neighbour_sum_counts, owned_pairs, spot_blocks
 from tessera.operators.embed import dense_rows
-from tessera.operators.graph import knn_join, undirected
+from tessera.operators.graph import knn_join
 from tessera.operators.prepare import is_mito
 from tessera.operators.ranking import candidate_genes, expand_scores, slice_percentile_mean
 from tessera.session import cut_lineage
 
 
-def _edge_products(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """Sum over undirected edges of x_i x_j per slice and gene. Only entries that are non-zero at both
-    ends meet; an edge of an undirected graph is used once and counted twice by the caller."""
-    left = values.select("slice", F.col("spot_id").alias("src"), "gene", F.col(column).alias("_a"))
-    right = values.select("slice", F.col("spot_id").alias("dst"), "gene", F.col(column).alias("_b"))
-    return pairs.join(left, ["slice", "src"]).join(right, ["slice", "dst", "gene"]).groupBy("slice", "gene").agg(
-        F.sum(F.col("_a") * F.col("_b")).alias("cross"))
-
-
 def morans_i_scores(ds: SpatialData, k: int = 8, column: str = "value", edges: DataFrame | None = None) -> DataFrame:
     """Moran's I per slice and gene on the symmetric kNN graph with binary weights.
 
     With sparse values, sum w z_i z_j = sum w x_i x_j - 2 mu sum d_i x_i + mu^2 W, so only non-zero
-    entries are joined with edges. Constant genes have no score (they rank as minus infinity)."""
-    pairs = undirected(knn_join(ds.spots, k) if edges is None else edges)
+    entries take part. Constant genes have no score (they rank as minus infinity)."""
+    pairs = cut_lineage(owned_pairs(knn_join(ds.spots, k) if edges is None else edges, ["slice"]))
     degree = pairs.select("slice", F.explode(F.array("src", "dst")).alias("spot_id")).groupBy("slice", "spot_id").agg(
-        F.count("*").alias("d"))
-    sizes = ds.slice_sizes().join(degree.groupBy("slice").agg(F.sum("d").alias("w")), "slice")
-    x = F.col(column)
-    single = ds.expr.join(degree, ["slice", "spot_id"], "left").groupBy("slice", "gene").agg(
-        F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.sum(x * F.coalesce("d", F.lit(0))).alias("dx"))
-    cross = _edge_products(pairs, ds.expr, column)
-    m = single.join(cross, ["slice", "gene"], "left").join(sizes, "slice")
+        F.count("*").alias("w"))
+    sizes = ds.slice_sizes().join(degree.groupBy("slice").agg(F.sum("w").alias("w")), "slice")
+    m = edge_sums(ds.expr, ds.genes, degree, pairs, spot_blocks(ds.spots), column, ["slice"]).withColumnRenamed("wx", "dx").join(sizes, "slice")
     n, w = F.col("n_spots"), F.col("w")
     mu = F.col("s") / n
     den = F.col("q") - n * mu * mu
-    num = 2 * F.coalesce("cross", F.lit(0.0)) - 2 * mu * F.col("dx") + mu * mu * w
+    num = 2 * F.col("cross") - 2 * mu * F.col("dx") + mu * mu * w
     ok = (n >= 3) & (w > 0) & (den > 1e-12)
     return m.select("slice", "gene", "n_spots", F.when(ok, (n / w) * ratio(num, den)).alias("score"))
 
@@ -128,24 +116,24 @@ def local_autocorrelation(ds: SpatialData, edges: DataFrame, max_q: float = 0.05
     The product sum over edges splits into a part over non-zero entries, a part with one weight per spot
     and a constant, so zeros never become rows. Genes above the FDR limit score 0."""
     lib = ds.expr.groupBy("spot_id").agg(F.sum("count").alias("lib"))
-    pairs = undirected(edges, []).join(lib.select(F.col("spot_id").alias("src"), F.sqrt("lib").alias("_ra")), "src").join(
+    pairs = owned_pairs(edges, []).join(lib.select(F.col("spot_id").alias("src"), F.sqrt("lib").alias("_ra")), "src").join(
         lib.select(F.col("spot_id").alias("dst"), F.sqrt("lib").alias("_rb")), "dst")
+    pairs = cut_lineage(pairs)
     total = lib.agg(F.sum("lib")).scalar()
     graph = pairs.agg(F.count("*").cast("double").alias("e"), F.sum(F.col("_ra") * F.col("_rb")).alias("c"))
     weight = pairs.select(F.explode(F.array(
         F.struct(F.col("src").alias("spot_id"), F.col("_rb").alias("v")),
-        F.struct(F.col("dst").alias("spot_id"), F.col("_ra").alias("v")))).alias("w")).groupBy(F.col("w.spot_id").alias("spot_id")).agg(F.sum("w.v").alias("_d"))
-    scaled = ds.expr.join(lib, "spot_id").withColumn("_s", F.col("count") / F.sqrt("lib")).withColumn("slice", F.lit("all"))
-    single = scaled.join(weight, "spot_id", "left").groupBy("gene").agg(
-        F.sum("count").alias("s"), F.sum(F.col("_s") * F.col("_s")).alias("q"),
-        F.sum(F.col("_s") * F.coalesce("_d", F.lit(0.0))).alias("dx"))
-    cross = _edge_products(pairs.select(F.lit("all").alias("slice"), "src", "dst"), scaled, "_s").drop("slice")
+        F.struct(F.col("dst").alias("spot_id"), F.col("_ra").alias("v")))).alias("w")).groupBy(F.col("w.spot_id").alias("spot_id")).agg(F.sum("w.v").alias("w"))
+    scaled = ds.expr.join(lib, "spot_id").withColumn("_s", F.col("count") / F.sqrt("lib"))
+    counted = ds.expr.groupBy("gene").agg(F.sum("count").alias("n_count"))
+    sums = edge_sums(scaled, ds.genes, weight, pairs.select("src", "dst"), spot_blocks(ds.spots), "_s", [])
+    single = sums.drop("s").join(counted.withColumnRenamed("n_count", "s"), "gene").withColumnRenamed("wx", "dx")
     n = ds.spots.select(F.count("*")).scalar()
     p = F.col("s") / total
-    h = F.coalesce("cross", F.lit(0.0)) / p - F.col("dx") + p * graph.select("c").scalar()
+    h = F.col("cross") / p - F.col("dx") + p * graph.select("c").scalar()
     var = (F.col("q") / p - F.col("s")) / n
     z = ratio(h, F.when(var > 1e-12, var) * F.sqrt(graph.select("e").scalar()))
-    t = single.join(cross, "gene", "left").select("gene", F.lit("all").alias("slice"), F.coalesce(z, F.lit(0.0)).alias("z"))
+    t = single.select("gene", F.lit("all").alias("slice"), F.coalesce(z, F.lit(0.0)).alias("z"))
     t = bh_adjust(t.withColumn("p_value", norm_sf("z")), "p_value", ["slice"])
     return expand_scores(t.select("gene", F.when(F.col("q_value") < max_q, F.col("z")).otherwise(0.0).alias("score")), ds.genes)
 
@@ -162,17 +150,11 @@ def _shuffled(spots: DataFrame, seed: int) -> DataFrame:
 def knn_localization(ds: SpatialData, edges: DataFrame, seed: int = 0, column: str = "count") -> DataFrame:
     """Distance between the distribution of neighbour sums of a gene and the same sums after the
     neighbours are permuted: the area between the two cumulative curves."""
-    perm = _shuffled(ds.spots, seed)
-    random_edges = edges.select("src", F.col("dst").alias("_from")).join(perm, "_from").select("src", F.col("_to").alias("dst"))
-    x = ds.expr.select(F.col("spot_id").alias("dst"), "gene", F.col(column).alias("_v"))
+    perm = _shuffled(ds.spots, seed).select(F.col("_from").alias("from"), F.col("_to").alias("to"))
+    edges = cut_lineage(edges.select("src", "dst"))
     n = edges.agg(F.count_distinct("src").cast("double")).scalar()
-
-    def sums(e: DataFrame, sign: int) -> DataFrame:
-        s = e.select("src", "dst").join(x, "dst").groupBy("src", "gene").agg(F.sum("_v").alias("_s"))
-        # counted per distinct sum before any window, so common genes stay small
-        return s.groupBy("gene", "_s").agg((F.count("*") * sign).alias("_c"))
-
-    both = sums(edges, 1).unionByName(sums(random_edges, -1))
+    # counted per distinct sum before any window, so common genes stay small
+    both = cut_lineage(neighbour_sum_counts(ds.expr, ds.genes, edges, spot_blocks(ds.spots), perm, column).select("gene", F.col("s").alias("_s"), F.col("c").alias("_c")))
     zero = both.groupBy("gene").agg((-F.sum("_c")).alias("_c")).select("gene", F.lit(0.0).alias("_s"), "_c")
     steps = both.unionByName(zero).groupBy("gene", "_s").agg(F.sum("_c").alias("_c"))
     w = Window.partitionBy("gene").orderBy("_s")

@@ -442,10 +442,10 @@ def _(spark, path):
     pv AS (SELECT gene, z, """ + norm_sf_sql("z") + """ AS p FROM z),
     bh AS (SELECT *, p * count(*) OVER () / (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1) AS h FROM pv),
     qv AS (SELECT *, least(min(h) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS q FROM bh)
-    SELECT g.gene, g.gene_index, round(coalesce(CASE WHEN q < 0.5 THEN z ELSE 0 END, 0), 6) + 0 AS score FROM genes g LEFT JOIN qv ON qv.gene = g.gene""")
+    SELECT g.gene, g.gene_index, round(coalesce(CASE WHEN q < 0.05 THEN z ELSE 0 END, 0), 6) + 0 AS score FROM genes g LEFT JOIN qv ON qv.gene = g.gene""")
 def _(spark, path):
     ds = fx.dataset(spark, path)
-    return shown(S.local_autocorrelation(ds, knn_join(ds.spots, 8), 0.5))
+    return shown(S.local_autocorrelation(ds, knn_join(ds.spots, 8), 0.05))
 
 
 def _u(seed: str, key: str) -> str:
