@@ -1,12 +1,16 @@
 """Alternative scalings, scenario ranks, concordance and bootstrap intervals of ranks.
 
-Rank tables are small by nature (methods x datasets). Draws are an exploded sequence whose randomness is a
-hash of (seed, draw, slot), so every retry and every engine sees the same resamples."""
+Rank tables are small by nature (methods x datasets). The randomness of a draw is a hash of (seed, draw, slot), so every
+retry and every engine sees the same resamples; where draws meet many rows they are weight vectors over the units."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import hashlib
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ SCENARIOS = {"range": ("scaled", (0.5, 0.5, 0.5), False), "percentile": ("rank_s
              "zscore": ("z_scaled", (0.5, 0.5, 0.5), False), "weight_0.6": ("scaled", (0.6, 0.6, 0.6), False),
              "weight_0.4": ("scaled", (0.4, 0.4, 0.4), False), "labelled_only": ("scaled", (0.5, 0.5, 0.5), True)}
 
+DRAWS_AT_ONCE = 500
+
 
 def alt_scaling(metrics: DataFrame, value: str = "oriented_mean") -> DataFrame:
     """Rank scaling (rank - 1) / (n - 1) and z scaling with population deviation, per dataset, task and metric."""
@@ -113,33 +119,68 @@ def _draw_units(df: DataFrame, unit: str, by: list[str], draws: int, seed: int)
     return slots.select(*by, "draw", F.get("_u", pick).alias(unit)).groupBy(*by, "draw", unit).agg(F.count("*").alias("weight"))
 
 
+@functools.lru_cache(4)
+def _slot_uniforms(seed: int, first: int, draws: int, slots: int) -> np.ndarray:
+    """The numbers of `hash_uniform(seed, draw, slot)` for a run of draws."""
+    return np.array([[int(hashlib.md5(f"{seed}|{d}|{k}".encode()).hexdigest()[:13], 16) for k in range(slots)] for d in range(first, first + draws)]).reshape(draws, slots) / 2.0 ** 52
+
+
+def draw_weights(seed: int, first: int, draws: int, units: int) -> np.ndarray:
+    """(draws, units): how often each unit is drawn, the same resamples as `_draw_units`."""
+    pick = np.floor(_slot_uniforms(seed, first, draws, units) * units).astype(np.int64)
+    return np.bincount((pick + units * np.arange(draws)[:, None]).ravel(), minlength=draws * units).reshape(draws, units)
+
+
+def _weighted_ranks(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Average-tie ranks of the values in every draw, a row counting as often as its weight."""
+    levels, code = np.unique(values, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    here = np.add.reduceat(weight[:, order], np.searchsorted(code[order], np.arange(len(levels))), axis=1)
+    return (np.cumsum(here, axis=1) - here / 2 + 0.5)[:, code]
+
+
+def in_draws(df: DataFrame, by: list[str], work: Callable[[pd.DataFrame, int, int], pd.DataFrame], draws: int, schema: str) -> DataFrame:
+    """Runs `work(group, first draw, number of draws)` on runs of DRAWS_AT_ONCE draws, each a task of its own that holds one
+    group: a dictionary-sized table whose resamples are weight vectors, so no resample is ever a set of rows."""
+    dealt = df.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS_AT_ONCE))))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        first = int(f["_run"].iloc[0]) * DRAWS_AT_ONCE
+        out = work(f, first, min(DRAWS_AT_ONCE, draws - first))
+        for c in by:
+            out[c] = f[c].iloc[0]
+        return out
+
+    keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    return dealt.groupBy(*by, "_run").applyInPandas(run, f"{schema}, {keys}")
+
+
 def bootstrap_spearman(df: DataFrame, x: str, y: str, cluster: str, draws: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Percentile interval of Spearman over resampled clusters (use a row key to resample rows).
 
     A cluster drawn w times counts w times: ranks of a draw come from weighted running counts, so repeated
     rows are weights and not copies. Draws with a constant side are skipped."""
     by = list(by)
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(cluster).alias("_c"), F.col(x).alias("x"), F.col(y).alias("y"))
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *by, F.col(cluster).alias("_c"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     if not by:
         d = d.withColumn("_g", F.lit(0))
     keys = by or ["_g"]
     observed = spearman(d, "x", "y", keys, "rho")
-    w = d.join(_draw_units(d, "_c", keys, draws, seed), [*keys, "_c"])
-
-    def rank(col: str) -> Column:
-        upto = Window.partitionBy(*keys, "draw").orderBy(col)
-        here = F.sum("weight").over(Window.partitionBy(*keys, "draw", col))
-        return F.sum("weight").over(upto) - here / 2 + 0.5
-
-    r = w.withColumns({"rx": rank("x"), "ry": rank("y")})
-    t = F.col("weight")
-    s = r.groupBy(*keys, "draw").agg(
-        F.sum(t).alias("n"), F.sum(t * F.col("rx")).alias("sx"), F.sum(t * F.col("ry")).alias("sy"),
-        F.sum(t * F.col("rx") * F.col("rx")).alias("sxx"), F.sum(t * F.col("ry") * F.col("ry")).alias("syy"),
-        F.sum(t * F.col("rx") * F.col("ry")).alias("sxy"))
-    vx, vy = (F.col(f"s{v}{v}") - F.col(f"s{v}") * F.col(f"s{v}") / F.col("n") for v in "xy")
-    rho = ratio(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.when((vx > 1e-9) & (vy > 1e-9), F.sqrt(vx * vy)))
-    ci = s.withColumn("r", rho).groupBy(*keys).agg(
+
+    def work(f: pd.DataFrame, first: int, size: int) -> pd.DataFrame:
+        units, unit = np.unique(f["_c"].to_numpy(), return_inverse=True)
+        w = draw_weights(seed, first, size, len(units))[:, unit]
+        rx, ry = (_weighted_ranks(f[c].to_numpy(), w) for c in "xy")
+        n = w.sum(1)
+        sx, sy = (w * rx).sum(1), (w * ry).sum(1)
+        vx, vy = (w * rx * rx).sum(1) - sx * sx / n, (w * ry * ry).sum(1) - sy * sy / n
+        ok = (vx > 1e-9) & (vy > 1e-9)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = ((w * rx * ry).sum(1) - sx * sy / n) / np.sqrt(vx * vy)
+        return pd.DataFrame({"r": r[ok]})
+
+    ci = in_draws(d, keys, work, draws, "r double").groupBy(*keys).agg(
         F.percentile("r", 0.025).alias("lower"), F.percentile("r", 0.975).alias("upper"), F.count("r").alias("n_draws"))
     return observed.join(ci, keys, "left").select(*by, "n", "rho", "lower", "upper", "n_draws")
 
@@ -163,9 +204,21 @@ def _rank_draws(ranked: DataFrame, draws: DataFrame) -> DataFrame:
     return m.withColumn("rank", avg_rank("_m", ["integration_method", "draw"]))
 
 
-def bootstrap_ranks(scores: DataFrame, draws: int = 1000, seed: int = 0, value: str = "CoreOverallMean") -> DataFrame:
-    r = _ranked(scores, value)
-    return _summaries(_rank_draws(r, _draw_units(r, "dataset", ["integration_method"], draws, seed)), ["integration_method"])
+def bootstrap_ranks(scores: DataFrame, draws: int = 5000, seed: int = 0, value: str = "CoreOverallMean") -> DataFrame:
+    """Global ranks under resampled datasets. A run of draws is one product of weights and ranks per integrator."""
+    def work(f: pd.DataFrame, first: int, size: int) -> pd.DataFrame:
+        datasets, d = np.unique(f["dataset"].to_numpy(), return_inverse=True)
+        methods, m = np.unique(f["fs_method"].to_numpy(), return_inverse=True)
+        rank, known = np.zeros((len(datasets), len(methods))), np.zeros((len(datasets), len(methods)))
+        rank[d, m], known[d, m] = f["_r"].to_numpy(), 1
+        w = draw_weights(seed, first, size, len(datasets))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.round((w @ rank) / (w @ known), 9)  # NaN where a draw has no dataset of the method
+        below = (mean[:, None, :] < mean[:, :, None]).sum(2) + ((mean[:, None, :] == mean[:, :, None]).sum(2) + 1) / 2
+        at, col = np.nonzero(~np.isnan(mean))
+        return pd.DataFrame({"fs_method": methods[col], "draw": first + at, "rank": below[at, col]})
+
+    return _summaries(in_draws(_ranked(scores, value), ["integration_method"], work, draws, "fs_method string, draw long, rank double"), ["integration_method"])
 
 
 def exact_bootstrap_ranks(scores: DataFrame, value: str = "CoreOverallMean", most: int = 6) -> DataFrame:
@@ -196,7 +249,7 @@ def leave_one_out_ranks(scores: DataFrame, value: str = "CoreOverallMean") -> Da
                                                             F.count("*").alias("n_left_out"))
 
 
-def weight_perturbation(metrics: DataFrame, draws: int = 1000, seed: int = 0, value: str = "scaled") -> DataFrame:
+def weight_perturbation(metrics: DataFrame, draws: int = 2000, seed: int = 0, value: str = "scaled") -> DataFrame:
     """Global ranks when the three component weights are drawn from [0.4, 0.6]."""
     wide = _parts(pivot_metrics(metrics, SETTING, value)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     w = [0.4 + 0.2 * hash_uniform(seed, "draw", F.lit(i)) for i in range(3)]
@@ -204,7 +257,7 @@ def weight_perturbation(metrics: DataFrame, draws: int = 1000, seed: int = 0, va
     return _summaries(rank_globally(s, ["draw", "integration_method"]).withColumnRenamed("global_rank", "rank"), ["integration_method"])
 
 
-def budget_curves(scores: DataFrame, draws: int = 1000, seed: int = 0, value: str = "CoreOverallMean") -> DataFrame:
+def budget_curves(scores: DataFrame, draws: int = 5000, seed: int = 0, value: str = "CoreOverallMean") -> DataFrame:
     """Mean score per budget with a dataset bootstrap interval; means of datasets come first."""
     m = scores.groupBy("integration_method", "n_features", "dataset").agg(F.avg(value).alias("v"))
     d = _draw_units(m, "dataset", ["integration_method"], draws, seed)
@@ -215,7 +268,7 @@ def budget_curves(scores: DataFrame, draws: int = 1000, seed: int = 0, value: st
     return base.join(ci, ["integration_method", "n_features"])
 
 
-def budget_contrasts(scores: DataFrame, pairs: Sequence[tuple[str, str]], draws: int = 1000, seed: int = 0,
+def budget_contrasts(scores: DataFrame, pairs: Sequence[tuple[str, str]], draws: int = 5000, seed: int = 0,
                      value: str = "CoreOverallMean") -> DataFrame:
     """Difference between two budgets with the same resample on both sides."""
     m = scores.groupBy("integration_method", "n_features", "dataset").agg(F.avg(value).alias("v"))

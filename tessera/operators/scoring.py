@@ -264,23 +264,30 @@ def endpoint_ranks(df: DataFrame, value: str, by: Sequence[str], lower_better: S
     return signed.withColumn("rank", avg_rank("_s", list(by), ascending=False)).drop("_s")
 
 
-def arm_comparison(ranked: DataFrame, arm: str, first: str, second: str, by: Sequence[str], top: int = 5) -> DataFrame:
-    """Two arms of endpoint ranks: Spearman, median absolute shift, tie-inclusive top overlap."""
+def arm_comparisons(ranked: DataFrame, arm: str, by: Sequence[str], top: int = 5) -> DataFrame:
+    """Every two arms (first < second) of endpoint ranks: Spearman, median absolute shift, tie-inclusive top overlap."""
     from tessera.functions.ranks import pearson
 
-    by = list(by)
-    wide = ranked.groupBy(*by, "fs_method").pivot(arm, [first, second]).agg(F.max("rank")).select(
-        *by, "fs_method", F.col(first).alias("a"), F.col(second).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    place_a, place_b = (F.rank().over(Window.partitionBy(*by).orderBy(c)) for c in ("a", "b"))
-    placed = wide.select(*by, "a", "b", avg_rank("a", by).alias("ra"), avg_rank("b", by).alias("rb"),
+    keys = [*by, "first", "second"]
+    side = ranked.groupBy(*by, "fs_method", arm).agg(F.max("rank").alias("rank")).filter("rank IS NOT NULL")
+    a, b = side.toDF(*by, "fs_method", "first", "a"), side.toDF(*by, "fs_method", "second", "b")
+    wide = a.join(b, [*by, "fs_method"]).filter("first < second")
+    place_a, place_b = (F.rank().over(Window.partitionBy(*keys).orderBy(c)) for c in ("a", "b"))
+    placed = wide.select(*keys, "a", "b", avg_rank("a", keys).alias("ra"), avg_rank("b", keys).alias("rb"),
                          (place_a <= top).alias("top_a"), (place_b <= top).alias("top_b"))
-    return placed.groupBy(*by).agg(
+    return placed.groupBy(*keys).agg(
         F.count("*").alias("n_methods"), pearson("ra", "rb").alias("rank_rho"),
         F.percentile(F.abs(F.col("b") - F.col("a")), 0.5).alias("median_abs_shift"),
         F.count_if(F.col("top_a") & F.col("top_b")).alias("top_overlap"),
         F.count_if("top_a").alias("top_first"), F.count_if("top_b").alias("top_second"))
 
 
+def arm_comparison(ranked: DataFrame, arm: str, first: str, second: str, by: Sequence[str], top: int = 5) -> DataFrame:
+    """`arm_comparisons` of two named arms, in the order given."""
+    named = ranked.filter(F.col(arm).isin(first, second)).withColumn(arm, F.when(F.col(arm) == first, "1").otherwise("2"))
+    return arm_comparisons(named, arm, by, top).drop("first", "second")
+
+
 def summarize_results(results: DataFrame) -> DataFrame:
     return results.groupBy(*SETTING, "task", "metric_name").agg(
         F.avg("metric_value").alias("mean"), F.stddev_samp("metric_value").alias("sd"), F.count("metric_value").alias("n"))

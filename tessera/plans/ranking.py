@@ -54,21 +54,21 @@ def _(spark, path):
 
 
 LISTED = """
-    WITH l AS (SELECT r.gene, r.rank + 7 * (r.gene_index % 3) AS position, dataset FROM rankings r WHERE method IN ('Brand#1', 'Brand#2')
-               UNION ALL SELECT 'unknown-' || gene_index, gene_index, 'BUILDING' FROM genes),
-    f AS (SELECT dataset, gene, min(position) * 1000 + any_value(gene_index) AS position FROM l JOIN genes USING (gene) GROUP BY 1, 2)"""
+    WITH l AS (SELECT r.gene, r.rank + 7 * (r.gene_index % 3) AS position, dataset, method FROM rankings r
+               UNION ALL SELECT 'unknown-' || gene_index, gene_index, 'BUILDING', 'Brand#11' FROM genes),
+    f AS (SELECT dataset, method, gene, min(position) * 1000 + any_value(gene_index) AS position FROM l JOIN genes USING (gene) GROUP BY 1, 2, 3)"""
 
 
 @query("ranked_result", LISTED + """
-    SELECT dataset, gene, rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY position) AS rank FROM f) WHERE rank <= 60""")
+    SELECT dataset, method, gene, rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset, method ORDER BY position) AS rank FROM f) WHERE rank <= 60""")
 def _(spark, path):
     genes = fx.genes(spark, path)
-    known = fx.rankings(spark, path).filter(F.col("method").isin("Brand#1", "Brand#2")).select(
-        "dataset", "gene", ((F.col("rank") + 7 * (F.col("gene_index") % 3)) * 1000 + F.col("gene_index")).alias("position"))
-    unknown = genes.select(F.lit("BUILDING").alias("dataset"), F.concat(F.lit("unknown-"), "gene_index").alias("gene"),
+    known = fx.rankings(spark, path).select(
+        "dataset", "method", "gene", ((F.col("rank") + 7 * (F.col("gene_index") % 3)) * 1000 + F.col("gene_index")).alias("position"))
+    unknown = genes.select(F.lit("BUILDING").alias("dataset"), F.lit("Brand#11").alias("method"), F.concat(F.lit("unknown-"), "gene_index").alias("gene"),
                            F.col("gene_index").alias("position"))
-    return R.ranked_result(known.unionByName(unknown), genes, 60, ["dataset"]).select(
-        "dataset", "gene", F.col("rank").cast("bigint").alias("rank"))
+    return R.ranked_result(known.unionByName(unknown), genes, 60, ["dataset", "method"]).select(
+        "dataset", "method", "gene", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("all_features", "SELECT gene, gene_index, ((SELECT count(*) FROM genes) - gene_index)::DOUBLE AS score FROM genes")

@@ -115,20 +115,21 @@ def draws_sql(units: str, by: str, unit: str, n: int, seed: int) -> str:
     wt AS (SELECT {by}, draw, {unit}, count(*) AS weight FROM sl GROUP BY ALL)"""
 
 
-BOOT_X = "SELECT metric_name, dataset || '-' || fs_method AS cl, round(runtime, 9) AS x, metric_value AS y FROM records WHERE metric_value IS NOT NULL AND integration_method = 'F'"
+BOOT_X = "SELECT metric_name || '/' || integration_method AS side, dataset || '-' || fs_method AS cl, round(runtime, 9) AS x, metric_value AS y FROM records WHERE metric_value IS NOT NULL"
 
 
-@query("bootstrap_spearman", f"WITH bx AS ({BOOT_X}), " + draws_sql("SELECT * FROM bx", "metric_name", "cl", 40, 3) + """,
-    ex AS (SELECT bx.metric_name, draw, x, y FROM bx JOIN wt ON wt.metric_name = bx.metric_name AND wt.cl = bx.cl, range(100) g(i) WHERE i < weight),
-    er AS (SELECT *, rank() OVER (PARTITION BY metric_name, draw ORDER BY x) + (count(*) OVER (PARTITION BY metric_name, draw, x) - 1) / 2.0::DOUBLE AS rx,
-             rank() OVER (PARTITION BY metric_name, draw ORDER BY y) + (count(*) OVER (PARTITION BY metric_name, draw, y) - 1) / 2.0::DOUBLE AS ry FROM ex),
-    es AS (SELECT metric_name, draw, corr(rx, ry) AS r FROM er GROUP BY 1, 2),
-    ci AS (SELECT metric_name, round(quantile_cont(r, 0.025), 6) + 0 AS lower, round(quantile_cont(r, 0.975), 6) + 0 AS upper, count(r) AS n_draws FROM es GROUP BY 1),""" + spearman_sql("SELECT * FROM bx", "metric_name")
-       + " SELECT metric_name, n, rho, lower, upper, n_draws FROM so JOIN ci USING (metric_name)")
+@query("bootstrap_spearman", f"WITH bx AS ({BOOT_X}), " + draws_sql("SELECT * FROM bx", "side", "cl", 5000, 3) + """,
+    ex AS (SELECT bx.side, draw, x, y FROM bx JOIN wt ON wt.side = bx.side AND wt.cl = bx.cl, range(100) g(i) WHERE i < weight),
+    er AS (SELECT *, rank() OVER (PARTITION BY side, draw ORDER BY x) + (count(*) OVER (PARTITION BY side, draw, x) - 1) / 2.0::DOUBLE AS rx,
+             rank() OVER (PARTITION BY side, draw ORDER BY y) + (count(*) OVER (PARTITION BY side, draw, y) - 1) / 2.0::DOUBLE AS ry FROM ex),
+    es AS (SELECT side, draw, corr(rx, ry) AS r FROM er GROUP BY 1, 2),
+    ci AS (SELECT side, round(quantile_cont(r, 0.025), 6) + 0 AS lower, round(quantile_cont(r, 0.975), 6) + 0 AS upper, count(r) AS n_draws FROM es GROUP BY 1),""" + spearman_sql("SELECT * FROM bx", "side")
+       + " SELECT side, n, rho, lower, upper, n_draws FROM so JOIN ci USING (side)")
 def _(spark, path):
-    d = fx.records(spark, path).filter("metric_value IS NOT NULL AND integration_method = 'F'").select(
-        "metric_name", F.concat_ws("-", "dataset", "fs_method").alias("cl"), F.round("runtime", 9).alias("x"), F.col("metric_value").alias("y"))
-    out = J.bootstrap_spearman(d, "x", "y", "cl", 40, 3, ["metric_name"])
+    d = fx.records(spark, path).filter("metric_value IS NOT NULL").select(
+        F.concat_ws("/", "metric_name", "integration_method").alias("side"), F.concat_ws("-", "dataset", "fs_method").alias("cl"),
+        F.round("runtime", 9).alias("x"), F.col("metric_value").alias("y"))
+    out = J.bootstrap_spearman(d, "x", "y", "cl", 5000, 3, ["side"])
     return out.withColumns({c: r6(c) for c in ("rho", "lower", "upper")})
 
 
@@ -142,9 +143,9 @@ RANK_DRAWS = """
     rk AS (SELECT *, rank() OVER (PARTITION BY integration_method, draw ORDER BY m) + (count(*) OVER (PARTITION BY integration_method, draw, m) - 1) / 2.0::DOUBLE AS rank FROM md)"""
 
 
-@query("bootstrap_ranks", "WITH " + draws_sql("SELECT * FROM core_ranked WHERE core_rank IS NOT NULL", "integration_method", "dataset", 200, 9) + "," + RANK_DRAWS + SUMMARY)
+@query("bootstrap_ranks", "WITH " + draws_sql("SELECT * FROM core_ranked WHERE core_rank IS NOT NULL", "integration_method", "dataset", 5000, 9) + "," + RANK_DRAWS + SUMMARY)
 def _(spark, path):
-    return r5(J.bootstrap_ranks(core_scores(spark, path), 200, 9), *SUMMARY_COLS)
+    return r5(J.bootstrap_ranks(core_scores(spark, path), 5000, 9), *SUMMARY_COLS)
 
 
 @query("exact_bootstrap_ranks", """
@@ -169,7 +170,7 @@ def _u(i: int) -> str:
     return f"(0.4::DOUBLE + 0.2::DOUBLE * (('0x' || substr(md5('2|' || draw || '|{i}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE))"
 
 
-@query("weight_perturbation", "WITH " + ALT + f""", pw AS ({core_sql('scaled')}), dw AS (SELECT draw, {_u(0)} AS wa, {_u(1)} AS wb, {_u(2)} AS wc FROM (SELECT unnest(range(60)) AS draw)),
+@query("weight_perturbation", "WITH " + ALT + f""", pw AS ({core_sql('scaled')}), dw AS (SELECT draw, {_u(0)} AS wa, {_u(1)} AS wb, {_u(2)} AS wc FROM (SELECT unnest(range(2000)) AS draw)),
     p1 AS (SELECT *, (coalesce(bm * wa, 0) + coalesce(bc * (1 - wa), 0)) / nullif(CASE WHEN bm IS NOT NULL THEN wa ELSE 0 END + CASE WHEN bc IS NOT NULL THEN 1 - wa ELSE 0 END, 0) AS i1,
                   (coalesce(li * wb, 0) + coalesce(la * (1 - wb), 0)) / nullif(CASE WHEN li IS NOT NULL THEN wb ELSE 0 END + CASE WHEN la IS NOT NULL THEN 1 - wb ELSE 0 END, 0) AS c1 FROM pw, dw),
     p2 AS (SELECT *, round((coalesce(i1 * wc, 0) + coalesce(c1 * (1 - wc), 0)) / nullif(CASE WHEN i1 IS NOT NULL THEN wc ELSE 0 END + CASE WHEN c1 IS NOT NULL THEN 1 - wc ELSE 0 END, 0), 9) AS k FROM p1),
@@ -177,7 +178,7 @@ def _u(i: int) -> str:
     gm AS (SELECT draw, integration_method, fs_method, round(avg(r), 9) AS m FROM dr GROUP BY 1, 2, 3),
     rk AS (SELECT *, CASE WHEN m IS NOT NULL THEN rank() OVER (PARTITION BY draw, integration_method ORDER BY m NULLS LAST) + (count(*) OVER (PARTITION BY draw, integration_method, m) - 1) / 2.0::DOUBLE END AS rank FROM gm)""" + SUMMARY)
 def _(spark, path):
-    return r5(J.weight_perturbation(scaled(spark, path), 60, 2), *SUMMARY_COLS)
+    return r5(J.weight_perturbation(scaled(spark, path), 2000, 2), *SUMMARY_COLS)
 
 
 BUDGET = "SELECT dataset, integration_method, CASE WHEN effective_n_features <= 4 THEN '500' WHEN effective_n_features <= 7 THEN '1000' ELSE '2000' END AS n_features, metric_value AS v FROM records"
@@ -188,24 +189,24 @@ def _budget(spark, path):
     return fx.records(spark, path).withColumn("n_features", F.when(e <= 4, "500").when(e <= 7, "1000").otherwise("2000"))
 
 
-@query("budget_curves", f"WITH m AS (SELECT integration_method, n_features, dataset, avg(v) AS v FROM ({BUDGET}) GROUP BY 1, 2, 3), " + draws_sql("SELECT * FROM m", "integration_method", "dataset", 100, 4) + """,
+@query("budget_curves", f"WITH m AS (SELECT integration_method, n_features, dataset, avg(v) AS v FROM ({BUDGET}) GROUP BY 1, 2, 3), " + draws_sql("SELECT * FROM m", "integration_method", "dataset", 5000, 4) + """,
     b AS (SELECT integration_method, n_features, draw, sum(v * weight) / sum(weight) FILTER (v IS NOT NULL) AS b FROM m JOIN wt USING (integration_method, dataset) GROUP BY 1, 2, 3),
     ci AS (SELECT integration_method, n_features, quantile_cont(b, 0.025) AS lo, quantile_cont(b, 0.975) AS hi FROM b GROUP BY 1, 2)
     SELECT integration_method, n_features, round(avg(v), 6) + 0 AS mean, round(stddev_samp(v), 6) + 0 AS sd, count(v) AS n_datasets, round(any_value(lo), 6) + 0 AS lower, round(any_value(hi), 6) + 0 AS upper
     FROM m JOIN ci USING (integration_method, n_features) GROUP BY 1, 2""")
 def _(spark, path):
-    out = J.budget_curves(_budget(spark, path), 100, 4, "metric_value")
+    out = J.budget_curves(_budget(spark, path), 5000, 4, "metric_value")
     return out.withColumns({c: r6(c) for c in ("mean", "sd", "lower", "upper")})
 
 
 @query("budget_contrasts", f"""WITH m AS (SELECT integration_method, n_features, dataset, avg(v) AS v FROM ({BUDGET}) GROUP BY 1, 2, 3),
     d AS (SELECT a.integration_method, a.dataset, f AS n_from, t AS n_to, b.v - a.v AS d FROM (VALUES ('500', '1000'), ('500', '2000')) p(f, t) JOIN m a ON a.n_features = f JOIN m b ON b.n_features = t AND a.integration_method = b.integration_method AND a.dataset = b.dataset),
-    """ + draws_sql("SELECT * FROM d", "integration_method", "dataset", 100, 4) + """,
+    """ + draws_sql("SELECT * FROM d", "integration_method", "dataset", 5000, 4) + """,
     b AS (SELECT integration_method, n_from, n_to, draw, sum(d * weight) / sum(weight) AS b FROM d JOIN wt USING (integration_method, dataset) GROUP BY 1, 2, 3, 4),
     ci AS (SELECT integration_method, n_from, n_to, quantile_cont(b, 0.025) AS lo, quantile_cont(b, 0.975) AS hi FROM b GROUP BY 1, 2, 3)
     SELECT integration_method, n_from, n_to, round(avg(d), 6) + 0 AS mean_difference, count(*) AS n_datasets, round(any_value(lo), 6) + 0 AS lower, round(any_value(hi), 6) + 0 AS upper FROM d JOIN ci USING (integration_method, n_from, n_to) GROUP BY 1, 2, 3""")
 def _(spark, path):
-    out = J.budget_contrasts(_budget(spark, path), [("500", "1000"), ("500", "2000")], 100, 4, "metric_value")
+    out = J.budget_contrasts(_budget(spark, path), [("500", "1000"), ("500", "2000")], 5000, 4, "metric_value")
     return out.withColumns({c: r6(c) for c in ("mean_difference", "lower", "upper")})
 
 
@@ -222,13 +223,12 @@ def _(spark, path):
     return J.metric_property_correlations(tables(spark, path)[1], "oriented_mean", "effective_max").withColumn("rho", r6("rho"))
 
 
-@query("seed_agreement", "WITH " + spearman_sql("""SELECT a.metric_name, CASE WHEN a.dataset = b.dataset THEN 'within_arm' ELSE 'same_seed' END AS comparison, a.dataset AS arm_a, b.dataset AS arm_b, a.random_seed AS seed_a,
-      b.random_seed AS seed_b, a.v AS x, b.v AS y FROM se a JOIN se b USING (metric_name, fs_method) WHERE (a.dataset < b.dataset AND a.random_seed = b.random_seed) OR (a.dataset = b.dataset AND a.random_seed < b.random_seed)""",
-    "metric_name, comparison, arm_a, arm_b, seed_a, seed_b").replace("sp AS", """se AS (SELECT metric_name, fs_method, dataset, random_seed, metric_value AS v FROM records WHERE integration_method = 'F' AND metric_value IS NOT NULL),
+@query("seed_agreement", "WITH " + spearman_sql("""SELECT a.metric_name, a.integration_method, CASE WHEN a.dataset = b.dataset THEN 'within_arm' ELSE 'same_seed' END AS comparison, a.dataset AS arm_a, b.dataset AS arm_b, a.random_seed AS seed_a,
+      b.random_seed AS seed_b, a.v AS x, b.v AS y FROM se a JOIN se b USING (metric_name, integration_method, fs_method) WHERE (a.dataset < b.dataset AND a.random_seed = b.random_seed) OR (a.dataset = b.dataset AND a.random_seed < b.random_seed)""",
+    "metric_name, integration_method, comparison, arm_a, arm_b, seed_a, seed_b").replace("sp AS", """se AS (SELECT metric_name, integration_method, fs_method, dataset, random_seed, metric_value AS v FROM records WHERE metric_value IS NOT NULL),
     sp AS""", 1) + " SELECT * FROM so")
 def _(spark, path):
-    r = fx.records(spark, path).filter("integration_method = 'F'")
-    return J.seed_agreement(r, "metric_value", "dataset", ["metric_name"]).withColumn("rho", r6("rho"))
+    return J.seed_agreement(fx.records(spark, path), "metric_value", "dataset", ["metric_name", "integration_method"]).withColumn("rho", r6("rho"))
 
 
 STRATA = """

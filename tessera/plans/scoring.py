@@ -253,13 +253,13 @@ def _(spark, path):
 
 
 ENDPOINT = """
-    WITH m AS (SELECT dataset AS arm, fs_method, integration_method, metric_name, round(value_mean, 9) AS mean FROM setting WHERE dataset IN ('BUILDING', 'FURNITURE') AND value_mean IS NOT NULL),
+    WITH m AS (SELECT dataset AS arm, fs_method, integration_method, metric_name, round(value_mean, 9) AS mean FROM setting WHERE value_mean IS NOT NULL),
     r AS (SELECT *, rank() OVER (PARTITION BY arm, integration_method, metric_name ORDER BY CASE WHEN metric_name IN ('CHAOS', 'PAS') THEN -mean ELSE mean END DESC)
             + (count(*) OVER (PARTITION BY arm, integration_method, metric_name, mean) - 1) / 2.0::DOUBLE AS rank FROM m)"""
 
 
 def _endpoint(spark, path):
-    m = tables(spark, path)[1].filter(F.col("dataset").isin("BUILDING", "FURNITURE") & F.col("value_mean").isNotNull()).select(
+    m = tables(spark, path)[1].filter("value_mean IS NOT NULL").select(
         F.col("dataset").alias("arm"), "fs_method", "integration_method", "metric_name", F.round("value_mean", 9).alias("mean"))
     return S.endpoint_ranks(m, "mean", ["arm", "integration_method", "metric_name"], ["CHAOS", "PAS"])
 
@@ -270,14 +270,14 @@ def _(spark, path):
 
 
 @query("arm_comparison", ENDPOINT + """,
-    w AS (SELECT a.integration_method, a.metric_name, a.fs_method, a.rank AS a, b.rank AS b FROM r a JOIN r b USING (integration_method, metric_name, fs_method) WHERE a.arm = 'BUILDING' AND b.arm = 'FURNITURE'),
-    p AS (SELECT *, rank() OVER (PARTITION BY integration_method, metric_name ORDER BY a) <= 5 AS ta, rank() OVER (PARTITION BY integration_method, metric_name ORDER BY b) <= 5 AS tb,
-            rank() OVER (PARTITION BY integration_method, metric_name ORDER BY a) + (count(*) OVER (PARTITION BY integration_method, metric_name, a) - 1) / 2.0::DOUBLE AS ra,
-            rank() OVER (PARTITION BY integration_method, metric_name ORDER BY b) + (count(*) OVER (PARTITION BY integration_method, metric_name, b) - 1) / 2.0::DOUBLE AS rb FROM w)
-    SELECT integration_method, metric_name, count(*) AS n_methods, round(corr(ra, rb), 6) + 0 AS rank_rho, round(quantile_cont(abs(b - a), 0.5), 6) + 0 AS median_abs_shift,
-           count(*) FILTER (ta AND tb) AS top_overlap, count(*) FILTER (ta) AS top_first, count(*) FILTER (tb) AS top_second FROM p GROUP BY 1, 2""")
+    w AS (SELECT a.integration_method, a.metric_name, a.arm AS first, b.arm AS second, a.fs_method, a.rank AS a, b.rank AS b FROM r a JOIN r b USING (integration_method, metric_name, fs_method) WHERE a.arm < b.arm),
+    p AS (SELECT *, rank() OVER (PARTITION BY integration_method, metric_name, first, second ORDER BY a) <= 5 AS ta, rank() OVER (PARTITION BY integration_method, metric_name, first, second ORDER BY b) <= 5 AS tb,
+            rank() OVER (PARTITION BY integration_method, metric_name, first, second ORDER BY a) + (count(*) OVER (PARTITION BY integration_method, metric_name, first, second, a) - 1) / 2.0::DOUBLE AS ra,
+            rank() OVER (PARTITION BY integration_method, metric_name, first, second ORDER BY b) + (count(*) OVER (PARTITION BY integration_method, metric_name, first, second, b) - 1) / 2.0::DOUBLE AS rb FROM w)
+    SELECT integration_method, metric_name, first, second, count(*) AS n_methods, round(corr(ra, rb), 6) + 0 AS rank_rho, round(quantile_cont(abs(b - a), 0.5), 6) + 0 AS median_abs_shift,
+           count(*) FILTER (ta AND tb) AS top_overlap, count(*) FILTER (ta) AS top_first, count(*) FILTER (tb) AS top_second FROM p GROUP BY 1, 2, 3, 4""")
 def _(spark, path):
-    out = S.arm_comparison(_endpoint(spark, path), "arm", "BUILDING", "FURNITURE", ["integration_method", "metric_name"])
+    out = S.arm_comparisons(_endpoint(spark, path), "arm", ["integration_method", "metric_name"])
     return rounded(out, "rank_rho", "median_abs_shift")
 
 

@@ -143,7 +143,7 @@ BINS = """
     ed AS (SELECT quantile_cont(mean, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS m, quantile_cont(det, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS d FROM gs),
     bi AS (SELECT gene, len(list_filter(list_distinct(m), lambda e: round(e, 12) < round(mean, 12))) || '_' || len(list_filter(list_distinct(d), lambda e: round(e, 12) < round(det, 12))) AS bin FROM gs, ed),
     sz AS (SELECT bin, count(*) AS size, count(*) FILTER (gene LIKE 'PROMO-%') AS m FROM bi GROUP BY 1),
-    se AS (SELECT method, gene FROM rankings WHERE dataset = 'BUILDING' AND rank <= 40), c AS (SELECT method, bin, count(*) AS n FROM se JOIN bi USING (gene) GROUP BY 1, 2)"""
+    se AS (SELECT dataset || '/' || method AS method, gene FROM rankings WHERE rank <= 40), c AS (SELECT method, bin, count(*) AS n FROM se JOIN bi USING (gene) GROUP BY 1, 2)"""
 
 
 def _stats(spark, path):
@@ -151,7 +151,7 @@ def _stats(spark, path):
     n = ds.spots.select(F.count("*")).scalar()
     seen = ds.expr.groupBy("gene").agg((F.sum("count") / n).alias("mean"), (F.count("*") / n).alias("detection"))
     stats = ds.genes.select("gene").join(seen, "gene", "left").na.fill(0.0, ["mean", "detection"])
-    sel = fx.rankings(spark, path).filter("dataset = 'BUILDING' AND rank <= 40").select("method", "gene")
+    sel = fx.rankings(spark, path).filter("rank <= 40").select(F.concat_ws("/", "dataset", "method").alias("method"), "gene")
     return stats, sel, ds.genes.filter(F.col("gene").startswith("PROMO-")).select("gene")
 
 
@@ -172,25 +172,25 @@ def _(spark, path):
     pr AS (SELECT pm.*, exp(a.f - b1.f - c1.f + d.f - e.f - f1.f - g.f + h.f + j.f) AS p FROM pm JOIN lf a ON a.i = m JOIN lf b1 ON b1.i = k JOIN lf c1 ON c1.i = m - k
            JOIN lf d ON d.i = size - m JOIN lf e ON e.i = n - k JOIN lf f1 ON f1.i = size - m - n + k JOIN lf g ON g.i = size JOIN lf h ON h.i = n JOIN lf j ON j.i = size - n),
     cu AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY method, bin ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM pr),
-    dr AS (SELECT method, bin, draw, ('0x' || substr(md5('5|' || method || '|' || bin || '|' || draw), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM b, (SELECT unnest(range(2000)) AS draw)),
+    dr AS (SELECT method, bin, draw, ('0x' || substr(md5('5|' || method || '|' || bin || '|' || draw), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM b, (SELECT unnest(range(10000)) AS draw)),
     x AS (SELECT dr.method, draw, sum(k) AS x FROM dr JOIN (SELECT method, bin, k, below, lead(below, 1, 2) OVER (PARTITION BY method, bin ORDER BY k) AS upto FROM cu) q ON q.method = dr.method AND q.bin = dr.bin AND u > below AND u <= upto GROUP BY 1, 2)
     SELECT method, round(avg(x), 6) + 0 AS null_mean, round(quantile_cont(x, 0.025), 6) + 0 AS null_lower, round(quantile_cont(x, 0.975), 6) + 0 AS null_upper FROM x GROUP BY 1""")
 def _(spark, path):
     stats, sel, markers = _stats(spark, path)
-    out = V.matched_null(sel, markers, stats, ["method"], 2000, 5)
+    out = V.matched_null(sel, markers, stats, ["method"], 10000, 5)
     return out.withColumns({c: r6(c) for c in ("null_mean", "null_lower", "null_upper")})
 
 
 @query("reference_concordance")
 def _(spark, path):
     r = fx.records(spark, path)
-    held = r.filter(F.col("metric_name").isin("bASW", "iLISI", "silhouette") & F.col("metric_value").isNotNull()).groupBy(
+    held = r.filter("metric_name <> 'ari' AND metric_value IS NOT NULL").groupBy(
         F.concat_ws("-", "dataset", "random_seed").alias("fold"), F.col("fs_method").alias("method"), F.col("integration_method").alias("reference"),
         F.col("metric_name").alias("metric")).agg(F.avg("metric_value").alias("value"))
     ari = r.filter("metric_name = 'ari' AND metric_value IS NOT NULL").groupBy(
         F.concat_ws("-", "dataset", "random_seed").alias("fold"), F.col("fs_method").alias("method")).agg(F.avg("metric_value").alias("value")).select(
         "fold", "method", F.lit(None).cast("string").alias("reference"), F.lit("ari").alias("metric"), "value")
-    return V.reference_concordance(held.unionByName(ari), 200)
+    return V.reference_concordance(held.unionByName(ari), 5000)
 
 
 @query("hierarchical_mean", """
