@@ -8,6 +8,7 @@ multiple of the points. Vectors: see `vector_knn`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -19,6 +20,7 @@ from tessera.functions.numeric import hash_order
 from tessera.functions.ranks import exact_quantiles
 from tessera.session import cut_lineage, spread
 
+MAX_PIVOTS = 1024
 FAN = 16  # ranges per axis and level: a node of the tree has at most FAN * FAN children
 
 
@@ -231,17 +233,19 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def vector_knn(candidates: DataFrame, k: int, queries: DataFrame | None = None, by: Sequence[str] = (),
-               exclude_self: bool = True, pivots: int = 64, block: int = 1024) -> DataFrame:
+               exclude_self: bool = True, pivots: int | None = None, block: int = 1024) -> DataFrame:
     """Exact k nearest vectors by (squared distance, id): (*by, src, dst, dist2, rank).
 
-    Candidates are assigned to their nearest pivot (a bounded hash sample) and large pivot cells are cut
-    into blocks by hash. The triangle inequality gives each query a bound on its k-th distance and the cells
+    Candidates are assigned to their nearest pivot (a hash sample that grows with the square root of the candidates, up to
+    MAX_PIVOTS vectors) and large pivot cells are cut into blocks by hash. The triangle inequality gives each query a bound on its k-th distance and the cells
     that can still matter; the query visits only the blocks of those cells. A task holds one block of
     candidates and one chunk of queries and returns k rows per query, so pairs are never rows."""
     by = list(by)
     # fresh names and ids: candidates and queries may be the same DataFrame
     cand = candidates.select(*[F.col(c).alias(c) for c in by], F.col("spot_id").alias("dst"), F.col("emb").alias("vec"))
     query = (candidates if queries is None else queries).select(*by, F.col("spot_id").alias("src"), "emb")
+    if pivots is None:
+        pivots = min(MAX_PIVOTS, max(64, math.isqrt(candidates.count()) // 4))
     # at most `pivots` vectors reach the driver
     chosen = [r["emb"] for r in candidates.select("emb", hash_order(7, "spot_id").alias("_h")).orderBy("_h").limit(pivots).collect()]
     id_type = candidates.schema["spot_id"].dataType.simpleString()
@@ -367,15 +371,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def mnn_pairs(emb: DataFrame, k: int, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Mutual nearest neighbours between declared slice pairs."""
-    out = None
-    for left, right in pairs:
-        a, b = emb.filter(F.col("slice") == left), emb.filter(F.col("slice") == right)
-        ab = vector_knn(b, k, queries=a, exclude_self=False).select("src", "dst", "dist2")
-        ba = vector_knn(a, k, queries=b, exclude_self=False).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-        both = ab.join(ba, ["src", "dst"]).select(F.lit(left).alias("left"), F.lit(right).alias("right"), "src", "dst", "dist2")
-        out = both if out is None else out.unionByName(both)
-    return out
+    """Mutual nearest neighbours between declared slice pairs. The pair is a key of the neighbour join, so all pairs are
+    searched in one plan, once in each direction."""
+    declared = emb.sparkSession.createDataFrame([(f"{i}", a, b) for i, (a, b) in enumerate(dict.fromkeys(pairs))], "pair string, left string, right string")
+    sides = [emb.join(declared.select("pair", F.col(c).alias("slice")), "slice").select("pair", "spot_id", "emb") for c in ("left", "right")]
+    ab = vector_knn(sides[1], k, queries=sides[0], by=["pair"], exclude_self=False).select("pair", "src", "dst", "dist2")
+    ba = vector_knn(sides[0], k, queries=sides[1], by=["pair"], exclude_self=False).select("pair", F.col("src").alias("dst"), F.col("dst").alias("src"))
+    return ab.join(ba, ["pair", "src", "dst"]).join(declared, "pair").select("left", "right", "src", "dst", "dist2")
 
 
 def mnn_correct(emb: DataFrame, k: int, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -81,6 +81,54 @@ def silhouette_values(emb: DataFrame, cluster_col: str, sample: int | None = Non
     return s.select(*by, "spot_id", "c", value.alias("silhouette"))
 
 
+def squared_silhouette_values(emb: DataFrame, cluster_col: str, by: Sequence[str] = (), block: int = 4096) -> DataFrame:
+    """Silhouette on squared Euclidean distances, in time linear in the points.
+
+    The summed squared distance of x to a cluster is n |x|^2 - 2 x.S + Q with the cluster's size n, vector sum S and sum of
+    squares Q. Tasks sum their own points per cluster first; blocks of points then meet one row per cluster."""
+    by = list(by)
+    x = emb.select(*by, "spot_id", F.col(cluster_col).cast("string").alias("c"), "emb").filter("c IS NOT NULL")
+    if not by:
+        x = x.withColumn("_g", F.lit(0))
+    keys = by or ["_g"]
+    group_type = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in keys)
+    id_type = emb.schema["spot_id"].dataType.simpleString()
+
+    def partial(frames):
+        for f in frames:
+            for key, g in f.groupby([*keys, "c"], sort=False):
+                m = np.stack(g["emb"].to_numpy())
+                yield pd.DataFrame([[*key, len(m), m.sum(0), float((m * m).sum())]], columns=[*keys, "k", "n", "total", "q"])
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*f[[*keys, "k"]].iloc[0], f["n"].sum(), np.sum(np.stack(f["total"].to_numpy()), axis=0), f["q"].sum()]],
+                            columns=[*keys, "k", "n", "total", "q"])
+
+    schema = f"{group_type}, k string, n long, total array<double>, q double"
+    stats = cut_lineage(x.select(*keys, "c", "emb").mapInPandas(partial, schema).groupBy(*keys, "k").applyInPandas(add, schema))
+    blocks = stats.groupBy(*keys).agg((F.floor((F.sum("n") - 1) / block) + 1).cast("int").alias("_nb"))
+    placed = x.join(blocks, keys).withColumn("_b", F.pmod(F.xxhash64("spot_id"), F.col("_nb")).cast("int")).drop("_nb")
+    dealt = stats.join(blocks, keys).select(*stats.columns, F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_b"))
+
+    def work(f: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        columns = [*keys, "spot_id", "c", "silhouette"]
+        if f.empty:
+            return pd.DataFrame(columns=columns)
+        m, n = np.stack(f["emb"].to_numpy()), s["n"].to_numpy(float)
+        total = np.maximum((m * m).sum(1)[:, None] * n - 2 * m @ np.stack(s["total"].to_numpy()).T + s["q"].to_numpy(), 0)
+        own = f["c"].to_numpy()[:, None] == s["k"].to_numpy()[None, :]
+        size = (own * n).sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a = (own * total).sum(1) / (size - 1)
+            b = np.where(own, np.inf, total / n).min(1)
+            value = np.where((size > 1) & np.isfinite(b) & (np.maximum(a, b) > 0), (b - a) / np.maximum(a, b), 0.0)
+        return f.assign(silhouette=value)[columns]
+
+    unit = [*keys, "_b"]
+    out = placed.groupBy(*unit).cogroup(dealt.groupBy(*unit)).applyInPandas(work, f"{group_type}, spot_id {id_type}, c string, silhouette double")
+    return out.select(*by, "spot_id", "c", "silhouette")
+
+
 def silhouette(emb: DataFrame, cluster_col: str, sample: int | None = None, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """Mean silhouette; NULL with fewer than two clusters."""
     s = silhouette_values(emb, cluster_col, sample, seed, by)
@@ -259,18 +307,23 @@ def alignment_scores(emb: DataFrame, pairs: Sequence[tuple[str, str]], cap: int
     if cap is not None:
         w = Window.partitionBy("slice").orderBy(hash_order(seed, "spot_id"), "spot_id")
         emb = emb.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
-    labels = emb.select("spot_id", "label")
-    out = None
-    for left, right in pairs:
-        sides = [emb.filter(F.col("slice") == s) for s in (left, right)]
-        small = emb.filter(F.col("slice").isin(left, right)).groupBy("slice").agg(F.count("*").alias("n")).agg(F.min("n")).scalar()
-        for q, c in (sides, sides[::-1]):
-            e = vector_knn(c, 1, queries=q, exclude_self=False).join(labels.toDF("src", "a"), "src").join(labels.toDF("dst", "b"), "dst")
-            row = e.agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("acc"), F.count_distinct("dst").alias("t")).withColumn(
-                "rat", F.abs(F.log2(small / F.greatest("t", F.lit(1))))).select(F.lit(f"{left}|{right}").alias("pair"), "acc", "rat")
-            out = row if out is None else out.unionByName(row)
-    per_pair = out.groupBy("pair").agg(F.avg("acc").alias("acc"), F.avg("rat").alias("rat"))
-    return per_pair.agg(F.avg("acc").alias("accuracy"), F.avg("rat").alias("ratio"))
+    # both directions of all pairs are keys of one neighbour join
+    sides = F.explode(F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.lit(a).alias("from"), F.lit(b).alias("to")) for p in pairs for a, b in (p, p[::-1])]))
+    declared = emb.sparkSession.range(1).select(sides.alias("p")).select(F.col("p.*")).distinct()
+    queries = emb.join(declared.withColumnRenamed("from", "slice"), "slice").select("pair", "spot_id", "emb", "label")
+    targets = emb.join(declared.withColumnRenamed("to", "slice"), "slice").select("pair", "spot_id", "emb", "label")
+    small = emb.groupBy("slice").agg(F.count("*").alias("n"))
+    small = declared.join(small.toDF("from", "nf"), "from").join(small.toDF("to", "nt"), "to").select("pair", F.least("nf", "nt").alias("n"))
+    e = vector_knn(targets, 1, queries=queries, by=["pair"], exclude_self=False)
+    e = e.join(queries.select("pair", F.col("spot_id").alias("src"), F.col("label").alias("a")), ["pair", "src"]).join(
+        targets.select("pair", F.col("spot_id").alias("dst"), F.col("label").alias("b")), ["pair", "dst"])
+    out = e.groupBy("pair").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("acc"), F.count_distinct("dst").alias("t")).join(small, "pair").select(
+        "pair", "acc", F.abs(F.log2(F.col("n") / F.greatest("t", F.lit(1)))).alias("rat"))
+    # a pair weighs as often as it is declared
+    names = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f"{a}|{b}").alias("pair")) for i, p in enumerate(pairs) for a, b in (p, p[::-1])]))
+    listed = emb.sparkSession.range(1).select(names.alias("p")).select("p.*")
+    return listed.join(out, "pair").groupBy("i").agg(F.avg("acc").alias("acc"), F.avg("rat").alias("rat")).agg(
+        F.avg("acc").alias("accuracy"), F.avg("rat").alias("ratio"))
 
 
 def kmeans_embed(emb: DataFrame, k: int, seed: int = 0, n_init: int = 20) -> DataFrame:

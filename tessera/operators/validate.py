@@ -258,7 +258,7 @@ def reference_concordance(long: DataFrame, draws: int = 1000, seed: int = 0) ->
     references, and of each reference metric with `ari`, with a fold-cluster bootstrap interval."""
     from tessera.operators.robust import bootstrap_spearman
 
-    mean = long.filter("metric <> 'ari'").groupBy("method", "metric", "reference").agg(F.avg("value").alias("v"))
+    mean = long.filter("metric <> 'ari'").groupBy("method", "metric", "reference").agg(F.round(F.avg("value"), 9).alias("v"))
     refs = long.filter("reference IS NOT NULL").agg(F.min("reference").alias("a"), F.max("reference").alias("b"))
     both = mean.groupBy("method", "metric").agg(
         F.max(F.when(F.col("reference") == refs.select("a").scalar(), F.col("v"))).alias("x"),

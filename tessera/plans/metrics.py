@@ -38,6 +38,12 @@ def _(spark, path):
     return s.groupBy(F.col("c").alias("label")).agg(F.count("*").alias("n"), r6(F.avg("silhouette")).alias("value"))
 
 
+@query("squared_silhouette", _sil_sql("label").replace("sum(sqrt(dist2))", "sum(dist2)") + " SELECT src AS spot_id, c AS label, round(s, 6) + 0 AS silhouette FROM sv")
+def _(spark, path):
+    s = M.squared_silhouette_values(fx.embedding(spark, path), "label")
+    return s.select("spot_id", F.col("c").alias("label"), r6("silhouette").alias("silhouette"))
+
+
 @query("inverse_slice_silhouette", _sil_sql("slice") + " SELECT round(1 - (avg(s) + 1) / 2, 6) + 0 AS value FROM sv")
 def _(spark, path):
     return value(M.inverse_slice_silhouette(fx.embedding(spark, path)))

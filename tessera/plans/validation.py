@@ -12,6 +12,7 @@ from tessera.operators.graph import knn_join
 from tessera.plans import fixtures as fx
 from tessera.plans.ranking import MORAN
 from tessera.plans.registry import query
+from tessera.plans.robustness import draws_sql, spearman_sql
 
 
 @query("split_slice", """
@@ -181,16 +182,33 @@ def _(spark, path):
     return out.withColumns({c: r6(c) for c in ("null_mean", "null_lower", "null_upper")})
 
 
-@query("reference_concordance")
+@query("reference_concordance", """
+    WITH h AS (SELECT dataset || '-' || random_seed AS fold, fs_method AS method, integration_method AS reference, metric_name AS metric, round(avg(metric_value), 9) AS value
+               FROM records WHERE metric_name <> 'ari' AND metric_value IS NOT NULL GROUP BY ALL),
+    a AS (SELECT dataset || '-' || random_seed AS fold, fs_method AS method, round(avg(metric_value), 9) AS y FROM records WHERE metric_name = 'ari' AND metric_value IS NOT NULL GROUP BY ALL),
+    mm AS (SELECT method, metric, reference, round(avg(value), 9) AS v FROM h GROUP BY ALL),
+    bo AS (SELECT metric, method, max(v) FILTER (reference = (SELECT min(reference) FROM h)) AS x, max(v) FILTER (reference = (SELECT max(reference) FROM h)) AS y FROM mm GROUP BY 1, 2),
+    """ + spearman_sql("SELECT * FROM bo", "metric").replace("sp AS", "cp AS").replace("FROM sp", "FROM cp").replace("so AS", "co AS") + """,
+    bx AS (SELECT reference || ':' || metric AS comparison, fold AS cl, value AS x, y FROM h JOIN a USING (fold, method)),
+    """ + draws_sql("SELECT * FROM bx", "comparison", "cl", 5000, 0) + """,
+    ex AS (SELECT bx.comparison, draw, x, y FROM bx JOIN wt ON wt.comparison = bx.comparison AND wt.cl = bx.cl, range(100) g(i) WHERE i < weight),
+    er AS (SELECT *, rank() OVER (PARTITION BY comparison, draw ORDER BY x) + (count(*) OVER (PARTITION BY comparison, draw, x) - 1) / 2.0::DOUBLE AS rx,
+             rank() OVER (PARTITION BY comparison, draw ORDER BY y) + (count(*) OVER (PARTITION BY comparison, draw, y) - 1) / 2.0::DOUBLE AS ry FROM ex),
+    es AS (SELECT comparison, draw, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END AS r FROM er GROUP BY 1, 2),
+    ci AS (SELECT comparison, round(quantile_cont(r, 0.025), 6) + 0 AS lower, round(quantile_cont(r, 0.975), 6) + 0 AS upper FROM es GROUP BY 1),
+    """ + spearman_sql("SELECT * FROM bx", "comparison") + """
+    SELECT 'references:' || metric AS comparison, n, rho, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper FROM co
+    UNION ALL SELECT comparison, n, rho, lower, upper FROM so JOIN ci USING (comparison)""")
 def _(spark, path):
     r = fx.records(spark, path)
     held = r.filter("metric_name <> 'ari' AND metric_value IS NOT NULL").groupBy(
         F.concat_ws("-", "dataset", "random_seed").alias("fold"), F.col("fs_method").alias("method"), F.col("integration_method").alias("reference"),
-        F.col("metric_name").alias("metric")).agg(F.avg("metric_value").alias("value"))
+        F.col("metric_name").alias("metric")).agg(F.round(F.avg("metric_value"), 9).alias("value"))
     ari = r.filter("metric_name = 'ari' AND metric_value IS NOT NULL").groupBy(
-        F.concat_ws("-", "dataset", "random_seed").alias("fold"), F.col("fs_method").alias("method")).agg(F.avg("metric_value").alias("value")).select(
+        F.concat_ws("-", "dataset", "random_seed").alias("fold"), F.col("fs_method").alias("method")).agg(F.round(F.avg("metric_value"), 9).alias("value")).select(
         "fold", "method", F.lit(None).cast("string").alias("reference"), F.lit("ari").alias("metric"), "value")
-    return V.reference_concordance(held.unionByName(ari), 5000)
+    out = V.reference_concordance(held.unionByName(ari), 5000)
+    return out.withColumns({c: r6(c) for c in ("rho", "lower", "upper")})
 
 
 @query("hierarchical_mean", """
