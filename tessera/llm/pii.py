@@ -37,6 +37,8 @@ DIGITS = {
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+#: Letters that a case-blind match takes for an ASCII letter though lower case leaves them as they are, or apart.
+_LIKE_ASCII = str.maketrans({"ſ": "s", "ı": "i", "\u0307": None})
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()}
 _FOLD |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full-width forms
 _FOLD |= {zero + d: str(d) for zero in (0x0660, 0x06F0, 0x0966) for d in range(10)}  # Arabic-Indic, Persian and Devanagari digits
@@ -45,10 +47,12 @@ _ODD = re.compile("[" + "".join(map(chr, sorted(_FOLD))) + "]")
 _OPEN, _CLOSE = r"[ \t]{0,3}[(\[{<][ \t]{0,3}", r"[ \t]{0,3}[)\]}>][ \t]{0,3}"
 _AT, _DOT = r"(?:at|arroba|arobase|klammeraffe)", r"(?:dot|punkt|punto|point)"
 _BARE_DOT = r"[ \t]{1,3}(?:dot|punkt|punto)[ \t]{1,3}(?=[a-z0-9])"
+_HIDDEN = "[\u00ad\u200b\u200c\u200d\u2060\ufeff]"  # signs without width
 _DIGIT = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _REWRITE = re.compile(
     rf"(?P<at>{_OPEN}{_AT}{_CLOSE}|&#64;|[ \t]{{1,3}}(?:at|arroba)[ \t]{{1,3}}(?=[a-z0-9-]++(?:\.[a-z0-9-]++)*+(?:{_BARE_DOT}|{_OPEN}{_DOT}{_CLOSE})))"
     rf"|(?P<dot>{_OPEN}{_DOT}{_CLOSE}|&#46;|{_BARE_DOT})"
+    rf"|(?P<none>{_HIDDEN}+)"
     rf"|(?P<plus>(?<![a-z0-9])plus[ \t-](?=[0-9]|{_DIGIT}\b))"
     rf"|(?P<digits>(?<![^\W_]){_DIGIT}(?:[ \t-]{_DIGIT})++(?![^\W_]))", re.I)
 
@@ -59,6 +63,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 
+_SIGNS = {"at": "@", "dot": ".", "plus": "+", "none": ""}
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -109,7 +116,7 @@ def rewrite(text: str) -> tuple[str, list[int], list[tuple[int, int, int, int]]]
     parts, pieces, at, size = [], [], 0, 0
     for m in _REWRITE.finditer(folded):
         kept = folded[at:m.start()]
-        new = {"at": "@", "dot": ".", "plus": "+"}.get(m.lastgroup) or "".join(DIGITS[w] for w in re.split(r"[ \t-]", m[0].lower()))
+        new = _SIGNS[m.lastgroup] if m.lastgroup in _SIGNS else "".join(DIGITS[w] for w in re.split(r"[ \t-]", m[0].lower().translate(_LIKE_ASCII)))
         parts += [kept, new]
         size += len(kept)
         pieces.append((size, size + len(new), m.start(), m.end()))
