@@ -2,14 +2,15 @@
 
 Every benchmark item becomes windows of 13 normalised words (an item of fewer words is one window of its own length). Their hashes go to the
 tasks, which roll the same hashes over every document, verify each hash hit against the window's words, and report the covered words,
-character spans and items. The set sent to the tasks is bounded: a benchmark of more than `block_windows` windows is taken in blocks, one
-pass over the documents each, and the passes are united per document.
+character spans and items. The set sent to the tasks is bounded: a benchmark of more than `block_windows` windows is taken in blocks. Only
+two blocks are held at a time; each pass over the documents stores its hits and frees its block, and the stored passes are united per document.
 
 Defined results: null, empty and punctuation-only texts have no words and hit nothing; repeated rows give one result row each; an empty
 benchmark leaves all documents clean; an item without words has no window. Only the named columns are read."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
+from tessera.llm.folders import stored
 
 WORDS = 13
 BLOCK_WINDOWS = 500_000
@@ -115,8 +117,8 @@ def _blocks(found: DataFrame, most: int):
         yield out
 
 
-def _merge(hits: bytes, more: bytes) -> bytes:
-    runs = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in (hits, more)])
+def _merge(hits: bytes) -> bytes:
+    runs = np.frombuffer(hits, "<i8").reshape(-1, 2)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     return W.covered(runs[:, 0], runs[:, 1] - runs[:, 0]).astype("<i8").tobytes()
 
@@ -128,29 +130,35 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     found = windows(items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")), n)
     keyed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     key_type = keyed.schema["key"].dataType
-    blocks = list(_blocks(found, block_windows))
-    if len(blocks) > 1:  # rows that are equal in id must stay apart over the passes
-        keyed = keyed.withColumn("row", F.monotonically_increasing_id())
-    out = None
-    for block in blocks:
-        extra = "row long, " if len(blocks) > 1 else ""
-        one = keyed.select("key", *(["row"] if extra else []), "text").mapInArrow(
-            _scan(spark.sparkContext.broadcast(block)), f"key {key_type.simpleString()}, {extra}{SCHEMA}")
-        out = one if out is None else out.unionByName(one)
-    if len(blocks) == 1:
-        return out
+    kind, parts = key_type.simpleString(), []
+    out = f"key {kind}, {SCHEMA}"
+    blocks = _blocks(found, block_windows)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return keyed.mapInArrow(_scan(spark.sparkContext.broadcast(block)), out)
+    # rows that are equal in id must stay apart over the passes
+    keyed = stored(keyed.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+        one = keyed.select("key", "row", "text").mapInArrow(_scan(shared), f"key {kind}, row long, {SCHEMA}")
+        # the first pass stands for every document, the others add hits
+        parts.append(stored(one if not parts else one.filter(F.size("items") > 0), "hits"))
+        shared.destroy()
+        block, more = more, next(blocks, None)
 
     def unite(batches):
         for batch in batches:
-            cols = batch.to_pydict()
-            cols["hits"] = [_merge(b"".join(h), b"") for h in cols["hits"]]
-            cols["items"] = [sorted({y for x in i for y in x}) for i in cols["items"]]
-            cols["spans"] = [_runs([(y["start"], y["end"]) for x in s for y in x]) for s in cols["spans"]]
-            yield pa.RecordBatch.from_pylist([dict(zip(cols, r)) for r in zip(*cols.values())], schema=None) if batch.num_rows else batch
-
-    grouped = out.groupBy("row").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"),
-                                     F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans")).drop("row")
-    return grouped.mapInArrow(unite, f"key {key_type.simpleString()}, {SCHEMA}")
+            hits, items, spans = (batch.column(c).to_pylist() for c in ("hits", "items", "spans"))
+            yield pa.record_batch([
+                batch.column("key"), batch.column("n_words"), pa.array([_merge(b"".join(h)) for h in hits], pa.binary()),
+                pa.array([sorted({y for x in i for y in x}) for i in items], pa.list_(pa.string())),
+                pa.array([_runs([(y["start"], y["end"]) for x in s for y in x]) for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                ["key", "n_words", "hits", "items", "spans"])
+
+    grouped = functools.reduce(DataFrame.unionByName, parts).groupBy("row").agg(
+        F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"),
+        F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans")).drop("row")
+    return grouped.mapInArrow(unite, out)
 
 
 def _runs(spans: list[tuple[int, int]]) -> list[dict]:
