@@ -81,14 +81,14 @@ class Encoder:
 
 
 @functools.cache
-def _encoder(file: str, end: int) -> Encoder:
+def worker_encoder(file: str, end: int) -> Encoder:
     return Encoder(file, end)
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(row, doc, piece, start, length, crc32), `row` being unique once stored."""
     def scan(batches):
-        encode, made = _encoder(tokenizer_file, end), TaskContext.get().partitionId() << 40
+        encode, made = worker_encoder(tokenizer_file, end), TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in W.slices(whole, "text", SLICE_BYTES):
                 ids, at = encode(batch.column("text"))

@@ -1,35 +1,33 @@
 """Token-id files: documents compressed one by one with a shared zstandard dictionary.
 
-Ids of a document are unsigned 16-bit integers (32-bit when the vocabulary needs it). A dictionary is trained on serialized id arrays of a
-bounded sample of documents, then every document is compressed alone against it, so a short document can be read without its neighbours.
+Ids of a document are unsigned 16-bit integers, or 32-bit ones when the vocabulary needs them; the file says which. A dictionary is trained on
+the serialized ids of at most `sample_docs` documents of at most SAMPLE_BYTES of text, then every document is compressed alone against it, so a
+short document can be read without its neighbours.
 
 A file is: magic, width of ids, SHA-256 of the dictionary, frames one after the other, and an index of (doc_id, frame offset, frame size,
 token count, tokens before it in this file) with its own offset in the last bytes. Files hold ascending ranges of doc_id. The dictionary
 lies beside them, named by its hash; a reader refuses a file whose hash differs.
 
-Documents are dealt to files by boundaries of doc_id that are taken from the id column alone. Tasks write a file under a fresh name and move
+Documents are dealt to ranges by boundaries of doc_id that are taken from the id column alone; a range is cut into files of a bounded number
+of bytes. Tasks write a file under a fresh name and move
 it when it is whole, so a retried task only replaces it. Defined results: null and empty texts hold the end id alone; equal ids keep their
 order by content; a null id sorts first; an empty table gives no files and no rows."""
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import io
-import os
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.folders import filesystem, new_folder, put_bytes, stored
-from tessera.llm.known import Known, counted, gather
-from tessera.llm.lm_score import frequent
+from tessera.llm.packing import SLICE_BYTES, worker_encoder
 
 MAGIC = b"TOKD1\0"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("size", "<i4"), ("n", "<i4"), ("before", "<i8")])
@@ -37,91 +35,44 @@ END = 1
 NO_ID = np.iinfo(np.int64).min  # stands for a null id, which sorts first
 SAMPLE_DOCS = 2_000  # documents that the dictionary is trained on
 DICTIONARY_BYTES = 64 << 10
-FILE_DOCS = 20_000  # documents per file
-KNOWN_WORDS = 600_000  # frequent words whose ids every task holds
+SAMPLE_BYTES = 64 << 10  # longest text of the sample
+FILE_DOCS = 20_000  # documents per range
+FILE_BYTES = 128 << 20  # a file is closed beyond this size
 
 
-def _split(texts: pa.Array) -> pa.ListArray:
-    """The tokenizer drops white space and never looks across it, so its words can be encoded one by one."""
-    return pc.split_pattern_regex(texts.fill_null(""), r"[ \t\n\r]+")
-
-
-def _flat_words(batch: pa.RecordBatch):
-    for part in W.slices(batch, "text"):
-        yield _split(part.column("text")).values
-
-
-@functools.cache
-def _tokenizer(file: str):
-    """One per worker process. Its threads are left off: Spark already uses every core."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def id_width(tokenizer_file: str) -> int:
+    """Bytes that an id of the vocabulary needs."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(file)
+    return 2 if Tokenizer.from_file(tokenizer_file).get_vocab_size() <= 1 << 16 else 4
 
 
-def _ids(tok, words: list) -> list[np.ndarray]:
-    return [np.array(e.ids, np.uint16) for e in tok.encode_batch(words, add_special_tokens=False)]
+def encoder(tokenizer_file: str, width: int, end: int = END):
+    """A function from a text array to one serialized id array per text. A worker has one encoder with a cache of bounded size."""
+    encode = worker_encoder(tokenizer_file, end)
 
+    def serialize(texts: pa.Array) -> list[np.ndarray]:
+        ids, at = encode(texts)
+        ids = ids.astype(f"<u{width}")
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
-def frequent_words(docs: DataFrame, tokenizer_file: str, most: int = KNOWN_WORDS) -> Known:
-    """The most frequent words of all documents, at most `most`, with their ids: a dictionary of bounded size for the tasks."""
-    spark = docs.sparkSession
-    empty = spark.sparkContext.broadcast(Known.of(pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.uint16)))
-    top = frequent(stored(counted(docs.select("text"), _flat_words, empty), "token-words"), most)
+    return serialize
 
-    def encode(batches):
-        tok = _tokenizer(tokenizer_file)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 10_000):
-                part = batch.column("piece").slice(i, 10_000)
-                ids = _ids(tok, part.cast(pa.string()).to_pylist())
-                yield pa.record_batch([part, pa.array([x.tobytes() for x in ids], pa.binary())], ["piece", "ids"])
-
-    spread = spark.createDataFrame(top.select(["piece"])).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = spread.mapInArrow(encode, "piece binary, ids binary").toArrow().combine_chunks()
-    pieces = rows["piece"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
-    ids = rows["ids"].to_pylist()
-    return Known.of(pieces, np.array([len(x) >> 1 for x in ids], np.int64), np.frombuffer(b"".join(ids), np.uint16))
-
-
-def encoder(tokenizer_file: str, known: Known, end: int = END):
-    """A function from a text array to one id array per text. Distinct words are looked up, and the unknown ones encoded once per array."""
-    tok = _tokenizer(tokenizer_file)
-    tail = np.array([end], np.uint16)
-
-    def encode(texts: pa.Array) -> list[np.ndarray]:
-        parts = _split(texts)
-        coded = pc.dictionary_encode(parts.values)
-        at = known.find(coded.dictionary)
-        new = np.flatnonzero(at < 0)
-        got = _ids(tok, coded.dictionary.take(pa.array(new)).to_pylist())
-        extra = np.array([len(x) for x in got], np.int64)
-        sizes = np.zeros(len(at), np.int64)
-        begin = np.zeros(len(at), np.int64)
-        have = at >= 0
-        sizes[have], begin[have] = known.sizes[at[have]], known.begin[at[have]]
-        sizes[new], begin[new] = extra, len(known.ids) + np.cumsum(extra) - extra
-        ids, ends = gather(np.concatenate([known.ids, *got]).astype(np.uint16), begin, sizes, coded.indices.to_numpy())
-        cut = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
-        return [np.concatenate([ids[a:b], tail]) for a, b in zip(cut, cut[1:])]
-
-    return encode
-
-
-def train(docs: DataFrame, tokenizer_file: str, shared, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary from the serialized ids of at most `sample_docs` documents, chosen by hash of their ids."""
+
+def train(docs: DataFrame, tokenizer_file: str, width: int, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
+    """A zstandard dictionary from the serialized ids of at most `sample_docs` documents of bounded length, chosen by hash of their ids."""
     import zstandard
 
     def ids(batches):
-        encode = encoder(tokenizer_file, shared.value)
+        encode = encoder(tokenizer_file, width)
         for whole in batches:
             for batch in W.slices(whole, "text"):
-                yield pa.record_batch([pa.array([x[:4096].tobytes() for x in encode(batch.column("text"))], pa.binary())], ["ids"])
+                yield pa.record_batch([pa.array([x.tobytes() for x in encode(batch.column("text"))], pa.binary())], ["ids"])
 
     # the ids are chosen first, so that no text is sorted
     chosen = docs.select("doc").orderBy(F.expr("xxhash64(doc)"), "doc").limit(sample_docs).distinct()
-    samples = [x for x in docs.join(F.broadcast(chosen), "doc").select("text").mapInArrow(ids, "ids binary").toArrow()["ids"].to_pylist() if len(x) > 8]
+    texts = docs.join(F.broadcast(chosen), "doc").filter(F.octet_length("text") <= SAMPLE_BYTES).select("text").limit(sample_docs)
+    samples = [x for x in texts.mapInArrow(ids, "ids binary").toArrow()["ids"].to_pylist() if len(x) > 8]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too little to learn from: the samples themselves, as raw content
@@ -137,13 +88,13 @@ def boundaries(docs: DataFrame, files: int) -> list[int]:
 
 
 def write(docs: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_id", text_col: str = "text", file_docs: int = FILE_DOCS) -> DataFrame:
-    """Writes the files and returns their list: (file, uri, n_docs, n_tokens), ascending by file."""
+    """Writes the files and returns their list: (file, part, uri, n_docs, n_tokens), ascending by file and part."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     total = docs.count()
     cuts = boundaries(docs, -(-total // file_docs))
-    known = spark.sparkContext.broadcast(frequent_words(docs, tokenizer_file))
-    dictionary = train(docs, tokenizer_file, known)
+    width = id_width(tokenizer_file)
+    dictionary = train(docs, tokenizer_file, width)
     name = hashlib.sha256(dictionary).hexdigest()
     put_bytes(f"{folder}/{name}.dict", dictionary)
     shared = spark.sparkContext.broadcast((dictionary, np.array(cuts, np.int64)))
@@ -153,9 +104,9 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_
 
         words, cuts = shared.value
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words))
-        encode = encoder(tokenizer_file, known.value)
+        encode = encoder(tokenizer_file, width)
         for whole in batches:
-            for batch in W.slices(whole, "text"):
+            for batch in W.slices(whole, "text", SLICE_BYTES):
                 ids = encode(batch.column("text"))
                 doc = batch.column("doc")
                 file = np.searchsorted(cuts, doc.fill_null(NO_ID).to_numpy(), "right")
@@ -166,33 +117,32 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_
     dealt = frames.repartition(min(len(cuts) + 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "file").sortWithinPartitions("file", "doc", "frame")
 
     def save(batches):
-        now, body, rows = None, None, []
+        now, part, body, rows = None, 0, None, []
 
         def close():
             index = np.array(rows, INDEX)
             at = body.tell()
             body.write(index.tobytes())
             body.write(struct.pack("<qq", at, len(rows)))
-            uri = f"{folder}/{now:08d}.tok"
+            uri = f"{folder}/{now:08d}-{part:04d}.tok"
             put_bytes(uri, body.getvalue())
-            return now, uri, len(rows), int(index["n"].sum())
-
-        def batch_of(done):
-            return pa.record_batch([pa.array([x], t) for x, t in zip(done, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["file", "uri", "n_docs", "n_tokens"])
+            done = (now, part, uri, len(rows), int(index["n"].sum()))
+            return pa.record_batch([pa.array([x], t) for x, t in zip(done, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["file", "part", "uri", "n_docs", "n_tokens"])
 
         for batch in batches:
             for file, doc, n, frame in zip(*(c.to_pylist() for c in batch.columns)):
-                if file != now:
-                    if rows:
-                        yield batch_of(close())
-                    now, body, rows = file, io.BytesIO(), []
-                    body.write(MAGIC + bytes([2]) + bytes.fromhex(name))
+                if rows and (file != now or body.tell() > FILE_BYTES):
+                    yield close()
+                    part, rows = part + 1 if file == now else 0, []
+                if not rows:
+                    now, body = file, io.BytesIO()
+                    body.write(MAGIC + bytes([width]) + bytes.fromhex(name))
                 rows.append((NO_ID if doc is None else doc, body.tell(), len(frame), n, rows[-1][4] + rows[-1][3] if rows else 0))
                 body.write(frame)
         if rows:
-            yield batch_of(close())
+            yield close()
 
-    return stored(dealt.mapInArrow(save, "file int, uri string, n_docs long, n_tokens long"), "token-files")
+    return stored(dealt.mapInArrow(save, "file int, part int, uri string, n_docs long, n_tokens long"), "token-files")
 
 
 class TokenFile:
@@ -210,6 +160,7 @@ class TokenFile:
             words = f.read()
         if hashlib.sha256(words).digest() != head[7:39]:
             raise ValueError(f"{uri} needs another dictionary")
+        self.width = head[6]
         size = self.source.size()
         at, n = struct.unpack("<qq", self.source.read_at(16, size - 16))
         self.index = np.frombuffer(self.source.read_at(n * INDEX.itemsize, at), INDEX)
@@ -217,7 +168,7 @@ class TokenFile:
 
     def ids(self, row: int) -> np.ndarray:
         r = self.index[row]
-        return np.frombuffer(self.open(self.source.read_at(int(r["size"]), int(r["offset"]))), "<u2")
+        return np.frombuffer(self.open(self.source.read_at(int(r["size"]), int(r["offset"]))), f"<u{self.width}")
 
     def find(self, doc_id: int) -> np.ndarray:
         """Ids of the first document of that id; KeyError if it is not here."""
@@ -228,10 +179,10 @@ class TokenFile:
 
 
 def read(spark, files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document of stored files; `start` counts the ids of all documents before it.
+    """(doc_id, start, n_tokens, ids): every document of stored files, ids as 32-bit integers; `start` counts the ids of all documents before it.
 
     The list of files, one row each, is summed on the driver; documents are not."""
-    rows = sorted(files.select("file", "uri", "n_tokens").collect())
+    rows = sorted(files.select("file", "part", "uri", "n_tokens").collect())
     starts = np.cumsum([0, *(r["n_tokens"] for r in rows)]).tolist()
     listing = spark.createDataFrame(pa.table({"uri": pa.array([r["uri"] for r in rows], pa.string()), "base": pa.array(starts[:-1], pa.int64())}))
 
@@ -242,7 +193,7 @@ def read(spark, files: DataFrame) -> DataFrame:
                 for i in range(0, len(f.index), 500):
                     part = f.index[i:i + 500]
                     yield pa.record_batch([pa.array(part["doc_id"], mask=part["doc_id"] == NO_ID), pa.array(part["before"] + base), pa.array(part["n"].astype(np.int64)),
-                                           pa.array([f.ids(k).tobytes() for k in range(i, i + len(part))], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                                           pa.array([f.ids(k).astype("<u4").tobytes() for k in range(i, i + len(part))], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return listing.repartition(max(1, len(rows))).mapInArrow(scan, "doc_id long, start long, n_tokens long, ids binary")
 
@@ -250,7 +201,7 @@ def read(spark, files: DataFrame) -> DataFrame:
 def digests(documents: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in batches:
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch.column("ids").to_pylist()]
+            crc = [zlib.crc32(x) for x in batch.column("ids").to_pylist()]
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return documents.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
