@@ -37,6 +37,7 @@ SAMPLE_DOCS = 2_000  # documents that the dictionary is trained on
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 64 << 10  # longest text of the sample
 FILE_DOCS = 20_000  # documents per range
+LEVEL = 3
 FILE_BYTES = 128 << 20  # a file is closed beyond this size
 
 
@@ -103,7 +104,9 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_
         import zstandard
 
         words, cuts = shared.value
-        press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words))
+        known = zstandard.ZstdCompressionDict(words)
+        known.precompute_compress(level=LEVEL)
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=known)
         encode = encoder(tokenizer_file, width)
         for whole in batches:
             for batch in W.slices(whole, "text", SLICE_BYTES):
@@ -178,36 +181,43 @@ class TokenFile:
         return self.ids(k)
 
 
-def read(spark, files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document of stored files, ids as 32-bit integers; `start` counts the ids of all documents before it.
-
-    The list of files, one row each, is summed on the driver; documents are not."""
+def _listing(spark, files: DataFrame) -> DataFrame:
+    """(uri, base): the stored files, each with the number of ids before it, a file per partition. The list of files, one row each, is summed
+    on the driver; documents are not."""
     rows = sorted(files.select("file", "part", "uri", "n_tokens").collect())
     starts = np.cumsum([0, *(r["n_tokens"] for r in rows)]).tolist()
-    listing = spark.createDataFrame(pa.table({"uri": pa.array([r["uri"] for r in rows], pa.string()), "base": pa.array(starts[:-1], pa.int64())}))
+    listing = pa.table({"uri": pa.array([r["uri"] for r in rows], pa.string()), "base": pa.array(starts[:-1], pa.int64())})
+    return spark.createDataFrame(listing).repartition(max(1, len(rows)))
 
-    def scan(batches):
-        for batch in batches:
-            for uri, base in zip(*(c.to_pylist() for c in batch.columns)):
-                f = TokenFile(uri)
-                for i in range(0, len(f.index), 500):
-                    part = f.index[i:i + 500]
-                    yield pa.record_batch([pa.array(part["doc_id"], mask=part["doc_id"] == NO_ID), pa.array(part["before"] + base), pa.array(part["n"].astype(np.int64)),
-                                           pa.array([f.ids(k).astype("<u4").tobytes() for k in range(i, i + len(part))], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return listing.repartition(max(1, len(rows))).mapInArrow(scan, "doc_id long, start long, n_tokens long, ids binary")
+def _documents(batches):
+    """(doc_id, start, n_tokens, ids) of the listed files."""
+    for batch in batches:
+        for uri, base in zip(*(c.to_pylist() for c in batch.columns)):
+            f = TokenFile(uri)
+            for i in range(0, len(f.index), 500):
+                part = f.index[i:i + 500]
+                yield pa.record_batch([pa.array(part["doc_id"], mask=part["doc_id"] == NO_ID), pa.array(part["before"] + base), pa.array(part["n"].astype(np.int64)),
+                                       pa.array([f.ids(k).astype("<u4").tobytes() for k in range(i, i + len(part))], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
 
-def digests(documents: DataFrame) -> DataFrame:
-    def scan(batches):
-        for batch in batches:
-            crc = [zlib.crc32(x) for x in batch.column("ids").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+def _digested(batches):
+    for batch in batches:
+        crc = [zlib.crc32(x) for x in batch.column("ids").to_pylist()]
+        yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def read(spark, files: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): every document of stored files, ids as 32-bit integers; `start` counts the ids of all documents before it."""
+    return _listing(spark, files).mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids binary")
+
 
-    return documents.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def digests(spark, files: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document that the files give back, read and digested in one worker."""
+    return _listing(spark, files).mapInArrow(lambda batches: _digested(_documents(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """Writes all documents and digests what the files give back."""
     files = write(docs, tokenizer_file, new_folder(docs.sparkSession, "tokens"))
-    return digests(read(docs.sparkSession, files))
+    return digests(docs.sparkSession, files)
