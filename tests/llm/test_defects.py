@@ -68,7 +68,7 @@ def test_token_files_are_cut_by_bytes(spark, monkeypatch):
     folder = folders.new_folder(spark, "tokens")
     files = token_files.write(df, P.path("word_bpe_49k.json"), folder)
     assert files.filter("part > 0").count() > 2
-    rows = sorted(token_files.digests(token_files.read(spark, files)).collect(), key=lambda r: r.start)
+    rows = sorted(token_files.digests(spark, files).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [3] + [7] * 12 + [8]
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
 
@@ -86,4 +86,4 @@ def test_token_files_with_a_wide_vocabulary(spark, tmp_path):
     assert token_files.id_width(str(file)) == 4 and token_files.id_width(P.path("word_bpe_49k.json")) == 2
     df = spark.createDataFrame([(1, "plain words"), (2, None)], "doc_id long, text string")
     files = token_files.write(df, str(file), folders.new_folder(spark, "tokens"))
-    assert {r.doc_id: r.n_tokens for r in token_files.digests(token_files.read(spark, files)).collect()} == {1: 3, 2: 1}
+    assert {r.doc_id: r.n_tokens for r in token_files.digests(spark, files).collect()} == {1: 3, 2: 1}

@@ -291,7 +291,7 @@ def test_token_files(docs, spark):
     folder = folders.new_folder(spark, "tokens")
     files = token_files.write(docs, file, folder, file_docs=5)
     assert files.count() > 1
-    rows = token_files.digests(token_files.read(spark, files)).collect()
+    rows = token_files.digests(spark, files).collect()
     encoded = sorted(((i is not None, i or 0), tok.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in TEXTS)
     want, start = collections.Counter(), {}
     total = 0
