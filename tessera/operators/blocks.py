@@ -76,12 +76,13 @@ def over_blocks(rows: DataFrame, edges: DataFrame, blocks: DataFrame, keys: list
     placed = cut_lineage(edges.join(source, [*group, "src"]).select(*group, "block", "src", "dst"))
     halo = placed.select(*group, F.col("dst").alias(keys[-1]), "block", F.lit(False).alias("own"))
     need = home.withColumn("own", F.lit(True)).unionByName(halo).groupBy(*keys, "block").agg(F.max("own").alias("own"))
-    met = spread(rows.join(need, keys), "block")
+    need = need.select(*[F.col(c).alias(c) for c in need.columns])  # fresh columns: rows may come from the same frames
+    met = spread(need.join(rows, keys, "left"), "block")
 
     def run(_, mine: pa.Table, linked: pa.Table) -> pa.Table:
         ids = mine["spot_id"].combine_chunks() if mine.num_rows else pa.array([], mine.schema.field("spot_id").type)
         src, dst = (pc.index_in(linked[c].combine_chunks() if linked.num_rows else pa.array([], ids.type), ids) for c in ("src", "dst"))
-        both = pc.and_(pc.is_valid(src), pc.is_valid(dst))  # a spot without entries has no row
+        both = pc.and_(pc.is_valid(src), pc.is_valid(dst))  # an end outside the spots
         return work(mine, src.filter(both).to_numpy(zero_copy_only=False).astype(np.int64), dst.filter(both).to_numpy(zero_copy_only=False).astype(np.int64))
 
     return met.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(run, schema)

@@ -6,16 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.checks import assert_empty
 from tessera.functions.numeric import hash_order, ratio
 from tessera.model import SpatialData
+from tessera.operators.matrices import components, packed, projected
 from tessera.operators.prepare import log1p, normalize_total
 from tessera.session import cut_lineage
 
@@ -25,68 +22,46 @@ def gene_order(genes: DataFrame) -> DataFrame:
     return genes.select("gene", (F.row_number().over(Window.orderBy("gene_index")) - 1).alias("_p"))
 
 
-def dense_rows(spots: DataFrame | None, expr: DataFrame, genes: DataFrame, column: str = "value",
-               zeros: DataFrame | None = None) -> DataFrame:
-    """(spot_id[, slice], vec): values in the order of the selected genes. Absent entries are 0, or the
-    given per-slice value zeros(slice, gene, zero_value)."""
-    order = gene_order(genes)
-    maps = expr.join(order, "gene").groupBy("spot_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("_p", column))).alias("_m"))
-    if spots is not None:
-        maps = spots.select("spot_id", "slice").join(maps, "spot_id", "left")
-    maps = maps.withColumn("_size", genes.select(F.count("*").cast("int")).scalar())
-    slots = F.sequence(F.lit(0), F.col("_size") - 1)
-    if zeros is None:
-        vec = F.transform(slots, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
-    else:
-        fill = zeros.join(order, "gene").groupBy("slice").agg(
-            F.map_from_entries(F.collect_list(F.struct("_p", "zero_value"))).alias("_z"))
-        maps = maps.join(fill, "slice", "left")
-        vec = F.transform(slots, lambda i: F.coalesce(F.try_element_at("_m", i), F.try_element_at("_z", i), F.lit(0.0)))
-    return maps.withColumn("vec", vec).drop("_m", "_size", "_z")
-
-
-def pca_rows(rows: DataFrame, n_comp: int, n_genes: int, n_spots: int) -> tuple[DataFrame, list[float]]:
-    """Centred PCA of dense rows: (rows with `emb`, explained variance ratios). The sign of a component
-    makes its largest loading positive."""
-    d = max(1, min(n_comp, n_genes, n_spots - 1))
-    vectors = rows.withColumn("_x", array_to_vector("vec"))
-    model = PCA(k=d, inputCol="_x", outputCol="_y").fit(vectors)
-    loadings = model.pc.toArray()  # genes x components
-    signs = [float(np.sign(loadings[np.argmax(np.abs(loadings[:, j])), j]) or 1.0) for j in range(d)]
-    out = model.transform(vectors).withColumn("_e", vector_to_array("_y")).drop("_x", "_y", "vec")
-    means = out.agg(F.array(*[F.avg(F.get("_e", F.lit(j))) for j in range(d)]).alias("m"))
-    out = out.withColumn("_mean", means.scalar())
-    centred = F.zip_with("_e", "_mean", lambda a, b: a - b)
-    signed = F.zip_with(centred, F.array(*[F.lit(s) for s in signs]), lambda a, s: a * s)
-    return out.withColumn("emb", signed).drop("_e", "_mean"), [float(v) for v in model.explainedVariance]
-
-
 def pca_embed(ds: SpatialData, features: DataFrame | None = None, n_comp: int = 50, column: str = "value",
               zeros: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
+    """Centred PCA: (spot_id, label, slice, emb) and explained variance ratios. The sign of a component makes its largest
+    loading positive. Absent entries are 0, or the given per-slice value zeros(slice, gene, zero_value): then the rows
+    are packed as differences to it, and the slice's values are one vector."""
     genes = ds.genes if features is None else ds.genes.join(features.select("gene"), "gene", "left_semi")
-    rows = dense_rows(ds.spots, ds.expr, genes, column, zeros)
-    out, ratio_ = pca_rows(rows, n_comp, genes.count(), ds.spots.count())
-    return ds.spots.select("spot_id", "label").join(out, "spot_id"), ratio_
+    order = cut_lineage(gene_order(genes))
+    size = order.count()
+    n = {r["slice"]: r["n_spots"] for r in ds.slice_sizes().collect()}  # one row per slice
+    total = sum(n.values())
+    offsets = {s: np.zeros(size) for s in n}
+    entries = ds.expr.select("slice", "spot_id", "gene", F.col(column).alias("_v"))
+    if zeros is not None:
+        for r in zeros.join(order, "gene").select("slice", "_p", "zero_value").toLocalIterator():
+            if r["slice"] in offsets:
+                offsets[r["slice"]][r["_p"]] = r["zero_value"]
+        entries = entries.join(zeros, ["slice", "gene"], "left").withColumn("_v", F.col("_v") - F.coalesce("zero_value", F.lit(0.0)))
+    rows = cut_lineage(ds.spots.select("slice", "spot_id").join(packed(entries, order, ["spot_id"], "_v"), "spot_id", "left"))
+    sums = {s: np.zeros((2, size)) for s in n}  # one row per slice and gene
+    for r in entries.join(order, "gene").groupBy("slice", "_p").agg(F.sum("_v").alias("s"), F.sum(F.col("_v") * F.col("_v")).alias("q")).toLocalIterator():
+        sums[r["slice"]][:, r["_p"]] = r["s"], r["q"]
+    mean = sum(n[s] * offsets[s] + sums[s][0] for s in n) / max(total, 1)
+    variance = sum(float((sums[s][1] + 2 * (o := offsets[s] - mean) * sums[s][0] + n[s] * o * o).sum()) for s in n)
+    centred = {s: offsets[s] - mean for s in n}
+    v, theta = components(rows, centred, size, max(1, min(n_comp, size, total - 1)))
+    out = projected(rows, centred, v)
+    return ds.spots.select("spot_id", "label").join(out, "spot_id"), [float(t / variance) if variance > 0 else 0.0 for t in theta]
 
 
 def svd_embed(ds: SpatialData, features: DataFrame, n_comp: int = 30) -> DataFrame:
     """Uncentred SVD of log-normalized selected counts; the library size is that of the selected genes."""
-    genes = ds.genes.join(features.select("gene"), "gene", "left_semi")
-    expr = ds.expr.join(genes.select("gene"), "gene", "left_semi")
-    total = F.greatest(F.sum("count").over(Window.partitionBy("spot_id")), F.lit(1.0))
-    expr = expr.withColumn("value", F.log1p(F.col("count") * 1e4 / total))
-    rows = dense_rows(ds.spots, expr, genes)
-    k = max(1, min(n_comp, ds.spots.count() - 1, genes.count() - 1))
-    svd = RowMatrix(rows.select("vec").rdd.map(lambda r: Vectors.dense(r["vec"]))).computeSVD(k, computeU=False)
-    v = svd.V.toArray()  # genes x components
-    v = v * np.array([np.sign(v[np.argmax(np.abs(v[:, j])), j]) or 1.0 for j in range(v.shape[1])])
-
-    @F.pandas_udf("array<double>")
-    def project(vec: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(vec.to_numpy()) @ v))
-
-    return ds.spots.select("spot_id", "label").join(rows.withColumn("emb", project("vec")).drop("vec"), "spot_id")
+    order = cut_lineage(gene_order(ds.genes.join(features.select("gene"), "gene", "left_semi")))
+    size = order.count()
+    expr = ds.expr.join(order.select("gene"), "gene", "left_semi")
+    lib = expr.groupBy("spot_id").agg(F.greatest(F.sum("count"), F.lit(1.0)).alias("_t"))
+    entries = expr.join(lib, "spot_id").select("spot_id", "gene", F.log1p(F.col("count") * 1e4 / F.col("_t")).alias("_v"))
+    rows = cut_lineage(ds.spots.select("slice", "spot_id").join(packed(entries, order, ["spot_id"], "_v"), "spot_id", "left"))
+    nothing = {r["slice"]: np.zeros(size) for r in ds.slice_sizes().collect()}
+    v, _ = components(rows, nothing, size, max(1, min(n_comp, ds.spots.count() - 1, size - 1)))
+    return ds.spots.select("spot_id", "label").join(projected(rows, nothing, v), "spot_id")
 
 
 def combat(ds: SpatialData, column: str = "value", rounds: int = 30) -> tuple[DataFrame, DataFrame]:

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +12,9 @@ from tessera.functions.numeric import hash_order, hash_uniform, norm_sf, ratio,
 from tessera.functions.ranks import bh_adjust, exact_quantiles, spread_rank
 from tessera.model import SpatialData
 from tessera.operators.blocks import edge_sums, neighbour_sum_counts, owned_pairs, spot_blocks
-from tessera.operators.embed import dense_rows
+from tessera.operators.embed import gene_order
 from tessera.operators.graph import knn_join
+from tessera.operators.matrices import correlation_tiles, low_counts, packed, partners_below
 from tessera.operators.prepare import is_mito
 from tessera.operators.ranking import candidate_genes, expand_scores, slice_percentile_mean
 from tessera.session import cut_lineage
@@ -187,59 +186,27 @@ def grid_kl(ds: SpatialData, emb: DataFrame, points: int = 25, column: str = "va
     return expand_scores(hit.select("gene", kl.alias("score")), ds.genes)
 
 
-def _gram(rows: DataFrame, parts: int = 32) -> DataFrame:
-    """Rows of X'X with column sums: each partition multiplies its own block, then the blocks are added
-    per gene. Output is genes x genes however many spots there are."""
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, total, n = None, None, 0
-        for f in frames:
-            if len(f):
-                m = np.stack(f["vec"].to_numpy())
-                gram = m.T @ m if gram is None else gram + m.T @ m
-                total = m.sum(0) if total is None else total + m.sum(0)
-                n += len(m)
-        if gram is not None:
-            yield pd.DataFrame({"i": np.arange(len(gram)), "n": n, "total": [total] * len(gram), "dots": list(gram)})
+def anticorrelation(ds: SpatialData, fpr: float = 0.001, seed: int = 0, column: str = "value") -> DataFrame:
+    """-log10 FDR of having negatively correlated partners, over all genes.
 
-    blocks = rows.coalesce(parts).mapInPandas(partial, "i int, n long, total array<double>, dots array<double>")
-
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [f["i"].iloc[0]], "n": [f["n"].sum()], "total": [np.sum(np.stack(f["total"]), axis=0)],
-                             "dots": [np.sum(np.stack(f["dots"]), axis=0)]})
-
-    return blocks.groupBy("i").applyInPandas(add, "i int, n long, total array<double>, dots array<double>")
-
-
-def correlation_rows(rows: DataFrame, n: Column) -> DataFrame:
-    """(i, j, r): Pearson correlation of each gene with the others, over all n spots."""
-    g = _gram(rows)
-    diag = g.select(F.col("i").alias("j"), F.get("dots", F.col("i")).alias("qj"), F.get("total", F.col("i")).alias("sj"))
-    long = g.select("i", F.get("dots", F.col("i")).alias("qi"), F.get("total", F.col("i")).alias("si"), F.posexplode("dots").alias("j", "dot"))
-    long = long.filter("i <> j").join(diag, "j").withColumn("n", n)
-    cov = F.col("dot") - F.col("si") * F.col("sj") / F.col("n")
-    vi, vj = (F.col(f"q{s}") - F.col(f"s{s}") * F.col(f"s{s}") / F.col("n") for s in "ij")
-    return long.select("i", "j", ratio(cov, F.sqrt(F.greatest(vi * vj, F.lit(0.0)))).alias("r"))
-
-
-def anticorrelation(ds: SpatialData, max_genes: int = 2000, fpr: float = 0.001, seed: int = 0, column: str = "value") -> DataFrame:
-    """-log10 FDR of having negatively correlated partners.
-
-    The null correlations come from the same genes after each gene's values are rotated over the spots by
-    its own hashed offset. A gene's partners below the null quantile `fpr` are compared with the expected
-    number of such partners."""
-    from tessera.operators.prepare import top_detected
-
-    genes = ds.genes.join(top_detected(ds.expr, max_genes, column).select("gene"), "gene", "left_semi")
-    kept = ds.expr.join(genes.select("gene"), "gene", "left_semi").select("spot_id", "gene", F.col(column).alias("value"))
-    n = ds.spots.select(F.count("*")).scalar()
+    The null correlations come from the same genes after each gene's values are rotated over the spots by its own hashed
+    offset. Partners below the null quantile `fpr` are compared with their expected number. Correlations are held to
+    millionths, so the quantile comes from exact counts per value; partners are counted inside tiles of genes."""
+    order = gene_order(ds.genes)
+    n, size = ds.spots.count(), ds.genes.count()
+    entries = ds.expr.select("spot_id", "gene", F.col(column).alias("value"))
+    # one row per gene
+    sums = np.zeros((2, size))
+    for r in entries.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).join(order, "gene").toLocalIterator():
+        sums[:, r["_p"]] = r["s"], r["q"]
     index = spread_rank(ds.spots.select("spot_id", F.lit(1).alias("_all"), hash_uniform(seed, "spot_id").alias("_u")),
                         "_u", ["_all"], "_r").select("spot_id", F.floor(F.col("_r") - 1).alias("_k"))
-    moved = kept.join(index, "spot_id").select(
+    moved = entries.join(index, "spot_id").select(
         F.pmod(F.col("_k") + F.floor(hash_uniform(seed + 1, "gene") * n), n).alias("spot_id"), "gene", "value")
-    real = correlation_rows(dense_rows(ds.spots, kept, genes), n)
-    null = correlation_rows(dense_rows(None, moved, genes), n)
-    cut = null.agg(F.least(F.percentile_approx("r", fpr, 10000), F.lit(0.0))).scalar()
-    order = genes.select("gene", (F.row_number().over(Window.orderBy("gene_index")) - 1).alias("i"))
-    seen = real.groupBy("i").agg(F.count_if(F.col("r") < cut).alias("hits"), F.count("*").alias("m"))
-    fdr = F.least(F.lit(1.0), F.lit(fpr) * F.col("m") / F.greatest(F.col("hits"), F.lit(1)))
-    return expand_scores(seen.join(order, "i").select("gene", (-F.log10(fdr) + F.lit(0.0)).alias("score")), ds.genes)
+    real, null = (correlation_tiles(packed(e, order, ["spot_id"], "value"), size, n, *sums) for e in (entries, moved))
+    upto = Window.orderBy("r")  # at most a million and one values
+    below = low_counts(null).withColumn("_upto", F.sum("c").over(upto)).withColumn("_all", F.sum("c").over(Window.partitionBy()))
+    cut = below.filter(F.col("_upto") >= F.lit(fpr) * F.col("_all")).agg(F.min("r")).first()[0] or 0
+    seen = order.join(partners_below(real, cut), "_p", "left").na.fill(0, ["hits"])
+    fdr = F.least(F.lit(1.0), F.lit(fpr) * (size - 1) / F.greatest("hits", F.lit(1)))
+    return expand_scores(seen.select("gene", (-F.log10(fdr) + F.lit(0.0)).alias("score")), ds.genes)

@@ -466,7 +466,19 @@ def _(spark, path):
     return shown(S.knn_localization(ds, knn_join(ds.spots, 8)))
 
 
-@query("anticorrelation")
+@query("anticorrelation", f"""
+    WITH ix AS (SELECT spot_id, row_number() OVER (ORDER BY {_u('0', 'spot_id')}) - 1 AS k, count(*) OVER () AS n FROM spots),
+    x AS (SELECT 0 AS side, spot_id AS s, gene, value AS v FROM expr
+          UNION ALL SELECT 1, (k + floor({_u('1', 'gene')} / 4503599627370496.0::DOUBLE * n)::BIGINT) % n, gene, value FROM expr JOIN ix USING (spot_id)),
+    st AS (SELECT side, gene, sum(v) AS s, greatest(sum(v * v) - sum(v) * sum(v) / (SELECT count(*) FROM spots), 0) AS va FROM x GROUP BY 1, 2),
+    dt AS (SELECT a.side, a.gene AS g, b.gene AS h, sum(a.v * b.v) AS d FROM x a JOIN x b ON a.side = b.side AND a.s = b.s AND a.gene <> b.gene GROUP BY ALL),
+    co AS (SELECT a.side, a.gene AS g, CAST(round((coalesce(d, 0) - a.s * b.s / (SELECT count(*) FROM spots)) / sqrt(a.va * b.va) * 1e6) AS BIGINT) AS r
+           FROM st a JOIN st b ON a.side = b.side AND a.gene <> b.gene LEFT JOIN dt ON dt.side = a.side AND dt.g = a.gene AND dt.h = b.gene WHERE a.va * b.va > 1e-18),
+    hi AS (SELECT r, sum(count(*)) OVER (ORDER BY r) AS upto FROM (SELECT least(r, 0) AS r FROM co WHERE side = 1) GROUP BY r),
+    cu AS (SELECT coalesce(min(r), 0) AS cut FROM hi WHERE upto >= 0.01::DOUBLE * (SELECT max(upto) FROM hi)),
+    ht AS (SELECT g AS gene, count(*) FILTER (r < cut) AS hits FROM co, cu WHERE side = 0 GROUP BY 1)
+    SELECT gene, gene_index, round(-log10(least(1, 0.01::DOUBLE * ((SELECT count(*) FROM genes) - 1) / greatest(coalesce(hits, 0), 1))), 6) + 0 AS score
+    FROM genes LEFT JOIN ht USING (gene)""")
 def _(spark, path):
     return shown(S.anticorrelation(fx.dataset(spark, path), fpr=0.01))
 

@@ -1,15 +1,21 @@
 """Operators on small hand-made frames, checked against known results or brute force."""
 
+import hashlib
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import ranks as RK
 from tessera.model import SpatialData
+from tessera.operators import blocks as B
 from tessera.operators import graph as G
+from tessera.operators import matrices as MA
 from tessera.operators import metrics as M
 from tessera.operators import prepare as P
 from tessera.operators import ranking as R
+from tessera.operators import robust as J
 from tessera.operators import scoring as S
 from tessera.operators import spatial as SP
 from tessera.operators import validate as V
@@ -162,13 +168,153 @@ def test_local_fit_recovers_a_parabola(spark):
     assert all(r["fitted"] == pytest.approx(r["y"], abs=1e-8) for r in fit)
 
 
-def test_correlation_rows(spark):
+def sparse(spark, m):
+    """A matrix as packed rows, a third of its entries dropped by the caller."""
+    rows = [("a" if i % 3 else "b", i, [(int(j), float(v)) for j, v in enumerate(r) if v]) for i, r in enumerate(m)]
+    return spark.createDataFrame([(s, i, r or None) for s, i, r in rows], "slice string, spot_id long, row array<struct<g:int,v:double>>").repartition(3)
+
+
+def test_correlation_tiles(spark):
     rng = np.random.default_rng(5)
-    m = rng.normal(size=(40, 4))
-    rows = spark.createDataFrame([(i, [float(v) for v in m[i]]) for i in range(40)], "spot_id long, vec array<double>").repartition(5)
-    want = np.corrcoef(m.T)
-    for r in SP.correlation_rows(rows, F.lit(40)).collect():
-        assert r["r"] == pytest.approx(want[r["i"], r["j"]])
+    m = rng.normal(size=(60, 11)) * (rng.random((60, 11)) < 0.6)
+    m[:, 4] = 0
+    got = {}
+    for r in MA.correlation_tiles(sparse(spark, m).drop("slice"), 11, 60, m.sum(0), (m * m).sum(0), band=4).collect():
+        got[r["i"], r["j"]] = np.frombuffer(r["r"], "<i4").reshape(4, 4)
+    with np.errstate(invalid="ignore"):
+        want = np.corrcoef(m.T)
+    for i in range(11):
+        for j in range(11):
+            v = got[min(i, j) // 4, max(i, j) // 4]
+            v = v[i % 4, j % 4] if i // 4 <= j // 4 else v[j % 4, i % 4]
+            assert v == MA.NONE if i == j or 4 in (i, j) else abs(v - want[i, j] * 1e6) <= 1
+    tiles = MA.correlation_tiles(sparse(spark, m).drop("slice"), 11, 60, m.sum(0), (m * m).sum(0), band=4)
+    hits = {r["_p"]: r["hits"] for r in MA.partners_below(tiles, -50_000, band=4).collect()}
+    assert all(hits.get(i, 0) == sum(np.rint(want[i, j] * 1e6) < -50_000 for j in range(11) if j != i and 4 not in (i, j)) for i in range(11))
+    assert sum(r["c"] for r in MA.low_counts(tiles).collect()) == 90
+
+
+@pytest.mark.parametrize("genes,k", [(7, 3), (90, 5)])
+def test_components_equal_a_dense_decomposition(spark, genes, k):
+    rng = np.random.default_rng(7)
+    m = (rng.normal(size=(150, 4)) @ rng.normal(size=(4, genes)) + rng.normal(size=(150, genes))) * (rng.random((150, genes)) < 0.5)
+    m[5] = 0
+    slices = np.array(["a" if i % 3 else "b" for i in range(150)])
+    offsets = {"a": rng.normal(size=genes), "b": np.zeros(genes)}
+    whole = m + np.stack([offsets[s] for s in slices])
+    v, theta = MA.components(sparse(spark, m), offsets, genes, k)
+    u, s, vt = np.linalg.svd(whole)
+    assert np.allclose(theta, s[:k] ** 2, rtol=1e-8)
+    assert np.allclose(np.abs((v * vt[:k].T).sum(0)), 1, atol=1e-6)
+    emb = {r["spot_id"]: r["emb"] for r in MA.projected(sparse(spark, m), offsets, v).collect()}
+    assert np.allclose(np.stack([emb[i] for i in range(150)]), whole @ v)
+
+
+def test_local_fit_over_ranges(spark):
+    """Several ranges with halos give what one loop over the genes gives, ties and singular windows included."""
+    rng = np.random.default_rng(1)
+    rows = [(s, f"g{i:04d}", float(x), float(np.sin(x))) for s, n, digits in (("a", 700, 2), ("b", 30, 1), ("c", 2, 1), ("d", 90, 0))
+            for i, x in enumerate(rng.normal(size=n).round(digits))]
+    df = spark.createDataFrame(rows, "slice string, gene string, x double, y double")
+    got = HV.local_fit(df, "x", "y", 0.2, rows_per_range=40).toPandas()
+    assert len(got) == len(rows)
+    for _, f in got.groupby("slice"):
+        f = f.sort_values(["x", "gene"])
+        x, y, n = f.x.to_numpy(), f.y.to_numpy(), len(f)
+        q = min(n, max(3, int(0.2 * n + 1e-5)))
+        for at, fitted in zip(x, f.fitted):
+            near = np.argsort(np.abs(x - at), kind="stable")[:q]
+            h = np.abs(x[near] - at).max()
+            w = (1 - np.minimum(np.abs(x[near] - at) / h, 1) ** 3) ** 3 if h > 0 else np.ones(q)
+            a = np.stack([(x[near] - at) ** k for k in range(3)], 1)
+            if np.linalg.matrix_rank((a.T * w) @ a) == 3:
+                assert fitted == pytest.approx(np.linalg.solve((a.T * w) @ a, (a.T * w) @ y[near])[0], abs=1e-7)
+            else:
+                assert np.isnan(fitted)
+
+
+def test_partition_tree_is_bounded_and_exact(spark):
+    """More cells than one level holds, a hot place and a dense clump: leaves stay small and neighbours exact."""
+    rng = np.random.default_rng(3)
+    xy = np.vstack([rng.normal(0, 1e-4, (700, 2)), rng.random((500, 2)) * 100, np.tile([[7.0, 7.0]], (600, 1))])
+    spots = spark.createDataFrame([(i, "a", float(x), float(y)) for i, (x, y) in enumerate(xy)], "spot_id long, slice string, x double, y double")
+    tree = G.partition_tree(spots.select("slice", "x", "y").distinct(), ["slice"], 1).collect()
+    assert len(tree) == 1201 and max(len(r["_path"]) for r in tree) > 2
+    leaves = {}
+    for r in tree:
+        leaves.setdefault(r["_cell"], []).append((r["x"], r["y"]))
+    assert max(map(len, leaves.values())) <= 2
+    d = ((xy[:, None, :] - xy[None, :, :]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    got = {(r["src"], r["rank"]): r["dst"] for r in G.knn_join(spots, 3).collect()}
+    order = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert all(got[i, k + 1] == order[i, k] for i in range(len(xy)) for k in range(3))
+    index = G.CellIndex(spots, ["slice"], 2, None)
+    assert index.levels > 1
+    degree = {r["spot_id"]: r["degree"] for r in G.radius_degree(spots, 3.0).collect()}
+    assert all(degree[i] == (d[i] <= 9.0).sum() for i in range(len(xy)))
+
+
+def test_edge_sums_over_blocks(spark):
+    """Blocks with halos, a hub with many neighbours and spots without entries."""
+    rng = np.random.default_rng(4)
+    n, genes = 130, 7
+    m = rng.integers(0, 3, (n, genes)) * (rng.random((n, genes)) < 0.5)
+    m[:, 6], m[9] = 0, 0
+    spots = spark.createDataFrame([(i, "a", float(i % 12), float(i // 12)) for i in range(n)], "spot_id long, slice string, x double, y double")
+    edges = {(i, int(j)) for i in range(n) for j in rng.integers(0, n, 3)} | {(i, 50) for i in range(n)}
+    graph = spark.createDataFrame([("a", i, j) for i, j in edges], "slice string, src long, dst long")
+    dictionary = spark.createDataFrame([(f"g{j}", j) for j in range(genes)], "gene string, gene_index long")
+    entries = spark.createDataFrame([("a", i, f"g{j}", float(m[i, j])) for i in range(n) for j in range(genes) if m[i, j]], "slice string, spot_id long, gene string, count double")
+    w = spark.createDataFrame([("a", i, float(i)) for i in range(n) if i % 5], "slice string, spot_id long, w double")
+    pairs = {(min(p), max(p)) for p in edges if p[0] != p[1]}
+    owned = B.owned_pairs(graph, ["slice"])
+    assert {tuple(sorted((r["src"], r["dst"]))) for r in owned.collect()} == pairs
+    blocks = B.spot_blocks(spots, 16)
+    assert blocks.select("block").distinct().count() > 4
+    got = {r["gene"]: r for r in B.edge_sums(entries, dictionary, w, owned, blocks, "count", ["slice"]).collect()}
+    for j in range(6):
+        x = m[:, j]
+        assert got[f"g{j}"]["s"] == x.sum() and got[f"g{j}"]["q"] == (x * x).sum() and got[f"g{j}"]["wx"] == sum(i * x[i] for i in range(n) if i % 5)
+        assert got[f"g{j}"]["cross"] == sum(x[a] * x[b] for a, b in pairs)
+    perm = rng.permutation(n)
+    moved = spark.createDataFrame([(i, int(p)) for i, p in enumerate(perm)], "from long, to long")
+    want = {}
+    for i in range(n):
+        near = [b for a, b in edges if a == i]
+        for j in range(genes):
+            for s, c in ((m[near, j].sum(), 1), (m[perm[near], j].sum(), -1)):
+                want[f"g{j}", float(s)] = want.get((f"g{j}", float(s)), 0) + c
+    out = B.neighbour_sum_counts(entries, dictionary, graph, blocks, moved, "count")
+    assert {(r["gene"], r["s"]): r["c"] for r in out.collect() if r["c"]} == {k: c for k, c in want.items() if c and k[1]}
+
+
+def test_draws_as_vectors_equal_drawn_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"c{i % 9}", float(rng.integers(0, 12)), float(rng.integers(0, 12))) for i in range(40)]
+    out = J.bootstrap_spearman(spark.createDataFrame(rows, "c string, x double, y double"), "x", "y", "c", 700, 5).first()
+    names = sorted({r[0] for r in rows})
+    seen = []
+    for d in range(700):
+        pick = [names[int(int(hashlib.md5(f"5|{d}|{k}".encode()).hexdigest()[:13], 16) / 2 ** 52 * 9)] for k in range(9)]
+        x, y = zip(*[(r[1], r[2]) for p in pick for r in rows if r[0] == p])
+        seen.append(pd.Series(x).rank().corr(pd.Series(y).rank()))
+    assert out["n_draws"] == 700 and out["lower"] == pytest.approx(np.quantile(seen, 0.025)) and out["upper"] == pytest.approx(np.quantile(seen, 0.975))
+
+
+def test_squared_silhouette(spark):
+    rng = np.random.default_rng(6)
+    x, c = rng.normal(size=(70, 3)), np.array(["a", "b", "c", "d"])[np.r_[np.zeros(1, int), rng.integers(1, 4, 69)]]
+    df = spark.createDataFrame([(i, str(k), [float(v) for v in e]) for i, (k, e) in enumerate(zip(c, x))], "spot_id long, k string, emb array<double>")
+    got = {r["spot_id"]: r["silhouette"] for r in M.squared_silhouette_values(df, "k", block=16).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    for i in range(70):
+        mine = c == c[i]
+        if mine.sum() == 1:
+            assert got[i] == 0
+            continue
+        a, b = d[i, mine].sum() / (mine.sum() - 1), min(d[i, c == k].mean() for k in set(c) - {c[i]})
+        assert got[i] == pytest.approx((b - a) / max(a, b))
 
 
 def test_pooling_conserves_totals(spark):
