@@ -70,10 +70,14 @@ def coordinate_kernels(spots: DataFrame) -> DataFrame:
 
 def kernel_projection_test(ds: SpatialData, column: str = "count", max_genes: int | None = None,
                            min_spots: int = 10) -> DataFrame:
-    """Covariance test per slice and gene: n R^2 of the regression on each kernel pair is chi-square with
-    two degrees of freedom, so p = exp(-n R^2 / 2); the eleven p-values are combined by the Cauchy rule.
-    Mitochondrial genes are left out. Non-zero entries meet the kernels of their spot and are summed per
-    gene and kernel before any shuffle of products."""
+    """Covariance test per slice and gene, for eleven kernels of the coordinates.
+
+    With X the centred kernel columns (n x 2) the statistic is S = n y'X (X'X)^-1 X'y / y'y. Under the null it is a mixture
+    of chi-squares whose weights are the eigenvalues of X'X (X'X)^-1, which are all one, times l = y'Hy / y'y, H being the
+    centring. The mixture is thus l times a chi-square of two degrees of freedom, moment matching is exact, and
+    p = exp(-S / 2l) = exp(-n R^2 / 2) with R^2 of the regression on X. The p-values are combined by the Cauchy rule.
+    Mitochondrial genes are left out. Non-zero entries meet the kernels of their spot and are summed per gene and kernel
+    before any shuffle of products."""
     kernels = cut_lineage(coordinate_kernels(ds.spots))
     k = kernels.select("slice", F.explode("kernels").alias("k")).select("slice", "k.name", "k.kx", "k.ky")
     stats = k.groupBy("slice", "name").agg(

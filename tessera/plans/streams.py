@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -24,10 +23,10 @@ def _record_files(spark, path):
     return base
 
 
-def _finish(df, spark, mode):
-    name = "t" + uuid.uuid4().hex
-    N.run_available(df, name, mode, os.path.join(scratch(spark), "cp"))
-    return spark.table(name)
+def _finish(df, spark, keys):
+    base = scratch(spark)
+    N.write_latest(df, os.path.join(base, "out"), os.path.join(base, "cp"))
+    return N.read_latest(spark, os.path.join(base, "out"), keys)
 
 
 @query("record_stream", "SELECT dataset, metric_name, count(*) AS n, round(sum(metric_value), 5) + 0 AS total FROM records GROUP BY 1, 2")
@@ -45,17 +44,14 @@ def _(spark, path):
     keys = r.select(F.count_distinct("fs_method") * F.count_distinct("metric_name") * F.count_distinct("random_seed")).scalar()
     expected = r.select("dataset", "integration_method").distinct().withColumn("n_expected", keys)
     expected.write.parquet(side := os.path.join(scratch(spark), "expected"))
-    s = N.record_stream(spark, _record_files(spark, path))
-    out = _finish(N.progress(s, spark.read.parquet(side)), spark, "update")
-    # update mode appends a row per change: the last one holds the largest count
-    last = out.groupBy("dataset", "integration_method").agg(F.max_by(F.struct("n_done", "n_expected", "share"), "n_done").alias("r"))
-    return last.select("dataset", "integration_method", "r.n_done", "r.n_expected", r6("r.share").alias("share"))
+    s = N.record_stream(spark, _record_files(spark, path), files_per_trigger=2)
+    return _finish(N.progress(s, spark.read.parquet(side)), spark, ["dataset", "integration_method"]).withColumn("share", r6("share"))
 
 
 @query("stream_ranges", """
     SELECT dataset, task, metric_name, round(min(metric_value), 6) + 0 AS lower, round(max(metric_value), 6) + 0 AS upper, round(avg(metric_value), 6) + 0 AS mean, count(metric_value) AS n_finite FROM records GROUP BY 1, 2, 3""")
 def _(spark, path):
-    out = _finish(N.running_ranges(N.record_stream(spark, _record_files(spark, path))), spark, "complete")
+    out = _finish(N.running_ranges(N.record_stream(spark, _record_files(spark, path), files_per_trigger=2)), spark, ["dataset", "task", "metric_name"])
     return out.withColumns({c: r6(c) for c in ("lower", "upper", "mean")})
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.checks import assert_empty
 from tessera.model import SpatialData
+from tessera.session import cut_lineage
 
 SPOTS = "spot_id string, slice string, label string, slice_class string, x double, y double"
 GENES = "gene string, gene_index bigint"
@@ -94,18 +95,35 @@ def parse_matrix_market(lines: DataFrame) -> DataFrame:
                        f[2].cast("double").alias("count"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, line): the lines of text files with their 1-based numbers, files one after the other by name.
+
+    Files are read in splits. A line's number is its place in its split plus the lines of all splits before it, so no file
+    is one row or one task; only counts per split are ordered."""
+    split = ["file", "start"]
+    # stored, so that ids and counts come from one reading
+    rows = cut_lineage(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                                    F.monotonically_increasing_id().alias("id")))
+    sizes = rows.groupBy(*split).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.withColumn("before", before), split).select("value", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"))
+
+
 def read_matrix_market(spark: SparkSession, matrix: str, genes: str, spots: str, size_line: bool = True) -> DataFrame:
     """Matrix-Market triples with one-name-per-line gene and spot files. A single file holds a size line as
     its first line after the comments; the `body` folder of `write_matrix_market` has none."""
-    body = parse_matrix_market(spark.read.text(matrix).withColumn("line", F.monotonically_increasing_id()))
+    lines = spark.read.text(matrix)
+    if size_line:
+        place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+        lines = lines.withColumn("line", place)
+    else:
+        lines = lines.withColumn("line", F.lit(0))
+    body = parse_matrix_market(lines)
     if size_line:
         body = body.filter(F.col("line") != body.select(F.min("line")).scalar())
 
     def indexed(path: str, name: str, index: str) -> DataFrame:
-        # whole-file row: a name list is a dictionary, and its line order is its index
-        text = spark.read.text(path, wholetext=True)
-        return text.select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("_p", name)).select(
-            (F.col("_p") + 1).cast("bigint").alias(index), F.trim(name).alias(name))
+        return numbered_lines(spark, path).select(F.col("line").alias(index), F.trim(F.rtrim("value")).alias(name))
 
     return (body.join(indexed(genes, "gene", "row"), "row").join(indexed(spots, "spot_id", "col"), "col")
             .select("gene", "spot_id", "count"))

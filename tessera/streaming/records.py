@@ -35,7 +35,7 @@ def progress(records: DataFrame, expected: DataFrame, by: Sequence[str] = ("data
 
 
 def running_ranges(records: DataFrame) -> DataFrame:
-    """Running range and mean per dataset, task and metric (complete or update mode)."""
+    """Running range and mean per dataset, task and metric (update mode)."""
     v = F.col("metric_value")
     return records.groupBy(*RANGE_KEY).agg(F.min(v).alias("lower"), F.max(v).alias("upper"), F.avg(v).alias("mean"), F.count(v).alias("n_finite"))
 
@@ -66,13 +66,25 @@ def event_stream(spark: SparkSession, path: str, schema: T.StructType, files_per
     return reader.parquet(path)
 
 
-def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Process what is there now into an in-memory table (tests and small reports)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_latest(df: DataFrame, folder: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Keep the newest row of every key of a streaming aggregate in Parquet. Each micro-batch writes the rows it changed to a
+    folder named by its number, so a repeated batch replaces itself; a query started again goes on from the checkpoint, whose
+    state store holds the aggregates. Nothing passes the driver."""
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
+def read_latest(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of every key that `write_latest` has stored."""
+    rows = spark.read.parquet(folder)
+    rest = [c for c in rows.columns if c not in keys and c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def write_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append finished rows to parquet; restarts go on from the checkpoint."""
     q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

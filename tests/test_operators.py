@@ -365,3 +365,71 @@ def test_run_without_records_is_incomplete(spark):
     grid = spark.createDataFrame([(m, s) for m in "ab" for s in (0, 1)], "fs_method string, random_seed long")
     got = complete_methods(run_coverage(records, ["x"], ["fs_method", "random_seed"], grid)).collect()
     assert {r.fs_method: (r.complete, r.n_runs) for r in got} == {"a": (True, 2), "b": (False, 2)}
+
+
+def test_line_numbers_across_splits(spark, tmp_path):
+    from tessera.sources.tables import numbered_lines, read_matrix_market
+
+    names = [f"gene-{i}" * (1 + i % 3) for i in range(900)]
+    (tmp_path / "genes.txt").write_text("\n".join(names) + "\n")
+    (tmp_path / "spots.txt").write_text("s1\r\ns2\n\ns4")
+    body = [(1 + i * 7 % 900, 1 + i % 4, i + 1) for i in range(2000)]
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket\n% more\n900 4 2000\n" + "\n".join(f"{a} {b} {c}" for a, b, c in body))
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = numbered_lines(spark, str(tmp_path / "genes.txt"))
+        assert rows.rdd.getNumPartitions() > 1 and {r["line"]: r["value"] for r in rows.collect()} == {i + 1: n for i, n in enumerate(names)}
+        got = read_matrix_market(spark, *(str(tmp_path / f) for f in ("m.mtx", "genes.txt", "spots.txt"))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    spots = {1: "s1", 2: "s2", 3: "", 4: "s4"}
+    assert sorted(tuple(r) for r in got) == sorted((names[a - 1], spots[b], float(c)) for a, b, c in body)
+
+
+def test_stream_sink_goes_on_after_a_stop(spark, tmp_path):
+    from tessera.streaming import records as N
+
+    schema = "dataset string, task string, metric_name string, metric_value double, k int"
+    base, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+
+    def more(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(base)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base)
+        N.write_latest(N.running_ranges(stream), out, cp)
+        return {r["dataset"]: (r["lower"], r["upper"], r["mean"], r["n_finite"]) for r in N.read_latest(spark, out, ["dataset", "task", "metric_name"]).collect()}
+
+    assert more([("d", "t", "m", 2.0, 0), ("e", "t", "m", 5.0, 0)]) == {"d": (2.0, 2.0, 2.0, 1), "e": (5.0, 5.0, 5.0, 1)}
+    assert more([("d", "t", "m", 4.0, 1), ("f", "t", "m", None, 1)]) == {"d": (2.0, 4.0, 3.0, 2), "e": (5.0, 5.0, 5.0, 1), "f": (None, None, None, 0)}
+    assert more([("d", "t", "m", 0.0, 2)])["d"] == (0.0, 4.0, 2.0, 3)
+
+
+def test_covariance_test_is_the_mixture_of_its_kernels(spark):
+    """p of every kernel from the eigenvalues of the projected form and matched moments, in a plain double loop."""
+    rng = np.random.default_rng(11)
+    n, xy = 60, np.stack([np.arange(60) % 8, np.arange(60) // 8], 1).astype(float)
+    m = rng.poisson(1.0, (n, 4)) + (xy[:, :1] > 4) * rng.poisson(2.0, (n, 4)) * [1, 0, 0, 0]
+    spots = spark.createDataFrame([(i, "a", "l", "A", *map(float, xy[i])) for i in range(n)], "spot_id long, slice string, label string, slice_class string, x double, y double")
+    genes = spark.createDataFrame([(f"g{j}", j) for j in range(4)], "gene string, gene_index long")
+    expr = spark.createDataFrame([("a", i, f"g{j}", float(m[i, j]), float(m[i, j])) for i in range(n) for j in range(4) if m[i, j]], "slice string, spot_id long, gene string, count double, value double")
+    got = {r["gene"]: r["p_value"] for r in SP.kernel_projection_test(SpatialData(spots, genes, expr)).collect()}
+    c = xy - xy.mean(0)
+    kernels = [c]
+    for q in range(1, 6):
+        scale = np.quantile(np.abs(c), q / 5, axis=0)
+        kernels += [np.exp(-c ** 2 / (2 * scale ** 2)), np.cos(2 * np.pi * c / scale)]
+    for j in range(4):
+        y, t = m[:, j].astype(float), []
+        for k in kernels:
+            x = k - k.mean(0)
+            inverse = np.linalg.inv(x.T @ x)
+            stat = n * (y @ x) @ inverse @ (x.T @ y) / (y @ y)
+            weights = np.linalg.eigvals(x.T @ x @ inverse).real * (1 - n * y.mean() ** 2 / (y @ y))
+            scale, df = (weights ** 2).sum() / weights.sum(), weights.sum() ** 2 / (weights ** 2).sum()  # matched mean and variance
+            assert df == pytest.approx(2)
+            p = np.clip(np.exp(-stat / (2 * scale)), 1e-300, 1 - 1e-9)
+            t.append(1 / (p * np.pi) if p < 1e-8 else np.tan((0.5 - p) * np.pi))
+        assert got[f"g{j}"] == pytest.approx(0.5 - np.arctan(np.mean(t)) / np.pi, rel=1e-6)
+    assert got["g0"] < 0.01
