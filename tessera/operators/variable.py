@@ -191,22 +191,31 @@ def with_fallback(ds: SpatialData, n: int, spans: list[float] = SPANS) -> tuple[
     return rank_combine(seurat_v3_variances(ds, True, chosen, fit), ds.genes, n), {"mode": mode, "span": chosen, "excluded": excluded}
 
 
-def library_sums(genes: DataFrame, libraries: DataFrame, terms: dict[str, Callable[[Column], Column]],
-                 by: list[str], chunks: int = 32) -> DataFrame:
+def library_sums(genes: DataFrame, libraries: DataFrame, terms: dict[str, Callable[[np.ndarray, dict], np.ndarray]],
+                 by: list[str], gene_pack: int = 256, lib_pack: int = 2048) -> DataFrame:
     """Sum of f(library size, gene) over all spots, for every gene.
 
-    Spots of equal library size are counted first; the histogram is cut into `chunks` arrays by hash and
-    each gene row meets the chunks by equi-join, so no gene-spot pair is ever a row."""
-    hist = libraries.groupBy(*by, "lib").agg(F.count("*").alias("n")).withColumn(
-        "_chunk", F.pmod(F.xxhash64("lib"), F.lit(chunks)).cast("int"))
-    parts = hist.groupBy(*by, "_chunk").agg(F.collect_list(F.struct("lib", "n")).alias("_h"))
-    met = genes.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    met = spread(met, "gene", "_chunk").join(parts, [*by, "_chunk"])
-
-    def total(f: Callable[[Column], Column]) -> Column:
-        return F.aggregate("_h", F.lit(0.0), lambda acc, e: acc + e["n"] * f(e["lib"]))
-
-    met = met.select(*by, "gene", *[total(f).alias(k) for k, f in terms.items()])
+    Spots of equal library size are counted first. Genes and sizes are then dealt by hash into packs, as many as the data
+    need, and every gene pack meets every pack of sizes of its group as one dense tile; a task holds one tile, and partial
+    sums are added per gene. `terms` take a row of sizes and the gene columns, as columns."""
+    hist = libraries.groupBy(*by, "lib").agg(F.count("*").alias("n"))
+    packs = max(1, -(-genes.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] // gene_pack) if not genes.isEmpty() else 1)
+    chunks = max(1, -(-(hist.groupBy(*by).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0) // lib_pack))
+    pack, chunk = F.pmod(F.xxhash64("gene"), F.lit(packs)).cast("int"), F.pmod(F.xxhash64("lib"), F.lit(chunks)).cast("int")
+    tile = [*by, "_pack", "_chunk"]
+    left = genes.withColumn("_pack", pack).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # fresh columns: both sides may come from the same entries
+    right = hist.select(*[F.col(c).alias(c) for c in hist.columns]).withColumn("_chunk", chunk).withColumn("_pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    schema = ", ".join([*(f"{c} {genes.schema[c].dataType.simpleString()}" for c in by), "gene string", *(f"{k} double" for k in terms)])
+
+    def work(g: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        if g.empty or h.empty:
+            return pd.DataFrame(columns=[*by, "gene", *terms])
+        sizes, n = h["lib"].to_numpy(float)[None, :], h["n"].to_numpy(float)
+        params = {c: g[c].to_numpy()[:, None] for c in g.columns}
+        return g[[*by, "gene"]].assign(**{k: f(sizes, params) @ n for k, f in terms.items()})
+
+    met = spread(left, *tile).groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(work, schema)
     return met.groupBy(*by, "gene").agg(*[F.sum(k).alias(k) for k in terms])
 
 
@@ -235,7 +244,11 @@ def pearson_variances(ds: SpatialData, theta: float = 100.0, batch: bool = False
         mu = F.col("p") * l
         return -F.least(F.sqrt(mu / (1.0 + mu / theta)), F.sqrt(F.col("n_spots").cast("double")))
 
-    base = library_sums(g, lib, {"s1": zero, "s2": lambda l: zero(l) * zero(l)}, ["slice"])
+    def zeros(l: np.ndarray, g: dict) -> np.ndarray:
+        mu = g["p"] * l
+        return -np.minimum(np.sqrt(mu / (1.0 + mu / theta)), np.sqrt(g["n_spots"].astype(float)))
+
+    base = library_sums(g, lib, {"s1": zeros, "s2": lambda l, g: zeros(l, g) ** 2}, ["slice"])
     mu, root = F.col("p") * F.col("lib"), F.sqrt(F.col("n_spots").cast("double"))
     res = (F.col("count") - mu) / F.sqrt(mu + mu * mu / theta)
     res = F.greatest(F.least(res, root), -root)
@@ -330,10 +343,10 @@ def dropout_excess(ds: SpatialData) -> DataFrame:
     line = g.filter("size_raw > 0").agg(F.regr_slope(ly, lx).alias("b"), F.regr_intercept(ly, lx).alias("a"))
     g = g.withColumn("r", F.exp(line.select("a").scalar() + line.select("b").scalar() * lx))
 
-    def p0(l: Column) -> Column:
-        return F.exp(-F.col("r") * F.log1p(F.col("p") * l / F.col("r")))
+    def p0(l: np.ndarray, g: dict) -> np.ndarray:
+        return np.exp(-g["r"] * np.log1p(g["p"] * l / g["r"]))
 
-    e = library_sums(g.select("slice", "gene", "p", "r"), lib, {"e0": p0, "v0": lambda l: p0(l) * (1 - p0(l))}, ["slice"])
+    e = library_sums(g.select("slice", "gene", "p", "r"), lib, {"e0": p0, "v0": lambda l, g: p0(l, g) * (1 - p0(l, g))}, ["slice"])
     g = g.join(e, ["slice", "gene"])
     empty = n - lib.select(F.count("*")).scalar()  # spots without counts are zeros of every gene
     z = ratio((F.col("n") - F.col("nnz")) - (F.col("e0") + empty), F.sqrt("v0"))
