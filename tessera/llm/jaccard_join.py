@@ -1,17 +1,23 @@
 """Similarity join of documents on n-gram sets by PartEnum signatures.
 
 A document is the set of its distinct five-word shingles (hashed to 64 bits). Sets are put in bands of size, [l, floor(l / s)], so that two
-sets of similarity s or more lie in one band or in neighbouring ones. For each band pair there is a largest symmetric difference k; the
-feature domain is cut into k + 1 + x parts by hash, so two similar sets agree in at least x + 1 whole parts. The content of each part is one
-signature. Each set leaves out the x signatures of fewest elements, which say least: of x + 1 common ones the last in the order of
-(elements, signature), which is the same order for both sets, is left out by neither.
-
-Each task merges its own signatures first: where more than four of its documents share one, it keeps the smallest and pairs the rest with
-it, so a signature reaches the shuffle a bounded number of times per task however common it is. Signatures travel as packed arrays, one row
-per shard and task. All pairs of a group of at most four are candidates; in a larger group each document is paired with the smallest. Candidates of fitting sizes are screened on 16-bit hashes, which can only overstate what two sets share, and the
-rest is verified on whole sets. Links are then closed to components. Where documents of a larger group end in different components, all
-documents of these components are joined again, now on their rarest shingles: of two similar sets the n - ceil(s n) + 1 rarest of each
-share one. So no link is lost, and a passage that many documents share pairs nobody.
+sets of similarity s or more lie in one band or in neighbouring ones. For each band pair there is a largest symmetric difference k. The
+feature domain is cut by hash on two levels: k // 2 + 1 + x coarse parts, so two similar sets differ in at most one element in at least
+x + 1 of them, and SUBPARTS parts of each. The content of every subset of SUBPARTS - 1 parts of a coarse part is one signature, so each of
+these coarse parts gives a common one. Each set leaves out the x signatures of fewest elements, which say least: of x + 1 common ones the
+last in the order of (elements, signature), which is the same order for both sets, is left out by neither.
+
+Near copies are met first: every document is compared with the smallest one that shares one of its FIRST lowest signatures, and the links
+are closed to components. From then on a signature only pairs documents of different components, one of each: a group of copies with edits
+sends no pairs however many signatures it shares.
+
+Each task merges its own signatures first: where more than SMALL components share one, it keeps the smallest document and pairs the others
+with it, so a signature reaches the shuffle a bounded number of times per task however common it is. Signatures travel as packed arrays, one
+row per shard and task. All pairs of at most SMALL components are candidates; in a larger group each is paired with the smallest. Candidates
+of fitting sizes are screened on 16-bit hashes, which can only overstate what two sets share, and the rest is verified on whole sets. Links
+are then closed to components. Where documents of a group that was not compared in full end in different components, all documents of these
+components are joined again, now on their rarest shingles: of two similar sets the n - ceil(s n) + 1 rarest of each share one. So no link is
+lost, and a passage that many documents share pairs nobody.
 
 Defined results: documents without words, or null, have an empty set and link with nothing; fewer than five words are one shingle; equal
 sets link; ids that occur more than once are one node of the graph and keep one result row per input row; an empty table gives no rows."""
@@ -27,7 +33,9 @@ from tessera.llm import words as W
 from tessera.llm.folders import stored
 
 WORDS = 5
-SMALL = 4  # documents of one signature that are compared pairwise
+SMALL = 4  # components of one signature that are compared pairwise
+SUBPARTS = 4  # parts of a coarse part; a signature leaves one of them out
+FIRST = 4  # signatures that near copies are met by
 FLUSH = 3_000_000  # signatures that a task holds before it merges and sends them
 SHARD_DOCS = 2_000  # documents per shard of the signature shuffle
 
@@ -56,10 +64,11 @@ class Bands:
         self.low.append(self.low[-1] * 100 // percent + 1)
 
     def parts(self, band: int) -> tuple[int, int]:
-        """(k, parts) of the join of `band` with itself and the next band: |x ^ y| <= (|x| + |y|) (1 - s) / (1 + s)."""
+        """(x, coarse parts) of the join of `band` with itself and the next band: k = |x ^ y| <= (|x| + |y|) (1 - s) / (1 + s)."""
         u = self.low[band + 1] - 1
         k = (u + u * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-        return k, 1 if k == 0 else k + 1 + max(1, k // 4)
+        x = max(1, k // 16) if k else 0
+        return x, k // 2 + 1 + x
 
 
 def signatures(grams: np.ndarray, bands: Bands) -> np.ndarray:
@@ -67,17 +76,19 @@ def signatures(grams: np.ndarray, bands: Bands) -> np.ndarray:
     own = int(np.searchsorted(bands.low, len(grams), "right")) - 1
     out = []
     for band in {own, max(0, own - 1)}:
-        k, parts = bands.parts(band)
+        x, parts = bands.parts(band)
         salt = np.uint64((band * 0x9E3779B97F4A7C15 + 0x1234567) & (1 << 64) - 1)
-        if parts == 1:
+        if not x:
             out.append(W.mix(np.array([np.add.reduce(W.mix(grams ^ salt))], np.uint64)))
             continue
+        fine = parts * SUBPARTS
         spread = W.mix(grams ^ salt)
-        part = ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        sums, count = np.zeros(parts, np.uint64), np.bincount(part, minlength=parts)
+        part = ((spread >> np.uint64(32)) * np.uint64(fine) >> np.uint64(32)).astype(np.int64)
+        sums, count = np.zeros(fine, np.uint64), np.bincount(part, minlength=fine)
         np.add.at(sums, part, W.mix(spread + np.uint64(1)))
-        sums = W.mix(sums + W.mix(np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ salt))
-        out.append(sums[np.lexsort((sums, count))[parts - k - 1:]])
+        sums, count = (v.reshape(parts, SUBPARTS).sum(1, keepdims=True).repeat(SUBPARTS, 1).ravel() - v for v in (sums, count))
+        sums = W.mix(sums + W.mix(np.arange(1, fine + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ salt))
+        out.append(sums[np.lexsort((sums, count))[x:]])
     return np.concatenate(out)
 
 
@@ -106,9 +117,37 @@ def _sizes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "doc long, n_shingles long, d1 long, d2 long")
 
 
+def _first_pairs(docs: DataFrame, bands: Bands) -> DataFrame:
+    """(a, b, large): each document with the smallest one that shares one of its FIRST lowest signatures."""
+    def scan(batches):
+        for whole in batches:
+            for batch in W.slices(whole, "text"):
+                sets = [(d, np.sort(signatures(x, bands))[:FIRST]) for d, x in zip(batch.column("doc").to_pylist(), shingles(batch.column("text"))) if len(x)]
+                n = [len(x) for _, x in sets]
+                yield pa.record_batch([pa.array(np.concatenate([x for _, x in sets] or [np.zeros(0, np.uint64)]).view(np.int64)),
+                                       pa.array(np.repeat(np.array([d for d, _ in sets], np.int64), n))], ["sig", "doc"])
+
+    rows = stored(docs.select("doc", "text").mapInArrow(scan, "sig long, doc long"), "jaccard-first")
+    lead = rows.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").drop("z")
+    return rows.join(lead, "sig").filter("doc != a").select("a", F.col("doc").alias("b"), F.lit(0).cast("long").alias("large")).distinct()
+
+
+def _one_each(s: np.ndarray, comp: np.ndarray, doc: np.ndarray, mark: np.ndarray):
+    """(s, comp, doc, group, marked): the smallest document of each component of each signature, and whether its group holds others or is
+    marked; groups are numbered."""
+    order = np.lexsort((doc, comp, s))
+    s, comp, doc, mark = s[order], comp[order], doc[order], mark[order]
+    new = np.r_[True, s[1:] != s[:-1]][:len(s)]
+    one = new | np.r_[True, comp[1:] != comp[:-1]][:len(s)]
+    group = np.cumsum(new) - 1
+    size = int(new.sum())
+    marked = (np.bincount(group, ~one, size) > 0) | (np.bincount(group, mark, size) > 0)
+    return s[one], comp[one], doc[one], group[one], marked
+
+
 def _packed(docs: DataFrame, bands: Bands, shards: int) -> DataFrame:
-    """(shard, sigs, docs, marks): packed signatures. Where more than SMALL documents of a task share one, the smallest stands for them
-    with a mark, and the others are paired with it in a row of shard -1."""
+    """(shard, sigs, comps, docs, marks): packed signatures of (doc, comp, text) rows. Where more than SMALL components of a task share one,
+    the first stands for them with a mark, and the others are paired with it in a row of shard -1."""
     def pack(s, *columns):
         shard = ((s >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)  # ascending, as s is
         cut = np.searchsorted(shard, np.arange(shards + 1))
@@ -118,41 +157,42 @@ def _packed(docs: DataFrame, bands: Bands, shards: int) -> DataFrame:
         sigs, owners, seen, held = [], [], {}, 0
 
         def flush():
-            s, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sigs, owners))
-            s = s.view(np.uint64)
-            order = np.lexsort((d, s))
-            s, d = s[order], d[order]
-            head = np.r_[True, s[1:] != s[:-1]]
-            group = np.cumsum(head) - 1
+            n = [len(x) for x in sigs]
+            d, c = (np.repeat(np.array(x, np.int64), n) for x in zip(*owners))
+            s, c, d, group, marked = _one_each(np.concatenate(sigs), c, d, np.zeros(len(d), np.uint8))
+            head = np.r_[True, group[1:] != group[:-1]]
             large = (np.bincount(group) > SMALL)[group]
             lead = d[np.flatnonzero(head)[group]]
             hidden = large & ~head
-            rows = pack(s[~hidden], d[~hidden], large[~hidden].astype(np.int64))
+            rows = pack(s[~hidden], c[~hidden], d[~hidden], (marked[group] | large)[~hidden].astype(np.uint8))
             if hidden.any():
-                rows.append((-1, d[hidden].tobytes(), lead[hidden].tobytes(), b""))
+                rows.append((-1, b"", d[hidden].tobytes(), lead[hidden].tobytes(), b""))  # pairs in place of components and documents
             k, *data = zip(*rows)
-            return pa.record_batch([pa.array(k, pa.int32()), *(pa.array(x, pa.binary()) for x in data)], ["shard", "sigs", "docs", "marks"])
+            return pa.record_batch([pa.array(k, pa.int32()), *(pa.array(x, pa.binary()) for x in data)], ["shard", *SENT])
 
         for whole in batches:
             for batch in W.slices(whole, "text"):
-                for doc, s in zip(batch.column("doc").to_pylist(), shingles(batch.column("text"))):
+                for doc, comp, s in zip(batch.column("doc").to_pylist(), batch.column("comp").to_pylist(), shingles(batch.column("text"))):
                     if not len(s) or seen.setdefault(_digest(s), doc) != doc:
                         continue  # equal sets are linked by their digest
-                    mine = signatures(s, bands)
-                    sigs.append(mine)
-                    owners.append(np.full(len(mine), doc, np.int64))
-                    held += len(mine)
+                    sigs.append(signatures(s, bands))
+                    owners.append((doc, comp))
+                    held += len(sigs[-1])
                 if held > FLUSH:
                     yield flush()
                     sigs, owners, seen, held = [], [], {}, 0
         if held:
             yield flush()
 
-    return docs.mapInArrow(scan, "shard int, sigs binary, docs binary, marks binary")
+    return docs.select("doc", "comp", "text").mapInArrow(scan, "shard int, " + ", ".join(f"{c} binary" for c in SENT))
+
+
+SENT = ("sigs", "comps", "docs", "marks")
+_KINDS = {"sigs": np.uint64, "marks": np.uint8}
 
 
 def _read(table: pa.Table, *names: str) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(table[c].to_pylist()), np.uint64 if c == "sigs" else np.int64) for c in names]
+    return [np.frombuffer(b"".join(table[c].to_pylist()), _KINDS.get(c, np.int64)) for c in names]
 
 
 def _pairs(both: np.ndarray, large: np.ndarray | bool) -> pa.Table:
@@ -169,19 +209,16 @@ def _candidates(packed: DataFrame) -> DataFrame:
     """(a, b, large), a < b: candidate pairs; `large` if one came from a group whose pairs are not all candidates."""
     def pair(key, table):
         if key[0].as_py() < 0:
-            a, b = _read(table, "sigs", "docs")
-            return _pairs(np.stack([a.view(np.int64), b], 1), True)
-        s, d, m = _read(table, "sigs", "docs", "marks")
-        order = np.lexsort((d, s))
-        s, d, m = s[order], d[order], m[order]
-        head = np.r_[True, s[1:] != s[:-1]]
-        group = np.cumsum(head) - 1
-        large = ((np.bincount(group) > SMALL) | (np.bincount(group, m) > 0))[group]
+            a, b = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("comps", "docs"))
+            return _pairs(np.stack([a, b], 1), True)
+        s, _, d, group, marked = _one_each(*_read(table, *SENT))
+        head = np.r_[True, group[1:] != group[:-1]][:len(group)]
+        large = (np.bincount(group) > SMALL)[group]
         out, flags = [], []
         for lag in range(1, min(SMALL, len(s))):
-            i = np.flatnonzero((s[lag:] == s[:-lag]) & ~large[lag:])
+            i = np.flatnonzero((group[lag:] == group[:-lag]) & ~large[lag:])
             out.append(np.stack([d[i], d[i + lag]], 1))
-            flags.append(np.zeros(len(i), np.int64))
+            flags.append(marked[group[i]].astype(np.int64))
         rest = np.flatnonzero(large & ~head)
         out.append(np.stack([d[np.flatnonzero(head)[group[rest]]], d[rest]], 1))
         flags.append(np.ones(len(rest), np.int64))
@@ -300,10 +337,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
             both = both.join(some.groupBy(F.col("doc").alias(side)).agg(F.max("n_shingles").alias(f"n{side}")), side)
         return both.select("a", "b", "large", F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").alias("fit"))
 
-    examined = stored(per_class(_candidates(_packed(named, bands, shards))), "jaccard-pairs")
-    pairs = examined.filter("fit")
-    links = _verify(named, pairs, percent)
-    comp = stored(components(base.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(links)), "jaccard-comp")
+    def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+        return stored(components(comp.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(links)), "jaccard-comp")
+
+    first = stored(per_class(_first_pairs(named, bands)).filter("fit"), "jaccard-near")
+    near = joined(base, _verify(named, first, percent))
+    placed = named.join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    examined = stored(per_class(_candidates(_packed(placed, bands, shards))), "jaccard-pairs")
+    pairs = examined.filter("fit").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    comp = joined(near, _verify(named, pairs, percent))
 
     doubt = marked(examined.filter("large = 1"), comp)  # examined and not linked, be it for their sizes only
     doubt = stored(doubt.select(F.col("ca").alias("comp")).union(doubt.select("cb")).distinct(), "jaccard-doubt")
