@@ -159,8 +159,7 @@ with w as (
 t as (select r, target, unnest(words) as w, unnest(range(len(words))) as i from w),
 c1 as (select w, count(*) as b, count(*) filter (target) as t from t group by w),
 n as (select count(*) as nb, count(*) filter (target) as nt from t),
-v_least as (select min(b) as least from (select b, sum(k) over (order by b desc) as s from (select b, count(*) as k from c1 where b > 1 group by b)) where s <= 50000),
-v as (select * from c1, v_least where b >= least),
+v as (select * from c1 where b >= 2),
 size as (select count(*) as size, coalesce(sum(b), 0) as b, coalesce(sum(t), 0) as t from v),
 uni as (
   select w, b as cb, t as ct, (b + 1) / (nb + size + 1) as pb, (t + 1) / (nt + size + 1) as pt
@@ -168,10 +167,9 @@ uni as (
 tok as (select r, i, t.w, v.w as k, target from t left join v on t.w = v.w),
 p as (select a.r, a.i, a.target, b.k as l, a.k as w from tok a join tok b on a.r = b.r and a.i = b.i + 1 where a.k is not null and b.k is not null),
 c2 as (select l, w, count(*) as b, count(*) filter (target) as t from p group by l, w having count(*) >= 2),
-p_least as (select min(b) as least from (select b, sum(k) over (order by b desc) as s from (select b, count(*) as k from c2 group by b)) where s <= 400000),
 pairs as (
   select c2.l, c2.w, -ln(0.6 * (c2.b / x.cb) + 0.4 * y.pb) as lb, -ln(0.6 * (case when x.ct > 0 then c2.t / x.ct else y.pt end) + 0.4 * y.pt) as lt
-  from c2 join p_least on b >= least join uni x on x.w = c2.l join uni y on y.w = c2.w),
+  from c2 join uni x on x.w = c2.l join uni y on y.w = c2.w),
 loss as (
   select tok.r, coalesce(pairs.lb, -ln(0.4 * uni.pb)) as lb, coalesce(pairs.lt, -ln(0.4 * uni.pt)) as lt
   from tok left join p on p.r = tok.r and p.i = tok.i left join pairs on pairs.l = p.l and pairs.w = p.w
