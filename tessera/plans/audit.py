@@ -12,6 +12,7 @@ from tessera.plans import fixtures as fx
 from tessera.plans.ranking import MORAN
 from tessera.plans.registry import query
 from tessera.plans.scoring import core_scores, tables
+from tessera.sources.records import METRIC_KEY
 
 KEYQ = "dataset, fs_method, n_features, integration_method, task, metric_name, random_seed"
 LABELLED = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
@@ -169,26 +170,43 @@ def _(spark, path):
     return K.lineage_audit(s, e, t)
 
 
+def _key_sql(name: str, table: str, columns: str) -> str:
+    return f"SELECT '{name}' AS table_name, 'key' AS rule, '{columns}' AS subject, coalesce(sum(k), 0) AS n_rows, count(*) FILTER (k > 1) AS n_bad FROM (SELECT count(*) AS k FROM {table} GROUP BY {columns})"
+
+
+def _rule_sql(name: str, table: str, rule: str, subject: str, bad: str) -> str:
+    return f"SELECT '{name}', '{rule}', '{subject}', count(*), count(*) FILTER ({bad}) FROM {table}"
+
+
+def _covers_sql(name: str, table: str, other: str, source: str, columns: str) -> str:
+    return f"""SELECT '{name}', 'covers', '{other}:{columns}', count(*), count(*) FILTER (h IS NULL)
+        FROM (SELECT DISTINCT {columns} FROM {source}) LEFT JOIN (SELECT DISTINCT {columns}, 1 AS h FROM {table}) USING ({columns})"""
+
+
 @query("score_audit", """
-    WITH st AS (SELECT DISTINCT dataset, fs_method, n_features FROM records WHERE fs_method <> 'Brand#7'), d AS (
-    SELECT 'repeated record keys' AS "check", 0 AS expected, (SELECT count(*) FROM (SELECT 1 FROM records GROUP BY dataset, fs_method, n_features, integration_method, task, metric_name, random_seed HAVING count(*) > 1)) AS observed
-    UNION ALL SELECT 'metrics without a direction', 0, 0 UNION ALL SELECT 'one range per dataset and metric', (SELECT count(*) FROM (SELECT DISTINCT dataset, task, metric_name FROM records)), (SELECT count(*) FROM ranges)
-    UNION ALL SELECT 'settings without a range', 0, (SELECT count(*) FROM setting_scaled WHERE oriented_mean IS NOT NULL AND status IS NULL)
-    UNION ALL SELECT 'scaled settings beyond 0 and 1', 0, (SELECT count(*) FROM setting_scaled WHERE scaled < -1e-10 OR scaled > 1 + 1e-10)
-    UNION ALL SELECT 'settings without a core score', 0, (SELECT count(*) FROM core_scores WHERE CoreOverallMean IS NULL)
-    UNION ALL SELECT 'alignment where no pair is declared', 0, (SELECT count(*) FROM (SELECT dataset, avg(Alignment) AS a FROM seed_scores GROUP BY dataset, fs_method, n_features, integration_method) WHERE a IS NOT NULL AND dataset NOT IN ('BUILDING', 'FURNITURE'))
-    UNION ALL SELECT 'methods with two chosen settings', 0, (SELECT count(*) FROM (SELECT 1 FROM st GROUP BY dataset, fs_method HAVING count(*) > 1))
-    UNION ALL SELECT 'chosen settings with scores', (SELECT count(*) FROM st) * (SELECT count(DISTINCT integration_method) FROM records), (SELECT count(*) FROM core_scores SEMI JOIN st USING (dataset, fs_method, n_features))
-    UNION ALL SELECT 'controls that compete', 0, 0
-    UNION ALL SELECT 'ranges of width zero', 0, (SELECT count(*) FROM ranges WHERE status = 'constant'))
-    SELECT "check", expected::BIGINT AS expected, observed::BIGINT AS observed, CASE WHEN expected = observed THEN 'PASS' WHEN "check" = 'ranges of width zero' THEN 'WARN' ELSE 'FAIL' END AS status FROM d""")
+    WITH chosen AS (SELECT DISTINCT dataset, fs_method, n_features FROM records WHERE fs_method <> 'Brand#7'),
+    picked AS (SELECT * FROM core_scores SEMI JOIN chosen USING (dataset, fs_method, n_features)),
+    parts AS (SELECT dataset, fs_method, n_features, integration_method, avg(Alignment) AS a FROM seed_scores GROUP BY ALL), d AS (
+    """ + " UNION ALL ".join([
+    _key_sql("picked", "picked", "dataset,fs_method,integration_method"), _covers_sql("picked", "picked", "chosen", "chosen", "dataset,fs_method,n_features"),
+    _key_sql("ranges", "ranges", "dataset,task,metric_name"), _covers_sql("ranges", "ranges", "records", "records", "dataset,task,metric_name"),
+    _rule_sql("ranges", "ranges", "among", "status", "status NOT IN ('ok')"),
+    _key_sql("records", "records", "dataset,fs_method,n_features,integration_method,task,metric_name,random_seed"),
+    _rule_sql("records", "records", "among", "metric_name", "false"), _rule_sql("records", "records", "between", "runtime", "NOT runtime BETWEEN 0 AND 1e9"),
+    _rule_sql("scaled", "setting_scaled", "between", "scaled", "NOT scaled BETWEEN -1e-10 AND 1 + 1e-10"),
+    _rule_sql("scores", "parts", "only_where", "AlignmentMean", "a IS NOT NULL AND dataset NOT IN ('BUILDING', 'FURNITURE')"),
+    _rule_sql("scores", "core_scores", "filled", "CoreOverallMean", "CoreOverallMean IS NULL")]) + """)
+    SELECT table_name, rule, subject, n_rows::BIGINT AS n_rows, n_bad::BIGINT AS n_bad, n_bad = 0 AS passed FROM d""")
 def _(spark, path):
     o, setting, ranges, seeds = tables(spark, path)
     scores = S.setting_scores(seeds)
-    settings = o.filter("fs_method <> 'Brand#7'").select("dataset", "fs_method", "n_features").distinct()
-    rep = S.representative(scores, settings)
-    return K.score_audit({"results": o, "setting": setting, "ranges": ranges, "setting_scaled": S.apply_ranges(setting, ranges, "oriented_mean"),
-                          "setting_scores": scores, "settings": settings, "representative": rep, "competitive": S.competitive(rep)}, ["BUILDING", "FURNITURE"])
+    chosen = o.filter("fs_method <> 'Brand#7'").select("dataset", "fs_method", "n_features").distinct()
+    return K.audit_tables({
+        "picked": K.Expect(S.representative(scores, chosen), key=["dataset", "fs_method", "integration_method"], covers={"chosen": (chosen, ["dataset", "fs_method", "n_features"])}),
+        "ranges": K.Expect(ranges, key=S.RANGE_KEY, covers={"records": (o, S.RANGE_KEY)}, among={"status": ["ok"]}),
+        "records": K.Expect(o, key=METRIC_KEY, among={"metric_name": list(S.METRICS)}, between={"runtime": (0, 1e9)}),
+        "scaled": K.Expect(S.apply_ranges(setting, ranges, "oriented_mean"), between={"scaled": (-1e-10, 1 + 1e-10)}),
+        "scores": K.Expect(scores, filled=["CoreOverallMean"], only_where={"AlignmentMean": "dataset IN ('BUILDING', 'FURNITURE')"})})
 
 
 BUDGET = """

@@ -433,3 +433,15 @@ def test_covariance_test_is_the_mixture_of_its_kernels(spark):
             t.append(1 / (p * np.pi) if p < 1e-8 else np.tan((0.5 - p) * np.pi))
         assert got[f"g{j}"] == pytest.approx(0.5 - np.arctan(np.mean(t)) / np.pi, rel=1e-6)
     assert got["g0"] < 0.01
+
+
+def test_table_rules_count_what_breaks_them(spark):
+    from tessera.operators.audit import Expect, audit_tables
+
+    t = spark.createDataFrame([(1, "a", 0.5), (1, "b", None), (2, "z", 1.5), (None, None, -0.1)], "k int, c string, v double")
+    other = spark.createDataFrame([(1,), (3,), (3,)], "k int")
+    got = audit_tables({"t": Expect(t, key=["k"], filled=["v"], between={"v": (0, 1)}, among={"c": ["a", "b"]}, only_where={"v": "c <> 'z'"}, covers={"o": (other, ["k"])}),
+                        "none": Expect(t.filter("false"), key=["k"], filled=["v"])}).collect()
+    assert {(r["table_name"], r["rule"], r["subject"]): (r["n_rows"], r["n_bad"], r["passed"]) for r in got} == {
+        ("t", "key", "k"): (4, 1, False), ("t", "filled", "v"): (4, 1, False), ("t", "between", "v"): (4, 2, False), ("t", "among", "c"): (4, 1, False),
+        ("t", "only_where", "v"): (4, 2, False), ("t", "covers", "o:k"): (2, 1, False), ("none", "key", "k"): (0, 0, True), ("none", "filled", "v"): (0, 0, True)}
