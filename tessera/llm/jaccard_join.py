@@ -7,8 +7,8 @@ x + 1 of them, and SUBPARTS parts of each. The content of every subset of SUBPAR
 these coarse parts gives a common one. Each set leaves out the x signatures of fewest elements, which say least: of x + 1 common ones the
 last in the order of (elements, signature), which is the same order for both sets, is left out by neither.
 
-Near copies are met first: every document is compared with the smallest one that shares one of its FIRST lowest signatures, and the links
-are closed to components. From then on a signature only pairs documents of different components, one of each: a group of copies with edits
+Near copies are met first: every document is compared with the smallest one that shares one of its FIRST lowest shingles by hash, and the
+links are closed to components. From then on a signature only pairs documents of different components, one of each: a group of copies with edits
 sends no pairs however many signatures it shares.
 
 Each task merges its own signatures first: where more than SMALL components share one, it keeps the smallest document and pairs the others
@@ -35,8 +35,8 @@ from tessera.llm.folders import stored
 WORDS = 5
 SMALL = 4  # components of one signature that are compared pairwise
 SUBPARTS = 4  # parts of a coarse part; a signature leaves one of them out
-FIRST = 4  # signatures that near copies are met by
-FLUSH = 3_000_000  # signatures that a task holds before it merges and sends them
+FIRST = 4  # lowest shingles that near copies are met by
+FLUSH = 1_500_000  # signatures that a task holds before it merges and sends them
 SHARD_DOCS = 2_000  # documents per shard of the signature shuffle
 
 
@@ -105,31 +105,23 @@ def _digest(grams: np.ndarray) -> tuple[int, int]:
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    """(doc, n_shingles, d1, d2) of each row."""
+    """(doc, n_shingles, d1, d2, low) of each row; low: the FIRST lowest shingles."""
     def scan(batches):
         for whole in batches:
             for batch in W.slices(whole, "text"):
                 sets = shingles(batch.column("text"))
                 names = [_digest(s) for s in sets]
-                yield pa.record_batch([batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))],
-                                      ["doc", "n_shingles", "d1", "d2"])
+                yield pa.record_batch([batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)),
+                                       pa.array([x[:FIRST].view(np.int64) for x in sets], pa.list_(pa.int64()))], ["doc", "n_shingles", "d1", "d2", "low"])
 
-    return docs.mapInArrow(scan, "doc long, n_shingles long, d1 long, d2 long")
+    return docs.mapInArrow(scan, "doc long, n_shingles long, d1 long, d2 long, low array<long>")
 
 
-def _first_pairs(docs: DataFrame, bands: Bands) -> DataFrame:
-    """(a, b, large): each document with the smallest one that shares one of its FIRST lowest signatures."""
-    def scan(batches):
-        for whole in batches:
-            for batch in W.slices(whole, "text"):
-                sets = [(d, np.sort(signatures(x, bands))[:FIRST]) for d, x in zip(batch.column("doc").to_pylist(), shingles(batch.column("text"))) if len(x)]
-                n = [len(x) for _, x in sets]
-                yield pa.record_batch([pa.array(np.concatenate([x for _, x in sets] or [np.zeros(0, np.uint64)]).view(np.int64)),
-                                       pa.array(np.repeat(np.array([d for d, _ in sets], np.int64), n))], ["sig", "doc"])
-
-    rows = stored(docs.select("doc", "text").mapInArrow(scan, "sig long, doc long"), "jaccard-first")
-    lead = rows.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").drop("z")
-    return rows.join(lead, "sig").filter("doc != a").select("a", F.col("doc").alias("b"), F.lit(0).cast("long").alias("large")).distinct()
+def _first_pairs(sizes: DataFrame) -> DataFrame:
+    """(a, b, large): each document with the smallest one that shares one of its FIRST lowest shingles."""
+    rows = sizes.filter("doc is not null").select("doc", F.explode("low").alias("gram"))
+    lead = rows.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").drop("z")
+    return rows.join(lead, "gram").filter("doc != a").select("a", F.col("doc").alias("b"), F.lit(0).cast("long").alias("large")).distinct()
 
 
 def _one_each(s: np.ndarray, comp: np.ndarray, doc: np.ndarray, mark: np.ndarray):
@@ -340,7 +332,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
         return stored(components(comp.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(links)), "jaccard-comp")
 
-    first = stored(per_class(_first_pairs(named, bands)).filter("fit"), "jaccard-near")
+    first = stored(per_class(_first_pairs(sizes)).filter("fit"), "jaccard-near")
     near = joined(base, _verify(named, first, percent))
     placed = named.join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     examined = stored(per_class(_candidates(_packed(placed, bands, shards))), "jaccard-pairs")
