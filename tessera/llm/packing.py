@@ -60,7 +60,7 @@ class Encoder:
         parts = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
         coded = pc.dictionary_encode(parts.values)
         words = coded.dictionary.to_pylist()
-        code = np.array([self.known.get(w, -1) for w in words], np.int64)
+        code = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(code < 0)
         got = [e.ids for e in self.encode([words[i] for i in new], add_special_tokens=False)]
         size = np.array([len(x) for x in got], np.int64)

@@ -113,7 +113,7 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_
                 ids = encode(batch.column("text"))
                 doc = batch.column("doc")
                 file = np.searchsorted(cuts, doc.fill_null(NO_ID).to_numpy(), "right")
-                yield pa.record_batch([pa.array(file.astype(np.int32)), doc, pa.array([len(x) for x in ids], pa.int32()), pa.array([press.compress(x.tobytes()) for x in ids], pa.binary())],
+                yield pa.record_batch([pa.array(file.astype(np.int32)), doc, pa.array([len(x) for x in ids], pa.int32()), pa.array([press.compress(x.data.cast("B")) for x in ids], pa.binary())],
                                       ["file", "doc", "n", "frame"])
 
     frames = docs.mapInArrow(compress, "file int, doc long, n int, frame binary")
