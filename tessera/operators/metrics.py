@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import hash_order, ratio
 from tessera.model import SpatialData
-from tessera.operators.graph import _distances, connected_components, knn_join, metric_knn, vector_knn
-from tessera.session import cut_lineage
+from tessera.operators.graph import connected_components, knn_join, metric_knn, vector_knn, vectors
+from tessera.session import cut_lineage, spread
 
 
 def _with_values(edges: DataFrame, emb: DataFrame, column: str) -> DataFrame:
@@ -32,53 +34,115 @@ def slice_mixing_entropy(emb: DataFrame, k: int = 15, edges: DataFrame | None =
     return h.agg(F.avg(F.when(F.col("m") > 1, F.col("h") / F.log("m")).otherwise(F.col("h"))).alias("value"))
 
 
+def _distance_sums(a: np.ndarray, b: np.ndarray, weight: np.ndarray, first: np.ndarray, back: tuple[np.ndarray, np.ndarray] | None,
+                   rows: int = 256, columns: int = 1024) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sums of weighted distances of every row of `a` to the runs of rows of `b` that start at `first`; with `back`, the weights and
+    run starts of `a`, also those of every row of `b` to the runs of `a`.
+
+    Distances come from products of centered vectors; pairs so close that a product loses digits are compared by direct differences."""
+    center = b.mean(0)
+    x, y = a - center, b - center
+    nx, ny = (x * x).sum(1), (y * y).sum(1)
+    left = np.hstack([-2 * x, nx[:, None], np.ones((len(x), 1))])
+    right = np.hstack([y, np.ones((len(y), 1)), ny[:, None]]).T
+    run = np.searchsorted(first, np.arange(len(b)), "right") - 1
+    out = np.zeros((len(a), len(first)))
+    other, run_a = None, None
+    if back is not None:
+        other, run_a = np.zeros((len(back[1]), len(b))), np.searchsorted(back[1], np.arange(len(a)), "right") - 1
+    for j in range(0, len(b), columns):
+        part, r = right[:, j:j + columns].copy(), run[j:j + columns]
+        heads = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        plain, w, most = bool((weight[j:j + columns] == 1).all()), weight[j:j + columns], ny[j:j + columns].max()
+        for i in range(0, len(a), rows):
+            d = left[i:i + rows] @ part
+            low = 1e-6 * (nx[i:i + rows].max() + most)
+            if d.min() <= low:
+                at, to = np.nonzero(d <= low)
+                for s in range(0, len(at), 4096):
+                    diff = a[at[s:s + 4096] + i] - b[to[s:s + 4096] + j]
+                    d[at[s:s + 4096], to[s:s + 4096]] = np.einsum("ij,ij->i", diff, diff)
+            np.sqrt(d, out=d)
+            if back is not None:
+                ra = run_a[i:i + rows]
+                tops = np.flatnonzero(np.r_[True, ra[1:] != ra[:-1]])
+                wa = back[0][i:i + rows]
+                other[ra[tops], j:j + columns] += np.add.reduceat(d if (wa == 1).all() else d * wa[:, None], tops, axis=0)
+            out[i:i + rows, r[heads]] += np.add.reduceat(d if plain else d * w, heads, axis=1)
+    return out, None if other is None else other.T
+
+
 def silhouette_values(emb: DataFrame, cluster_col: str, sample: int | None = None, seed: int = 0,
-                      by: Sequence[str] = (), block: int = 1024) -> DataFrame:
+                      by: Sequence[str] = (), block: int | None = None) -> DataFrame:
     """Euclidean silhouette of each point inside each `by` group; over a hashed sample only if `sample` is given.
 
-    Points are hashed to blocks; every pair of blocks is one task unit that returns, per point of the
-    first block, its distance sums to the clusters of the second, so point pairs are never rows."""
+    Equal vectors of a cluster are one weighted point. Points are hashed to blocks, 16 of a large group and more where one would pass
+    `block` points; every unordered pair of blocks is one task unit that returns, per point of either block, its distance sums to the
+    clusters of the other. So point pairs are never rows, and a point is sent once per block."""
     by = list(by)
-    x = emb.select(*by, "spot_id", F.col(cluster_col).cast("string").alias("c"), "emb").filter("c IS NOT NULL")
+    x = emb.select(*by, "spot_id", F.col(cluster_col).cast("string").alias("c"), F.col("emb").cast("array<double>").alias("emb")).filter("c IS NOT NULL")
     if sample is not None:
         w = Window.partitionBy(*by).orderBy(hash_order(seed, "spot_id"), "spot_id")
         x = x.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample).drop("_rn")
     if not by:
         x = x.withColumn("_g", F.lit(0))
     keys = by or ["_g"]
-    sizes = x.groupBy(*keys).agg((F.floor((F.count("*") - 1) / block) + 1).cast("int").alias("_nb"))
-    x = cut_lineage(x.join(sizes, keys).withColumn("_b", F.pmod(F.xxhash64("spot_id"), F.col("_nb")).cast("int")))
-    others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
-    left = x.select(*keys, "spot_id", "c", "emb", F.col("_b").alias("_i"), others.alias("_j"))
-    right = x.select(*[F.col(c).alias(c) for c in keys], F.col("c").alias("k"), F.col("emb").alias("vec"),
-                     F.col("_b").alias("_j"), others.alias("_i"))
+    points = x.groupBy(*keys, "c", "emb").agg(F.min("spot_id").alias("one"), F.count("*").alias("w"))
+    points = cut_lineage(points)
+    sizes = points.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.size("emb")).alias("_dim"))
+    most = F.lit(block) if block else F.least(F.greatest(F.floor(F.lit(2 ** 22) / F.greatest("_dim", F.lit(1))), F.lit(1024)), F.lit(131_072))
+    few = F.lit(1) if block else F.least(F.lit(16), F.floor((F.col("_n") - 1) / 512) + 1)
+    sizes = sizes.select(*keys, F.greatest(few, F.floor((F.col("_n") - 1) / most) + 1).cast("int").alias("_nb"))
+    placed = points.join(sizes, keys).withColumn("_b", F.pmod(F.xxhash64("one", "c"), F.col("_nb")).cast("int"))
+    # a block meets itself and the later ones from the left, the earlier ones from the right
+    columns = [*keys, "one", "c", "w", "emb"]
+    left = placed.select(*columns, F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.col("_nb") - 1)).alias("_j"))
+    right = placed.filter("_b > 0").select(*columns, F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_i"), F.col("_b").alias("_j"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     id_type = emb.schema["spot_id"].dataType.simpleString()
     group_type = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in keys)
-    columns = [*keys, "spot_id", "c", "k", "total"]
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=columns)
-        d = np.sqrt(_distances(np.stack(a["emb"].to_numpy()), np.stack(b["vec"].to_numpy())))
-        names, codes = np.unique(b["k"].to_numpy().astype(str), return_inverse=True)
-        totals = np.stack([d[:, codes == i].sum(axis=1) for i in range(len(names))], axis=1)
-        out = pd.DataFrame({"spot_id": np.repeat(a["spot_id"].to_numpy(), len(names)), "c": np.repeat(a["c"].to_numpy(), len(names)),
-                            "k": np.tile(names, len(a)), "total": totals.ravel()})
-        for c in keys:
-            out[c] = a[c].iloc[0]
-        return out[columns]
+    def sums_of(ids: pa.Table, totals: np.ndarray, names: pa.Array) -> dict:
+        """One row per point and cluster."""
+        each = pa.array(np.repeat(np.arange(len(totals)), len(names)))
+        return {**{c: ids[c].combine_chunks().take(each) for c in [*keys, "one", "c"]},
+                "k": names.take(pa.array(np.tile(np.arange(len(names)), len(totals)))), "total": pa.array(totals.ravel())}
+
+    def runs(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Rows by cluster, their vectors and weights, where clusters start, and their names."""
+        t = t.take(pc.sort_indices(t["c"]))
+        c = t["c"].combine_chunks()
+        code = c.dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        return t, vectors(t["emb"]), t["w"].to_numpy().astype(float), first, c.take(pa.array(first))
+
+    def work(_, a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if a.num_rows and (b.num_rows or a["_i"][0] == a["_j"][0]):
+            a, va, wa, fa, ka = runs(a)
+            if not b.num_rows:
+                out.append(sums_of(a, _distance_sums(va, va, wa, fa, None)[0], ka))
+            else:
+                b, vb, wb, fb, kb = runs(b)
+                there, back = _distance_sums(va, vb, wb, fb, (wa, fa))
+                out += [sums_of(a, there, kb), sums_of(b, back, ka)]
+        if not out:
+            return pa.schema([*[a.schema.field(c) for c in [*keys, "one", "c"]], ("k", pa.string()), ("total", pa.float64())]).empty_table()
+        return pa.concat_tables([pa.table(o) for o in out])
 
     unit = [*keys, "_i", "_j"]
-    sums = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(
-        work, f"{group_type}, spot_id {id_type}, c string, k string, total double")
+    sums = spread(left, *unit).groupBy(*unit).cogroup(spread(right, *unit).groupBy(*unit)).applyInArrow(
+        work, f"{group_type}, one {id_type}, c string, k string, total double")
     n = x.groupBy(*keys, F.col("c").alias("k")).agg(F.count("*").alias("n"))
-    d = sums.groupBy(*keys, "spot_id", "c", "k").agg(F.sum("total").alias("total")).join(n, [*keys, "k"])
+    d = sums.groupBy(*keys, "one", "c", "k").agg(F.sum("total").alias("total")).join(n, [*keys, "k"])
     own = F.col("c") == F.col("k")
-    s = d.groupBy(*keys, "spot_id", "c").agg(
+    s = d.groupBy(*keys, "one", "c").agg(
         F.max(F.when(own, F.col("n"))).alias("n_own"), F.max(F.when(own, ratio("total", F.col("n") - 1))).alias("a"),
         F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
     value = F.when(F.col("n_own") == 1, 0.0).otherwise(F.coalesce(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return s.select(*by, "spot_id", "c", value.alias("silhouette"))
+    # back to all points of a vector
+    of_one = points.select(*keys, "one", "c", "emb").join(s.select(*keys, "one", "c", value.alias("silhouette")), [*keys, "one", "c"])
+    return x.join(of_one.select(*keys, "c", "emb", "silhouette"), [*keys, "c", "emb"]).select(*by, "spot_id", "c", "silhouette")
 
 
 def squared_silhouette_values(emb: DataFrame, cluster_col: str, by: Sequence[str] = (), block: int = 4096) -> DataFrame:
