@@ -1,9 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The model is fitted on a bounded sample: at most `train_docs` trusted documents, in hash order of their ids, up to `train_tokens` words in
-all. Its tables come from sharded count joins: trigram counts, the continuation counts of lower orders, and the totals of every context are
-hash-partitioned and joined on their n-gram keys. The token bound limits every table to that many rows, so the finished tables are sent to
-the tasks and all documents are scored in one pass; no n-gram of the corpus is shuffled.
+The model is fitted on every trusted document that is not held out (a bounded sample only on request). Its tables come from count joins:
+trigram counts, the continuation counts of lower orders, and the totals of every context are hash-partitioned and joined on their n-gram
+keys. The finished tables stay in shards of the key space. Texts are hashed once and stored in chunks of a bounded number of tokens, or one
+text (see `lm_score.tokens`); a chunk sends its distinct words, pairs and triples to the shards, a shard answers each chunk with the values
+that it holds for them, and the chunk is scored with its answers. No task and no broadcast holds a whole table.
 
 Every fifth trusted id, by hash, is held out of the fit. A document is kept when its perplexity is at most the threshold of its language: the
 stated quantile of the held-out trusted documents of that language, over all of them. The quantile is exact on perplexities' logarithms rounded to four digits. A language without trusted documents
@@ -21,10 +22,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.folders import stored
-from tessera.llm.lm_score import text_words
+from tessera.llm.lm_score import CHUNK_TOKENS, PARTS, SHARD_TOKENS, tagged, text_words, tokens
 
-TRAIN_DOCS = 2_000
-TRAIN_TOKENS = 800_000
 QUANTILE = 0.995
 HELD_OUT = "pmod(xxhash64(key), 5) = 0"
 START = np.uint64(0x5107A9E3C0DE11D7)  # the word before the first
@@ -88,15 +87,16 @@ def _contexts(counts: DataFrame, context: list[str], d: list[float]) -> DataFram
     return counts.groupBy(*context).agg(F.sum("c").alias("total"), left.alias("left")).select(*context, "total", (F.col("left") / F.col("total")).alias("back"))
 
 
-def fit(training: DataFrame) -> Model:
-    """Fits the model on (text) rows."""
+def tables(training: DataFrame) -> tuple[dict[str, DataFrame], float]:
+    """The model of (text) rows as tables of n-grams with a value, and the probability of an unknown word: p of (u, v, w), of (v, w) and of w,
+    and the weight that the contexts (u, v) and v leave to the lower order."""
     def grams(batches):
         for whole in batches:
             for batch in W.slices(whole, "text"):
                 hashes, first = text_words(batch.column("text"))
                 yield pa.record_batch([pa.array(x.view(np.int64)) for x in (*text_ngrams(hashes, first), hashes)], ["u", "v", "w"])
 
-    tri = stored(training.mapInArrow(grams, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count("*").alias("c")), "kn-3")
+    tri = stored(training.select("text").mapInArrow(grams, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count("*").alias("c")), "kn-3")
     bi = stored(tri.groupBy("v", "w").agg(F.count("*").alias("c")), "kn-2")
     uni = stored(bi.groupBy("w").agg(F.count("*").alias("c")), "kn-1")
     d3, d2, d1 = (discounts(x) for x in (tri, bi, uni))
@@ -107,21 +107,30 @@ def fit(training: DataFrame) -> Model:
     c2 = stored(_contexts(bi, ["v"], d2), "kn-c2")
     p2 = stored(bi.join(c2, "v").join(p1.withColumnRenamed("p", "lower"), "w").select(
         "v", "w", ((F.col("c") - _by_count(d2)) / F.col("total") + F.col("back") * F.col("lower")).alias("p")), "kn-p2")
-    c3 = _contexts(tri, ["u", "v"], d3)
+    c3 = stored(_contexts(tri, ["u", "v"], d3), "kn-c3")
     p3 = tri.join(c3, ["u", "v"]).join(p2.withColumnRenamed("p", "lower"), ["v", "w"]).select(
         "u", "v", "w", ((F.col("c") - _by_count(d3)) / F.col("total") + F.col("back") * F.col("lower")).alias("p"))
+    return {"tri": p3.select("u", "v", "w", "p"), "bi": p2.select("v", "w", "p"), "bi_back": c3.select("u", "v", "back"),
+            "uni": p1.select("w", "p"), "uni_back": c2.select("v", "back")}, unknown
+
+
+def _keys(parts: list[np.ndarray]) -> np.ndarray:
+    k = parts[0]
+    for x in parts[1:]:
+        k = pair_key(k, x)
+    return k
 
-    def arrays(df: DataFrame, *key: str) -> tuple[np.ndarray, np.ndarray]:
+
+def fit(training: DataFrame) -> Model:
+    """The model of a few (text) rows in one place."""
+    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         rows = df.toArrow()
-        parts = [rows[k].to_numpy().view(np.uint64) for k in key]
-        k = parts[0]
-        for x in parts[1:]:
-            k = pair_key(k, x)
+        k = _keys([rows[c].to_numpy().view(np.uint64) for c in rows.column_names[:-1]])
         order = np.argsort(k)
         return k[order], rows[rows.column_names[-1]].to_numpy().astype(np.float32)[order]
 
-    return Model(arrays(p3.select("u", "v", "w", "p"), "u", "v", "w"), arrays(p2.select("v", "w", "p"), "v", "w"),
-                 arrays(c3.select("u", "v", "back"), "u", "v"), arrays(p1.select("w", "p"), "w"), arrays(c2.select("v", "back"), "v"), unknown)
+    parts, unknown = tables(training)
+    return Model(**{name: arrays(df) for name, df in parts.items()}, unknown=unknown)
 
 
 def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> np.ndarray:
@@ -145,24 +154,121 @@ def token_probabilities(m: Model, hashes: np.ndarray, first: np.ndarray) -> np.n
     return p
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """(key, lang, n_tokens, log_perplexity) of (key, lang, text) rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def scan(batches):
-        for whole in batches:
-            for batch in W.slices(whole, "text"):
-                hashes, first = text_words(batch.column("text"))
-                n = np.diff(first)
-                full = n > 0
-                loss = np.full(len(n), np.nan)
-                if full.any():
-                    loss[full] = np.add.reduceat(-np.log(token_probabilities(shared.value, hashes, first)), first[:-1][full]) / n[full]
-                yield pa.record_batch([batch.column("key"), batch.column("lang"), pa.array(n, pa.int64()), pa.array(loss, pa.float64(), mask=~full)],
-                                      ["key", "lang", "n_tokens", "log_perplexity"])
-
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(scan, f"key {kind}, lang string, n_tokens long, log_perplexity double")
+TABLES = ("tri", "bi", "bi_back", "uni", "uni_back")
+KINDS = {"tri": ("tri",), "pair": ("bi", "bi_back"), "word": ("uni", "uni_back")}  # what a shard knows of a key
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+
+
+def sharded(parts: dict[str, DataFrame], shards: int) -> DataFrame:
+    """(shard, name, key, value) of all tables."""
+    def rows(name: str, width: int):
+        def run(batches):
+            for batch in batches:
+                k = _keys([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(width)])
+                yield pa.record_batch([pa.array(shard_of(k, shards).astype(np.int32)), pa.array(np.full(len(k), TABLES.index(name), np.int8)), pa.array(k.view(np.int64)),
+                                       batch.column(width).cast(pa.float32())], ["shard", "name", "key", "value"])
+        return run
+
+    out = None
+    for name, df in parts.items():
+        part = df.mapInArrow(rows(name, len(df.columns) - 1), "shard int, name tinyint, key long, value float")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+class Chunk:
+    """The distinct triples, pairs and words of a chunk, ascending, and the places of each token's in them."""
+
+    def __init__(self, n: int, lengths: bytes, target: bytes, words: bytes, ids: bytes):
+        self.lengths = np.frombuffer(lengths, "<i8")
+        planes = np.frombuffer(pa.decompress(ids, 4 * n, "zstd", asbytes=True), np.uint8)
+        w = np.frombuffer(words, np.uint64)[planes.reshape(4, n).T.copy().view("<u4").ravel()]
+        u, v = text_ngrams(w, np.r_[0, np.cumsum(self.lengths)])
+        uv, vw = pair_key(u, v), pair_key(v, w)
+        self.keys, at = {}, {}
+        for kind, k in (("tri", pair_key(uv, w)), ("pair", np.concatenate([vw, uv])), ("word", np.concatenate([w, v]))):
+            self.keys[kind], at[kind] = np.unique(k, return_inverse=True)
+        self.at = {"tri": at["tri"], "bi": at["pair"][:n], "bi_back": at["pair"][n:], "uni": at["word"][:n], "uni_back": at["word"][n:]}
+
+    def cuts(self, shards: int) -> dict[str, np.ndarray]:
+        """Where the keys of each shard begin, and the end."""
+        return {kind: np.searchsorted(shard_of(k, shards), np.arange(shards + 1)) for kind, k in self.keys.items()}
+
+    def losses(self, values: dict[str, np.ndarray], unknown: float) -> np.ndarray:
+        """-log p of every token; NaN among the values is what the model does not have."""
+        def of(name: str, where: np.ndarray, missing: float) -> np.ndarray:
+            x = values[name][self.at[name][where]].astype(np.float64)
+            return np.where(np.isnan(x), missing, x)
+
+        p = of("tri", slice(None), -1.0)
+        i = np.flatnonzero(p < 0)
+        low = of("bi", i, -1.0)
+        j = np.flatnonzero(low < 0)
+        low[j] = of("uni_back", i[j], 1.0) * of("uni", i[j], unknown)
+        p[i] = of("bi_back", i, 1.0) * low
+        return -np.log(p)
+
+
+def answers(chunks: DataFrame, model: DataFrame, shards: int) -> DataFrame:
+    """(chunk, shard, the values of the keys that the chunk sent to the shard, one column per table)."""
+    def send(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(*(row[c] for c in PARTS))
+                cuts = chunk.cuts(shards)
+                for s in range(shards):
+                    sent = [k[cuts[kind][s]:cuts[kind][s + 1]].tobytes() for kind, k in chunk.keys.items()]
+                    if any(sent):
+                        yield pa.record_batch([pa.array([s], pa.int32()), pa.array([row["chunk"]], pa.int64()), *(pa.array([x], pa.binary()) for x in sent)], ["shard", "chunk", *KINDS])
+
+    def answer(key, held, asked):
+        name, k, value = (held[c].to_numpy() for c in ("name", "key", "value"))
+        known = {}
+        for i, t in enumerate(TABLES):
+            mine = np.flatnonzero(name == i)
+            mine = mine[np.argsort(k[mine].view(np.uint64))]
+            known[t] = k[mine].view(np.uint64), value[mine]
+        out = {t: [] for t in TABLES}
+        for kind, names in KINDS.items():
+            for sent in asked[kind].to_pylist() if asked.num_rows else []:
+                keys = np.frombuffer(sent, np.uint64)
+                for t in names:
+                    out[t].append(pa.compress(look(known[t], keys, np.nan).astype("<f4").tobytes(), "zstd", asbytes=True))
+        chunk = asked["chunk"].to_pylist() if asked.num_rows else []
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "shard": pa.array([key[0].as_py()] * len(chunk), pa.int32()), **{t: pa.array(x, pa.binary()) for t, x in out.items()}})
+
+    asked = chunks.select("chunk", *PARTS).mapInArrow(send, "shard int, chunk long, " + ", ".join(f"{k} binary" for k in KINDS))
+    return model.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "chunk long, shard int, " + ", ".join(f"{t} binary" for t in TABLES))
+
+
+def perplexities(chunks: DataFrame, model: dict[str, DataFrame], unknown: float, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(key, n_tokens, log_perplexity) of the stored chunks of `lm_score.tokens`."""
+    shards = max(1, -(-int(chunks.agg(F.sum("n")).first()[0] or 0) // shard_tokens))
+    got = stored(answers(chunks, sharded(model, shards), shards), "kn-answers")
+
+    def score(_, mine, parts):
+        row = mine.to_pylist()[0]
+        chunk = Chunk(*(row[c] for c in PARTS))
+        cuts = chunk.cuts(shards)
+        values = {t: np.full(len(chunk.keys[kind]), np.nan, np.float32) for kind, names in KINDS.items() for t in names}
+        for r in parts.to_pylist():
+            for kind, names in KINDS.items():
+                a, b = (int(x) for x in cuts[kind][r["shard"]:r["shard"] + 2])
+                for t in names:
+                    values[t][a:b] = np.frombuffer(pa.decompress(r[t], 4 * (b - a), "zstd", asbytes=True), "<f4")
+        n = chunk.lengths
+        full = n > 0
+        mean = np.full(len(n), np.nan)
+        if full.any():
+            mean[full] = np.add.reduceat(chunk.losses(values, unknown), (np.cumsum(n) - n)[full]) / n[full]
+        return pa.table({"key": mine["keys"].combine_chunks().flatten(), "n_tokens": pa.array(n, pa.int64()), "log_perplexity": pa.array(mean, pa.float64(), mask=~full)})
+
+    kind = chunks.schema["keys"].dataType.elementType.simpleString()
+    both = chunks.select("chunk", "keys", *PARTS).groupBy("chunk").cogroup(got.groupBy("chunk"))
+    return both.applyInArrow(score, f"key {kind}, n_tokens long, log_perplexity double")
 
 
 def thresholds(rows: DataFrame, quantile: float) -> DataFrame:
@@ -177,12 +283,20 @@ def thresholds(rows: DataFrame, quantile: float) -> DataFrame:
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             train_docs: int = TRAIN_DOCS, train_tokens: int = TRAIN_TOKENS, quantile: float = QUANTILE) -> DataFrame:
-    """(key, lang, n_tokens, perplexity, threshold, kept) of every document."""
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+             train_docs: int | None = None, train_tokens: int | None = None, quantile: float = QUANTILE,
+             chunk_tokens: int = CHUNK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(key, lang, n_tokens, perplexity, threshold, kept) of every document. With `train_docs` and `train_tokens` the model is fitted on
+    a `training_set` of that size, else on all trusted documents that are not held out."""
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     good = trusted.select(F.col(id_col).alias("key"))
-    model = fit(training_set(rows, good, train_docs, train_tokens))
-    scored = stored(perplexities(rows, model), "kn-scored")
+    if train_docs is not None and train_tokens is not None:
+        training = training_set(rows, good, train_docs, train_tokens)
+    else:
+        training = tagged(rows, good.filter(f"not {HELD_OUT}"), "key", "text").filter("target")
+    model, unknown = tables(training)
+    named = rows.select(F.struct("key", "lang").alias("key"), "text", F.lit(False).alias("target"))
+    scored = stored(perplexities(stored(tokens(named, chunk_tokens), "kn-tokens"), model, unknown, shard_tokens).select(
+        "key.key", "key.lang", "n_tokens", "log_perplexity"), "kn-scored")
     marked = scored.join(good.filter(HELD_OUT).distinct().withColumn("t", F.lit(True)), "key", "left").withColumn("trusted", F.coalesce("t", F.lit(False)))
     limits = stored(thresholds(marked, quantile), "kn-limits")
     largest = limits.agg(F.max("threshold")).first()[0]
