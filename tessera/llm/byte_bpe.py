@@ -1,13 +1,10 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
 Texts are cut into pieces by the tokenizer's pattern (`regexp_extract_all`; code points on whose class the JVM and the tokenizer's tables
-disagree are written into the pattern). A piece that is a vocabulary entry has its id at once. Every other distinct piece starts as the ids
-of its bytes, and a fold (`aggregate`) merges, step by step, the leftmost adjacent pair of lowest rank until no pair has one; it keeps the
-pairs' ranks and looks up only the two that a merge makes. Ranks of pairs are a literal map from (left id, right id) to the merged id,
-stored as one array with two possible places for each key, so a lookup costs two reads whatever the vocabulary size.
-
-Folding is dear, so it is done per distinct piece: the most frequent pieces of the whole corpus, at most `hot`, are folded once and shared
-as a dictionary of bounded size; the rest is folded once per block of documents. Nothing but these counts is shuffled.
+disagree are written into the pattern). A piece that is a vocabulary entry has its id at once. Every other distinct piece of a block of
+documents starts as the ids of its bytes and merges, step by step, the leftmost adjacent pair of lowest rank until no pair has one; the
+pairs wait in a heap, so a piece of n bytes takes n log n steps. A task keeps the ids of short pieces, at most `hot` of them.
+Nothing is shuffled or stored between the texts and their ids.
 
 Defined results: null and empty texts have no ids and decode to nothing; repeated rows give one row each; an empty table gives no rows; a
 text of any length is one row of one block. Only the named columns are read."""
@@ -16,22 +13,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.folders import stored
-from tessera.llm.known import Known, counted, gather
-from tessera.llm.lm_score import frequent
+from tessera.llm.known import gather
 
-HOT = 400_000
+HOT = 100_000
+SHORT = 64  # bytes of a piece whose ids a task keeps
 BLOCK = 2 << 20  # bytes of text in a block
-_A, _B = 999983, 800011  # primes: the two places of a key
 _SHIFT = 16
 
 
@@ -40,56 +37,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def pair_table(ranks: dict[bytes, int]) -> list[int]:
-    """Slots of key * 2^16 + merged id, -1 if free; the key is left id * 2^16 + right id and lives at key % _A or key % _B."""
-    slots = [-1] * _A
-    for token, merged in ranks.items():
-        for i in range(1, len(token)):
-            left, right = ranks.get(token[:i]), ranks.get(token[i:])
-            if left is None or right is None:
-                continue
-            key = left << _SHIFT | right
-            entry, place = key << _SHIFT | merged, key % _A
-            for _ in range(500):
-                entry, slots[place] = slots[place], entry
-                if entry < 0:
-                    break
-                k = entry >> _SHIFT
-                place = k % _B if place == k % _A else k % _A
-            else:
-                raise ValueError("the pair table is too full")
-    return slots
-
-
-def table_column(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """The pair table as a scalar subquery: its result reaches the tasks as a literal."""
-    slots = pa.table({"t": pa.array([pair_table(ranks)], pa.list_(pa.int64()))})
-    return spark.createDataFrame(slots).scalar()
-
-
-def fold(word: str, table: str) -> str:
-    """SQL of the ids of one word: merges the leftmost pair of lowest rank while there is one."""
-    def key(a: str, b: str) -> str:
-        return f"shiftleft(bigint({a}), {_SHIFT}) + {b}"
-
-    def ranks_of(keys: str) -> str:
-        at = lambda prime: f"{table}[int(k % {prime})]"
-        return (f"transform({keys}, k -> case when shiftright({at(_A)}, {_SHIFT}) = k then int({at(_A)} & 65535) "
-                f"when shiftright({at(_B)}, {_SHIFT}) = k then int({at(_B)} & 65535) end)")
-
-    ids = "concat(slice(acc.i, 1, p - 1), array(m), slice(acc.i, p + 2, size(acc.i)))"
-    new = ranks_of(f"array(if(p > 1, {key('get(acc.i, p - 2)', 'm')}, null), {key('m', 'get(acc.i, p + 1)')})")
-    ranks = f"concat(slice(acc.r, 1, greatest(p - 2, 0)), slice({new}, if(p > 1, 1, 2), 2), slice(acc.r, p + 2, size(acc.r)))"
-    merged = f"if(m is null, acc, transform(array(int(array_position(acc.r, m))), p -> named_struct('i', {ids}, 'r', {ranks}))[0])"
-    step = f"transform(array(array_min(acc.r)), m -> {merged})[0]"
-    pairs = ranks_of(f"zip_with({word}, slice({word}, 2, size({word})), (a, b) -> {key('a', 'b')})")
-    start = f"named_struct('i', {word}, 'r', {pairs})"
-    return f"if(size({word}) < 2, {word}, aggregate(sequence(2, size({word})), {start}, (acc, step) -> {step}, acc -> acc.i))"
-
-
-def folded(rows: DataFrame, column: str, table: Column) -> DataFrame:
-    """Replaces the array of words (each an array of byte ids) in `column` by the array of their token ids."""
-    return rows.withColumn("_pairs", table).withColumn(column, F.expr(f"transform({column}, w -> {fold('w', '_pairs')})")).drop("_pairs")
+def fold(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a piece: merges the leftmost pair of lowest rank while there is one."""
+    n, rank = len(piece), ranks.get
+    # the part at i ends where after[i] begins; a part that was merged into the one before it points to the end
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    pairs = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i:i + 2])) is not None]
+    heapq.heapify(pairs)
+    while pairs:
+        _, i, end = heapq.heappop(pairs)
+        j = after[i]
+        if j == n or after[j] != end:
+            continue  # one of its parts has been merged since
+        after[i], after[j] = end, n
+        if end < n:
+            before[end] = i
+            if (r := rank(piece[i:after[end]])) is not None:
+                heapq.heappush(pairs, (r, i, after[end]))
+        if i and (r := rank(piece[before[i]:end])) is not None:
+            heapq.heappush(pairs, (r, before[i], end))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[piece[i:after[i]]])
+        i = after[i]
+    return ids
 
 
 def jvm_pattern(spark: SparkSession, pattern: str) -> str:
@@ -136,105 +107,41 @@ def _parts(batch: pa.RecordBatch):
         i = j
 
 
-def vocabulary_entries(ranks: dict[bytes, int]) -> Known:
-    return Known.of(pa.array(list(ranks), pa.binary()), np.ones(len(ranks), np.int64), np.array(list(ranks.values()), np.uint16))
-
-
-def _flat_pieces(batch: pa.RecordBatch):
-    for part in _parts(batch):
-        yield part.column("pieces").flatten()
-
-
-def _words(pieces: pa.Array, byte_ids: np.ndarray) -> pa.Array:
-    buf, offsets = W.buffers(pieces)
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(byte_ids[buf]))
-
-
-def _one(values: pa.Array) -> pa.Array:
-    """A list array whose only row is `values`."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-
-def hot_dictionary(pieces: DataFrame, ranks: dict[bytes, int], table: Column, hot: int, size: int = 10_000) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The frequent pieces, at most `hot`, folded in parallel: pieces, numbers of ids, all ids."""
-    byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-    spark = pieces.sparkSession
-    top = frequent(pieces, hot)
-
-    def pack(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, size):
-                part = batch.column("piece").slice(i, size)
-                yield pa.record_batch([_one(part), _one(_words(part, byte_ids))], ["pieces", "words"])
-
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = spark.createDataFrame(top.select(["piece"])).repartition(parts)
-    rows = folded(spread.mapInArrow(pack, "pieces array<binary>, words array<array<int>>"), "words", table).toArrow()
-    flat, sizes, ids = [pa.array([], pa.binary())], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
-    for batch in rows.to_batches():
-        flat.append(batch.column("pieces").flatten())
-        words = batch.column("words").flatten()
-        sizes.append(np.diff(words.offsets.to_numpy()).astype(np.int64))
-        ids.append(words.flatten().to_numpy(zero_copy_only=False).astype(np.uint16))
-    return pa.concat_arrays(flat), np.concatenate(sizes), np.concatenate(ids)
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, then=None,
            then_schema: str = "ids binary") -> DataFrame:
     """(key, ids): the ids of each text as little-endian unsigned 16-bit integers. `then` maps these batches further in the same worker."""
-    spark = docs.sparkSession
     if max(ranks.values()) >= 1 << _SHIFT:
         raise ValueError("ids must fit 16 bits")
     keyed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = keyed.schema["key"].dataType.simpleString()
-    pieces, table = cut(keyed, pattern), table_column(spark, ranks)
-    entries = vocabulary_entries(ranks)
-    lists = pieces.select("pieces")
-    counts = stored(counted(lists, _flat_pieces, spark.sparkContext.broadcast(entries)), "bpe-pieces")
-    flat, sizes, ids = hot_dictionary(counts, ranks, table, hot)
-    shared = spark.sparkContext.broadcast(Known.of(
-        pa.concat_arrays([pa.array(list(ranks), pa.binary()), flat]), np.concatenate([np.ones(len(ranks), np.int64), sizes]),
-        np.concatenate([np.array(list(ranks.values()), np.uint16), ids])))
-    byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def number(batches):
-        """One row per block: the keys, pieces per text, the number of each piece, the ids of known pieces, and the other pieces' bytes."""
-        known = shared.value
+        ranks, held = shared.value, {}
+
+        def ids_of(piece: bytes) -> bytes:
+            ids = held.get(piece)
+            if ids is None:
+                own = ranks.get(piece)
+                ids = array("H", fold(piece, ranks) if own is None else [own]).tobytes()
+                if len(piece) <= SHORT:
+                    if len(held) >= hot:
+                        held.clear()
+                    held[piece] = ids
+            return ids
+
         for whole in batches:
             for batch in _parts(whole):
                 lists = batch.column("pieces")
                 coded = pc.dictionary_encode(lists.flatten())
-                at = known.find(coded.dictionary)
-                order = np.argsort(at < 0, kind="stable")  # known pieces first
-                place = np.empty(len(order), np.int32)
-                place[order] = np.arange(len(order), dtype=np.int32)
-                sure = at[order[:int((at >= 0).sum())]]
-                sizes = known.sizes[sure].astype(np.int32)
-                pool, _ = gather(known.ids, known.begin, known.sizes, sure)
-                rest = coded.dictionary.take(pa.array(order[len(sure):]))
-                yield pa.record_batch(
-                    [_one(batch.column("key")), _one(pc.list_value_length(lists).cast(pa.int32())), pa.array([place[coded.indices.to_numpy()].tobytes()], pa.binary()),
-                     pa.array([pool.tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), _one(_words(rest, byte_ids))],
-                    ["keys", "sizes", "codes", "sure", "sure_sizes", "words"])
-
-    blocks = folded(pieces.mapInArrow(number, f"keys array<{kind}>, sizes array<int>, codes binary, sure binary, sure_sizes binary, words array<array<int>>"),
-                    "words", table)
-
-    def assemble(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                words = row.column("words").flatten()
-                tail = words.flatten().to_numpy(zero_copy_only=False).astype("<u2")
-                pool = np.r_[np.frombuffer(row.column("sure")[0].as_py(), "<u2"), tail]
-                each = np.r_[np.frombuffer(row.column("sure_sizes")[0].as_py(), "<i4"), np.diff(words.offsets.to_numpy())].astype(np.int64)
-                codes = np.frombuffer(row.column("codes")[0].as_py(), "<i4")
-                ids, ends = gather(pool.astype("<u2"), np.cumsum(each) - each, each, codes)
-                texts = ends[np.r_[0, np.cumsum(row.column("sizes").flatten().to_numpy())]]
-                yield pa.record_batch([row.column("keys").flatten(), pa.array([ids[a:b].tobytes() for a, b in zip(texts, texts[1:])], pa.binary())],
+                runs = [ids_of(piece) for piece in coded.dictionary.cast(pa.binary()).to_pylist()]
+                sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // 2
+                ids, ends = gather(np.frombuffer(b"".join(runs), "<u2"), np.cumsum(sizes) - sizes, sizes, coded.indices.to_numpy())
+                texts = ends[np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]]
+                yield pa.record_batch([batch.column("key"), pa.array([ids[a:b].tobytes() for a, b in zip(texts, texts[1:])], pa.binary())],
                                       ["key", "ids"])
 
-    return blocks.mapInArrow(lambda batches: then(assemble(batches)) if then else assemble(batches), f"key {kind}, {then_schema}")
+    return cut(keyed, pattern).mapInArrow(lambda batches: then(number(batches)) if then else number(batches), f"key {kind}, {then_schema}")
 
 
 def decoder(shared):
