@@ -218,4 +218,4 @@ def align_embedding(emb: DataFrame, spots: DataFrame, check: bool = True) -> Dat
 
 
 def normalized(ds: SpatialData) -> SpatialData:
-    return ds.with_expr(log1p(normalize_total(ds.expr)))
+    return ds.with_expr(log1p(normalize_total(ds.expr, entries=ds.entries)))

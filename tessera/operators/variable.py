@@ -22,6 +22,15 @@ MAD_SCALE = 0.6744897501960817
 SPANS = [0.3, 0.5, 0.75, 1.0]
 
 
+SHARED_GENES = 100_000
+
+
+def _of_genes(expr: DataFrame, keep: DataFrame) -> DataFrame:
+    """Entries of the genes in a table whose lineage is cut. A list that was counted and is short goes to the entries, which then stay in place."""
+    short = keep.count() <= SHARED_GENES
+    return expr.join(F.broadcast(keep) if short else keep, "gene", "left_semi")
+
+
 def _moments(ds: SpatialData, column: str, batch: bool) -> DataFrame:
     return slice_moments(ds, column) if batch else global_moments(ds, column)
 
@@ -38,7 +47,7 @@ def _combine(z: DataFrame, ds: SpatialData, batch: bool) -> DataFrame:
 
 def hvg_seurat(ds: SpatialData, batch: bool = False, bins: int = 20) -> DataFrame:
     """Log dispersion of normalized counts, standardized in equal-width bins of log1p mean."""
-    norm = ds.with_expr(normalize_total(ds.expr))
+    norm = ds.with_expr(normalize_total(ds.expr, entries=ds.entries))
     m = _moments(norm, "value", batch).withColumns({
         "lm": F.round(F.log1p("mean"), 12), "disp": F.when(F.col("var") > 0, F.log(F.col("var") / F.col("mean")))})
     s = Window.partitionBy("slice")
@@ -55,14 +64,14 @@ def hvg_seurat(ds: SpatialData, batch: bool = False, bins: int = 20) -> DataFram
 def hvg_cell_ranger(ds: SpatialData, batch: bool = False, n: int = 2000, min_detected: int = 10, filter_needs: int = 1000) -> DataFrame:
     """Dispersion against the median and deviation of its percentile bin of the mean, after a
     low-count filter that applies only when `filter_needs` genes pass it, or all of a smaller table."""
-    seen = ds.expr.groupBy("gene").agg(F.sum("count").alias("t"), F.count_if(F.col("count") > 0).alias("d"))
+    seen = cut_lineage(ds.expr.groupBy("gene").agg(F.sum("count").alias("t"), F.count_if(F.col("count") > 0).alias("d")))
     enough = seen.agg(F.count_if((F.col("t") > 0) & (F.col("d") > min_detected)).alias("k")).withColumn(
         "ok", F.col("k") >= F.least(F.lit(filter_needs), ds.genes.select(F.count("*")).scalar())).select("ok").scalar()
     keep = seen.filter(((F.col("t") > 0) & (F.col("d") > min_detected)) | ~enough).select("gene")
     # library sizes are those of the kept genes
     from tessera.operators.prepare import log1p
 
-    kept = ds.with_expr(log1p(normalize_total(ds.expr.join(keep, "gene", "left_semi"))))
+    kept = ds.with_expr(log1p(normalize_total(_of_genes(ds.expr, keep), entries=ds.entries)))
     m = _moments(kept, "value", batch).withColumns({
         "mean": F.round("mean", 12), "disp": F.when(F.col("var") > 0, F.col("var") / F.col("mean"))})
     # gene-level table: percentile buffers are bounded by the gene dictionary
@@ -272,7 +281,7 @@ def hvg_seurat_disp(ds: SpatialData) -> DataFrame:
 def hvg_seurat_mvp(ds: SpatialData, mean_range: tuple[float, float] = (0.1, 8.0), min_z: float = 1.0) -> DataFrame:
     """Mean-variance plot: only genes inside the mean range with a scaled dispersion above the cut-off,
     so fewer genes than requested may come back."""
-    norm = ds.with_expr(normalize_total(ds.expr))
+    norm = ds.with_expr(normalize_total(ds.expr, entries=ds.entries))
     mean = global_moments(norm).select("gene", F.log1p("mean").alias("lm"))
     return hvg_seurat(ds, False, 20).join(mean, "gene").filter(
         F.col("lm").between(*mean_range) & (F.col("score") > min_z)).drop("lm")
@@ -281,12 +290,12 @@ def hvg_seurat_mvp(ds: SpatialData, mean_range: tuple[float, float] = (0.1, 8.0)
 def brennecke(ds: SpatialData, n: int = 2000, filter_needs: int = 100) -> DataFrame:
     """Ratio of squared CV to a trend a0 + a1/mean, fitted with weights mean^2 so that both
     coefficients come from five sums. Genes in one spot only are left out if `filter_needs` others remain, or n if that is less."""
-    seen = ds.expr.groupBy("gene").agg(F.count_if(F.col("count") > 0).alias("d"))
+    seen = cut_lineage(ds.expr.groupBy("gene").agg(F.count_if(F.col("count") > 0).alias("d")))
     enough = seen.agg((F.count_if(F.col("d") > 1) >= min(filter_needs, n)).alias("ok")).scalar()
     keep = seen.filter((F.col("d") > 1) | ~enough).select("gene")
-    kept = ds.with_expr(ds.expr.join(keep, "gene", "left_semi"))
+    kept = ds.with_expr(_of_genes(ds.expr, keep))
     mean_lib = kept.expr.agg(F.sum("count")).scalar() / ds.spots.select(F.count("*")).scalar()
-    norm = kept.with_expr(normalize_total(kept.expr, 1.0).withColumn("value", F.col("value") * mean_lib))
+    norm = kept.with_expr(normalize_total(kept.expr, 1.0, entries=ds.entries).withColumn("value", F.col("value") * mean_lib))
     m = global_moments(norm).filter("mean > 0 AND var > 0").withColumn("cv2", F.col("var") / (F.col("mean") * F.col("mean")))
     y = F.col("cv2") * F.col("mean")
     fit = m.agg(F.count("*").alias("k"), F.sum("mean").alias("sx"), F.sum(F.col("mean") * F.col("mean")).alias("sxx"),
@@ -317,7 +326,7 @@ def bio_variance(ds: SpatialData, span: float = 0.3) -> DataFrame:
     lib = _libraries(ds, True)
     cover = lib.groupBy("slice").agg(F.sum("lib").alias("t")).join(ds.slice_sizes(), "slice").select(
         (F.col("t") / F.col("n_spots")).alias("c")).agg(F.min("c")).scalar()
-    norm = normalize_total(ds.expr, 1.0).withColumn("value", F.log2(F.col("value") * cover + 1.0))
+    norm = normalize_total(ds.expr, 1.0, entries=ds.entries).withColumn("value", F.log2(F.col("value") * cover + 1.0))
     m = slice_moments(ds.with_expr(norm)).filter("var > 0").select("slice", "gene", F.round("mean", 12).alias("mean"), "var")
     bio = local_fit(m, "mean", "var", span).withColumn("bio", F.nanvl(F.col("var") - F.col("fitted"), F.lit(0.0)))
     k = ds.spots.agg(F.count_distinct("slice")).scalar()
