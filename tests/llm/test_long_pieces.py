@@ -25,3 +25,21 @@ def test_long_pieces_in_one_pass(spark):
     got = {r.key: np.frombuffer(r.ids, "<u2").tolist() for r in rows.collect()}
     assert time.monotonic() - start < 60
     assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rows_of_short_pieces_take_the_steps_of_a_fold(seed):
+    """Short pieces are merged together; entries need not come from training, so any pair can have any rank."""
+    r = random.Random(seed)
+    ranks = {bytes([b]): b for b in range(256)}
+    while len(ranks) < 256 + 400 * (seed > 0):
+        a, b = r.choice(list(ranks)), r.choice(b"abc")
+        ranks.setdefault(r.choice([a + bytes([b]), bytes([b]) + a, a[-1:] + bytes([b])]), 256 + len(ranks))
+    pieces = [bytes(r.choices(b"abcd", k=r.randrange(1, byte_bpe.ROWS + 1))) for _ in range(2_000)] + [b"a" * k for k in range(1, 33)]
+    size = np.array([len(p) for p in pieces])
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    got = {}
+    for places, ids in byte_bpe.fold_rows(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size, single, byte_bpe.pair_ranks(ranks)):
+        got |= zip(places.tolist(), ids.tolist())
+    assert got == {i: byte_bpe.fold(p, ranks) for i, p in enumerate(pieces)}
+    assert not list(byte_bpe.fold_rows(np.zeros(0, np.uint8), *(np.zeros(0, np.int64),) * 2, single, byte_bpe.pair_ranks(ranks)))
