@@ -194,7 +194,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
         def runs(pieces: pa.Array):
             """Ids, one run after the other, and the begin and size of the run of each piece."""
-            strings = pieces.to_pylist()
+            strings = pieces.to_numpy(zero_copy_only=False).tolist()
             own = np.fromiter((ranks.get(p, -1) for p in strings), np.int64, len(strings))
             data, ends = W.buffers(pieces)
             long, size = np.diff(ends), np.ones(len(strings), np.int64)

@@ -38,13 +38,15 @@ END = 1
 LOT = 8_192  # pieces that one group packs, on average
 ROUNDS = 4
 CACHED_WORDS = 400_000  # words whose ids a worker keeps
+JOINED = 64  # words that are encoded as one string
+MARK = "\0"
 SLICE_BYTES = 8 << 20
 STEPS = 32  # step functions of 1 / k up to this k
 
 
 class Encoder:
     """Token ids of whole texts, word by word: the tokenizer drops white space and never looks across it. A worker keeps the ids of the
-    words it met first, up to a fixed number; the others are encoded once per array of texts."""
+    words it met first, up to a fixed number; the others are encoded once per array of texts, JOINED words in one string with a mark after each."""
 
     def __init__(self, file: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,19 +54,36 @@ class Encoder:
 
         tok = Tokenizer.from_file(file)
         self.encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+        # the mark is a word of one id, which words without its character cannot have
+        mark = tok.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 and tok.encode(f"a {MARK} {MARK}", add_special_tokens=False).ids[-2:] == 2 * mark else None
         self.known: dict[str, int] = {}
         self.pool, self.begin, self.size = np.array([end], "<u4"), np.zeros(1, np.int64), np.ones(1, np.int64)  # code 0 is the end
 
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after the other, and the number of ids of each."""
+        def ids_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            got = [e.ids for e in self.encode(texts, add_special_tokens=False)]
+            size = np.array([len(x) for x in got], np.int64)
+            return np.fromiter(itertools.chain.from_iterable(got), "<u4", int(size.sum())), size
+
+        if self.mark is not None and not any(MARK in w for w in words):
+            ids, _ = ids_of([f" {MARK} ".join(words[i:i + JOINED]) + f" {MARK}" for i in range(0, len(words), JOINED)])
+            mark = ids == self.mark
+            size = np.diff(np.flatnonzero(mark), prepend=-1) - 1
+            if len(size) == len(words):
+                return ids[~mark], size
+        return ids_of(words)
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with its end, and where each text's ids begin, with the total)."""
         parts = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
         coded = pc.dictionary_encode(parts.values)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         code = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(code < 0)
-        got = [e.ids for e in self.encode([words[i] for i in new], add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
-        pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(got), "<u4", int(size.sum()))])
+        ids, size = self.encoded([words[i] for i in new.tolist()])
+        pool = np.concatenate([self.pool, ids])
         begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
         size = np.concatenate([self.size, size])
         code[new] = len(self.begin) + np.arange(len(new))

@@ -241,3 +241,20 @@ def test_words_are_encoded_apart_as_in_the_whole():
 def test_new_queries_match_sql(spark, name):
     status, rows = llm_oracle.check(spark, SF, name)
     assert status == "ok" and rows > 0 and name in catalog.oracle_sql()
+
+
+@pytest.mark.parametrize("odd", [[], ["nul\0word", "\0"]])
+def test_words_encoded_in_joined_strings(odd):
+    """New words are encoded many to a string; words that have the mark in them are encoded one by one."""
+    from tokenizers import Tokenizer
+
+    file, r = P.path("word_bpe_49k.json"), random.Random(4)
+    tok = Tokenizer.from_file(file)
+    words = [*odd, "\u0301x", "e\u0301", "don't", "'s", "a\u00a0b", "<|endoftext|>", "x<|startoftext|>y", "\u4e2d\u6587", "\U0001f600", "\x01", "\u0100", "\u2028"]
+    words += ["".join(r.choices("abcXYZ'.\u00e9\u00df\u0130\u0301#01\u0100\x7f", k=r.randrange(1, 12))) for _ in range(1_000)]
+    encode = packing.Encoder(file, 1)
+    strings, inner = [], encode.encode
+    encode.encode = lambda texts, **k: strings.extend(texts) or inner(texts, **k)
+    ids, size = encode.encoded(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [tok.encode(w, add_special_tokens=False).ids for w in words]
+    assert bool(odd) or len(strings) == -(-len(words) // packing.JOINED)
