@@ -222,7 +222,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 yield pa.record_batch([batch.column("key"), pa.array([ids[a:b].tobytes() for a, b in zip(texts, texts[1:])], pa.binary())],
                                       ["key", "ids"])
 
-    return cut(keyed, pattern).mapInArrow(lambda batches: then(number(batches)) if then else number(batches), f"key {kind}, {then_schema}")
+    return cut(keyed, pattern).mapInArrow(W.tidy(lambda batches: then(number(batches)) if then else number(batches)), f"key {kind}, {then_schema}")
 
 
 def vocabulary(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -51,7 +51,7 @@ def windows(items: DataFrame, n: int = WORDS) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.string()))],
                                   ["length", "hash", "window", "item"])
 
-    return items.mapInArrow(cut, "length long, hash long, window binary, item string").distinct()
+    return items.mapInArrow(W.tidy(cut), "length long, hash long, window binary, item string").distinct()
 
 
 def _scan(block) -> "callable":
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     grouped = functools.reduce(DataFrame.unionByName, parts).groupBy("row").agg(
         F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"),
         F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans")).drop("row")
-    return grouped.mapInArrow(unite, out)
+    return grouped.mapInArrow(W.tidy(unite), out)
 
 
 def _runs(spans: list[tuple[int, int]]) -> list[dict]:
@@ -206,7 +206,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", batch.schema.field("key").type.field("doc_id").type), ("text", pa.string())]))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.select("key", "spans").mapInArrow(cut, f"doc_id {kind}, text string")
+    return found.select("key", "spans").mapInArrow(W.tidy(cut), f"doc_id {kind}, text string")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

@@ -114,7 +114,7 @@ def _sizes(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)),
                                        pa.array([x[:FIRST].view(np.int64) for x in sets], pa.list_(pa.int64()))], ["doc", "n_shingles", "d1", "d2", "low"])
 
-    return docs.mapInArrow(scan, "doc long, n_shingles long, d1 long, d2 long, low array<long>")
+    return docs.mapInArrow(W.tidy(scan), "doc long, n_shingles long, d1 long, d2 long, low array<long>")
 
 
 def _first_pairs(sizes: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def _packed(docs: DataFrame, bands: Bands, shards: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc", "comp", "text").mapInArrow(scan, "shard int, " + ", ".join(f"{c} binary" for c in SENT))
+    return docs.select("doc", "comp", "text").mapInArrow(W.tidy(scan), "shard int, " + ", ".join(f"{c} binary" for c in SENT))
 
 
 SENT = ("sigs", "comps", "docs", "marks")
@@ -231,7 +231,7 @@ def _rare_pairs(members: DataFrame, percent: int) -> DataFrame:
                 yield pa.record_batch([batch.column("doc"), batch.column("comp"), pa.array([len(x) for x in sets], pa.int64()),
                                        pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["doc", "comp", "n", "grams"])
 
-    rows = stored(members.select("doc", "comp", "text").mapInArrow(scan, "doc long, comp long, n long, grams array<long>")
+    rows = stored(members.select("doc", "comp", "text").mapInArrow(W.tidy(scan), "doc long, comp long, n long, grams array<long>")
                   .select("doc", "comp", "n", F.explode("grams").alias("gram")).distinct(), "jaccard-rare")
     ranked = rows.join(rows.groupBy("gram").agg(F.count("*").alias("f")).filter("f > 1"), "gram", "left").withColumn("f", F.coalesce("f", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("doc").orderBy("f", "gram"))
@@ -258,7 +258,7 @@ def _compared(docs: DataFrame, pairs: DataFrame, pack, test) -> DataFrame:
             for batch in W.slices(whole, "text"):
                 yield pa.record_batch([batch.column("doc"), pa.array([pack(s).tobytes() for s in shingles(batch.column("text"))], pa.binary())], ["doc", "grams"])
 
-    held = _among(docs, ids).mapInArrow(sets, "doc long, grams binary")
+    held = _among(docs, ids).mapInArrow(W.tidy(sets), "doc long, grams binary")
 
     def check(batches):
         for batch in batches:
@@ -267,7 +267,7 @@ def _compared(docs: DataFrame, pairs: DataFrame, pack, test) -> DataFrame:
 
     both = (pairs.select("a", "b").join(held.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b")
             .join(held.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a"))
-    return stored(both.select("a", "b", "ga", "gb").mapInArrow(check, "a long, b long").distinct(), "jaccard-links")
+    return stored(both.select("a", "b", "ga", "gb").mapInArrow(W.tidy(check), "a long, b long").distinct(), "jaccard-links")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:

@@ -177,7 +177,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                                   ["key", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     keyed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    return keyed.mapInArrow(scan, f"key {keyed.schema['key'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, "
+    return keyed.mapInArrow(W.tidy(scan), f"key {keyed.schema['key'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, "
                                   "base_sha256 string, spans string")
 
 
@@ -204,4 +204,4 @@ def masked_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 k = batch.schema.get_field_index(text_col)
                 yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(W.tidy(scan), docs.schema)

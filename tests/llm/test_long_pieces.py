@@ -43,3 +43,25 @@ def test_rows_of_short_pieces_take_the_steps_of_a_fold(seed):
         got |= zip(places.tolist(), ids.tolist())
     assert got == {i: byte_bpe.fold(p, ranks) for i, p in enumerate(pieces)}
     assert not list(byte_bpe.fold_rows(np.zeros(0, np.uint8), *(np.zeros(0, np.int64),) * 2, single, byte_bpe.pair_ranks(ranks)))
+
+
+def test_workers_hand_memory_back():
+    """What a finished scan has freed does not stay with the worker."""
+    import pyarrow as pa
+    import resource
+
+    from tessera.llm import words
+
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+
+    def scan(batches):
+        held = [bytes(50_000) for _ in range(4_000)]  # below the size that is mapped on its own
+        pin = held[-1][:-1]
+        del held
+        yield pa.record_batch([pa.array([pin])], ["x"])
+
+    before = resident()
+    rows = list(words.tidy(scan)(iter(())))
+    assert len(rows) == 1 and resident() - before < 50_000_000
