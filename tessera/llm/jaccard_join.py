@@ -223,7 +223,12 @@ def _candidates(packed: DataFrame) -> DataFrame:
 
 
 def _rare_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): documents of different components, of fitting sizes, that share one of their rarest shingles; members: (doc, comp, text)."""
+    """(a, b): documents of different components that share one of their rarest shingles, where what is left from there on can still be
+    enough for a link; members: (doc, comp, text).
+
+    Links have |x & y| (100 + percent) >= percent (|x| + |y|). In the order of (frequency, shingle) all that two sets share lies at or after
+    the first common place of either, so the rest of both sets must be that large. The smaller set of a link misses at most
+    n - ceil(2 percent n / (100 + percent)) elements of the larger one, the larger set n - ceil(percent n / 100) of the smaller one."""
     def scan(batches):
         for whole in batches:
             for batch in W.slices(whole, "text"):
@@ -235,10 +240,12 @@ def _rare_pairs(members: DataFrame, percent: int) -> DataFrame:
                   .select("doc", "comp", "n", F.explode("grams").alias("gram")).distinct(), "jaccard-rare")
     ranked = rows.join(rows.groupBy("gram").agg(F.count("*").alias("f")).filter("f > 1"), "gram", "left").withColumn("f", F.coalesce("f", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("doc").orderBy("f", "gram"))
-    prefix = ranked.withColumn("place", place).filter(f"place <= n - ({percent} * n + 99) div 100 + 1 and f > 1").select("gram", "doc", "comp", "n")
-    x, y = (prefix.select("gram", *[F.col(c).alias(f"{c}{side}") for c in ("doc", "comp", "n")]) for side in "ab")
-    both = x.join(y, "gram").filter(f"compa != compb and doca < docb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return both.select(F.col("doca").alias("a"), F.col("docb").alias("b")).distinct()
+    prefix = (ranked.withColumn("place", place).withColumn("rest", F.expr("n - place + 1")).filter(f"100 * rest >= {percent} * n and f > 1")
+              .select("gram", "doc", "comp", "n", "rest"))
+    x, y = (prefix.select("gram", *[F.col(c).alias(f"{c}{side}") for c in ("doc", "comp", "n", "rest")]) for side in "ab")
+    both = x.filter(f"{100 + percent} * resta >= {2 * percent} * na").join(y, "gram").filter(
+        f"compa != compb and (na < nb or na = nb and doca < docb) and {100 + percent} * least(resta, restb) >= {percent} * (na + nb)")
+    return both.select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b")).distinct()
 
 
 BROADCAST_ROWS = 1_000_000  # ids: at most about 30 MB
