@@ -36,7 +36,7 @@ WORDS = 5
 SMALL = 4  # components of one signature that are compared pairwise
 SUBPARTS = 4  # parts of a coarse part; a signature leaves one of them out
 FIRST = 4  # lowest shingles that near copies are met by
-FLUSH = 1_500_000  # signatures that a task holds before it merges and sends them
+FLUSH = 400_000  # signatures that a task holds before it merges and sends them: about 60 MB with its copies
 SHARD_DOCS = 2_000  # documents per shard of the signature shuffle
 
 
@@ -138,12 +138,12 @@ def _one_each(s: np.ndarray, comp: np.ndarray, doc: np.ndarray, mark: np.ndarray
 
 
 def _packed(docs: DataFrame, bands: Bands, shards: int) -> DataFrame:
-    """(shard, sigs, comps, docs, marks): packed signatures of (doc, comp, text) rows. Where more than SMALL components of a task share one,
+    """(shard, sigs, comps, docs, marks): packed signatures of (doc, comp, text) rows; comps holds comp ^ doc, mostly 0. Where more than SMALL components of a task share one,
     the first stands for them with a mark, and the others are paired with it in a row of shard -1."""
     def pack(s, *columns):
         shard = ((s >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)  # ascending, as s is
         cut = np.searchsorted(shard, np.arange(shards + 1))
-        return [(k, *(x[a:b].tobytes() for x in (s, *columns))) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        return [(k, *(W.planes(x[a:b]) for x in (s, *columns))) for k, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
 
     def scan(batches):
         sigs, owners, seen, held = [], [], {}, 0
@@ -156,7 +156,7 @@ def _packed(docs: DataFrame, bands: Bands, shards: int) -> DataFrame:
             large = (np.bincount(group) > SMALL)[group]
             lead = d[np.flatnonzero(head)[group]]
             hidden = large & ~head
-            rows = pack(s[~hidden], c[~hidden], d[~hidden], (marked[group] | large)[~hidden].astype(np.uint8))
+            rows = pack(s[~hidden], (c ^ d)[~hidden], d[~hidden], (marked[group] | large)[~hidden].astype(np.uint8))
             if hidden.any():
                 rows.append((-1, b"", d[hidden].tobytes(), lead[hidden].tobytes(), b""))  # pairs in place of components and documents
             k, *data = zip(*rows)
@@ -184,7 +184,7 @@ _KINDS = {"sigs": np.uint64, "marks": np.uint8}
 
 
 def _read(table: pa.Table, *names: str) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(table[c].to_pylist()), _KINDS.get(c, np.int64)) for c in names]
+    return [W.from_planes(table[c].to_pylist(), _KINDS.get(c, np.int64)) for c in names]
 
 
 def _pairs(both: np.ndarray, large: np.ndarray | bool) -> pa.Table:
@@ -203,7 +203,8 @@ def _candidates(packed: DataFrame) -> DataFrame:
         if key[0].as_py() < 0:
             a, b = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("comps", "docs"))
             return _pairs(np.stack([a, b], 1), True)
-        s, _, d, group, marked = _one_each(*_read(table, *SENT))
+        s, c, d, mark = _read(table, *SENT)
+        s, _, d, group, marked = _one_each(s, c ^ d, d, mark)
         head = np.r_[True, group[1:] != group[:-1]][:len(group)]
         large = (np.bincount(group) > SMALL)[group]
         out, flags = [], []
