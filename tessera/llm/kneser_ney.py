@@ -1,10 +1,12 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The model is fitted on every trusted document that is not held out (a bounded sample only on request). Its tables come from count joins:
-trigram counts, the continuation counts of lower orders, and the totals of every context are hash-partitioned and joined on their n-gram
-keys. The finished tables stay in shards of the key space. Texts are hashed once and stored in chunks of a bounded number of tokens, or one
-text (see `lm_score.tokens`); a chunk sends its distinct words, pairs and triples to the shards, a shard answers each chunk with the values
-that it holds for them, and the chunk is scored with its answers. No task and no broadcast holds a whole table.
+The model is fitted on every trusted document that is not held out (a bounded sample only on request). Texts are hashed once and stored in
+chunks of a bounded number of tokens, or one text (see `lm_score.tokens`). A token with the two words before it is sent to the shard of the
+middle word, so one shard has the counts of the triple, of its context, of the pair and of the pair's context; after a common word the shard
+is that of the pair, after a common pair that of the triple, and the sums that this splits are added up apart. A first pass over the training
+texts gives the levels of the counts and in how many pairs each word ends; a second one over all texts counts again, scores each token where
+its counts are, and sends back one sum per text. Both passes take a range of shards at a time, whose shuffles are removed before the next, so
+the disk holds the chunks and a part of the n-grams. No task and no broadcast holds a whole table.
 
 Every fifth trusted id, by hash, is held out of the fit. A document is kept when its perplexity is at most the threshold of its language: the
 stated quantile of the held-out trusted documents of that language, over all of them. The quantile is exact on perplexities' logarithms rounded to four digits. A language without trusted documents
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +26,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.folders import dropped, freed, get_bytes, new_folder, put_bytes, shuffles_freed, stored
-from tessera.llm.lm_score import CHUNK_TOKENS, PARTS, SHARD_TOKENS, tagged, text_words, tokens
+from tessera.llm.lm_score import PARTS, SHARD_TOKENS, tagged, text_words, tokens
 
 QUANTILE = 0.995
 HELD_OUT = "pmod(xxhash64(key), 5) = 0"
 START = np.uint64(0x5107A9E3C0DE11D7)  # the word before the first
-ROUNDS, TRAINING_ROUNDS = 12, 4  # ranges of shards; the n-grams of one range are on disk at a time
+CHUNK, ROUNDS, COUNT_ROUNDS = 2_000_000, 12, 4  # ranges of shards; the n-grams of one range are on disk at a time
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -214,28 +217,37 @@ def unpacked(data: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
 
 
 class Chunk:
-    """The tokens w of a chunk with the two words u, v before each and the place of their text."""
+    """The distinct words of a chunk, START last, and per token the places in them of w and of the two words u, v before it."""
 
     def __init__(self, n: int, lengths: bytes, target: bytes, words: bytes, ids: bytes):
         self.n, self.lengths = n, np.frombuffer(lengths, "<i8")
         self.target = np.repeat(np.frombuffer(target, bool), self.lengths)
         planes = np.frombuffer(pa.decompress(ids, 4 * n, "zstd", asbytes=True), np.uint8)
-        self.words, self.ids = np.frombuffer(words, np.uint64), planes.reshape(4, n).T.copy().view("<u4").ravel()
-        self.w = self.words[self.ids]
-        self.u, self.v = text_ngrams(self.w, np.r_[0, np.cumsum(self.lengths)])
-
-    def routes(self, common: Common) -> tuple[np.ndarray, np.ndarray]:
-        """(the key by which each token is dealt out, the places of the tokens after a common word)."""
-        key = self.v.copy()
-        i = np.flatnonzero(within(common.words, key))
-        key[i] = pair_key(self.u[i], self.v[i])
-        j = i[within(common.pairs, key[i])]
-        key[j] = pair_key(key[j], self.w[j])
-        return key, i
+        self.words, self.w = np.r_[np.frombuffer(words, np.uint64), START], planes.reshape(4, n).T.copy().view("<u4").ravel()
+        self.v, self.u = (np.full(n, len(self.words) - 1, np.uint32) for _ in range(2))
+        self.v[1:], self.u[2:] = self.w[:-1], self.w[:-2]
+        begin = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
+        self.v[begin] = self.u[begin] = self.u[begin[begin + 1 < n] + 1] = len(self.words) - 1
+
+    def after(self, common: Common) -> np.ndarray:
+        """The places of the tokens after a common word."""
+        return np.flatnonzero(within(common.words, self.words)[self.v])
+
+    def shards(self, common: Common, after: np.ndarray, shards: int) -> np.ndarray:
+        """Where each token is sent."""
+        out = shard_of(self.words, shards).astype(np.int32)[self.v]
+        key = pair_key(self.words[self.u[after]], self.words[self.v[after]])
+        j = np.flatnonzero(within(common.pairs, key))
+        key[j] = pair_key(key[j], self.words[self.w[after[j]]])
+        out[after] = shard_of(key, shards)
+        return out
+
+    def pairs(self, at: np.ndarray) -> np.ndarray:
+        return pair_key(self.words[self.v[at]], self.words[self.w[at]])
 
     def asked(self, after: np.ndarray) -> np.ndarray:
         """The keys whose counts the chunk must know: its words, and its pairs that begin with a common word."""
-        return np.unique(np.concatenate([self.words, pair_key(self.v[after], self.w[after])]))
+        return np.unique(np.concatenate([self.words[:-1], self.pairs(after)]))
 
 
 def common_keys(chunks: DataFrame, total: int, least: float) -> Common:
@@ -248,10 +260,10 @@ def common_keys(chunks: DataFrame, total: int, least: float) -> Common:
                 for row in batch.to_pylist():
                     c = Chunk(*(row[x] for x in PARTS))
                     some = max(2, c.n / 4000)
-                    count = np.bincount(c.ids, minlength=len(c.words))
+                    count = np.bincount(c.v, minlength=len(c.words))
                     word = np.flatnonzero(count >= some)
-                    i = np.flatnonzero(within(np.sort(c.words[word]), c.v))
-                    pair, n = np.unique(pair_key(c.u[i], c.v[i]), return_counts=True)
+                    i = np.flatnonzero((count >= some)[c.v])
+                    pair, n = np.unique(pair_key(c.words[c.u[i]], c.words[c.v[i]]), return_counts=True)
                     often = n >= some
                     keys, n = np.concatenate([c.words[word], pair[often]]), np.concatenate([count[word], n[often]])
                     kind = np.arange(len(keys)) >= len(word)
@@ -270,30 +282,27 @@ def sent(chunks: DataFrame, common: Common, shards: int, lo: int, hi: int, count
         for batch in batches:
             for row in batch.to_pylist():
                 c = Chunk(*(row[x] for x in PARTS))
-                key, after = c.routes(common)
-                shard = shard_of(key, shards)
-                i = np.flatnonzero((shard >= lo) & (shard < hi) & (True if counts else c.target))
-                i = i[np.lexsort((c.v[i], ~c.target[i], shard[i]))]
-                cuts = np.searchsorted(shard[i], np.arange(lo, hi + 1, dtype=np.uint64))
+                after = c.after(common)
+                shard = c.shards(common, after, shards)
+                i = np.flatnonzero((shard >= lo) & (shard < hi) if counts else (shard >= lo) & (shard < hi) & c.target)
+                i = i[np.argsort(shard[i].astype(np.int64) << 33 | (~c.target[i]).astype(np.int64) << 32 | c.v[i])]
+                cuts = np.searchsorted(shard[i], np.arange(lo, hi + 1))
                 if counts:
                     text = np.repeat(np.arange(len(c.lengths), dtype=np.uint32), c.lengths)
-                    keys = c.asked(after)
-                    have, = unpacked(get_bytes(f"{counts}/{row['chunk']}"), (np.uint32, len(keys)))
-                    uni = have[np.searchsorted(keys, c.words)][c.ids]
+                    uni, pairs = unpacked(get_bytes(f"{counts}/{row['chunk']}"), (np.uint32, len(c.words) - 1), (np.uint32, len(after)))
                     common_v = np.zeros(c.n, bool)
                     common_v[after] = True
                 for s in range(lo, hi):
                     at = i[cuts[s - lo]:cuts[s - lo + 1]]
                     if not len(at):
                         continue
-                    v = c.v[at]
-                    first = heads_of(v, c.target[at])
-                    columns = [v[first], c.u[at], c.w[at], np.diff(np.r_[first, len(at)]).astype(np.uint32)]
+                    first = heads_of(c.v[at], c.target[at])
+                    columns = [c.words[c.v[at[first]]], c.words[c.u[at]], c.words[c.w[at]], np.diff(np.r_[first, len(at)]).astype(np.uint32)]
                     known = 0
                     if counts:
                         j = at[common_v[at]]
                         known = len(j)
-                        columns += [text[at], uni[at], have[np.searchsorted(keys, pair_key(c.v[j], c.w[j]))]]
+                        columns += [text[at], uni[c.w[at]], pairs[np.searchsorted(after, j)]]
                     yield pa.record_batch([pa.array([s], pa.int32()), *(pa.array([x], pa.int64()) for x in (row["chunk"], len(at), int(c.target[at].sum()), len(first), known)),
                                            pa.array([packed(*columns)], pa.binary())], SENT)
 
@@ -428,15 +437,15 @@ def total_levels(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def answered(chunks: DataFrame, common: Common, known: DataFrame, shards: int, folder: str) -> None:
-    """Writes for each chunk the counts of the keys that it asks for, in their order, as a file of its number."""
-    def ask(batches):
+def answered(chunks: DataFrame, common: Common, known: DataFrame, shards: int, folder: str, rounds: int) -> None:
+    """Writes for each chunk, as a file of its number, the counts of its words and those of the pairs of its tokens after common words."""
+    def ask(batches, lo, hi):
         for batch in batches:
             for row in batch.to_pylist():
                 c = Chunk(*(row[x] for x in PARTS))
-                keys = c.asked(c.routes(common)[1])
+                keys = c.asked(c.after(common))
                 cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1, dtype=np.uint64))
-                for s in range(shards):
+                for s in range(lo, hi):
                     yield pa.record_batch([pa.array([s], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([keys[cuts[s]:cuts[s + 1]].tobytes()], pa.binary())], ["part", "chunk", "asked"])
 
     def answer(key, held, asked):
@@ -456,13 +465,30 @@ def answered(chunks: DataFrame, common: Common, known: DataFrame, shards: int, f
 
     def write(key, table):
         rows = sorted(table.to_pylist(), key=lambda r: r["part"])
-        put_bytes(f"{folder}/{key[0].as_py()}", packed(np.concatenate([unpacked(r["counts"], (np.uint32, r["n"]))[0] for r in rows])))
+        put_bytes(f"{folder}/keys/{key[0].as_py()}", packed(np.concatenate([unpacked(r["counts"], (np.uint32, r["n"]))[0] for r in rows])))
         return pa.table({"n": pa.array([sum(r["n"] for r in rows)], pa.int64())})
 
-    asked = chunks.filter("n > 0").select("chunk", *PARTS).mapInArrow(ask, "part int, chunk long, asked binary")
-    found = known.select("part", "kind", "n", "keys", "more", "counts").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(
-        answer, "chunk long, part int, n long, counts binary")
-    found.groupBy("chunk").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    def place(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(*(row[x] for x in PARTS))
+                after = c.after(common)
+                keys = c.asked(after)
+                have, = unpacked(get_bytes(f"{folder}/keys/{row['chunk']}"), (np.uint32, len(keys)))
+                put_bytes(f"{folder}/{row['chunk']}", packed(have[np.searchsorted(keys, c.words[:-1])], have[np.searchsorted(keys, c.pairs(after))]))
+                yield pa.record_batch([pa.array([c.n], pa.int64())], ["n"])
+
+    full = chunks.filter("n > 0").select("chunk", *PARTS)
+    got = []
+    for lo, hi in rounds_of(shards, rounds):
+        asked = full.mapInArrow(partial(ask, lo=lo, hi=hi), "part int, chunk long, asked binary")
+        held = known.filter(F.col("part").between(lo, hi - 1)).select("part", "kind", "n", "keys", "more", "counts")
+        got.append(freed(held.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "chunk long, part int, n long, counts binary"), "kn-found"))
+    if every([x for x, _ in got]).groupBy("chunk").applyInArrow(write, "n long").agg(F.sum("n")).first()[0]:
+        full.mapInArrow(place, "n long").agg(F.sum("n")).collect()
+        dropped(f"{folder}/keys")
+    for _, at in got:
+        dropped(at)
 
 
 @dataclass(frozen=True)
@@ -588,9 +614,10 @@ def perplexities(chunks: DataFrame, shard_tokens: int = SHARD_TOKENS, rounds: in
     spark = chunks.sparkSession
     total = int(chunks.agg(F.sum("n")).first()[0] or 0)
     shards = max(1, -(-total // shard_tokens), min(-(-6 * total // shard_tokens), 6 * rounds))
+    rounds, count_rounds = (max(1, min(r, -(-total // shard_tokens))) for r in (rounds, COUNT_ROUNDS))
     common = common_keys(chunks, total, total / shards / 4 if shards > 1 else total + 1)
     size = 8 + 4 * len(common.pairs)
-    seen = [freed(counted(sent(chunks, common, shards, lo, hi), common, shards), "kn-counts") for lo, hi in rounds_of(shards, TRAINING_ROUNDS)]
+    seen = [freed(counted(sent(chunks, common, shards, lo, hi), common, shards), "kn-counts") for lo, hi in rounds_of(shards, count_rounds)]
     counts = every([x for x, _ in seen])
     whole = total_levels(counts.filter(F.col("kind") == STATS), size)
     pairs, pairs_at = freed(common_pairs(counts, common, shards), "kn-pairs")
@@ -606,7 +633,7 @@ def perplexities(chunks: DataFrame, shard_tokens: int = SHARD_TOKENS, rounds: in
     folder = new_folder(spark, "kn-known")
     known = words.unionByName(pairs.filter(F.col("kind") == PAIRS))
     with shuffles_freed(spark):
-        answered(chunks, common, known, shards, folder)
+        answered(chunks, common, known, shards, folder, count_rounds)
     dropped(pairs_at)
     dropped(words_at)
     done = every([freed(losses(sent(chunks, common, shards, lo, hi, folder), common, t), "kn-losses")[0] for lo, hi in rounds_of(shards, rounds)])
@@ -641,7 +668,7 @@ def thresholds(rows: DataFrame, quantile: float) -> DataFrame:
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              train_docs: int | None = None, train_tokens: int | None = None, quantile: float = QUANTILE,
-             chunk_tokens: int = CHUNK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+             chunk_tokens: int = CHUNK, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(key, lang, n_tokens, perplexity, threshold, kept) of every document. With `train_docs` and `train_tokens` the model is fitted on
     a `training_set` of that size, else on all trusted documents that are not held out."""
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
