@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import hash_order, ratio
 from tessera.model import SpatialData
+from tessera.operators.far import plane_sums
 from tessera.operators.graph import connected_components, knn_join, metric_knn, vector_knn, vectors
 from tessera.session import cut_lineage, spread
 
@@ -78,7 +79,8 @@ def silhouette_values(emb: DataFrame, cluster_col: str, sample: int | None = Non
 
     Equal vectors of a cluster are one weighted point. Points are hashed to blocks, 16 of a large group and more where one would pass
     `block` points; every unordered pair of blocks is one task unit that returns, per point of either block, its distance sums to the
-    clusters of the other. So point pairs are never rows, and a point is sent once per block."""
+    clusters of the other. So point pairs are never rows, and a point is sent once per block. Many points of one or two dimensions and no
+    `by` are summed by `far.plane_sums` instead, whose work does not grow with the square."""
     by = list(by)
     x = emb.select(*by, "spot_id", F.col(cluster_col).cast("string").alias("c"), F.col("emb").cast("array<double>").alias("emb")).filter("c IS NOT NULL")
     if sample is not None:
@@ -131,8 +133,10 @@ def silhouette_values(emb: DataFrame, cluster_col: str, sample: int | None = Non
         return pa.concat_tables([pa.table(o) for o in out])
 
     unit = [*keys, "_i", "_j"]
-    sums = spread(left, *unit).groupBy(*unit).cogroup(spread(right, *unit).groupBy(*unit)).applyInArrow(
-        work, f"{group_type}, one {id_type}, c string, k string, total double")
+    sums = None if by or block else plane_sums(points, keys)
+    if sums is None:
+        sums = spread(left, *unit).groupBy(*unit).cogroup(spread(right, *unit).groupBy(*unit)).applyInArrow(
+            work, f"{group_type}, one {id_type}, c string, k string, total double")
     n = x.groupBy(*keys, F.col("c").alias("k")).agg(F.count("*").alias("n"))
     d = sums.groupBy(*keys, "one", "c", "k").agg(F.sum("total").alias("total")).join(n, [*keys, "k"])
     own = F.col("c") == F.col("k")
